@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space as the contracts name it: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,6 +59,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def extended(df: DataFrame, name: str, kind: str) -> StructType:
+    """df's schema with one more column; df.schema itself is left alone."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else unchanged."""
     return F.translate(text, UPPER, LOWER)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, exact_dedup, mixing, quality
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_quality": quality.op4_quality,
+    "op8_bpe": bpe.op8_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op4_quality": quality.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
