@@ -73,6 +73,11 @@ class Text:
             covered[i : n + i] |= again
         return int(covered.sum())
 
+    @cached_property
+    def n_stutters(self) -> int:
+        """Words equal to the word before them."""
+        return sum(map(bytes.__eq__, self.words, self.words[1:]))
+
     @cached_property
     def capitals(self) -> int:
         return sum(w.isupper() and len(w) > 1 for w in self.words)
@@ -82,7 +87,8 @@ class Text:
 RULES: dict[str, Callable[[Text], bool]] = {
     "few_words": lambda t: len(t.words) < 10,
     "repeated_words": lambda t: 100 * t.n_repeat_words > 20 * len(t.words),
-    "symbols": lambda t: 10 * t.n_symbols > 4 * len(t.words),
+    "symbols": lambda t: 10 * t.n_symbols > 3 * len(t.words),
+    "stutter": lambda t: 5 * t.n_stutters > len(t.words),
     "capitals": lambda t: 2 * t.capitals > len(t.words),
     "word_length": lambda t: not 2 * len(t.words) <= t.word_chars <= 100 * len(t.words),
     "repeated_lines": lambda t: 2 * t.n_dup_lines > len(t.lines),
@@ -173,13 +179,14 @@ OP4_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
 g AS (
-  SELECT doc_id, i, word, CASE WHEN lead(i, 4) OVER p IS NOT NULL
+  SELECT doc_id, i, word, lead(word) OVER p AS next, CASE WHEN lead(i, 4) OVER p IS NOT NULL
          THEN concat_ws(' ', word, lead(word) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p, lead(word, 4) OVER p) END AS gram
   FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT *, CASE WHEN gram IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, gram) > 1 THEN 1 ELSE 0 END AS again FROM g),
 c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM r),
 s AS (
   SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(covered) AS n_repeat_words,
+         sum(CASE WHEN word = next THEN 1 ELSE 0 END) AS n_stutters,
          sum(CASE WHEN strlen(word) > 1 AND regexp_matches(word, '[A-Z]') AND NOT regexp_matches(word, '[a-z]') THEN 1 ELSE 0 END) AS capitals
   FROM c GROUP BY doc_id),
 l AS (
@@ -188,11 +195,11 @@ l AS (
 f AS (
   SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
          length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-         coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(capitals, 0) AS capitals
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(capitals, 0) AS capitals, coalesce(n_stutters, 0) AS n_stutters
   FROM d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > 4 * n_words OR 2 * capitals > n_words OR NOT word_chars BETWEEN 2 * n_words AND 100 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 5 * n_stutters > n_words OR 2 * capitals > n_words OR NOT word_chars BETWEEN 2 * n_words AND 100 * n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM b
 """
