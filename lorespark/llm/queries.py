@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality
+from . import bpe, exact_dedup, licenses, mixing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_licenses": licenses.op2_licenses,
     "op4_quality": quality.op4_quality,
     "op8_bpe": bpe.op8_bpe,
     "op10_mixing": mixing.op10_mixing,
@@ -13,6 +14,7 @@ QUERIES = {
 
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_licenses": licenses.op2_sql(),
     "op4_quality": quality.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
