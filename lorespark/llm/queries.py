@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, mixing, quality
+from . import bpe, exact_dedup, licenses, mixing, ngram_join, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_licenses": licenses.op2_licenses,
     "op4_quality": quality.op4_quality,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_bpe": bpe.op8_bpe,
     "op10_mixing": mixing.op10_mixing,
 }
