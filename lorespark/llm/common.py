@@ -69,6 +69,28 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: A map of groups has so many bits, 65,536 rows of 64, whatever the input's size.
+MAP_BITS = 1 << 22
+
+
+def map_place(*keys: Column) -> Column:
+    """The bit of a group in a map."""
+    return F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS))
+
+
+def group_map(groups: DataFrame, *keys: str) -> DataFrame:
+    """A map (cell, bits) of the groups, small enough to broadcast. Groups may share a bit."""
+    places = groups.select(map_place(*map(F.col, keys)).alias("place"))
+    return places.groupBy(F.expr("place div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
+
+
+def with_flag(rows: DataFrame, place: Column, groups: DataFrame, name: str) -> DataFrame:
+    """rows with a flag that is true where place is set in the map, and so for all rows of its groups and few others."""
+    at, cell, bits = fresh(rows, "__place", "__cell", "__bits")
+    joined = rows.withColumn(at, place).join(F.broadcast(groups.toDF(cell, bits)), F.expr(f"`{at}` div 64") == F.col(cell), "left")
+    return joined.withColumn(name, F.coalesce(F.expr(f"getbit(`{bits}`, cast(`{at}` % 64 as int)) = 1"), F.lit(False))).drop(at, cell, bits)
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, top: int = 4096) -> DataFrame:
     """rows with the columns that groups has for their keys (null where it has none).
 

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach, fresh, table, written
+from .common import SPACE, attach, fresh, group_map, map_place, table, with_flag, written
 
-#: The map of surviving groups has so many bits, 65,536 rows of 64, whatever the input's size.
-MAP_BITS = 1 << 22
 PREFIX_CHARS = 256
 DECISIONS = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -18,20 +16,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def _place(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(MAP_BITS))
-
-
 def surviving_groups(signed: DataFrame) -> DataFrame:
-    """The map, as (cell, bits), of the groups that more than one of the rows (length, prefix) belong to.
+    """The pairs (length, prefix) that more than one row has.
 
-    Lengths that a single row has fall away first, then pairs of length and prefix hash. A bit that two
-    groups share only lets a row through to the full hash.
+    Lengths that a single row has fall away first, then pairs of length and prefix hash.
     """
     pairs = signed.groupBy("length", "prefix").agg(F.count("*").alias("n"))
     lengths = pairs.groupBy("length").agg(F.sum("n").alias("n")).filter("n > 1").select("length")
-    places = pairs.filter("n > 1").join(lengths, "length", "left_semi").select(_place(F.col("length"), F.col("prefix")).alias("place"))
-    return places.groupBy(F.expr("place div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
+    return pairs.filter("n > 1").join(lengths, "length", "left_semi")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -39,7 +31,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The first scan gives each row its normalised length and the hash of its first characters; both are narrow.
     Groups that refine to one row are settled there. The second scan hashes whole texts of the rows whose group
-    survives (of all rows if digest_all), and rows with equal hashes form a group. Only rows of surviving groups
+    survives (of all rows if digest_all), found in a map of fixed size; a row let through by a bit that groups
+    share is a group of its own then. Rows with equal hashes form a group. Only rows of surviving groups
     are shuffled, and those of the largest groups not even then.
 
     Null text counts as empty. Of equal texts the smallest id stays, null after all others; of rows that repeat
@@ -47,14 +40,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows. Columns of docs that have one of the four names are replaced.
     """
     docs = docs.drop(*DECISIONS)
-    row, place, cell, bits, live, full, first, size = fresh(docs, "__row", "__place", "__cell", "__bits", "__live", "__full", "__first", "__size")
+    row, live, full, first, size = fresh(docs, "__row", "__live", "__full", "__first", "__size")
     norm = normalised(F.col(text_col))
     length, prefix = F.length(norm), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))
-    survivors = written(surviving_groups(docs.select(length.alias("length"), prefix.alias("prefix"))), "groups").toDF(cell, bits)
-
-    rows = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(place, _place(length, prefix))
-    rows = rows.join(F.broadcast(survivors), F.expr(f"`{place}` div 64") == F.col(cell), "left")
-    rows = rows.withColumn(live, F.coalesce(F.expr(f"getbit(`{bits}`, cast(`{place}` % 64 as int)) = 1"), F.lit(False))).drop(place, cell, bits)
+    groups = surviving_groups(docs.select(length.alias("length"), prefix.alias("prefix")))
+    survivors = written(group_map(groups, "length", "prefix"), "groups")
+    rows = with_flag(docs.withColumn(row, F.monotonically_increasing_id()), map_place(length, prefix), survivors, live)
     digest = F.sha2(norm, 256)
     rows = rows.withColumn(full, digest if digest_all else F.when(F.col(live), digest))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, lm_scores, mixing, ngram_join, quality
+from . import bpe, exact_dedup, licenses, lm_scores, mixing, ngram_join, quality, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_licenses": licenses.op2_licenses,
     "op4_quality": quality.op4_quality,
     "op5_lm_scores": lm_scores.op5_lm_scores,
+    "op6_warc": warc.op6_warc,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_bpe": bpe.op8_bpe,
     "op10_mixing": mixing.op10_mixing,
@@ -19,5 +20,6 @@ SQL = {
     "op2_licenses": licenses.op2_sql(),
     "op4_quality": quality.OP4_SQL,
     "op5_lm_scores": lm_scores.OP5_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
