@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, lm_scores, mixing, ngram_join, quality, warc
+from . import bpe, chats, exact_dedup, licenses, lm_scores, mixing, ngram_join, quality, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_licenses": licenses.op2_licenses,
+    "op3_chats": chats.op3_chats,
     "op4_quality": quality.op4_quality,
     "op5_lm_scores": lm_scores.op5_lm_scores,
     "op6_warc": warc.op6_warc,
