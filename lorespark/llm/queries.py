@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chats, exact_dedup, licenses, lm_scores, mixing, ngram_join, quality, warc
+from . import bpe, chats, exact_dedup, licenses, lm_scores, mixing, ngram_join, pii, quality, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_bpe": bpe.op8_bpe,
+    "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
 }
 
