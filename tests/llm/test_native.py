@@ -1,0 +1,100 @@
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from lorespark.llm import chats, licenses, pii
+
+from .cases import SCHEMA, documents
+
+
+def test_license_base_places_match_brute_force(spark):
+    df = spark.createDataFrame(documents(8, 100), SCHEMA)
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    for r in licenses.license_detections(df).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or ""))
+        assert r["n_words"] == len(words)
+        want = sorted((i, label) for label, p in phrases.items() for i in range(len(words)) if words[i : i + len(p)] == p)
+        assert sorted((d["start"], d["label"]) for d in r["detections"] if d["base"]) == want
+        assert 0 <= r["licenses"]["score"] <= 1
+    assert licenses.license_detections(df.limit(0)).count() == 0
+
+
+def test_longer_and_higher_rules_suppress(spark):
+    texts = ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: GPL-3.0-or-later", "This is under the MIT license, and that under the BSD 3-clause license", "permit license"]
+    got = [sorted(r["licenses"]["labels"]) for r in licenses.license_detections(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert "apache-2.0" in got[0] and "apache-1.1" not in got[0]
+    assert "gpl-3.0" in got[1]
+    assert {"mit", "bsd-3-clause"} <= set(got[2])
+    assert got[3] == []
+    assert len(licenses.RULES) > 200
+
+
+PEOPLE = [
+    (1, "Write to und.34@mail7.example.com or John@X.org, call +1 (377) 555-5010 now. 4736962573099581 ok 4736 9625 7309 9581."),
+    (2, 'Mrs. Anna Schmidt met Herr Müller. Later Anna Schmidt and Mr. Schmidt left. Г-жа Анна Иванова. token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ok'),
+    (3, None),
+    (4, ""),
+    (5, "plain text 12 and 2024-01-02 or 3.14 a@b"),
+    (6, "ip 192.168.0.1 ssn 123-45-6789 tel 212-555-1234 and JOHN@x.ORG, +1-377-555-5010"),
+    (7, "a" * 100_000 + " " + "1" * 50_000),
+    (6, "ip 192.168.0.1 ssn 123-45-6789 tel 212-555-1234 and JOHN@x.ORG, +1-377-555-5010"),
+]
+
+
+def test_surrogates(spark):
+    df = spark.createDataFrame(PEOPLE, "doc_id long, text string").withColumn("kind", F.lit("own")).withColumn("__hits", F.lit(1))
+    got = defaultdict(list)
+    for r in pii.with_surrogates(df).collect():
+        got[r["doc_id"]].append(r)
+    one, two, six = (got[i][0]["text"] for i in (1, 2, 6))
+    for secret in ("34@mail7", "John@X", "555-5010", "4736962573099581", "4736 9625"):
+        assert secret not in one
+    for secret in ("Anna Schmidt", "Schmidt", "Müller", "Анна", "Иванова", "04dbebab"):
+        assert secret not in two
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one) and re.search(r"\d{16} ok \d{4} \d{4} \d{4} \d{4}\.", one)
+    card = re.search(r"\d{16}", one)[0]
+    assert re.sub(" ", "", re.search(r"ok ([\d ]+)\.", one)[1]) == card
+    assert sum(sum(divmod(int(d) * (2 if i % 2 == 0 else 1), 10)) for i, d in enumerate(card)) % 10 == 0
+    mail = re.search(r"[\w.]+@[\w.]+(?=,)", one)[0]
+    assert mail in six and re.search(r"\(\d{3}\) \d{3}", one)[0].replace("(", "").replace(") ", "-") in six
+    anna = re.search(r"Mrs\. (\w+) (\w+) met", two)
+    assert f"Later {anna[1]} {anna[2]} and Mr. {anna[2]} left" in two and anna[1].endswith("a")
+    assert re.search(r"Г-жа [А-я]+ [А-я]+\.", two) and re.search(r'token = "[0-9a-f]{40}" ok', two)
+    for i in (3, 4, 5, 7):
+        assert got[i][0]["text"] == dict(PEOPLE)[i] and got[i][0]["n_entities"] == 0
+    assert got[6][0] == got[6][1]
+
+
+def test_surrogates_stay_distinct(spark):
+    """In a space of 10,000 values a hundred entities would collide: further attempts part them."""
+    rows = [(i, f"from 10.0.{i // 250}.{i % 250} on") for i in range(1500)]
+    text = pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    made = [re.search(r"from (\S+) on", r["text"])[1] for r in text]
+    assert len(set(made)) == len(rows)
+    assert not set(made) & {re.search(r"from (\S+) on", t)[1] for _, t in rows}
+
+
+def test_quotes_are_linked_and_removed(spark):
+    rows = [
+        (1, 0, "user", "Hello there my friend\nHow is the weather today in Paris?"),
+        (1, 1, "assistant", "> How is the weather today in Paris?\nIt is sunny and warm here."),
+        (1, 2, "user", "Something entirely else"),
+        (1, 3, "assistant", "On Monday X wrote:\n> > How is the weather today in Paris?\n> It is sunny and warm here.\nGood to know that."),
+        (2, 0, "user", "> Good to know that.\nMe too please"),
+        (2, 1, "user", None),
+        (2, 1, "user", None),
+        (None, 0, "user", "x"),
+        (3, 70, "a", "late"),
+        (3, 1, "a", "early"),
+        (3, None, "a", "> Something entirely else"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in chats.linked_conversations(df).collect()}
+    assert chats.linked_conversations(df).count() == len(rows)
+    assert (got[1, 1]["reply_turn"], got[1, 1]["linked_by"], got[1, 1]["text"]) == (0, "quote", "It is sunny and warm here.")
+    assert got[1, 2]["linked_by"] == "turn" and got[1, 2]["reply_turn"] == 1
+    assert got[1, 3]["reply_turn"] == 1 and got[1, 3]["text"] == "Good to know that." and got[1, 3]["ancestors"][0]["turn"] == 0
+    assert (got[2, 0]["reply_conv"], got[2, 0]["reply_turn"], got[2, 0]["thread_id"]) == (1, 3, 1)
+    assert got[3, 70]["reply_turn"] == 1 and got[3, 1]["linked_by"] is None
+    assert chats.linked_conversations(df.limit(0)).count() == 0
