@@ -12,16 +12,20 @@ from .common import fresh, group_map, map_place, table, with_flag, written
 # Patterns in order of precedence. Each starts where nothing that it could begin with stands before,
 # and repeats possessively, so that long runs are read once.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
-SECRET = r"""(?<=(?i:token|secret|password|passwd|api[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?)(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{12,}+"""
+NAMING = r"""(?i:token|secret|password|passwd|api[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?"""
+SECRET = NAMING + r"[A-Za-z0-9_+/=.-]{12,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}+(?!\d)|(?<![\w.-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\d)"
 CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Srta|Signora|Г-жа|Госпожа|Κυρία)"
-MALE = r"(?:Mr|Herrn?|Monsieur|Señor|Sr|Signor|Г-н|Господин|Κύριος)"
+MALE = r"(?:Mr|Herrn|Herr|Monsieur|Señor|Sr|Signor|Г-н|Господин|Κύριος)"
 TITLE = rf"(?:{FEMALE}|{MALE})\.? "
 NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\p{{Lu}}[\p{{L}}'-]{{1,30}}+(?: \p{{Lu}}[\p{{L}}'-]{{1,30}}+)?"
+#: What a text has at least if one of the patterns matches: it keeps the search away from most texts.
+SIGNS = r"[@0-9]|(?i:token|secret|password|passwd|api.?key)"
+TITLES = [x.strip("()?:") for x in f"{FEMALE}|{MALE}".replace("(?:", "").replace(")", "").split("|")]
 ANY = "|".join(f"(?:{x})" for x in (EMAIL, SECRET, IBAN, PHONE, CARD, SSN, IP, NAME))
 # Syllables of names by script, and endings of given names for women and men.
 SYLLABLES = {
@@ -38,12 +42,13 @@ def _kind(match: Column) -> Column:
     return (
         F.when(F.contains(match, F.lit("@")), "email")
         .when(match.rlike(rf"^{TITLE}"), "name")
+        .when(match.rlike(rf"^{NAMING}"), "secret")
         .when(match.rlike(rf"^(?:{SSN})$"), "ssn")
         .when(match.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(match.rlike(r"^(?:\d{4}[ -]?){3}\d{4}$"), "card")
         .when(match.rlike(r"^[\d+(][\d ().-]+$"), "phone")
         .when(match.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
-        .otherwise("secret")
+        .otherwise("phone")
     )
 
 
@@ -66,12 +71,21 @@ def mention(match: Column) -> Column:
     """(raw, kind, entities) of a match. Each entity has the form that all its mentions share; a name has a given and a family name."""
 
     def of(kind: Column) -> Column:
-        norm = F.when(kind == "email", F.lower(match)).when(kind.isin(*DIGITS), F.regexp_replace(match, r"\D", "")).when(kind == "iban", F.replace(match, F.lit(" "), F.lit(""))).otherwise(match)
+        norm = F.when(kind == "email", F.lower(match)).when(kind.isin(*DIGITS), F.regexp_replace(match, r"\D", "")).when(kind == "iban", F.replace(match, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_replace(match, rf"^{NAMING}", "")).otherwise(match)
         return F.struct(match.alias("raw"), kind.alias("kind"), F.when(kind == "name", _name_parts(match)).otherwise(F.array(_entity(kind, norm))).alias("entities"))
 
     return _let(_kind(match), of)
 
 
+def matches(text: Column) -> Column:
+    """The mentions in a text, in order."""
+    signs = text.rlike(SIGNS)
+    for title in TITLES:
+        signs = signs | F.contains(text, F.lit(title))
+    found = F.when(text.isNull(), F.lit(None)).when(signs, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, mention)
+
+
 def _luhn(digits: Column) -> Column:
     """The digit that completes 15 digits to a valid card number."""
     total = F.lit(0)
@@ -171,7 +185,7 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
     """
     docs = docs.drop("n_entities", "entity_kinds")
     row, hits, late, flag, own, new = fresh(docs, "__row", "__hits", "__late", "__flag", "__own", "__new")
-    rows = docs.withColumn(row, F.xxhash64(id_col, text_col)).withColumn(hits, F.transform(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)), mention))
+    rows = docs.withColumn(row, F.xxhash64(id_col, text_col)).withColumn(hits, matches(F.col(text_col)))
     found = rows.filter(F.size(hits) > 0).select(F.col(row).alias("row"), F.explode(F.flatten(F.transform(hits, lambda x: x["entities"]))).alias("entity")).select("row", "entity.kind", "entity.norm")
     found = written(found, "found")
     retried = written(found.join(attempts(found, key), ["kind", "norm"]).groupBy("row").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("late")), "retried")
@@ -187,12 +201,11 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
     def replacement(m: Column) -> Column:
         def put(parts: Column) -> Column:
             first = F.get(parts, F.lit(0))
-            return F.when(m["kind"] == "name", F.array_join(parts, " ")).when(m["kind"].isin("email", "ip"), first).otherwise(_filled(m["raw"], first))
+            return F.when(m["kind"] == "name", F.array_join(parts, " ")).when(m["kind"].isin("email", "ip"), first).when(m["kind"] == "secret", first).otherwise(_filled(m["raw"], first))
 
-        is_name = m["kind"] == "name"
-        old = F.when(is_name, F.regexp_replace(m["raw"], rf"^{TITLE}", "")).otherwise(m["raw"])
-        title = F.when(is_name, F.regexp_extract(m["raw"], rf"^{TITLE}", 0)).otherwise("")
-        return F.struct(title.alias("title"), old.alias("old"), _let(F.transform(m["entities"], made), put).alias("new"), is_name.alias("is_name"))
+        is_name, before = m["kind"] == "name", rf"^(?:{TITLE}|{NAMING})"
+        old = F.regexp_replace(m["raw"], before, "")
+        return F.struct(F.regexp_extract(m["raw"], before, 0).alias("title"), old.alias("old"), _let(F.transform(m["entities"], made), put).alias("new"), is_name.alias("is_name"))
 
     def replaced(df: DataFrame) -> DataFrame:
         """Texts without a match skip all that follows the search."""
