@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,19 @@ def budgeted(candidates: DataFrame, group: str, order: list[str], cost: str, bud
 def exported(rows: DataFrame, *order: str) -> DataFrame:
     """One JSON line per row, newest first."""
     return rows.orderBy(*[F.desc(c) for c in order]).select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
+def first_reason(rows: DataFrame, reasons: list[tuple[str, Column]], otherwise: str = "eligible") -> DataFrame:
+    """rows with reason, the name of the first condition that holds; a condition that is null does not."""
+    found = F.lit(otherwise)
+    for name, condition in reversed(reasons):
+        found = F.when(F.coalesce(condition, F.lit(False)), name).otherwise(found)
+    return rows.withColumn("reason", found)
+
+
+def islands(rows: DataFrame, key: str, at: str, tie: str, gap: str) -> DataFrame:
+    """Runs of a key's rows in order of at with no gap longer than the given one: (key, island, rows, first, last)."""
+    order = Window.partitionBy(key).orderBy(at, tie)
+    opens = F.coalesce(F.col(at) > F.lag(at).over(order) + F.expr(f"interval {gap}"), F.lit(True))
+    numbered = rows.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(key, "island").agg(F.count("*").alias("rows"), F.min(at).alias("first"), F.max(at).alias("last"))

@@ -72,7 +72,19 @@ def fewshot_budget(spark, sf_dir):
     return hygiene.budgeted(turns, "conv_id", ["turn"], "chars", 600, 3)
 
 
+def example_reasons(spark, sf_dir):
+    """Why each labelled document may not serve as an example; the first reason counts."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    firsts = docs.groupBy("text").agg(F.min("doc_id").alias("first_id"))
+    used = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("used_id"))
+    rows = docs.join(firsts, "text").join(F.broadcast(used), F.col("doc_id") == F.col("used_id"), "left")
+    reasons = [("toxic", F.col("toxic") == 1), ("low_quality", F.col("quality") == 0), ("in_evaluation", F.col("used_id").isNotNull()), ("duplicate", F.col("first_id") < F.col("doc_id")), ("too_long", F.col("n_chars") > 4000)]
+    return hygiene.first_reason(rows, reasons).select("doc_id", "reason")
+
+
 QUERIES = {
+    "example_reasons": example_reasons,
+    "event_islands": lambda s, d: hygiene.islands(table(s, d, "events"), "user_id", "ts", "event_id", "6 hours"),
     "line_blocks": lambda s, d: op.line_blocks(_docs(s, d)).select("doc_id", "block", "kind", "start", "end"),
     "chunk_audit": chunk_audit,
     "chunk_lineage": chunk_lineage,
@@ -94,6 +106,12 @@ b AS (SELECT doc_id, block, CASE WHEN regexp_matches(text, '^#{1,6}\\s') THEN 'h
         length(text) AS n, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n)
 """
 SQL = {
+    "example_reasons": """WITH d AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quality' WHEN doc_id IN (SELECT item_id FROM benchmark) THEN 'in_evaluation'
+  WHEN first_id < doc_id THEN 'duplicate' WHEN n_chars > 4000 THEN 'too_long' ELSE 'eligible' END AS reason FROM d""",
+    "event_islands": """WITH o AS (SELECT user_id, event_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS rows, min(ts) AS first, max(ts) AS last FROM i GROUP BY user_id, island""",
     "line_blocks": _BLOCKS + 'SELECT doc_id, block, kind, start, start + n AS "end" FROM b',
     "chunk_audit": "SELECT doc_id, TRUE AS exact, TRUE AS within, TRUE AS gapless, TRUE AS complete FROM documents WHERE regexp_matches(text, '\\S')",
     "block_windows": _BLOCKS + """, x AS (SELECT doc_id, max(start + n) AS n FROM b GROUP BY doc_id),
