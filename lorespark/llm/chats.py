@@ -54,7 +54,7 @@ def quote_links(lines: DataFrame) -> DataFrame:
     nearest = both.withColumn("near", F.last("origin", ignorenulls=True).over(in_order)).filter("level > 0")
     nearest = nearest.select("conv_id", "turn", "level", "digest", F.when(F.col("near") < F.col("turn"), F.col("near")).alias("near"))
     first = own.groupBy("digest").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.count("*").alias("n"))
-    found = attach(nearest, first, ["digest"], "n")
+    found = attach(nearest, first, ["digest"], "n", lines.count())
     elsewhere = F.col("first.conv_id") < F.col("conv_id")
     found = found.select("conv_id", "turn", "level", F.when(F.col("near").isNotNull(), F.col("conv_id")).when(elsewhere, F.col("first.conv_id")).alias("to_conv"), F.when(F.col("near").isNotNull(), F.col("near")).when(elsewhere, F.col("first.turn")).alias("to_turn"))
     votes = found.filter("to_conv is not null").groupBy("conv_id", "turn", "level", "to_conv", "to_turn").agg(F.count("*").alias("votes"))

@@ -32,20 +32,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: While a table is written: shuffle files go when the job ends, not when the driver collects garbage; Python workers
+#: get batches that stay small with long texts.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that written() made and that no later job reads."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lorespark/" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    path, before = new_path(spark, name), {k: spark.conf.get(k) for k in WHILE_WRITING}
+    for key, value in WHILE_WRITING.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() made and that no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/lorespark/" in path:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -91,12 +104,12 @@ def with_flag(rows: DataFrame, place: Column, groups: DataFrame, name: str) -> D
     return joined.withColumn(name, F.coalesce(F.expr(f"getbit(`{bits}`, cast(`{at}` % 64 as int)) = 1"), F.lit(False))).drop(at, cell, bits)
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, top: int = 4096) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int, top: int = 4096) -> DataFrame:
     """rows with the columns that groups has for their keys (null where it has none).
 
-    groups has one row per key. The `top` heaviest keys by the column weight, a number that does not grow
-    with the data, are joined by broadcast, so that a key with a third of all rows moves nothing; rows of
-    the other keys, each at most 1/top of the total, go by a shuffle. Keys compare null-safe.
+    groups has one row per key, and total is at least the sum of its column weight. Keys with more than 1/top of
+    the total, of which there are fewer than top, are joined by broadcast, so that a key with a third of all rows
+    moves nothing; all others go by a shuffle. Keys compare null-safe.
     """
     values = [c for c in groups.columns if c not in keys]
     names = [f"__k{i}" for i in range(len(keys))]
@@ -110,7 +123,7 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, top
             out = out & left[k].eqNullSafe(right[n])
         return out
 
-    hot = side(groups.orderBy(F.desc(weight), *keys).limit(top), "__hot")
+    hot = side(groups.filter(F.col(weight) * top > total), "__hot")
     half = rows.join(F.broadcast(hot), same(rows, hot), "left").drop(*names)
     half = half.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(-1)).otherwise(F.monotonically_increasing_id() % 65536))
     cold = side(groups, "__cold").withColumn("__none", F.lit(-1).cast("long"))

@@ -36,7 +36,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are shuffled, and those of the largest groups not even then.
 
     Null text counts as empty. Of equal texts the smallest id stays, null after all others; of rows that repeat
-    that id and text exactly one stays. Rows with a text of their own have group_size 1. An empty table gives no
+    that id and text exactly one stays (docs is read more than once and must come in the same order, as files do). Rows with a text of their own have group_size 1. An empty table gives no
     rows. Columns of docs that have one of the four names are replaced.
     """
     docs = docs.drop(*DECISIONS)
@@ -49,11 +49,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digest = F.sha2(norm, 256)
     rows = rows.withColumn(full, digest if digest_all else F.when(F.col(live), digest))
 
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col(row))
-    groups = rows.filter(F.col(live)).groupBy(full).agg(F.min(order).alias(first), F.count("*").alias(size))
-    grouped = attach(rows.filter(F.col(live)), groups, [full], size)
+    each = rows.filter(F.col(live)).groupBy(full, F.col(id_col).alias("id")).agg(F.count("*").alias("n"), F.min(row).alias("row"))
+    groups = each.groupBy(full).agg(F.min(F.struct(F.col("id").isNull(), "id", "n", "row")).alias(first), F.sum("n").alias(size))
+    grouped = attach(rows.filter(F.col(live)), groups, [full], size, docs.count())
+    stays = F.col(id_col).eqNullSafe(F.col(f"{first}.id")) & ((F.col(f"{first}.n") == 1) | (F.col(row) == F.col(f"{first}.row")))
     columns = [F.col(c) for c in docs.columns]
-    shared = grouped.select(*columns, F.col(f"{first}.id").alias("keep_id"), F.col(size).alias("group_size"), (F.col(row) == F.col(f"{first}.{row}")).alias("kept"), F.col(full).alias("text_sha256"))
+    shared = grouped.select(*columns, F.col(f"{first}.id").alias("keep_id"), F.col(size).alias("group_size"), stays.alias("kept"), F.col(full).alias("text_sha256"))
     alone = rows.filter(~F.col(live)).select(*columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col(full).alias("text_sha256"))
     return shared.unionByName(alone)
 

@@ -47,7 +47,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     """
     sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     sized = written(sized.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "sized")
-    rows = attach(sized, source_targets(sized, weights, cap), ["source"], "n_docs").withColumn("range", F.substring("key", 1, 3))
+    rows = attach(sized, source_targets(sized, weights, cap), ["source"], "n_docs", sized.count()).withColumn("range", F.substring("key", 1, 3))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("start"))

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, attach, table, written
+from .common import LOWER, UPPER, attach, dropped, table, written
 from .components import component_roots
 
 #: Counters of the sketch that orders shingles by how many texts have them, and slots of the map of wanted texts.
 #: Both have the same size for any input.
-SKETCH_BITS, BLOCK_BITS, SLOT_BITS = 20, 15, 22
+SKETCH_BITS, BLOCK_BITS, SLOT_BITS = 22, 17, 22
+#: Heads of lists that a node is held against before all pairs that are left; it bounds work done early, no result.
+HEADS = 4
+#: Nodes up to which a list is short.
+SHORT = 8
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -42,18 +48,68 @@ def _mixed(x: np.ndarray, by: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; of all words at once if they are fewer than width."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWERED).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    span = min(width, len(words))
-    n = len(words) - span + 1
-    out = np.full(n, span, np.uint64)
-    for i in range(span):
-        out = _mixed(out * np.uint64(0x100000001B3) + h[i : n + i], ORDERS[0])
-    return np.unique(out)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_AT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text that are hashed at once.
+STEP = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2 ** 64."""
+    up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
+    up[1:], down[1:] = _BASE, pow(_BASE, -1, 1 << 64)
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of data starts, and a 64-bit hash of its bytes: a polynomial in them, mixed with the length."""
+    starts, hashes, begin = [], [], 0
+    while begin < len(data):
+        space = _AT_SPACE.search(data, begin + STEP) if len(data) > begin + STEP else None
+        end = space.start() if space else len(data)
+        b = np.frombuffer(data, np.uint8, end - begin, begin)
+        edge = np.diff((~_SPACE[b]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        first, past = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        up, down = _powers(1 << max(STEP.bit_length(), len(b).bit_length()))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b + np.uint64(1)) * up[: len(b)], out=sums[1:])
+        hashes.append(_mixed((sums[past] - sums[first]) * down[first] + (past - first).astype(np.uint64) * np.uint64(ORDERS[1]), ORDERS[2]))
+        starts.append(first + begin)
+        begin = end
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct shingles; of all its words at once if they are fewer than width."""
+    held: list[bytes] = []
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass").translate(_LOWERED))
+        if sum(map(len, held[-64:])) > STEP or len(held) >= 64:
+            yield from _shingled(held, width)
+            held = []
+    yield from _shingled(held, width)
+
+
+def _shingled(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    starts, h = _word_hashes(b"\n".join(texts))
+    ends = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts])) if texts else []
+    n = max(0, len(h) - width + 1)
+    runs = np.full(n, width, np.uint64)
+    for i in range(width):
+        runs = _mixed(runs * np.uint64(0x100000001B3) + h[i : n + i], ORDERS[0])
+    begin = 0
+    for end in ends:
+        if end - begin >= width:
+            yield np.unique(runs[begin : end - width + 1])
+        else:
+            whole = np.full(min(1, end - begin), end - begin, np.uint64)
+            for i in range(begin, end):
+                whole = _mixed(whole * np.uint64(0x100000001B3) + h[i], ORDERS[0])
+            yield whole
+        begin = end
 
 
 def _counter(tokens: np.ndarray) -> np.ndarray:
@@ -61,12 +117,13 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
 
 
 def _ordered(tokens: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-    """Shingles that few texts have come first; ORDERS[order] breaks ties, so that each order differs."""
-    return tokens[np.lexsort((_mixed(tokens, ORDERS[order]), counts[_counter(tokens)]))]
+    """Sorted shingles in a global order: what few texts have comes first; ORDERS[order] breaks ties, so that each order differs."""
+    few = counts[_counter(tokens)].astype(np.uint64)
+    return tokens[np.argsort(few << np.uint64(48) | _mixed(tokens, ORDERS[order]) >> np.uint64(16), kind="stable")]
 
 
-def _slot(node: bytes, ident: object) -> int:
-    return xxhash.xxh3_64_intdigest(node + repr(ident).encode()) >> (64 - SLOT_BITS)
+def _slot(ident: object) -> int:
+    return xxhash.xxh3_64_intdigest(repr(ident).encode()) >> (64 - SLOT_BITS)
 
 
 def _signed(docs: DataFrame, how: Join) -> DataFrame:
@@ -76,24 +133,24 @@ def _signed(docs: DataFrame, how: Join) -> DataFrame:
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, part = np.zeros(1 << SKETCH_BITS, np.int32), set(), 0
+        counts, seen, part = np.zeros(1 << SKETCH_BITS, np.uint16), set(), 0
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
-            for ident, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                tokens = shingle_set(text, how.width)
+            for ident, tokens in zip(ids, shingle_sets(batch.column(1).to_pylist(), how.width), strict=True):
                 node = xxhash.xxh3_128_digest(tokens.tobytes())
-                rows.append((len(tokens), node, _slot(node, ident)))
+                rows.append((len(tokens), node, _slot(ident)))
                 part ^= rows[-1][2]
                 if node not in seen:
                     seen.add(node)
-                    np.add.at(counts, _counter(tokens), 1)
+                    at = _counter(tokens)
+                    counts[at] += counts[at] < 65_535
             k = len(rows)
             n, node, slot = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(slot, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         for i, block in enumerate(blocks):
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([i], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([block.astype(np.int64).tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([i], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([block.tobytes()], pa.binary())], names)
 
     names = ["id", "n", "node", "slot", "block", "part", "counts"]
     kind = docs.schema["id"].dataType
@@ -101,15 +158,15 @@ def _signed(docs: DataFrame, how: Join) -> DataFrame:
     return docs.select("id", "text").mapInArrow(sign, f"id {kind.simpleString()}, n long, node binary, slot int, block int, part int, counts binary")
 
 
-def _summed(blocks: DataFrame) -> DataFrame:
+def _summed(blocks: DataFrame, kind: type) -> DataFrame:
     """One row per block and partition; the sums stream, so that a task holds one sketch at most."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                new = np.frombuffer(counts.as_buffer(), np.int64)
-                sums[block] = sums[block] + new if block in sums else new.copy()
+                new = np.frombuffer(counts.as_buffer(), kind)
+                sums[block] = sums[block] + new if block in sums else new.astype(np.int64)
         for block, counts in sums.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
@@ -117,11 +174,14 @@ def _summed(blocks: DataFrame) -> DataFrame:
 
 
 def _sketch(signed: DataFrame) -> np.ndarray:
-    """How many sets have a shingle of each counter: 8 MB on the driver for any input, added up in two steps."""
-    first = _summed(signed.filter("block is not null").repartition("block", "part"))
-    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
-    for row in _summed(first.repartition("block")).toLocalIterator():
-        out[row["block"]] += np.frombuffer(row["counts"], np.int64)
+    """The rank by number of sets that each counter's shingles get: 8 MB on the driver for any input, added up in two steps.
+
+    Ranks are 1,024 to a doubling, so that two bytes hold them at any size and differences stay.
+    """
+    first = _summed(signed.filter("block is not null").repartition("block", "part"), np.uint16)
+    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint16)
+    for row in _summed(first.repartition("block"), np.int64).toLocalIterator():
+        out[row["block"]] = np.round(1024 * np.log2(np.frombuffer(row["counts"], np.int64) + 1.0))
     return out.ravel()
 
 
@@ -132,8 +192,7 @@ def _postings(docs: DataFrame, how: Join, counts) -> DataFrame:
         seen = set()
         for batch in batches:
             tokens, nodes, sizes, places = [], [], [], []
-            for text in batch.column(0).to_pylist():
-                found = shingle_set(text, how.width)
+            for found in shingle_sets(batch.column(0).to_pylist(), how.width):
                 node = xxhash.xxh3_128_digest(found.tobytes())
                 if len(found) and node not in seen:
                     seen.add(node)
@@ -149,28 +208,28 @@ def _postings(docs: DataFrame, how: Join, counts) -> DataFrame:
 
 
 def _sets(docs: DataFrame, how: Join, counts, wanted) -> DataFrame:
-    """(node, n, second, third, full) of the texts whose slot is wanted: prefixes under the other orders, and the set."""
+    """(node, n, second, third, full) of the texts whose slot is wanted: prefixes under the other orders, cut to 32 bits
+    as a filter may, and the set."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            rows = []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingle_set(text, how.width)
+            slots, rows = map(_slot, batch.column(0).to_pylist()), []
+            texts = [x for x, slot in zip(batch.column(1).to_pylist(), slots, strict=True) if wanted.value[slot >> 6] >> np.uint64(slot & 63) & np.uint64(1)]
+            for found in shingle_sets(texts, how.width):
                 node = xxhash.xxh3_128_digest(found.tobytes())
-                slot = _slot(node, ident)
-                if len(found) and node not in seen and wanted.value[slot >> 6] >> np.uint64(slot & 63) & np.uint64(1):
+                if len(found) and node not in seen:
                     seen.add(node)
                     k = how.prefix(len(found))
-                    rows.append((node, len(found), *(np.sort(_ordered(found, counts.value, o)[:k]).tobytes() for o in (1, 2)), found.tobytes()))
+                    rows.append((node, len(found), *(np.unique(_ordered(found, counts.value, o)[:k] >> np.uint64(32)).astype(np.uint32).tobytes() for o in (1, 2)), found.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "second", "third", "full"])
 
     return docs.select("id", "text").mapInArrow(fetch, "node binary, n int, second binary, third binary, full binary")
 
 
-def _shared(a: pa.Scalar, b: pa.Scalar) -> int:
-    return len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True))
+def _shared(a: pa.Scalar, b: pa.Scalar, kind: type = np.uint64) -> int:
+    return len(np.intersect1d(np.frombuffer(a.as_buffer(), kind), np.frombuffer(b.as_buffer(), kind), assume_unique=True))
 
 
 def _met(pairs: DataFrame, sets: DataFrame, columns: list[str], keep) -> DataFrame:
@@ -188,15 +247,30 @@ def _met(pairs: DataFrame, sets: DataFrame, columns: list[str], keep) -> DataFra
     return joined.select("x", "y", *[f"x_{c}" for c in columns], *[f"y_{c}" for c in columns]).mapInArrow(test, "x binary, y binary")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
-    """The pairs that share a shingle in the prefixes under each further order, then verified on whole sets."""
-    both = _met(pairs, sets, ["second", "third"], lambda a, b: all(_shared(p, q) > 0 for p, q in zip(a, b, strict=True)))
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: Join, counts) -> DataFrame:
+    """The pairs that share a shingle in the prefixes under each further order, then verified on whole sets.
+
+    The sets are those of the row with the least id of each node in a pair. Rows whose slot such a row has in a
+    map of fixed size are read again; what else the map lets through meets no pair.
+    """
+    if pairs.isEmpty():
+        return pairs
+    nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+    slots = nodes.join(classes, "node").groupBy(F.expr("slot div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, slot % 64))").alias("bits"))
+    wanted = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+    for cell, bits in slots.toLocalIterator():
+        wanted[cell] = np.uint64(bits & (1 << 64) - 1)
+    sets = written(_sets(docs, how, counts, docs.sparkSession.sparkContext.broadcast(wanted)), "sets")
+    met = _met(pairs, sets, ["second", "third"], lambda a, b: all(_shared(p, q, np.uint32) > 0 for p, q in zip(a, b, strict=True)))
+    candidates = written(met.distinct(), "candidates")
 
     def linked(a: list, b: list) -> bool:
         common = _shared(a[1], b[1])
         return 100 * common >= how.percent * (a[0].as_py() + b[0].as_py() - common)
 
-    return _met(written(both.distinct(), "candidates"), sets, ["n", "full"], linked)
+    links = written(_met(candidates, sets, ["n", "full"], linked).distinct(), "links")
+    dropped(sets, candidates)
+    return links
 
 
 def jaccard_components(docs: DataFrame, how: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,58 +278,79 @@ def jaccard_components(docs: DataFrame, how: Join | None = None, id_col: str = "
 
     Texts with equal sets are one node, so copies are never paired. Shingles are ordered by the number of sets
     that have them, by a sketch over all texts, ties by hash; a set's prefix in that order is posted. Nodes that
-    share a posted shingle and whose sizes and places allow it are candidates, first each with the least node
-    of the shingle's list. Candidates must also share a shingle in the prefixes under two further orders before
-    whole sets are compared. What that links forms components, and then each pair of nodes of one list that are
-    in different components follows; pairs inside a component could not change the result. No link is lost.
+    share a posted shingle and whose sizes and places allow it are candidates: all pairs of short lists; in long
+    ones first each node with a few heads of its lists, then with heads of its lists' largest components. Candidates must also share a shingle in the
+    prefixes under two further orders before whole sets are compared. What links forms components, and at last
+    each pair of nodes of one long list that are in different components follows; pairs inside a component could not
+    change the result. No link is lost.
 
     Null and empty texts have no shingles and link with nothing: each is its own component. Null ids count
     only where a component has no other. Repeated rows get equal results; an empty table gives no rows.
     """
     how = how or Join()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    context = docs.sparkSession.sparkContext
     signed = written(_signed(docs, how), "signed")
-    counts = context.broadcast(_sketch(signed))
-    classes = written(signed.filter("block is null and n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.min_by("slot", "id").alias("slot"), F.min("slot").alias("any_slot"), F.count("*").alias("class_size")), "classes")
+    counts = docs.sparkSession.sparkContext.broadcast(_sketch(signed))
+    classes = signed.filter("block is null and n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.coalesce(F.min_by("slot", "id"), F.min("slot")).alias("slot"), F.count("*").alias("class_size"))
+    classes = written(classes, "classes")
 
     postings = written(_postings(docs, how, counts), "postings")
-    heads = postings.groupBy("token").agg(F.count("*").alias("posted"), F.min(F.struct("node", "n", "pos")).alias("head")).filter("posted > 1")
-    shared = written(attach(postings, heads, ["token"], "posted").filter("posted > 1"), "shared")
-
-    wanted = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
-    slots = shared.select("node").distinct().join(classes, "node").select(F.coalesce("slot", "any_slot").alias("slot"))
-    for cell, bits in slots.groupBy(F.expr("slot div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, slot % 64))").alias("bits")).toLocalIterator():
-        wanted[cell] = np.uint64(bits & (1 << 64) - 1)
-    sets = written(_sets(docs, how, counts, context.broadcast(wanted)), "sets")
+    lists = postings.groupBy("token").agg(F.count("*").alias("posted")).filter("posted > 1")
+    shared = written(attach(postings, lists, ["token"], "posted", postings.count()).filter("posted > 1"), "shared")
+    dropped(postings)
 
     def possible(a: str, b: str) -> str:
         least = how.overlap(f"{a}.n + {b}.n")
         return f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {least} and least({a}.n, {b}.n) >= {least}"
 
-    first = shared.alias("a").select("a.*", F.col("a.head").alias("b")).filter(f"a.node <> b.node and {possible('a', 'b')}")
-    first = written(first.select(F.col("node").alias("x"), F.col("b.node").alias("y")).distinct(), "pairs")
-    links = written(_links(first, sets, how), "links")
-
+    # Short lists give all their pairs at once; of long ones nodes meet a few heads first.
+    a, b = (shared.filter(F.col("posted") <= SHORT).alias(n) for n in "ab")
+    pairs = a.join(b, F.expr(f"a.token = b.token and a.node < b.node and {possible('a', 'b')}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
+    long = shared.filter(F.col("posted") > SHORT)
+    heads = long.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("b"))
+    first = written(pairs.unionByName(_closest(long, heads, possible).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), "pairs")
+    links = _links(first, docs, classes, how, counts)
     roots = component_roots(links)
-    placed = attach_roots(shared.drop("head", "posted"), roots)
-    by = placed.groupBy("token", "root").agg(F.count("*").alias("k"))
-    open_lists = by.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    rows = written(placed.join(open_lists, "token"), "open")
+    second = written(_open_lists(long, roots), "open")
+    heads = second.filter("root = major").groupBy("token").agg(F.max(F.struct("node", "n", "pos")).alias("b"))
+    second = _closest(second.filter("root <> major"), heads, possible)
+    links = written(links.unionByName(_links(second, docs, classes, how, counts)), "links")
+    roots = component_roots(links)
+    rows = written(_open_lists(long, roots), "open")
     a, b = rows.filter("root <> major").alias("a"), rows.alias("b")
     # A pair of two minor components comes from both sides; the order of nodes keeps one of them.
     rest = a.join(b, F.expr(f"a.token = b.token and a.root <> b.root and (b.root = b.major or a.node < b.node) and {possible('a', 'b')}"))
-    rest = written(rest.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct(), "pairs")
-    links = written(links.unionByName(_links(rest, sets, how)), "links")
-
-    roots = component_roots(links)
-    named = attach_roots(classes.drop("slot", "any_slot"), roots)
+    rest = rest.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
+    met = first.unionByName(second).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rest = written(rest.join(met, ["x", "y"], "left_anti"), "pairs")
+    dropped(shared, rows)
+    if not rest.isEmpty():
+        links = written(links.unionByName(_links(rest, docs, classes, how, counts)), "links")
+        roots = component_roots(links)
+
+    named = attach_roots(classes.drop("slot"), roots)
     least = named.groupBy("root").agg(F.min("least_id").alias("component"), F.count("*").alias("nodes"))
-    final = attach(named.select("node", "class_size", "root"), least, ["root"], "nodes").select("node", "class_size", "component")
-    rows = attach(signed.filter("block is null").select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), final, ["node"], "class_size")
+    final = attach(named.select("node", "class_size", "root"), least, ["root"], "nodes", classes.count()).select("node", "class_size", "component")
+    rows = attach(signed.filter("block is null").select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), final, ["node"], "class_size", signed.count())
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
 
 
+def _closest(rows: DataFrame, heads: DataFrame, possible: Callable[[str, str], str]) -> DataFrame:
+    """Pairs (x, y) of each node with the heads of its lists, the HEADS that it shares most of its rows with."""
+    met = rows.join(heads.withColumnRenamed("token", "t"), F.col("token") == F.col("t")).alias("a").filter(f"a.node <> a.b.node and {possible('a', 'a.b')}")
+    votes = met.groupBy(F.col("a.node").alias("x"), F.col("a.b.node").alias("y")).agg(F.count("*").alias("votes"))
+    place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("votes"), "y"))
+    return written(votes.withColumn("place", place).filter(F.col("place") <= HEADS).select("x", "y"), "pairs")
+
+
+def _open_lists(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of lists whose nodes are in more than one component, with root and major, the list's largest component."""
+    placed = attach_roots(shared.drop("posted"), roots)
+    by = placed.groupBy("token", "root").agg(F.count("*").alias("k"))
+    found = by.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.count("*").alias("roots")).filter("roots > 1")
+    return placed.join(found.select(F.col("token").alias("t"), "major"), F.col("token") == F.col("t")).drop("t")
+
+
 def attach_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows with the root of their node, which is the node itself where it has no links."""
     named = roots.toDF("__node", "__root")

@@ -42,7 +42,8 @@ def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each page.
 
     Of records with equal payloads of at least least_bytes bytes the one with the largest page_id is response and
-    the others revisit it, rows that repeat that page_id included, but for one of them. A null page_id is smaller
+    the others revisit it, rows that repeat that page_id included, but for one of them (pages is read more than once
+    and must come in the same order, as files do). A null page_id is smaller
     than any other. Null html is an empty payload. Only pages whose payload another has, as a map of fixed size
     tells, are shuffled with their payload, and those of the largest groups not even then.
     """
@@ -50,13 +51,14 @@ def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.monotonically_increasing_id().alias("__row"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
     key = ["payload_digest", "payload_bytes"]
-    order = F.struct(F.col("page_id").isNotNull(), "page_id", "__row")
-    groups = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy(*key).agg(F.max(order).alias("__last"), F.count("*").alias("__n")).filter("__n > 1")
+    each = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy(*key, "page_id").agg(F.count("*").alias("n"), F.min("__row").alias("row"))
+    groups = each.groupBy(*key).agg(F.max(F.struct(F.col("page_id").isNotNull(), "page_id", "n", "row")).alias("__last"), F.sum("n").alias("__n")).filter("__n > 1")
     groups = written(groups, "payloads")
     rows = with_flag(rows, map_place(*map(F.col, key)), written(group_map(groups, *key), "map"), "__shared")
     columns = ["page_id", "url", "payload", *key]
-    shared = attach(rows.filter("__shared"), groups, key, "__n")
-    is_revisit = F.coalesce(F.col("__last.__row") != F.col("__row"), F.lit(False))
+    shared = attach(rows.filter("__shared"), groups, key, "__n", pages.count())
+    stays = F.col("page_id").eqNullSafe(F.col("__last.page_id")) & ((F.col("__last.n") == 1) | (F.col("__row") == F.col("__last.row")))
+    is_revisit = F.col("__last").isNotNull() & ~stays
     shared = shared.select(*columns, F.when(is_revisit, "revisit").otherwise("response").alias("record_type"), F.when(is_revisit, F.col("__last.page_id")).alias("refers_to"))
     alone = rows.filter("not __shared").select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
     return shared.unionByName(alone)
