@@ -303,11 +303,12 @@ def jaccard_components(docs: DataFrame, how: Join | None = None, id_col: str = "
         least = how.overlap(f"{a}.n + {b}.n")
         return f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {least} and least({a}.n, {b}.n) >= {least}"
 
-    # Short lists give all their pairs at once; of long ones nodes meet a few heads first.
+    # Short lists give all their pairs at once; of long ones nodes meet a few heads first. A list's head is the node
+    # that has the shingle earliest, so the fewest rare shingles of its own: copies differ from it least.
     a, b = (shared.filter(F.col("posted") <= SHORT).alias(n) for n in "ab")
     pairs = a.join(b, F.expr(f"a.token = b.token and a.node < b.node and {possible('a', 'b')}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")).distinct()
     long = shared.filter(F.col("posted") > SHORT)
-    heads = long.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("b"))
+    heads = long.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("b"))
     first = written(pairs.unionByName(_closest(long, heads, possible).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct(), "pairs")
     links = _links(first, docs, classes, how, counts)
     roots = component_roots(links)
