@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table, written
+from .common import LOWER, UPPER, dropped, table, written
 
-#: Words that the model tells apart, at most: all that are more frequent in the corpus than the one that would be
-#: next. All others are one word to it.
+#: Words with a small number of their own, which is broadcast with their counts, at most: all that are more frequent
+#: in the corpus than the one that would be next. All others have a hash for a number and meet their counts by joins.
 VOCABULARY = 65_534
-#: Ids beyond the vocabulary: any other word, and the start of a text.
-OTHER, START = VOCABULARY, VOCABULARY + 1
+#: Number of the start of a text; those of words that are not broadcast begin at RARE.
+START, RARE = VOCABULARY + 1, 1 << 60
+#: Stand in for the first word in rows that hold a rare word alone, and in those that hold a text.
+ALONE, TEXT = -1, -2
 BACKOFF, MIN_COUNT = 0.4, 2
 #: Bigrams that are broadcast with their counts, the most frequent ones: 4 MB for any input.
 FREQUENT = 1 << 18
@@ -51,56 +55,98 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _keys(text: str | None, ids: dict[bytes, int]) -> np.ndarray:
-    """A number for each bigram of a text, the one with the start of the text included: first * 65,536 + second."""
-    found = np.fromiter((ids.get(w, OTHER) for w in _words(text)), np.int64)
-    return np.concatenate([[START], found[:-1]]) * (START + 1) + found if len(found) else found
+class _Ids(dict):
+    """Places of words in numbers(): a broadcast word's is its number, any other gets the next free one."""
 
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.rare = array("q")
 
-def bigram_counts(docs: DataFrame, ids) -> DataFrame:
-    """(key, together) over all texts: the table of bigrams, partitioned by the hash of the key."""
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = START + 1 + len(self.rare)
+        self.rare.append(RARE + int(hashlib.md5(word).hexdigest()[:15], 16))
+        return place
+
+    def numbers(self) -> np.ndarray:
+        return np.concatenate([np.arange(START + 1), np.array(self.rare, np.int64)])
+
+
+def _rare_number(word: Column) -> Column:
+    """The number that _Ids gives a word that is not broadcast: 60 bits of its md5."""
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long") + F.lit(RARE)
+
+
+def _keys(text: str | None, ids: _Ids) -> np.ndarray:
+    """A key for each bigram of a text, the one with the start of the text included: the places of both words, 32 bits each."""
+    words = _words(text)
+    found = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    return np.concatenate([[START], found[:-1]]) << 32 | found if len(found) else found
+
+
+def bigram_counts(docs: DataFrame, known) -> DataFrame:
+    """(first, second, together) over all texts: the table of bigrams, by the numbers of their words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Ids(known.value)
         for batch in batches:
-            keys = [_keys(x, ids.value) for x in batch.column(0).to_pylist()]
+            keys = [_keys(x, ids) for x in batch.column(0).to_pylist()]
             if keys:
                 keys, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+                numbers = ids.numbers()
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[keys >> 32]), pa.array(numbers[keys & 0xFFFFFFFF]), pa.array(n, pa.int64())], ["first", "second", "n"])
+            if len(ids.rare) > HELD:
+                ids = _Ids(known.value)
 
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("together"))
+    return docs.select("text").mapInArrow(count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("together"))
 
 
-def _exploded(docs: DataFrame, ids, backed_off, frequent) -> DataFrame:
-    """For each text a row (row, doc_id, n_words, n_seen, log_score), and a row (row, key, n) for each distinct
-    bigram that is not frequent. The scores are those of frequent bigrams, and of all others as if they backed off."""
+def _exploded(docs: DataFrame, known, backed_off, frequent) -> DataFrame:
+    """For each text a row (row, doc_id, first = TEXT, second = row, n: its words, n_seen, log_score), for each distinct
+    bigram that is not frequent a row (row, first, second, n), and if its second word is rare one with first = ALONE
+    too. A text's score is that of frequent bigrams, and of others as if they backed off, rare second words left out."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, gains = frequent.value
+        ids, (often, gains) = _Ids(known.value), frequent.value
         for batch in batches:
             texts, at, rest, counts = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                keys, n = np.unique(_keys(text, ids.value), return_counts=True)
-                score = float(n @ backed_off.value[keys % (START + 1)])
-                place = np.searchsorted(known, keys)
-                place[place == len(known)] = 0
-                hit = known[place] == keys if len(known) else np.zeros(len(keys), bool)
+                keys, n = np.unique(_keys(text, ids), return_counts=True)
+                second = keys & 0xFFFFFFFF
+                common = second <= START
+                score = float(n[common] @ backed_off.value[second[common]])
+                place = np.searchsorted(often, keys)
+                place[place == len(often)] = 0
+                hit = often[place] == keys if len(often) else np.zeros(len(keys), bool)
                 texts.append((int(n.sum()), int(n[hit].sum()), score + float(n[hit] @ gains[place[hit]])))
                 at.append(np.full(int((~hit).sum()), i))
                 rest.append(keys[~hit])
                 counts.append(n[~hit])
             if not texts:
                 continue
-            k, columns = len(texts), list(zip(*texts, strict=True))
-            numbers = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *numbers, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
-            rest, counts = pa.array(np.concatenate(rest), pa.int64()), pa.array(np.concatenate(counts), pa.int64())
-            k = len(rest)
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(np.concatenate(at))), pa.nulls(k, batch.column("doc_id").type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), rest, counts], names)
-
-    names = ["row", "doc_id", "n_words", "n_seen", "log_score", "key", "n"]
+            k, row = len(texts), batch.column("row")
+            n_words, n_seen, scores = (pa.array(c, t) for c, t in zip(zip(*texts, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True))
+            yield pa.RecordBatch.from_arrays([row, batch.column("doc_id"), pa.array(np.full(k, TEXT)), row, n_words, n_seen, scores], names)
+            at, rest, counts, numbers = np.concatenate(at), np.concatenate(rest), np.concatenate(counts), ids.numbers()
+            first, second = numbers[rest >> 32], numbers[rest & 0xFFFFFFFF]
+            rare = second >= RARE
+            at, counts = np.concatenate([at, at[rare]]), np.concatenate([counts, counts[rare]])
+            first, second = np.concatenate([first, np.full(int(rare.sum()), ALONE)]), np.concatenate([second, second[rare]])
+            nulls = [pa.nulls(len(at), t) for t in (batch.column("doc_id").type, pa.int64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([row.take(pa.array(at)), nulls[0], pa.array(first), pa.array(second), pa.array(counts, pa.int64()), *nulls[1:]], names)
+            if len(ids.rare) > HELD:
+                ids = _Ids(known.value)
+
+    names = ["row", "doc_id", "first", "second", "n", "n_seen", "log_score"]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(explode, f"row long, doc_id {kind}, n_words long, n_seen long, log_score double, key long, n long")
+    return rows.mapInArrow(explode, f"row long, doc_id {kind}, first long, second long, n long, n_seen long, log_score double")
+
+
+def _with_count(bigrams: DataFrame, of: str, name: str, common: DataFrame, rare: DataFrame) -> DataFrame:
+    """bigrams with the count of the word in a column: of broadcast words by broadcast, of rare ones, which no few rows share, by a shuffle."""
+    near, far = (x.toDF("__id", name) for x in (common, rare))
+    near = bigrams.filter(F.col(of) < RARE).join(F.broadcast(near), F.col(of) == F.col("__id"))
+    return near.unionByName(bigrams.filter(F.col(of) >= RARE).join(far, F.col(of) == F.col("__id"))).drop("__id")
 
 
 def _cutoff(counts: DataFrame, column: str, most: int) -> int:
@@ -110,50 +156,62 @@ def _cutoff(counts: DataFrame, column: str, most: int) -> int:
     return numbers.withColumn("upto", above).filter(F.col("upto") > most).agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
 
 
-def backoff_scores(docs: DataFrame) -> DataFrame:
+def backoff_scores(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, n_words, n_seen, log_score, mean_log_score) for documents of (doc_id, text).
 
-    Words are what stands between white space, A-Z in lower case. A word w after v scores count(v w) / count(v)
-    if the corpus has v w at least MIN_COUNT times, else BACKOFF * count(w) / N; a text starts with a mark of its
-    own. log_score is the sum of the logarithms, n_seen the number of words that did not back off. Counts are over
-    all texts.
+    Words are what stands between white space, A-Z in lower case; each is a word of its own, however rare. A word w
+    after v scores count(v w) / count(v) if the corpus has v w at least min_count times, else BACKOFF * count(w) / N;
+    a text starts with a mark of its own. log_score is the sum of the logarithms, n_seen the number of words that did
+    not back off. Counts are over all texts.
 
-    Word counts give the vocabulary; its counts, of bounded number, are broadcast. A second scan counts bigrams
-    into a table. A third explodes each text's bigrams: the FREQUENT most frequent are scored on the spot, so that
-    no key is hot, and all others meet the table by hash, where the seen ones add what they gain over backing off.
+    The most frequent words, of bounded number, are broadcast with their counts; all others are numbered by 60 bits of
+    their md5. A second scan counts bigrams into a table, to which the counts of their words are joined. A third
+    explodes each text's bigrams and rare words: the FREQUENT most frequent bigrams are scored on the spot, so that
+    no key is hot, and all else meets the tables by hash, where the seen bigrams add what they gain over backing off.
 
     Null and empty texts have no words, log_score 0 and no mean. Repeated rows count as often as they stand and
     get a row each. An empty table gives no rows.
     """
-    context = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    context = spark.sparkContext
     counts = written(word_counts(docs), "words")
     total, starts = counts.agg(F.sum(F.when(F.col("word") != "", F.col("n"))), F.sum(F.when(F.col("word") == "", F.col("n")))).first()
-    total = total or 0
+    total = max(1, total or 0)
     words = counts.filter("word <> ''")
-    vocabulary = words.filter(F.col("n") > _cutoff(words, "n", VOCABULARY)).toArrow()
+    cutoff = _cutoff(words, "n", VOCABULARY)
+    vocabulary = words.filter(F.col("n") > cutoff).toArrow()
     names, numbers = vocabulary.column("word").to_pylist(), vocabulary.column("n").to_numpy()
-    ids = context.broadcast({word.encode(): i for i, word in enumerate(names)})
+    rare = written(words.filter(F.col("n") <= cutoff).groupBy(_rare_number(F.col("word")).alias("id")).agg(F.sum("n").alias("count")), "rare")
+    dropped(counts)
+    known = context.broadcast({word.encode(): i for i, word in enumerate(names)})
     of_word = np.ones(START + 1, np.int64)
     of_word[: len(names)] = numbers
-    of_word[OTHER] = max(1, total - int(numbers.sum()))
-
-    tables = written(bigram_counts(docs, ids).filter(F.col("together") >= MIN_COUNT), "bigrams")
     of_word[START] = max(1, starts or 0)
-    backed_off = np.log(BACKOFF * of_word / max(1, total))
-    frequent = tables.filter(F.col("together") > _cutoff(tables, "together", FREQUENT)).toArrow().sort_by("key")
-    known, together = frequent.column("key").to_numpy(), frequent.column("together").to_numpy()
-    gains = np.log(together / of_word[known // (START + 1)]) - backed_off[known % (START + 1)]
-    rows = written(_exploded(docs, ids, context.broadcast(backed_off), context.broadcast((known, gains))), "exploded")
-
-    words = docs.sparkSession.createDataFrame(pa.table({"id": np.arange(START + 1), "count": of_word, "backed_off": backed_off}))
-    gain = F.log(F.col("together") / F.col("count"))
-    seen = tables.join(F.broadcast(words.drop("backed_off")), F.expr(f"key div {START + 1} = id")).select("key", gain.alias("log_seen"))
-    seen = seen.join(F.broadcast(words.drop("count")), F.expr(f"key % {START + 1} = id")).select("key", (F.col("log_seen") - F.col("backed_off")).alias("gain"))
-    joined = rows.filter("key is not null").select("row", "key", "n").join(seen, "key")
-    sums = joined.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.col("gain")).alias("gained"))
-    final = rows.filter("key is null").select("row", "doc_id", "n_words", "n_seen", "log_score").join(sums, "row", "left")
-    final = final.select("doc_id", "n_words", (F.col("n_seen") + F.coalesce("more", F.lit(0))).alias("n_seen"), (F.col("log_score") + F.coalesce("gained", F.lit(0.0))).alias("log_score"))
-    return final.withColumn("mean_log_score", F.try_divide("log_score", "n_words"))
+    backed_off = np.log(BACKOFF * of_word / total)
+
+    tables = written(bigram_counts(docs, known).filter(F.col("together") >= min_count), "bigrams")
+    common = tables.filter((F.col("first") < RARE) & (F.col("second") < RARE))
+    frequent = common.filter(F.col("together") > _cutoff(common, "together", FREQUENT)).toArrow()
+    first, second, together = (frequent.column(c).to_numpy() for c in ("first", "second", "together"))
+    order = np.argsort(first << 32 | second)
+    first, second, together = first[order], second[order], together[order]
+    gains = np.log(together / of_word[first]) - backed_off[second]
+    rows = _exploded(docs, known, context.broadcast(backed_off), context.broadcast((first << 32 | second, gains)))
+
+    of_common = spark.createDataFrame(pa.table({"id": np.arange(START + 1), "count": of_word}))
+    off = lambda n: F.log(F.lit(BACKOFF) * F.col(n) / F.lit(total))
+    seen = _with_count(_with_count(tables, "first", "n_first", of_common, rare), "second", "n_second", of_common, rare)
+    seen = seen.select("first", "second", (F.log(F.col("together") / F.col("n_first")) - off("n_second")).alias("gain"))
+    alone = rare.select(F.lit(ALONE).cast("long").alias("first"), F.col("id").alias("second"), off("count").alias("gain"))
+    joined = rows.join(seen.unionByName(alone).hint("merge"), ["first", "second"], "left")
+    is_text, is_seen = F.col("first") == TEXT, (F.col("first") >= 0) & F.col("gain").isNotNull()
+    sums = joined.filter(is_text | F.col("gain").isNotNull()).groupBy("row").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"),
+        F.sum(F.when(is_text, F.col("n")).otherwise(0)).alias("n_words"),
+        F.sum(F.when(is_seen, F.col("n")).otherwise(F.coalesce("n_seen", F.lit(0)))).alias("n_seen"),
+        F.sum(F.coalesce("log_score", F.col("n") * F.col("gain"))).alias("log_score"),
+    )
+    return sums.drop("row").withColumn("mean_log_score", F.try_divide("log_score", "n_words"))
 
 
 def op5_lm_scores(spark, sf_dir: str) -> DataFrame:

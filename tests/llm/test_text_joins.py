@@ -132,3 +132,21 @@ def test_scores_match_brute_force(spark):
     got = Counter((g["doc_id"], g["n_words"], g["n_seen"], round(g["log_score"], 6)) for g in lm_scores.backoff_scores(df).collect())
     assert got == want
     assert lm_scores.backoff_scores(df.limit(0)).count() == 0
+
+
+def test_rare_words_keep_their_own_counts(spark):
+    """More distinct words than are broadcast: none of them is lumped with others."""
+    rng = random.Random(9)
+    rare = [f"r{i}" for i in range(lm_scores.VOCABULARY + 10_000)]
+    texts = [" ".join(rare[i : i + 500]) for i in range(0, len(rare), 500)] * 2 + [" ".join(rare[::7]), "the " * 900 + "of", " ".join(f"once{i}" for i in range(300)), "The r5 r6 gibberish", "", None]
+    texts += [" ".join(rng.choice(["the", "of", rng.choice(rare)]) for _ in range(400)) for _ in range(60)]
+    words = [(t or "").lower().split() for t in texts]
+    uni, bi = Counter(w for t in words for w in t), Counter(p for t in words for p in zip([None, *t], t))
+    total, starts = sum(uni.values()), sum(bool(t) for t in words)
+    got = {r["doc_id"]: r for r in lm_scores.backoff_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(words):
+        pairs = list(zip([None, *t], t))
+        want = sum(math.log(bi[v, w] / (uni[v] if v else starts)) if bi[v, w] >= 2 else math.log(0.4 * uni[w] / total) for v, w in pairs)
+        assert (got[i]["n_words"], got[i]["n_seen"]) == (len(t), sum(bi[p] >= 2 for p in pairs))
+        assert math.isclose(got[i]["log_score"], want, rel_tol=1e-9, abs_tol=1e-6)
