@@ -15,18 +15,32 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{
 NAMING = r"""(?i:token|secret|password|passwd|api[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?"""
 SECRET = NAMING + r"[A-Za-z0-9_+/=.-]{12,}+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-PHONE = r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}+(?!\d)|(?<![\w.-])\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}(?!\d)"
+PHONE = "|".join(
+    (
+        r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)",
+        r"(?<![\w+])\+(?=(?:[ .-]?\d){7})\d{1,3}(?:[ .-]?\d{1,4}){2,7}+(?!\d)",
+        r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}+(?!\d)",
+        r"(?<![\w.-])(?:\(\d{3}\)[ .-]?|\(?\d{3}\)?[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    )
+)
 CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])"
+GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+"
+IPV6 = rf"(?<![\w:.])(?=[A-Fa-f:]{{0,38}}\d)(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?:{GROUPS})?::(?:{GROUPS})?)(?![\w:]|\.\d)"
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Srta|Signora|Г-жа|Госпожа|Κυρία)"
 MALE = r"(?:Mr|Herrn|Herr|Monsieur|Señor|Sr|Signor|Г-н|Господин|Κύριος)"
-TITLE = rf"(?:{FEMALE}|{MALE})\.? "
-NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\p{{Lu}}[\p{{L}}'-]{{1,30}}+(?: \p{{Lu}}[\p{{L}}'-]{{1,30}}+)?"
+NEUTRAL = r"(?:Dr|Doctor|Doktor|Professor|Prof|Д-р|Профессор|Δρ)"
+TITLE = rf"(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.? ){{1,4}}+"
+#: Parts of a name: words without a possessive ending, initials, and particles, which stay. The last part is a word.
+WORD = r"\p{Lu}(?=[\p{L}'’-])\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
+INITIAL = r"(?:\p{Lu}\.-?){1,4}+"
+PARTICLE = r"(?:van|von|vom|zu|zur|der|den|ter|ten|de|del|della|di|da|do|dos|das|du|la|le|bin|ibn|al|el)"
+NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}(?:(?:{INITIAL}|{WORD}|{PARTICLE}) ){{0,9}}{WORD}"
 #: What a text has at least if one of the patterns matches: it keeps the search away from most texts.
 SIGNS = r"[@0-9]|(?i:token|secret|password|passwd|api.?key)"
-TITLES = [x.strip("()?:") for x in f"{FEMALE}|{MALE}".replace("(?:", "").replace(")", "").split("|")]
-ANY = "|".join(f"(?:{x})" for x in (EMAIL, SECRET, IBAN, PHONE, CARD, SSN, IP, NAME))
+TITLES = [x.strip("()?:") for x in f"{FEMALE}|{MALE}|{NEUTRAL}".replace("(?:", "").replace(")", "").split("|")]
+ANY = "|".join(f"(?:{x})" for x in (EMAIL, SECRET, IBAN, PHONE, CARD, SSN, IP, IPV6, NAME))
 # Syllables of names by script, and endings of given names for women and men.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga ha jo ka ke ki la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi wa we yo za zo".split(),
@@ -35,7 +49,9 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": ("na", "rin"), "cyrillic": ("на", "рин"), "greek": ("να", "νος")}
 SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
-DIGITS, NAMES = ("phone", "card", "ssn"), ("given-f", "given-m", "family")
+DIGITS, NAMES = ("phone", "card", "ssn"), ("given-f", "given-m", "given", "family")
+#: Capital letters by script: an initial becomes another one.
+CAPITALS = {"latin": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЧШЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 
 
 def _kind(match: Column) -> Column:
@@ -45,6 +61,7 @@ def _kind(match: Column) -> Column:
         .when(match.rlike(rf"^{NAMING}"), "secret")
         .when(match.rlike(rf"^(?:{SSN})$"), "ssn")
         .when(match.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
+        .when(match.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ipv6")
         .when(match.rlike(r"^(?:\d{4}[ -]?){3}\d{4}$"), "card")
         .when(match.rlike(r"^[\d+(][\d ().-]+$"), "phone")
         .when(match.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
@@ -62,16 +79,21 @@ def _entity(kind: Column | str, norm: Column) -> Column:
 
 
 def _name_parts(match: Column) -> Column:
-    given = F.when(match.rlike(rf"^{FEMALE}"), "given-f").otherwise("given-m")
-    both = lambda w: F.when(F.size(w) > 1, F.array(_entity(given, F.get(w, F.lit(0))), _entity("family", F.get(w, F.lit(1))))).otherwise(F.array(_entity("family", F.get(w, F.lit(0)))))
-    return _let(F.split(F.regexp_replace(match, rf"^{TITLE}", ""), " "), both)
+    gendered = lambda titles: match.rlike(rf"^(?:{NEUTRAL}\.? )*{titles}\.? ")
+    given = F.when(gendered(FEMALE), "given-f").when(gendered(MALE), "given-m").otherwise("given")
+
+    def parts(words: Column) -> Column:
+        kind = lambda w, i: F.when(w.rlike(rf"^{INITIAL}$"), "initial").when(w.rlike(rf"^{PARTICLE}$"), "particle").when(i == F.size(words) - 1, "family").otherwise(given)
+        return F.transform(words, lambda w, i: _entity(kind(w, i), w))
+
+    return _let(F.split(F.regexp_replace(match, rf"^{TITLE}", ""), " "), parts)
 
 
 def mention(match: Column) -> Column:
-    """(raw, kind, entities) of a match. Each entity has the form that all its mentions share; a name has a given and a family name."""
+    """(raw, kind, entities) of a match. Each entity has the form that all its mentions share; a name has one for each part."""
 
     def of(kind: Column) -> Column:
-        norm = F.when(kind == "email", F.lower(match)).when(kind.isin(*DIGITS), F.regexp_replace(match, r"\D", "")).when(kind == "iban", F.replace(match, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_replace(match, rf"^{NAMING}", "")).otherwise(match)
+        norm = F.when(kind.isin("email", "ipv6"), F.lower(match)).when(kind.isin(*DIGITS), F.regexp_replace(match, r"\D", "")).when(kind == "iban", F.replace(match, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_replace(match, rf"^{NAMING}", "")).otherwise(match)
         return F.struct(match.alias("raw"), kind.alias("kind"), F.when(kind == "name", _name_parts(match)).otherwise(F.array(_entity(kind, norm))).alias("entities"))
 
     return _let(_kind(match), of)
@@ -123,6 +145,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         return (
             F.when(kind == "email", F.concat(F.substring(shape, F.lit(1), F.length(norm) - top), F.substring(norm, F.length(norm) - top + 1, top)))
             .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (number(stream, i) % 254 + 1).cast("string")), "."))
+            .when(kind == "ipv6", F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(pick("0123456789abcdef", number(stream, i)))), ""))
             .when(kind == "card", F.concat(F.substring(shape, 1, 15), _luhn(F.substring(shape, 1, 15))))
             .when(kind == "phone", F.concat(F.substring(norm, 1, 1), F.substring(shape, F.lit(2), F.length(norm))))
             .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(shape, F.lit(3), F.length(norm))))
@@ -142,6 +165,25 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return _let(F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("|2")), 256)), made)
 
 
+def other_initials(initials: Column, key: str) -> Column:
+    """Initials with other letters of their script, each the same at all mentions; too few to be told apart."""
+
+    def other(c: Column) -> Column:
+        n = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|initial|"), c), 256), 1, 6), 16, 10).cast("int")
+        of = lambda script: F.substring(F.replace(F.lit(CAPITALS[script]), c, F.lit("")), n % (len(CAPITALS[script]) - 1) + 1, F.lit(1))
+        return F.when(c.isin(".", "-", ""), c).when(c.rlike(SCRIPTS["cyrillic"]), of("cyrillic")).when(c.rlike(SCRIPTS["greek"]), of("greek")).otherwise(of("latin"))
+
+    return F.array_join(F.transform(F.split(initials, ""), other), "")
+
+
+def _with_known(piece: Column, known: Column) -> Column:
+    """piece with each word that is the old form of one of known, an array of (old, new), replaced by the new one in one pass."""
+    words = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(known, lambda x: x["old"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    put = lambda old: F.get(F.filter(known, lambda x: x["old"] == old), F.lit(0))["new"]
+    news = F.concat(F.transform(F.regexp_extract_all(piece, words, F.lit(0)), put), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(piece, words, -1), news, lambda p, n: F.concat(p, n)), "")
+
+
 def _filled(raw: Column, made: Column) -> Column:
     """raw with its letters and digits replaced by made's, in order; what made has more comes last."""
     start = F.struct(F.lit(1).alias("i"), F.lit("").alias("out"))
@@ -174,8 +216,10 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with surrogates in the text, and with n_entities and entity_kinds (sorted, comma-joined).
 
-    Entities: email addresses, secrets after a naming word, IBANs, phone, card and social security numbers, IPv4
-    addresses, and names after a title; a name that has both parts is replaced where it stands without a title too.
+    Entities: email addresses, secrets after a naming word, IBANs, phone, card and social security numbers, IPv4 and
+    IPv6 addresses, and names of up to ten parts after a title, of which the last is the family name; each word of such
+    a name is replaced wherever it stands as a word in the same text, with a title or without. Initials become others,
+    particles stay.
     The same entity gets the same surrogate in all texts and at all mentions, different ones different surrogates.
     Surrogates are computed where the text is; only texts with an entity that needed a further attempt, known from a
     map of fixed size, are joined with the list of those.
@@ -186,7 +230,7 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
     docs = docs.drop("n_entities", "entity_kinds")
     row, hits, late, flag, own, new = fresh(docs, "__row", "__hits", "__late", "__flag", "__own", "__new")
     rows = docs.withColumn(row, F.xxhash64(id_col, text_col)).withColumn(hits, matches(F.col(text_col)))
-    found = rows.filter(F.size(hits) > 0).select(F.col(row).alias("row"), F.explode(F.flatten(F.transform(hits, lambda x: x["entities"]))).alias("entity")).select("row", "entity.kind", "entity.norm")
+    found = rows.filter(F.size(hits) > 0).select(F.col(row).alias("row"), F.explode(F.flatten(F.transform(hits, lambda x: x["entities"]))).alias("entity")).select("row", "entity.kind", "entity.norm").filter(~F.col("kind").isin("initial", "particle"))
     found = written(found, "found")
     retried = written(found.join(attempts(found, key), ["kind", "norm"]).groupBy("row").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("late")), "retried")
     flagged = with_flag(rows, map_place(F.col(row)), written(group_map(retried, "row"), "map"), flag)
@@ -196,23 +240,26 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
 
     def made(entity: Column) -> Column:
         other = F.get(F.filter(F.col(late), lambda x: (x["kind"] == entity["kind"]) & (x["norm"] == entity["norm"])), F.lit(0))["attempt"]
-        return _let(F.coalesce(other, F.lit(0)), lambda attempt: surrogate(entity["kind"], entity["norm"], attempt, key))
+        full = _let(F.coalesce(other, F.lit(0)), lambda attempt: surrogate(entity["kind"], entity["norm"], attempt, key))
+        return F.when(entity["kind"] == "particle", entity["norm"]).when(entity["kind"] == "initial", other_initials(entity["norm"], key)).otherwise(full)
 
     def replacement(m: Column) -> Column:
         def put(parts: Column) -> Column:
             first = F.get(parts, F.lit(0))
-            return F.when(m["kind"] == "name", F.array_join(parts, " ")).when(m["kind"].isin("email", "ip"), first).when(m["kind"] == "secret", first).otherwise(_filled(m["raw"], first))
+            return F.when(m["kind"] == "name", F.array_join(parts, " ")).when(m["kind"].isin("email", "ip", "ipv6"), first).when(m["kind"] == "secret", first).otherwise(_filled(m["raw"], first))
 
-        is_name, before = m["kind"] == "name", rf"^(?:{TITLE}|{NAMING})"
-        old = F.regexp_replace(m["raw"], before, "")
-        return F.struct(F.regexp_extract(m["raw"], before, 0).alias("title"), old.alias("old"), _let(F.transform(m["entities"], made), put).alias("new"), is_name.alias("is_name"))
+        before = rf"^(?:{TITLE}|{NAMING})"
+        parts = lambda made_: F.struct(put(made_).alias("new"), F.zip_with(m["entities"], made_, lambda e, n: F.struct(e["kind"].alias("kind"), e["norm"].alias("old"), n.alias("new"))).alias("parts"))
+        return F.struct(F.regexp_extract(m["raw"], before, 0).alias("title"), _let(F.transform(m["entities"], made), parts).alias("made"))
 
     def replaced(df: DataFrame) -> DataFrame:
         """Texts without a match skip all that follows the search."""
         df = df.withColumn(new, F.transform(hits, replacement))
-        full = F.filter(new, lambda x: x["is_name"] & F.contains(x["old"], F.lit(" ")))
-        pieces = F.transform(F.split(F.col(text_col), ANY, -1), lambda p: F.aggregate(full, p, lambda acc, x: F.replace(acc, x["old"], x["new"])))
-        ends = F.concat(F.transform(new, lambda x: F.concat(x["title"], x["new"])), F.array(F.lit("")))
+        parts = F.flatten(F.transform(new, lambda x: x["made"]["parts"]))
+        words = F.array_distinct(F.transform(F.filter(parts, lambda x: x["kind"].isin(*NAMES)), lambda x: F.struct(x["old"].alias("old"), x["new"].alias("new"))))
+        pieces = F.split(F.col(text_col), ANY, -1)
+        pieces = _let(words, lambda known: F.when(F.size(known) > 0, F.transform(pieces, lambda p: _with_known(p, known))).otherwise(pieces))
+        ends = F.concat(F.transform(new, lambda x: F.concat(x["title"], x["made"]["new"])), F.array(F.lit("")))
         text = F.when(F.size(hits) > 0, F.array_join(F.zip_with(pieces, ends, lambda p, n: F.concat(p, n)), "")).otherwise(F.col(text_col))
         kinds = F.array_join(F.sort_array(F.array_distinct(F.transform(hits, lambda x: x["kind"]))), ",")
         columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
