@@ -68,20 +68,31 @@ def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
+def _uri_sent(url: Column) -> Column:
+    """The URL as the header has it: with the line's end it must make no version line, so a last full stop there is
+    percent-encoded, and a percent sign that would read as one that was."""
+    kept = F.regexp_replace(F.regexp_replace(url, r"[\r\n]", ""), r"WARC/1%((?:25)*2E1)\z", "WARC/1%25$1")
+    return F.regexp_replace(kept, r"WARC/1\.1\z", "WARC/1%2E1")
+
+
+def _uri_read(sent: Column) -> Column:
+    """What _uri_sent was given, line ends aside."""
+    return F.regexp_replace(F.regexp_replace(sent, r"WARC/1%2E1\z", "WARC/1.1"), r"WARC/1%25((?:25)*2E1)\z", "WARC/1%$1")
+
+
 def warc_records(typed: DataFrame) -> DataFrame:
     """One column, record: each row as a WARC record without the two line ends that close it.
 
     A response holds the HTTP message, a revisit its header alone. A payload that contains the version line
-    itself is sent in chunks (Transfer-Encoding: chunked) that part it there, so that the line only ever starts
-    a record and a reader may split archives at it.
+    itself, or does with the line end that follows it, is sent in chunks (Transfer-Encoding: chunked) that part it
+    there, so that the line only ever starts a record and a reader may split archives at it.
     """
     is_revisit = F.col("record_type") == "revisit"
-    parted = F.col("payload").contains(VERSION) & ~is_revisit
-    cut = F.split("payload", r"WARC/1\.1\r\n", -1)
-    # Each piece but the first gets the end of the version line back, each but the last its start.
-    pieces = F.transform(cut, lambda x, i: F.concat(F.when(i > 0, VERSION[6:]).otherwise(""), x, F.when(i < F.size(cut) - 1, VERSION[:6]).otherwise("")))
+    parted = (F.col("payload").contains(VERSION) | F.col("payload").endswith(VERSION[:-2])) & ~is_revisit
+    # Each version line is cut within, so no piece has one or ends in what a line end would make one.
+    pieces = F.split("payload", r"(?<=WARC/1)(?=\.1(?:\r\n|\z))", -1)
     chunks = F.transform(pieces, lambda x: F.concat(F.lower(F.hex(F.octet_length(x))), F.lit("\r\n"), x, F.lit("\r\n")))
-    encoding = F.when(parted, F.concat(F.lit("Transfer-Encoding: chunked\r\n"), _header("X-Chunks", F.size(cut).cast("string")))).otherwise(_header("Content-Length", F.col("payload_bytes").cast("string")))
+    encoding = F.when(parted, F.concat(F.lit("Transfer-Encoding: chunked\r\n"), _header("X-Chunks", F.size(pieces).cast("string")))).otherwise(_header("Content-Length", F.col("payload_bytes").cast("string")))
     message = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), encoding, F.lit("\r\n"))
     body = F.when(is_revisit, F.lit("")).when(parted, F.concat(F.array_join(chunks, ""), F.lit("0\r\n\r\n"))).otherwise(F.col("payload"))
     block = F.concat(message, body)
@@ -92,7 +103,7 @@ def warc_records(typed: DataFrame) -> DataFrame:
         _header("WARC-Type", F.col("record_type")),
         _header("WARC-Record-ID", urn("page_id")),
         _header("WARC-Date", date),
-        _header("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")),
+        _header("WARC-Target-URI", _uri_sent(F.coalesce("url", F.lit("")))),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(is_revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), _header("WARC-Refers-To", urn("refers_to")))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
@@ -141,7 +152,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         said("head", "WARC-Type", line).alias("record_type"),
         said("head", "WARC-Record-ID", r"<urn:page:(-?\d+)>").alias("page"),
         said("head", "WARC-Refers-To", r"<urn:page:(-?\d+)>").alias("target"),
-        said("head", "WARC-Target-URI", line).alias("url"),
+        _uri_read(said("head", "WARC-Target-URI", line)).alias("url"),
         F.unix_timestamp(said("head", "WARC-Date", line), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         said("head", "WARC-Payload-Digest", r"sha1:([A-Z2-7]*)").alias("stated"),
         said("message", "Content-Length", r"(\d+)").alias("length"),

@@ -73,6 +73,18 @@ def test_archives_round_trip_and_merge(spark, tmp_path):
     assert one == ["com,example,a)/y?q=1"]
 
 
+def test_pages_that_end_in_the_version(spark, tmp_path):
+    urls = [f"http://a.example.com/WARC/1{end}" for end in (".1", "%2E1", "%252E1", ".1#", "")]
+    htmls = ["<p>see WARC/1.1", "WARC/1.1", "é WARC/1.1\r\nWARC/1.1", "WARC/1.1WARC/1.1", "WARC/1.1\r", "WARC/1.1\n", "WARC/1", ".1\r\nWARC/1.1\r\n.1", "plain"]
+    rows = [(i, urls[i % len(urls)], html) for i, html in enumerate(htmls)] + [(20 + i, url, f"page {i}") for i, url in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    warc.write_archives(warc.with_record_types(spark.read.parquet(f"{tmp_path}/pages")), f"file://{tmp_path}/warc")
+    read = warc.read_archives(spark, f"file://{tmp_path}/warc").collect()
+    assert sorted((r["page_id"], r["url"], r["payload"]) for r in read) == sorted(rows)
+    for r in read:
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(r["payload"].encode()).digest()).decode()
+
+
 def test_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(warc.with_record_types(pages), f"file://{tmp_path}/none")
