@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,14 +35,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
 
 
-#: While a table is written: shuffle files go when the job ends, not when the driver collects garbage; Python workers
-#: get batches that stay small with long texts.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: While a table is written: shuffle files go when the job ends, not when the driver collects garbage.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path, before = new_path(spark, name), {k: spark.conf.get(k) for k in WHILE_WRITING}
     for key, value in WHILE_WRITING.items():
         spark.conf.set(key, value)
@@ -72,9 +76,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def extended(df: DataFrame, name: str, kind: str) -> StructType:
+def extended(df: DataFrame | StructType, name: str, kind: str) -> StructType:
     """df's schema with one more column; df.schema itself is left alone."""
-    return StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+    fields = df.fields if isinstance(df, StructType) else df.schema.fields
+    return StructType([*fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on Python workers get batches of 8 MB at most, also when a caller runs the plan later."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES)) > 1 << 23:
+        spark.conf.set(BATCH_BYTES, str(1 << 23))
+
+
+def returned(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which the Python worker gives freed memory back: it lives on and serves later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
 
 
 def ascii_lower(text: Column) -> Column:

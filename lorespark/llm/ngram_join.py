@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, UPPER, attach, dropped, table, written
+from .common import LOWER, UPPER, attach, dropped, returned, table, written
 from .components import component_roots
 
 #: Counters of the sketch that orders shingles by how many texts have them, and slots of the map of wanted texts.
@@ -117,9 +118,11 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
 
 
 def _ordered(tokens: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-    """Sorted shingles in a global order: what few texts have comes first; ORDERS[order] breaks ties, so that each order differs."""
-    few = counts[_counter(tokens)].astype(np.uint64)
-    return tokens[np.argsort(few << np.uint64(48) | _mixed(tokens, ORDERS[order]) >> np.uint64(16), kind="stable")]
+    """Shingles in a global order: in order 0 what few texts have comes first, ties by hash; the others are hash orders of their own."""
+    rank = _mixed(tokens, ORDERS[order])
+    if order == 0:
+        rank = counts[_counter(tokens)].astype(np.uint64) << np.uint64(48) | rank >> np.uint64(16)
+    return tokens[np.argsort(rank, kind="stable")]
 
 
 def _slot(ident: object) -> int:
@@ -127,7 +130,7 @@ def _slot(ident: object) -> int:
 
 
 def _signed(docs: DataFrame, how: Join) -> DataFrame:
-    """A row (id, n, node, slot) for each text, and blocks (block, part, counts) of each task's sketch.
+    """A row (id, key, n, node, slot) for each text, and blocks (block, part, counts) of each task's sketch.
 
     node, 16 bytes, stands for the set of shingles: texts with equal sets are one node from here on.
     """
@@ -136,7 +139,7 @@ def _signed(docs: DataFrame, how: Join) -> DataFrame:
         counts, seen, part = np.zeros(1 << SKETCH_BITS, np.uint16), set(), 0
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
-            for ident, tokens in zip(ids, shingle_sets(batch.column(1).to_pylist(), how.width), strict=True):
+            for ident, tokens in zip(ids, shingle_sets(batch.column(2).to_pylist(), how.width), strict=True):
                 node = xxhash.xxh3_128_digest(tokens.tobytes())
                 rows.append((len(tokens), node, _slot(ident)))
                 part ^= rows[-1][2]
@@ -146,16 +149,16 @@ def _signed(docs: DataFrame, how: Join) -> DataFrame:
                     counts[at] += counts[at] < 65_535
             k = len(rows)
             n, node, slot = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(slot, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(slot, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         for i, block in enumerate(blocks):
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([i], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([block.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([i], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([block.tobytes()], pa.binary())], names)
 
-    names = ["id", "n", "node", "slot", "block", "part", "counts"]
+    names = ["id", "key", "n", "node", "slot", "block", "part", "counts"]
     kind = docs.schema["id"].dataType
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
-    return docs.select("id", "text").mapInArrow(sign, f"id {kind.simpleString()}, n long, node binary, slot int, block int, part int, counts binary")
+    id_type = to_arrow_type(kind)
+    return docs.select("id", "key", "text").mapInArrow(returned(sign), f"id {kind.simpleString()}, key long, n long, node binary, slot int, block int, part int, counts binary")
 
 
 def _summed(blocks: DataFrame, kind: type) -> DataFrame:
@@ -170,7 +173,7 @@ def _summed(blocks: DataFrame, kind: type) -> DataFrame:
         for block, counts in sums.items():
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
-    return blocks.select("block", "counts").mapInArrow(add, "block int, counts binary")
+    return blocks.select("block", "counts").mapInArrow(returned(add), "block int, counts binary")
 
 
 def _sketch(signed: DataFrame) -> np.ndarray:
@@ -204,7 +207,7 @@ def _postings(docs: DataFrame, how: Join, counts) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(nodes, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["token", "node", "n", "pos"])
 
-    return docs.select("text").mapInArrow(post, "token long, node binary, n int, pos int")
+    return docs.select("text").mapInArrow(returned(post), "token long, node binary, n int, pos int")
 
 
 def _sets(docs: DataFrame, how: Join, counts, wanted) -> DataFrame:
@@ -225,7 +228,7 @@ def _sets(docs: DataFrame, how: Join, counts, wanted) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "second", "third", "full"])
 
-    return docs.select("id", "text").mapInArrow(fetch, "node binary, n int, second binary, third binary, full binary")
+    return docs.select("id", "text").mapInArrow(returned(fetch), "node binary, n int, second binary, third binary, full binary")
 
 
 def _shared(a: pa.Scalar, b: pa.Scalar, kind: type = np.uint64) -> int:
@@ -244,7 +247,7 @@ def _met(pairs: DataFrame, sets: DataFrame, columns: list[str], keep) -> DataFra
             yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(left, "x").join(right, "y")
-    return joined.select("x", "y", *[f"x_{c}" for c in columns], *[f"y_{c}" for c in columns]).mapInArrow(test, "x binary, y binary")
+    return joined.select("x", "y", *[f"x_{c}" for c in columns], *[f"y_{c}" for c in columns]).mapInArrow(returned(test), "x binary, y binary")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: Join, counts) -> DataFrame:
@@ -274,7 +277,10 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: Join, cou
 
 
 def jaccard_components(docs: DataFrame, how: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_size) for each row: the least id that links lead to.
+    """(doc_id, n_shingles, component_id, class_size, text_key, is_first) for each row: component_id is the least id that
+    links lead to, class_size how many rows have the same set, text_key a hash of the text, and is_first holds for one
+    row of each component, the one with the least id, null last, then the least text_key; for rows that repeat its id and
+    text too.
 
     Texts with equal sets are one node, so copies are never paired. Shingles are ordered by the number of sets
     that have them, by a sketch over all texts, ties by hash; a set's prefix in that order is posted. Nodes that
@@ -288,21 +294,17 @@ def jaccard_components(docs: DataFrame, how: Join | None = None, id_col: str = "
     only where a component has no other. Repeated rows get equal results; an empty table gives no rows.
     """
     how = how or Join()
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     signed = written(_signed(docs, how), "signed")
     counts = docs.sparkSession.sparkContext.broadcast(_sketch(signed))
-    classes = signed.filter("block is null and n > 0").groupBy("node").agg(F.min("id").alias("least_id"), F.coalesce(F.min_by("slot", "id"), F.min("slot")).alias("slot"), F.count("*").alias("class_size"))
-    classes = written(classes, "classes")
+    classes = written(_classes(signed), "classes")
 
     postings = written(_postings(docs, how, counts), "postings")
     lists = postings.groupBy("token").agg(F.count("*").alias("posted")).filter("posted > 1")
     shared = written(attach(postings, lists, ["token"], "posted", postings.count()).filter("posted > 1"), "shared")
     dropped(postings)
 
-    def possible(a: str, b: str) -> str:
-        least = how.overlap(f"{a}.n + {b}.n")
-        return f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {least} and least({a}.n, {b}.n) >= {least}"
-
+    possible = partial(_possible, how)
     # Short lists give all their pairs at once; of long ones nodes meet a few heads first. A list's head is the node
     # that has the shingle earliest, so the fewest rare shingles of its own: copies differ from it least.
     a, b = (shared.filter(F.col("posted") <= SHORT).alias(n) for n in "ab")
@@ -330,10 +332,52 @@ def jaccard_components(docs: DataFrame, how: Join | None = None, id_col: str = "
         roots = component_roots(links)
 
     named = attach_roots(classes.drop("slot"), roots)
-    least = named.groupBy("root").agg(F.min("least_id").alias("component"), F.count("*").alias("nodes"))
-    final = attach(named.select("node", "class_size", "root"), least, ["root"], "nodes", classes.count()).select("node", "class_size", "component")
-    rows = attach(signed.filter("block is null").select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), final, ["node"], "class_size", signed.count())
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    least = named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("nodes"))
+    final = attach(named.select("node", "class_size", "root"), least, ["root"], "nodes", classes.count()).select("node", "class_size", "first")
+    rows = attach(signed.filter("block is null").select("id", "key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), final, ["node"], "class_size", signed.count())
+    alone = F.col("first").isNull()
+    return rows.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
+        F.col("key").alias("text_key"),
+        (alone | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))).alias("is_first"),
+    )
+
+
+def jaccard_links(docs: DataFrame, how: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(x, y, x_size, y_size): every link between different sets, by the least ids of the rows that have them (x, y) and
+    how many rows those are.
+
+    The same filters as in jaccard_components(), but for all pairs of nodes of a list, those within one component
+    too: the answer itself has as many rows as a group of near copies has pairs, so this is for tables without large
+    ones, or for what is left of a component.
+    """
+    how = how or Join()
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    signed = written(_signed(docs, how), "signed")
+    counts = docs.sparkSession.sparkContext.broadcast(_sketch(signed))
+    classes = written(_classes(signed), "classes")
+    postings = written(_postings(docs, how, counts).dropDuplicates(["token", "node"]), "postings")
+    a, b = postings.alias("a"), postings.alias("b")
+    pairs = a.join(b, F.expr(f"a.token = b.token and a.node < b.node and {_possible(how, 'a', 'b')}")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+    links = _links(written(pairs.distinct(), "pairs"), docs, classes, how, counts)
+    side = lambda n: classes.select(F.col("node").alias(n), F.col("least.id").alias(f"{n}_id"), F.col("class_size").alias(f"{n}_size"))
+    return links.join(side("x"), "x").join(side("y"), "y").select(F.col("x_id").alias("x"), F.col("y_id").alias("y"), "x_size", "y_size")
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """(node, least, slot, class_size): the first row of each set, in the order of ids, null last, then of texts' hashes."""
+    least = F.struct(F.col("id").isNull().alias("unknown"), "id", "key")
+    found = signed.filter("block is null and n > 0").groupBy("node").agg(F.min(F.struct(least.alias("least"), "slot")).alias("first"), F.count("*").alias("class_size"))
+    return found.select("node", "first.least", "first.slot", "class_size")
+
+
+def _possible(how: Join, a: str, b: str) -> str:
+    """SQL for whether two rows of one list, by their sizes and places, can be of linked sets."""
+    least = how.overlap(f"{a}.n + {b}.n")
+    return f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {least} and least({a}.n, {b}.n) >= {least}"
 
 
 def _closest(rows: DataFrame, heads: DataFrame, possible: Callable[[str, str], str]) -> DataFrame:
@@ -360,10 +404,11 @@ def attach_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a smaller id; rows of the least id and those without an id stay."""
-    found = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """docs with the first row of each component alone: rows go by their id and text, so that an unlinked text stays
+    even if its id is also that of a linked one. Texts without words all stay; rows that repeat the first one's id and text stay with it."""
+    gone = jaccard_components(docs).filter("not is_first").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_size")

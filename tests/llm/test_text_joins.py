@@ -69,6 +69,33 @@ def test_near_dedup_stage(spark):
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_rows_go_by_id_and_text(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text), (5, text + " x"), (5, "quite other words here and there"), (None, text), (7, text), (7, text), (8, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id smallint, text string")
+    left = sorted((r["doc_id"], r["text"] or "") for r in ngram_join.one_of_each_group(df).collect())
+    assert left == [(3, text), (5, "quite other words here and there"), (8, ""), (8, "")]
+
+
+def test_all_links_match_brute_force(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(300)}" for _ in range(150)]
+    rows = [(1, " ".join(base)), (2, " ".join(base))]
+    for k in range(20):
+        rows.append((10 + k, " ".join(w if rng.random() > 0.01 * (k % 4) else "new" for w in base)))
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(shingles(t), []).append(i)
+    want = set()
+    for x, a in sets.items():
+        for y, b in sets.items():
+            if min(a) < min(b) and 100 * len(x & y) >= 85 * len(x | y):
+                want.add((min(a), min(b), len(a), len(b)))
+    got = ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(want) > 10 and len(got) == len(want)
+    assert {(x, y, p, q) if x < y else (y, x, q, p) for x, y, p, q in got} == want
+
+
 def test_mix_meets_targets(spark):
     rows = documents(5, 200)
     df = spark.createDataFrame(rows, SCHEMA)
