@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.bpe import with_ids, with_text
+from lorespark.llm.bpe import with_ids
 from lorespark.llm.common import written
 from lorespark.llm.exact_dedup import without_exact_duplicates
 from lorespark.llm.mixing import mixed_documents
@@ -35,7 +35,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the hash of the text that they decode to."""
-    coded = with_text(with_ids(docs))
+    coded = with_ids(docs.select("doc_id", "text", "lang", "source"), decoded=True)
     return coded.select("doc_id", "lang", "source", F.expr("octet_length(token_ids) div 4").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
