@@ -40,15 +40,15 @@ WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tru
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and survives lost executors. options: those of the writer."""
     spark = df.sparkSession
     small_batches(spark)
     path, before = new_path(spark, name), {k: spark.conf.get(k) for k in WHILE_WRITING}
     for key, value in WHILE_WRITING.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)

@@ -1,217 +1,185 @@
-"""Stupid-backoff scores by joins: n-gram count tables, exploded n-grams of each document, sums per document."""
+"""Stupid-backoff scores by joins: n-gram count tables, exploded n-grams of the documents, sums per document."""
 
 from __future__ import annotations
 
-import hashlib
-from array import array
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, UPPER, dropped, table, written
+from .common import LOWER, UPPER, returned, table, written
+from .words import ORDERS, lowered, mixed, word_hashes
 
-#: Words with a small number of their own, which is broadcast with their counts, at most: all that are more frequent
-#: in the corpus than the one that would be next. All others have a hash for a number and meet their counts by joins.
-VOCABULARY = 65_534
-#: Number of the start of a text; those of words that are not broadcast begin at RARE.
-START, RARE = VOCABULARY + 1, 1 << 60
-#: Stand in for the first word in rows that hold a rare word alone, and in those that hold a text.
-ALONE, TEXT = -1, -2
-BACKOFF, MIN_COUNT = 0.4, 2
-#: Bigrams that are broadcast with their counts, the most frequent ones: 4 MB for any input.
-FREQUENT = 1 << 18
-#: Distinct words that a task counts before it passes them on.
-HELD = 500_000
-_LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
+ORDER, BACKOFF = 3, 0.4
+#: Words, and rows, of documents that are counted together before anything is shuffled: a chunk.
+CHUNK_WORDS, CHUNK_ROWS = 1 << 19, 1 << 16
+#: Entries (chunk, n-gram) of a bucket, about; buckets are powers of two.
+BUCKET = 1 << 20
+#: Stands before the first word of a text.
+START = np.uint64(0xA0761D6478BD642F)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWERED).split()
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, ids, sizes, words): documents in a row, at least CHUNK_WORDS words of them if there are as many, as their
+    ids, numbers of words, and the 64-bit hashes of all their words. A document is never parted."""
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, chunk = ([], [], []), 0, TaskContext.get().partitionId() << 32
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; the empty word, which no text has, stands for the start of a text with words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def passed_on() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+        def chunked() -> pa.RecordBatch:
+            ids, sizes, words = held
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([np.asarray(sizes, "<i8").tobytes()], pa.binary()), pa.array([b"".join(words)], pa.binary())], ["chunk", "ids", "sizes", "words"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = _words(text)
-                counts.update(words)
-                counts[b""] += bool(words)
-                if len(counts) > HELD:
-                    yield passed_on()
-                    counts.clear()
-        yield passed_on()
-
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class _Ids(dict):
-    """Places of words in numbers(): a broadcast word's is its number, any other gets the next free one."""
-
-    def __init__(self, known: dict[bytes, int]):
-        super().__init__(known)
-        self.rare = array("q")
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = START + 1 + len(self.rare)
-        self.rare.append(RARE + int(hashlib.md5(word).hexdigest()[:15], 16))
-        return place
-
-    def numbers(self) -> np.ndarray:
-        return np.concatenate([np.arange(START + 1), np.array(self.rare, np.int64)])
-
-
-def _rare_number(word: Column) -> Column:
-    """The number that _Ids gives a word that is not broadcast: 60 bits of its md5."""
-    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long") + F.lit(RARE)
-
-
-def _keys(text: str | None, ids: _Ids) -> np.ndarray:
-    """A key for each bigram of a text, the one with the start of the text included: the places of both words, 32 bits each."""
-    words = _words(text)
-    found = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    return np.concatenate([[START], found[:-1]]) << 32 | found if len(found) else found
-
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = word_hashes(lowered(text))[1]
+                held[0].append(ident)
+                held[1].append(len(words))
+                held[2].append(words.astype("<u8").tobytes())
+                n += len(words)
+                if len(held[0]) >= CHUNK_ROWS or n >= CHUNK_WORDS:
+                    yield chunked()
+                    held, n, chunk = ([], [], []), 0, chunk + 1
+        if held[0]:
+            yield chunked()
+
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    return docs.select("doc_id", "text").mapInArrow(returned(gather), f"chunk long, ids array<{docs.schema['doc_id'].dataType.simpleString()}>, sizes binary, words binary")
+
+
+class Grams:
+    """The n-grams of a chunk: for each n from 1 to order a key per place, START before each text that has words.
+
+    Shorter n-grams are counted from the last START on, once for each text: the longer ones' first contexts.
+    """
 
-def bigram_counts(docs: DataFrame, known) -> DataFrame:
-    """(first, second, together) over all texts: the table of bigrams, by the numbers of their words."""
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, order: int):
+        self.order, pads = order, order - 1
+        lengths = sizes + pads * (sizes > 0)
+        begins = np.cumsum(lengths) - lengths
+        within = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.at = np.repeat(begins + pads, sizes) + within
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        row = np.full(int(lengths.sum()), START)
+        row[self.at] = words
+        last = np.sort(np.concatenate([self.at, (begins + pads - 1)[sizes > 0]])) if pads else self.at
+        doc_at = np.repeat(np.arange(len(sizes)), lengths)
+        self.places, keys, shifted = [], [], [row]
+        for n in range(1, order + 1):
+            key = np.full(len(row), n, np.uint64)
+            for x in reversed(shifted):
+                key = mixed(key * np.uint64(0x100000001B3) + x, ORDERS[0])
+            self.places.append(self.at if n == order else last)
+            keys.append(key[self.places[-1]])
+            shifted.append(np.concatenate([np.zeros(min(n, len(row)), np.uint64), row[: max(0, len(row) - n)]]))
+        self.keys, self.length = np.concatenate(keys), len(row)
+        self.docs = np.concatenate([doc_at[p] for p in self.places])
+
+    def spread(self, values: np.ndarray) -> list[np.ndarray]:
+        """For each n the values of its keys at their places, 0 elsewhere."""
+        out, begin = [], 0
+        for places in self.places:
+            out.append(np.zeros(self.length, np.int64))
+            out[-1][places] = values[begin : begin + len(places)]
+            begin += len(places)
+        return out
+
+
+def _entries(chunks: DataFrame, order: int, bits: int) -> DataFrame:
+    """(bucket, chunk, keys, counts): the distinct n-grams of each chunk with their counts, parted by the first bits of the key."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(known.value)
+        firsts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for batch in batches:
-            keys = [_keys(x, ids) for x in batch.column(0).to_pylist()]
-            if keys:
-                keys, n = np.unique(np.concatenate(keys), return_counts=True)
-                numbers = ids.numbers()
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[keys >> 32]), pa.array(numbers[keys & 0xFFFFFFFF]), pa.array(n, pa.int64())], ["first", "second", "n"])
-            if len(ids.rare) > HELD:
-                ids = _Ids(known.value)
-
-    return docs.select("text").mapInArrow(count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("together"))
-
-
-def _exploded(docs: DataFrame, known, backed_off, frequent) -> DataFrame:
-    """For each text a row (row, doc_id, first = TEXT, second = row, n: its words, n_seen, log_score), for each distinct
-    bigram that is not frequent a row (row, first, second, n), and if its second word is rare one with first = ALONE
-    too. A text's score is that of frequent bigrams, and of others as if they backed off, rare second words left out."""
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, (often, gains) = _Ids(known.value), frequent.value
-        for batch in batches:
-            texts, at, rest, counts = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                keys, n = np.unique(_keys(text, ids), return_counts=True)
-                second = keys & 0xFFFFFFFF
-                common = second <= START
-                score = float(n[common] @ backed_off.value[second[common]])
-                place = np.searchsorted(often, keys)
-                place[place == len(often)] = 0
-                hit = often[place] == keys if len(often) else np.zeros(len(keys), bool)
-                texts.append((int(n.sum()), int(n[hit].sum()), score + float(n[hit] @ gains[place[hit]])))
-                at.append(np.full(int((~hit).sum()), i))
-                rest.append(keys[~hit])
-                counts.append(n[~hit])
-            if not texts:
-                continue
-            k, row = len(texts), batch.column("row")
-            n_words, n_seen, scores = (pa.array(c, t) for c, t in zip(zip(*texts, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True))
-            yield pa.RecordBatch.from_arrays([row, batch.column("doc_id"), pa.array(np.full(k, TEXT)), row, n_words, n_seen, scores], names)
-            at, rest, counts, numbers = np.concatenate(at), np.concatenate(rest), np.concatenate(counts), ids.numbers()
-            first, second = numbers[rest >> 32], numbers[rest & 0xFFFFFFFF]
-            rare = second >= RARE
-            at, counts = np.concatenate([at, at[rare]]), np.concatenate([counts, counts[rare]])
-            first, second = np.concatenate([first, np.full(int(rare.sum()), ALONE)]), np.concatenate([second, second[rare]])
-            nulls = [pa.nulls(len(at), t) for t in (batch.column("doc_id").type, pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([row.take(pa.array(at)), nulls[0], pa.array(first), pa.array(second), pa.array(counts, pa.int64()), *nulls[1:]], names)
-            if len(ids.rare) > HELD:
-                ids = _Ids(known.value)
-
-    names = ["row", "doc_id", "first", "second", "n", "n_seen", "log_score"]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(explode, f"row long, doc_id {kind}, first long, second long, n long, n_seen long, log_score double")
-
-
-def _with_count(bigrams: DataFrame, of: str, name: str, common: DataFrame, rare: DataFrame) -> DataFrame:
-    """bigrams with the count of the word in a column: of broadcast words by broadcast, of rare ones, which no few rows share, by a shuffle."""
-    near, far = (x.toDF("__id", name) for x in (common, rare))
-    near = bigrams.filter(F.col(of) < RARE).join(F.broadcast(near), F.col(of) == F.col("__id"))
-    return near.unionByName(bigrams.filter(F.col(of) >= RARE).join(far, F.col(of) == F.col("__id"))).drop("__id")
-
-
-def _cutoff(counts: DataFrame, column: str, most: int) -> int:
-    """The least number that at most so many rows exceed in the column, from how many rows have each number; 0 if all may stay."""
-    numbers = counts.groupBy(column).agg(F.count("*").alias("rows"))
-    above = F.coalesce(F.sum("rows").over(Window.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
-    return numbers.withColumn("upto", above).filter(F.col("upto") > most).agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
-
-
-def backoff_scores(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+            for chunk, sizes, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                keys, counts = np.unique(Grams(np.frombuffer(sizes.as_buffer(), "<i8"), np.frombuffer(words.as_buffer(), "<u8"), order).keys, return_counts=True)
+                cuts = [*np.searchsorted(keys, firsts).tolist(), len(keys)]
+                full = [b for b in range(1 << bits) if cuts[b] < cuts[b + 1]]
+                for begin in range(0, len(full), 64):
+                    some = full[begin : begin + 64]
+                    part = lambda x, b: x[cuts[b] : cuts[b + 1]].tobytes()  # noqa: B023, E731
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([chunk] * len(some), pa.int64()), "keys": pa.array([part(keys, b) for b in some], pa.binary()), "counts": pa.array([part(counts.astype("<i4"), b) for b in some], pa.binary())})
+
+    return chunks.select("chunk", "sizes", "words").mapInArrow(returned(count), "bucket int, chunk long, keys binary, counts binary")
+
+
+def _elsewhere(bucket: pa.Table) -> pa.Table:
+    """(chunk, bucket, others): for each chunk's n-grams of a bucket, in order, their count in all other chunks."""
+    keys = [np.frombuffer(x.as_buffer(), "<u8") for x in bucket.column("keys")]
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in bucket.column("counts")]).astype(np.int64)
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, which, counts)
+    others = (sums[which] - counts).astype("<i8")
+    cuts = np.cumsum([0, *map(len, keys)])
+    parts = [others[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.table({"chunk": bucket.column("chunk").combine_chunks(), "bucket": bucket.column("bucket").combine_chunks(), "others": pa.array(parts, pa.binary())})
+
+
+def _scored(chunk: pa.Table, found: pa.Table, order: int, total: int, held_out: bool) -> list[tuple]:
+    """(n_words, n_seen, log_score) of each document of a chunk."""
+    sizes, words = (np.frombuffer(chunk.column(c)[0].as_buffer(), kind) for c, kind in (("sizes", "<i8"), ("words", "<u8")))
+    grams = Grams(sizes, words, order)
+    distinct, which, counts = np.unique(grams.keys, return_inverse=True, return_counts=True)
+    by_bucket = np.argsort(found.column("bucket").to_numpy())
+    others = found.column("others")
+    others = np.concatenate([np.frombuffer(others[int(i)].as_buffer(), "<i8") for i in by_bucket]) if len(distinct) else np.zeros(0, np.int64)
+    known = (others + counts)[which]
+    if held_out:
+        own = np.ones(len(which), np.int64)
+        again = counts[which] > 1
+        pair, at, n = np.unique(grams.docs[again] * len(distinct) + which[again], return_inverse=True, return_counts=True)
+        own[again] = n[at]
+        known -= own
+    tables, at, doc = grams.spread(known), grams.at, grams.doc
+    rest = np.maximum(1, total - (sizes if held_out else np.zeros_like(sizes)))[doc]
+    score = math.log(BACKOFF) * order - np.log(rest)
+    for n in range(1, order + 1):
+        count, context = tables[n - 1][at], rest if n == 1 else tables[n - 2][at - 1]
+        score = np.where(count > 0, np.log(np.maximum(1, count) / np.maximum(1, context)) + math.log(BACKOFF) * (order - n), score)
+    seen = np.bincount(doc, tables[order - 1][at] > 0, len(sizes))
+    return list(zip(sizes.tolist(), seen.astype(np.int64).tolist(), np.bincount(doc, score, len(sizes)).tolist(), strict=True))
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, held_out: bool = True) -> DataFrame:
     """(doc_id, n_words, n_seen, log_score, mean_log_score) for documents of (doc_id, text).
 
-    Words are what stands between white space, A-Z in lower case; each is a word of its own, however rare. A word w
-    after v scores count(v w) / count(v) if the corpus has v w at least min_count times, else BACKOFF * count(w) / N;
-    a text starts with a mark of its own. log_score is the sum of the logarithms, n_seen the number of words that did
-    not back off. Counts are over all texts.
+    Words are what stands between white space, A-Z in lower case; every word and every n-gram counts, however rare.
+    A word scores by the longest n-gram that ends in it and that the corpus has: count(n-gram) / count(its context),
+    times BACKOFF for each word less than order in the n-gram; count(word) / N at last, and BACKOFF ** order / N for
+    words that the corpus has not. log_score is the sum of the logarithms, n_seen the number of words whose n-gram of
+    full order the corpus has. If held_out, the corpus of a document is all other rows: what only it says is unknown.
+    Texts start with marks of their own, which count as context.
 
-    The most frequent words, of bounded number, are broadcast with their counts; all others are numbered by 60 bits of
-    their md5. A second scan counts bigrams into a table, to which the counts of their words are joined. A third
-    explodes each text's bigrams and rare words: the FREQUENT most frequent bigrams are scored on the spot, so that
-    no key is hot, and all else meets the tables by hash, where the seen bigrams add what they gain over backing off.
+    Documents are gathered in chunks of bounded size. A chunk's distinct n-grams with their counts, by 64-bit hashes,
+    go to buckets by hash: as they are counted in the chunk first, no n-gram has more rows than there are chunks, and
+    none is hot. A bucket adds up its part of the count tables, and tells each chunk how often its n-grams stand
+    elsewhere. Joined to that, a chunk scores its documents. At 10 ** 13 n-grams about one in two million shares its
+    hash with another.
 
     Null and empty texts have no words, log_score 0 and no mean. Repeated rows count as often as they stand and
-    get a row each. An empty table gives no rows.
+    get a row each; null ids stay null. An empty table gives no rows. A text is held whole by the task that scores it.
     """
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    counts = written(word_counts(docs), "words")
-    total, starts = counts.agg(F.sum(F.when(F.col("word") != "", F.col("n"))), F.sum(F.when(F.col("word") == "", F.col("n")))).first()
-    total = max(1, total or 0)
-    words = counts.filter("word <> ''")
-    cutoff = _cutoff(words, "n", VOCABULARY)
-    vocabulary = words.filter(F.col("n") > cutoff).toArrow()
-    names, numbers = vocabulary.column("word").to_pylist(), vocabulary.column("n").to_numpy()
-    rare = written(words.filter(F.col("n") <= cutoff).groupBy(_rare_number(F.col("word")).alias("id")).agg(F.sum("n").alias("count")), "rare")
-    dropped(counts)
-    known = context.broadcast({word.encode(): i for i, word in enumerate(names)})
-    of_word = np.ones(START + 1, np.int64)
-    of_word[: len(names)] = numbers
-    of_word[START] = max(1, starts or 0)
-    backed_off = np.log(BACKOFF * of_word / total)
-
-    tables = written(bigram_counts(docs, known).filter(F.col("together") >= min_count), "bigrams")
-    common = tables.filter((F.col("first") < RARE) & (F.col("second") < RARE))
-    frequent = common.filter(F.col("together") > _cutoff(common, "together", FREQUENT)).toArrow()
-    first, second, together = (frequent.column(c).to_numpy() for c in ("first", "second", "together"))
-    order = np.argsort(first << 32 | second)
-    first, second, together = first[order], second[order], together[order]
-    gains = np.log(together / of_word[first]) - backed_off[second]
-    rows = _exploded(docs, known, context.broadcast(backed_off), context.broadcast((first << 32 | second, gains)))
-
-    of_common = spark.createDataFrame(pa.table({"id": np.arange(START + 1), "count": of_word}))
-    off = lambda n: F.log(F.lit(BACKOFF) * F.col(n) / F.lit(total))
-    seen = _with_count(_with_count(tables, "first", "n_first", of_common, rare), "second", "n_second", of_common, rare)
-    seen = seen.select("first", "second", (F.log(F.col("together") / F.col("n_first")) - off("n_second")).alias("gain"))
-    alone = rare.select(F.lit(ALONE).cast("long").alias("first"), F.col("id").alias("second"), off("count").alias("gain"))
-    joined = rows.join(seen.unionByName(alone).hint("merge"), ["first", "second"], "left")
-    is_text, is_seen = F.col("first") == TEXT, (F.col("first") >= 0) & F.col("gain").isNotNull()
-    sums = joined.filter(is_text | F.col("gain").isNotNull()).groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        F.sum(F.when(is_text, F.col("n")).otherwise(0)).alias("n_words"),
-        F.sum(F.when(is_seen, F.col("n")).otherwise(F.coalesce("n_seen", F.lit(0)))).alias("n_seen"),
-        F.sum(F.coalesce("log_score", F.col("n") * F.col("gain"))).alias("log_score"),
-    )
-    return sums.drop("row").withColumn("mean_log_score", F.try_divide("log_score", "n_words"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chunks = written(_chunks(docs), "chunks", **{"parquet.block.size": 1 << 24})
+    total = chunks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    bits = max(4, math.ceil(math.log2(max(1, order * total / 8 / BUCKET))))
+    found = _entries(chunks, order, bits).groupBy("bucket").applyInArrow(_elsewhere, "chunk long, bucket int, others binary")
+    found = written(found, "counts")
+    total //= 8
+
+    def score(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        rows = _scored(chunk, found, order, total, held_out)
+        n_words, n_seen, log_score = zip(*rows, strict=True)
+        return pa.table({"doc_id": chunk.column("ids")[0].values, "n_words": pa.array(n_words, pa.int64()), "n_seen": pa.array(n_seen, pa.int64()), "log_score": pa.array(log_score, pa.float64())})
+
+    scored = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n_words long, n_seen long, log_score double")
+    return scored.withColumn("mean_log_score", F.try_divide("log_score", "n_words"))
 
 
 def op5_lm_scores(spark, sf_dir: str) -> DataFrame:
@@ -220,19 +188,23 @@ def op5_lm_scores(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
-w AS (SELECT row, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
-c AS (SELECT word, count(*) AS n FROM w GROUP BY word),
-v AS (SELECT word, n FROM c WHERE n > coalesce((SELECT n FROM c ORDER BY n DESC OFFSET {VOCABULARY} LIMIT 1), 0)),
-x AS (SELECT row, i, coalesce(v.word, ' other') AS word FROM w LEFT JOIN v USING (word)),
-b AS (SELECT row, coalesce(lag(word) OVER (PARTITION BY row ORDER BY i), ' start') AS first, word AS second FROM x),
-u AS (
-  SELECT word, count(*) AS n FROM x GROUP BY word
-  UNION ALL SELECT ' start', count(*) FROM d WHERE len(words) > 0),
-t AS (SELECT first, second, count(*) AS together FROM b GROUP BY first, second),
+e AS (SELECT row, unnest(words) AS w, unnest(range(len(words))) AS i FROM d),
+p AS (SELECT row, i, w, coalesce(lag(w) OVER o, ' ') AS v, coalesce(lag(w, 2) OVER o, ' ') AS u FROM e WINDOW o AS (PARTITION BY row ORDER BY i)),
+starts AS (SELECT row FROM d WHERE len(words) > 0),
+own1 AS (SELECT row, w, count(*) AS n FROM (SELECT row, w FROM p UNION ALL SELECT row, ' ' FROM starts) GROUP BY row, w),
+own2 AS (SELECT row, v, w, count(*) AS n FROM (SELECT row, v, w FROM p UNION ALL SELECT row, ' ', ' ' FROM starts) GROUP BY row, v, w),
+own3 AS (SELECT row, u, v, w, count(*) AS n FROM p GROUP BY row, u, v, w),
+c1 AS (SELECT row, w, sum(n) OVER (PARTITION BY w) - n AS n FROM own1),
+c2 AS (SELECT row, v, w, sum(n) OVER (PARTITION BY v, w) - n AS n FROM own2),
+c3 AS (SELECT row, u, v, w, sum(n) OVER (PARTITION BY u, v, w) - n AS n FROM own3),
+t AS (SELECT d.row, greatest(1, (SELECT count(*) FROM e) - len(words)) AS rest FROM d),
 s AS (
-  SELECT b.row, count(*) FILTER (WHERE together >= {MIN_COUNT}) AS n_seen,
-         sum(ln(CASE WHEN together >= {MIN_COUNT} THEN together / CAST(f.n AS DOUBLE) ELSE {BACKOFF} * g.n / (SELECT CAST(sum(n) AS DOUBLE) FROM c) END)) AS log_score
-  FROM b JOIN t USING (first, second) JOIN u f ON f.word = b.first JOIN u g ON g.word = b.second GROUP BY b.row)
+  SELECT p.row, count(*) FILTER (WHERE c3.n > 0) AS n_seen,
+         sum(ln(CASE WHEN c3.n > 0 THEN c3.n / CAST(c2uv.n AS DOUBLE) WHEN c2.n > 0 THEN {BACKOFF} * c2.n / CAST(c1v.n AS DOUBLE)
+                     WHEN c1.n > 0 THEN {BACKOFF} * {BACKOFF} * c1.n / CAST(rest AS DOUBLE) ELSE {BACKOFF} * {BACKOFF} * {BACKOFF} / CAST(rest AS DOUBLE) END)) AS log_score
+  FROM p JOIN c3 ON (c3.row, c3.u, c3.v, c3.w) = (p.row, p.u, p.v, p.w) JOIN c2 ON (c2.row, c2.v, c2.w) = (p.row, p.v, p.w) JOIN c1 ON (c1.row, c1.w) = (p.row, p.w)
+         JOIN c2 c2uv ON (c2uv.row, c2uv.v, c2uv.w) = (p.row, p.u, p.v) JOIN c1 c1v ON (c1v.row, c1v.w) = (p.row, p.v) JOIN t ON t.row = p.row
+  GROUP BY p.row)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen, coalesce(log_score, 0) AS log_score,
        CASE WHEN len(words) > 0 THEN log_score / len(words) END AS mean_log_score
 FROM d LEFT JOIN s USING (row)

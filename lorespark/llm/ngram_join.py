@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import LOWER, UPPER, attach, dropped, returned, table, written
+from .common import attach, dropped, returned, table, written
 from .components import component_roots
+from .words import ORDERS, STEP, lowered, mixed, word_hashes
 
 #: Counters of the sketch that orders shingles by how many texts have them, and slots of the map of wanted texts.
 #: Both have the same size for any input.
@@ -24,8 +24,6 @@ SKETCH_BITS, BLOCK_BITS, SLOT_BITS = 22, 17, 22
 HEADS = 4
 #: Nodes up to which a list is short.
 SHORT = 8
-ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 @dataclass(frozen=True)
@@ -44,50 +42,11 @@ class Join:
         return f"ceil({self.percent}L * ({sizes}) / {100 + self.percent})"
 
 
-def _mixed(x: np.ndarray, by: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
-    return x ^ (x >> np.uint64(29))
-
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_AT_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-#: Bytes of text that are hashed at once.
-STEP = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2 ** 64."""
-    up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
-    up[1:], down[1:] = _BASE, pow(_BASE, -1, 1 << 64)
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of data starts, and a 64-bit hash of its bytes: a polynomial in them, mixed with the length."""
-    starts, hashes, begin = [], [], 0
-    while begin < len(data):
-        space = _AT_SPACE.search(data, begin + STEP) if len(data) > begin + STEP else None
-        end = space.start() if space else len(data)
-        b = np.frombuffer(data, np.uint8, end - begin, begin)
-        edge = np.diff((~_SPACE[b]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        first, past = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        up, down = _powers(1 << max(STEP.bit_length(), len(b).bit_length()))
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b + np.uint64(1)) * up[: len(b)], out=sums[1:])
-        hashes.append(_mixed((sums[past] - sums[first]) * down[first] + (past - first).astype(np.uint64) * np.uint64(ORDERS[1]), ORDERS[2]))
-        starts.append(first + begin)
-        begin = end
-    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     """For each text the sorted 64-bit hashes of its distinct shingles; of all its words at once if they are fewer than width."""
     held: list[bytes] = []
     for text in texts:
-        held.append((text or "").encode("utf-8", "surrogatepass").translate(_LOWERED))
+        held.append(lowered(text))
         if sum(map(len, held[-64:])) > STEP or len(held) >= 64:
             yield from _shingled(held, width)
             held = []
@@ -95,12 +54,12 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
 
 
 def _shingled(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
-    starts, h = _word_hashes(b"\n".join(texts))
+    starts, h = word_hashes(b"\n".join(texts))
     ends = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts])) if texts else []
     n = max(0, len(h) - width + 1)
     runs = np.full(n, width, np.uint64)
     for i in range(width):
-        runs = _mixed(runs * np.uint64(0x100000001B3) + h[i : n + i], ORDERS[0])
+        runs = mixed(runs * np.uint64(0x100000001B3) + h[i : n + i], ORDERS[0])
     begin = 0
     for end in ends:
         if end - begin >= width:
@@ -108,7 +67,7 @@ def _shingled(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         else:
             whole = np.full(min(1, end - begin), end - begin, np.uint64)
             for i in range(begin, end):
-                whole = _mixed(whole * np.uint64(0x100000001B3) + h[i], ORDERS[0])
+                whole = mixed(whole * np.uint64(0x100000001B3) + h[i], ORDERS[0])
             yield whole
         begin = end
 
@@ -119,7 +78,7 @@ def _counter(tokens: np.ndarray) -> np.ndarray:
 
 def _ordered(tokens: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
     """Shingles in a global order: in order 0 what few texts have comes first, ties by hash; the others are hash orders of their own."""
-    rank = _mixed(tokens, ORDERS[order])
+    rank = mixed(tokens, ORDERS[order])
     if order == 0:
         rank = counts[_counter(tokens)].astype(np.uint64) << np.uint64(48) | rank >> np.uint64(16)
     return tokens[np.argsort(rank, kind="stable")]

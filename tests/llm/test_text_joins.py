@@ -82,7 +82,7 @@ def test_all_links_match_brute_force(spark):
     base = [f"w{rng.randrange(300)}" for _ in range(150)]
     rows = [(1, " ".join(base)), (2, " ".join(base))]
     for k in range(20):
-        rows.append((10 + k, " ".join(w if rng.random() > 0.01 * (k % 4) else "new" for w in base)))
+        rows.append((10 + k, " ".join(w if rng.random() > 0.01 * (k % 3) else f"n{k}" for w in base)))
     sets = {}
     for i, t in rows:
         sets.setdefault(shingles(t), []).append(i)
@@ -138,42 +138,53 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
-def test_scores_match_brute_force(spark):
-    rows = documents(6)
-    df = spark.createDataFrame(rows, SCHEMA)
-    words = [(text or "").translate(str.maketrans(UPPER, LOWER)) for _, text, *_ in rows]
-    words = [re.findall("[^\x20\x09-\x0d]+", t) for t in words]
-    uni, total = Counter(w for t in words for w in t), sum(map(len, words))
-    bi = Counter(p for t in words for p in zip([None, *t], t))
-    starts = sum(bool(t) for t in words)
-    want = Counter()
-    for r, t in zip(rows, words, strict=True):
-        score, seen = 0.0, 0
-        for v, w in zip([None, *t], t):
-            if bi[v, w] >= 2:
-                seen += 1
-                score += math.log(bi[v, w] / (uni[v] if v else starts))
+def brute_scores(texts, order, held_out):
+    """(n_words, n_seen, log_score) of each text."""
+    docs = []
+    for t in texts:
+        words = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(str.maketrans(UPPER, LOWER)))
+        row = [None] * (order - 1) * bool(words) + words
+        grams = Counter(tuple(row[max(0, i + 1 - n) : i + 1]) for n in range(1, order + 1) for i in range(order - 1 if n == order else order - 2, len(row)) if i >= 0)
+        docs.append((words, row, grams))
+    all_grams = sum((g for _, _, g in docs), Counter())
+    total = sum(len(w) for w, _, _ in docs)
+    out = []
+    for words, row, grams in docs:
+        known = lambda gram, own=grams: all_grams[tuple(gram)] - own[tuple(gram)] * held_out
+        rest, score, seen = max(1, total - len(words) * held_out), 0.0, 0
+        for i in range(order - 1, len(row)):
+            for n in range(order, 0, -1):
+                if (c := known(row[i + 1 - n : i + 1])) > 0:
+                    score += math.log(lm_scores.BACKOFF ** (order - n) * c / (known(row[i + 1 - n : i]) if n > 1 else rest))
+                    seen += n == order
+                    break
             else:
-                score += math.log(0.4 * uni[w] / total)
-        want[r[0], len(t), seen, round(score, 6)] += 1
-    got = Counter((g["doc_id"], g["n_words"], g["n_seen"], round(g["log_score"], 6)) for g in lm_scores.backoff_scores(df).collect())
-    assert got == want
-    assert lm_scores.backoff_scores(df.limit(0)).count() == 0
+                score += math.log(lm_scores.BACKOFF**order / rest)
+        out.append((len(words), seen, score))
+    return out
 
 
-def test_rare_words_keep_their_own_counts(spark):
-    """More distinct words than are broadcast: none of them is lumped with others."""
+@pytest.mark.parametrize(("order", "held_out", "words"), [(3, True, 1 << 19), (3, True, 50), (2, False, 300), (1, True, 300), (4, True, 7)])
+def test_scores_match_brute_force(spark, monkeypatch, order, held_out, words):
+    """Also with chunks so small that most n-grams stand in several, and documents longer than a chunk."""
+    monkeypatch.setattr(lm_scores, "CHUNK_WORDS", words)
+    monkeypatch.setattr(lm_scores, "BUCKET", 1 << (6 if words < 100 else 20))
     rng = random.Random(9)
-    rare = [f"r{i}" for i in range(lm_scores.VOCABULARY + 10_000)]
-    texts = [" ".join(rare[i : i + 500]) for i in range(0, len(rare), 500)] * 2 + [" ".join(rare[::7]), "the " * 900 + "of", " ".join(f"once{i}" for i in range(300)), "The r5 r6 gibberish", "", None]
-    texts += [" ".join(rng.choice(["the", "of", rng.choice(rare)]) for _ in range(400)) for _ in range(60)]
-    words = [(t or "").lower().split() for t in texts]
-    uni, bi = Counter(w for t in words for w in t), Counter(p for t in words for p in zip([None, *t], t))
-    total, starts = sum(uni.values()), sum(bool(t) for t in words)
-    got = {r["doc_id"]: r for r in lm_scores.backoff_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(words):
-        pairs = list(zip([None, *t], t))
-        want = sum(math.log(bi[v, w] / (uni[v] if v else starts)) if bi[v, w] >= 2 else math.log(0.4 * uni[w] / total) for v, w in pairs)
-        assert (got[i]["n_words"], got[i]["n_seen"]) == (len(t), sum(bi[p] >= 2 for p in pairs))
-        assert math.isclose(got[i]["log_score"], want, rel_tol=1e-9, abs_tol=1e-6)
+    texts = [r[1] for r in documents(6) if len(r[1] or "") < 5000]
+    texts += [" ".join(f"r{rng.randrange(2000)}" for _ in range(rng.choice([3, 90]))) for _ in range(40)]
+    texts += [texts[-1], texts[-1], "", None, "one", "the " * 300]
+    got = lm_scores.backoff_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), order, held_out).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    want = brute_scores(texts, order, held_out)
+    for r in got:
+        n, seen, score = want[r["doc_id"]]
+        assert (r["n_words"], r["n_seen"]) == (n, seen)
+        assert math.isclose(r["log_score"], score, rel_tol=1e-9, abs_tol=1e-9)
+        assert r["mean_log_score"] is None if n == 0 else math.isclose(r["mean_log_score"], score / n, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_scores_of_odd_tables(spark):
+    df = spark.createDataFrame(documents(6), SCHEMA)
+    assert Counter(r["doc_id"] for r in lm_scores.backoff_scores(df).collect()) == Counter(r[0] for r in documents(6))
+    assert lm_scores.backoff_scores(df.limit(0)).count() == 0
+    assert [r["log_score"] for r in lm_scores.backoff_scores(spark.createDataFrame([("a", None)], "doc_id string, text string")).collect()] == [0.0]
