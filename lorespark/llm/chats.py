@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,57 +11,114 @@ from .common import attach, table, written
 from .components import component_roots
 
 # Lines that announce a quotation, as mail and forum programs write them.
-INTRODUCTION = r"(?i)^\s*(?:on .{1,200} wrote:|am .{1,200} schrieb.{0,100}:|le .{1,200} a écrit\s?:|el .{1,200} escribió:|-{2,} ?original message ?-{2,})\s*$"
+INTRODUCTION = r"(?:on .{1,200} wrote:|am .{1,200} schrieb.{0,100}:|le .{1,200} a écrit\s?:|el .{1,200} escribió:|-{2,} ?original message ?-{2,})"
 MARKS = r"^(?:\s{0,3}>)+ ?"
-#: A quoted line is linked if so many characters of it are left when normalised; less fits too many messages.
+#: Normalised characters that a passage needs to stand for a message of another conversation; within a conversation any will do.
 LEAST = 12
 #: Turns of one conversation are parted into stretches of so many, so that a long one is spread out.
 STRETCH = 64
 
 
 def normalised(text: Column) -> Column:
-    """What quotations keep of a passage: letters and digits in lower case, single spaces between."""
+    """What quotations keep of a passage, however it is wrapped: letters and digits in lower case, single spaces between."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def parsed_lines(text: Column) -> Column:
-    """Array of (level, body, digest): the number of quote marks before each line, the line without them, and the
-    hash of its normal form, null for lines that are too short to link."""
+    """Array of (level, body, raw): the number of quote marks before each line, the line without them, and as it stands."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n", -1)
-    parts = F.transform(lines, lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), r"[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
-    return F.transform(parts, lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.when(F.length(normalised(x["body"])) >= LEAST, F.sha2(normalised(x["body"]), 256)).alias("digest")))
+    level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), r"[^>]", ""))
+    return F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("body"), x.alias("raw")))
+
+
+def with_runs(rows: DataFrame, items: str, name: str, key: Callable[[Column], Column]) -> DataFrame:
+    """rows with a column that parts an array into runs of neighbours with equal keys."""
+    at, starts = F.col(items), F.col("__starts")
+    opens = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: (i == 0) | (key(F.get(at, i)) != key(F.get(at, i - 1))))
+    rows = rows.withColumn("__starts", opens)
+    return rows.withColumn(name, F.transform(starts, lambda s, k: F.slice(at, s + 1, F.coalesce(F.get(starts, k + 1), F.size(at)) - s))).drop("__starts")
+
+
+def _says(line: Column) -> Column:
+    """Whether a line is more than the announcement of a quotation."""
+    return ~line["body"].rlike(rf"(?i)^\s*{INTRODUCTION}\s*$")
+
+
+def _joined(lines: Column, field: str) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x[field]), "\n")
+
+
+def _units(rows: DataFrame, body: Column) -> DataFrame:
+    """rows with digest, n and whole: a row for the passage, and for each of its sentences and lines, by the hash of its normal form."""
+    sentences, lines = F.split(body, r"(?<=[.!?。！？])\s+|\n\s*\n"), F.split(body, "\n")
+    parts = F.transform(F.concat(sentences, lines), lambda x: F.struct(F.lit(False).alias("whole"), normalised(x).alias("norm")))
+    units = F.array_distinct(F.concat(F.array(F.struct(F.lit(True).alias("whole"), normalised(body).alias("norm"))), parts))
+    units = rows.withColumn("unit", F.explode(F.filter(units, lambda x: x["norm"] != ""))).withColumn("digest", F.md5(F.col("unit.norm")))
+    return units.select(*rows.columns, "digest", F.length("unit.norm").alias("n"), F.col("unit.whole").alias("whole"))
+
 
+def message_blocks(messages: DataFrame) -> DataFrame:
+    """messages with key, a hash of the text, and blocks: the lines in runs that are quoted and runs that are not."""
+    rows = messages.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("lines", parsed_lines(F.col("text")))
+    return with_runs(rows, "lines", "blocks", lambda x: x["level"] > 0)
 
-def unquoted(text: Column, lines: Column) -> Column:
-    """The text without quoted lines and what announces them; a text that quotes nothing is left as it is."""
-    own = F.filter(lines, lambda x: (x["level"] == 0) & ~x["body"].rlike(INTRODUCTION))
-    bare = F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), r"\n{3,}", "\n\n"))
-    bare = F.regexp_replace(bare, r"^\n+|\n+$", "")
-    return F.when(F.exists(lines, lambda x: x["level"] > 0), bare).otherwise(F.coalesce(text, F.lit("")))
 
+def _without_introduction(body: Column) -> Column:
+    """The body without announcing lines at its end."""
+    return F.regexp_replace(body, rf"(?i)(?:^|\n)[^\S\n]*{INTRODUCTION}\s*\z", "")
 
-def quote_links(lines: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, to_conv, to_turn, votes): per message and quote level the message that most of its lines quote.
 
-    lines: (conv_id, turn, level, digest). A quoted line stands for the latest earlier message of its conversation
-    that has the line as its own; if there is none, for the first message of any earlier conversation that has it.
-    Originals are reduced to one per line before they meet quotations, so common lines make no pairs.
-    Most votes win, then the later message.
+def own_passages(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, digest, n, whole): all that a message says itself, block by block and in all."""
+    blocks = rows.select("conv_id", "turn", F.explode("blocks").alias("block")).filter(F.col("block")[0]["level"] == 0)
+    alone = blocks.select("conv_id", "turn", _without_introduction(_joined(F.col("block"), "body")).alias("body"))
+    own = F.filter("lines", lambda x: (x["level"] == 0) & _says(x))
+    in_all = rows.filter(F.size("blocks") > 1).select("conv_id", "turn", _joined(own, "body").alias("body"))
+    return _units(alone.unionByName(in_all), F.col("body")).drop("body").distinct()
+
+
+def quoted_passages(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, key, block, level, digest, n, whole): each run of lines of one quote level, whole and in parts."""
+    blocks = rows.select("conv_id", "turn", "key", F.posexplode("blocks").alias("block", "quoted")).filter(F.col("quoted")[0]["level"] > 0)
+    runs = with_runs(blocks, "quoted", "runs", lambda x: x["level"]).select("conv_id", "turn", "key", "block", F.explode("runs").alias("run"))
+    runs = runs.select("conv_id", "turn", "key", "block", F.col("run")[0]["level"].alias("level"), _joined(F.filter("run", _says), "body").alias("body"))
+    return _units(runs, F.col("body")).drop("body").distinct()
+
+
+def _nearest(own: DataFrame, quoted: DataFrame) -> DataFrame:
+    """quoted with near: the last earlier turn of the conversation that says the same. Stretches of turns are searched
+    apart, then joined at their ends, so that one passage in many turns is no single task's work."""
+    kind = own.schema["turn"].dataType
+    both = own.select("conv_id", "digest", "turn", F.col("turn").alias("origin")).distinct().unionByName(quoted.select("conv_id", "digest", "turn", F.lit(None).cast(kind).alias("origin")).distinct())
+    both = both.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    ends = both.groupBy("conv_id", "digest", "stretch").agg(F.max("origin").alias("end"))
+    before = Window.partitionBy("conv_id", "digest").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("before", F.max("end").over(before)).drop("end")
+    # At one turn the quotation comes before what the message says itself, so a message never quotes itself.
+    here = Window.partitionBy("conv_id", "digest", "stretch").orderBy("turn", F.col("origin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("here", F.max("origin").over(here)).filter("origin is null").join(ends, ["conv_id", "digest", "stretch"])
+    found = found.select("conv_id", "digest", "turn", F.coalesce(F.when(F.col("here") < F.col("turn"), F.col("here")), "before").alias("near"))
+    return quoted.join(found, ["conv_id", "digest", "turn"])
+
+
+def quote_links(own: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv_id, turn, key, block, level, to_conv, to_turn, n) for each quoted passage that is known: what it quotes.
+
+    A passage, sentence or line stands for the last earlier message of its conversation that says it; if there is
+    none, for the first message of an earlier conversation (one of smaller conv_id, which is taken as the order in
+    which conversations began), if no other conversation says it and it has LEAST characters: what several say shows no
+    origin. Sentences and lines of fewer characters count in no case unless they are the whole passage. What
+    nobody quotes is dropped first, so common sentences make no pairs.
     """
-    own = lines.filter("level = 0 and digest is not null")
-    quoted = lines.filter("level > 0 and digest is not null")
-    in_order = Window.partitionBy("conv_id", "digest").orderBy("turn", F.col("level").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = own.withColumn("origin", F.col("turn")).unionByName(quoted.withColumn("origin", F.lit(None).cast(lines.schema["turn"].dataType)))
-    # At one turn the quotation comes before the own line, so a message never quotes itself.
-    nearest = both.withColumn("near", F.last("origin", ignorenulls=True).over(in_order)).filter("level > 0")
-    nearest = nearest.select("conv_id", "turn", "level", "digest", F.when(F.col("near") < F.col("turn"), F.col("near")).alias("near"))
-    first = own.groupBy("digest").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.count("*").alias("n"))
-    found = attach(nearest, first, ["digest"], "n", lines.count())
-    elsewhere = F.col("first.conv_id") < F.col("conv_id")
-    found = found.select("conv_id", "turn", "level", F.when(F.col("near").isNotNull(), F.col("conv_id")).when(elsewhere, F.col("first.conv_id")).alias("to_conv"), F.when(F.col("near").isNotNull(), F.col("near")).when(elsewhere, F.col("first.turn")).alias("to_turn"))
-    votes = found.filter("to_conv is not null").groupBy("conv_id", "turn", "level", "to_conv", "to_turn").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("conv_id", "turn", "level").agg(F.max(F.struct("votes", "to_conv", "to_turn")).alias("best"))
-    return best.select("conv_id", "turn", "level", "best.to_conv", "best.to_turn", "best.votes")
+    quoted = quoted.filter((F.col("n") >= LEAST) | F.col("whole")).groupBy("conv_id", "turn", "key", "block", "level", "digest").agg(F.max("n").alias("n"))
+    own = written(own.join(quoted.select("digest").distinct(), "digest", "left_semi").select("conv_id", "turn", "digest"), "own")
+    near = _nearest(own, quoted)
+    first = own.groupBy("digest").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.max("conv_id").alias("last_conv"), F.count("*").alias("says"))
+    found = attach(near, first.select("digest", "first", "last_conv", "says"), ["digest"], "says", own.count())
+    elsewhere = (F.col("first.conv_id") == F.col("last_conv")) & (F.col("first.conv_id") < F.col("conv_id")) & (F.col("n") >= LEAST)
+    to_conv = F.when(F.col("near").isNotNull(), F.col("conv_id")).when(elsewhere, F.col("first.conv_id"))
+    to_turn = F.when(F.col("near").isNotNull(), F.col("near")).when(elsewhere, F.col("first.turn"))
+    return found.select("conv_id", "turn", "key", "block", "level", to_conv.alias("to_conv"), to_turn.alias("to_turn"), "n").filter("to_conv is not null")
 
 
 def previous_turns(messages: DataFrame) -> DataFrame:
@@ -67,54 +126,68 @@ def previous_turns(messages: DataFrame) -> DataFrame:
     turns = messages.select("conv_id", "turn").distinct().withColumn("stretch", F.floor(F.col("turn") / STRETCH))
     ends = turns.groupBy("conv_id", "stretch").agg(F.max("turn").alias("end"))
     ends = ends.withColumn("before", F.lag("end").over(Window.partitionBy("conv_id").orderBy("stretch"))).drop("end")
-    ends = ends.toDF("c", "s", "before")
-    joined = turns.join(ends, turns["conv_id"].eqNullSafe(ends["c"]) & turns["stretch"].eqNullSafe(ends["s"]))
     within = F.lag("turn").over(Window.partitionBy("conv_id", "stretch").orderBy("turn"))
-    return joined.select("conv_id", "turn", F.coalesce(within, "before").alias("previous"))
+    return turns.join(ends, ["conv_id", "stretch"]).select("conv_id", "turn", F.coalesce(within, "before").alias("previous"))
+
+
+def _unquoted(text: Column, blocks: Column, gone: Column) -> Column:
+    """The text without the blocks whose places are in gone, and without the lines that announce them."""
+    last = lambda i: F.array_contains(gone, i + 1)
+    parts = F.transform(blocks, lambda b, i: F.when(F.array_contains(gone, i), F.lit(None)).when((b[0]["level"] == 0) & last(i), _without_introduction(_joined(b, "raw"))).otherwise(_joined(b, "raw")))
+    bare = F.regexp_replace(F.array_join(parts, "\n"), r"\n{3,}", "\n\n")
+    return F.when(gone.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.regexp_replace(bare, r"^\s+|\s+$", ""))
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
-    """messages without quotes, each with what it replies to, in columns whose order is the reply order.
+    """messages without the quotes that are linked, each with what it replies to, in columns whose order is the reply order.
 
-    Columns: thread_id, conv_id, turn, role, text (without quotes), reply_conv and reply_turn (the message that its
-    first quote level quotes, else the turn before it), linked_by ('quote', 'turn' or null for a first turn),
-    quoted_lines, linked_levels, ancestors (array of (level, conv_id, turn) for deeper levels). Conversations that
-    quote one another have one thread_id, the least conv_id of them. Within a thread the order of conv_id and turn
+    Columns: thread_id, conv_id, turn, role, text (without linked quotes; a quotation of which nothing is known stays),
+    reply_conv and reply_turn (the message of which its first quote level has most, the later one of equals, else the
+    turn before it), linked_by ('quote', 'turn' or null for a first turn), quoted_lines, linked_levels, ancestors
+    (array of (level, conv_id, turn) for deeper levels), then all other columns of messages. Conversations that quote
+    one another have one thread_id, the least conv_id of them. Within a thread the order of conv_id and turn
     puts every message after what it replies to, and rows stay rows: no thread is gathered into one.
 
-    Null text counts as empty; a null turn or conv_id links with nothing by quote; repeated rows stay, with equal
-    links; an empty table gives no rows.
+    Null text counts as empty; a row with a null turn or conv_id links with nothing and stays as it is; repeated rows
+    stay, with equal links; an empty table gives no rows. Other columns that have one of these names, in any case, are left out.
     """
-    rows = messages.select("conv_id", "turn", "role", "text").withColumn("lines", parsed_lines(F.col("text")))
-    rows = rows.select("conv_id", "turn", "role", unquoted(F.col("text"), F.col("lines")).alias("text"), "lines")
-    # Only lines that may quote or be quoted go on: levels and digests, no texts.
-    lines = written(rows.select("conv_id", "turn", F.explode("lines").alias("line")).select("conv_id", "turn", "line.level", "line.digest").filter("level > 0 or digest is not null").distinct(), "lines")
-    links = written(quote_links(lines.filter("conv_id is not null and turn is not null")), "links")
+    made = ["thread_id", "conv_id", "turn", "role", "text", "reply_conv", "reply_turn", "linked_by", "quoted_lines", "linked_levels", "ancestors", "key", "lines", "blocks"]
+    extra = [c for c in messages.columns if c.lower() not in made]
+    columns = [*["conv_id", "turn", "role", "text"], *extra]
+    rows = message_blocks(messages.select(columns))
+    known = rows.filter("conv_id is not null and turn is not null")
+    quoted = written(quoted_passages(known.filter("exists(blocks, b -> b[0].level > 0)")), "quoted")
+    links = written(quote_links(own_passages(known), quoted), "links")
     across = links.filter("to_conv <> conv_id").select(F.col("conv_id").alias("x"), F.col("to_conv").alias("y")).distinct()
     threads = component_roots(across).toDF("c", "thread_id")
-    by_message = links.groupBy("conv_id", "turn").agg(
-        F.max(F.when(F.col("level") == 1, F.struct("to_conv", "to_turn"))).alias("quoted"),
+    votes = links.groupBy("conv_id", "turn", "key", "level", "to_conv", "to_turn").agg(F.sum("n").alias("n"), F.collect_set("block").alias("at"))
+    best = votes.groupBy("conv_id", "turn", "key", "level").agg(F.max(F.struct("n", "to_conv", "to_turn")).alias("best"), F.flatten(F.collect_list("at")).alias("at"))
+    deeper = F.when(F.col("level") > 1, F.struct("level", F.col("best.to_conv").alias("conv_id"), F.col("best.to_turn").alias("turn")))
+    by_message = best.groupBy("conv_id", "turn", "key").agg(
+        F.max(F.when(F.col("level") == 1, F.col("best"))).alias("quoted"),
         F.count("*").alias("linked_levels"),
-        F.sort_array(F.collect_list(F.when(F.col("level") > 1, F.struct("level", F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"))))).alias("ancestors"),
+        F.sort_array(F.collect_list(deeper)).alias("ancestors"),
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"),
     )
-    before = previous_turns(messages).toDF("pc", "pt", "previous")
-    linked = before.join(by_message.toDF("lc", "lt", "quoted", "linked_levels", "ancestors"), F.expr("pc = lc and pt = lt"), "left")
-    known = linked.select("pc", "pt", "previous", "quoted", "linked_levels", "ancestors")
-    joined = rows.join(known, rows["conv_id"].eqNullSafe(known["pc"]) & rows["turn"].eqNullSafe(known["pt"]), "left")
-    joined = joined.join(threads, joined["conv_id"] == threads["c"], "left")
-    none = F.array().cast(f"array<struct<level:int,conv_id:{messages.schema['conv_id'].dataType.simpleString()},turn:{messages.schema['turn'].dataType.simpleString()}>>")
+    found = ["previous", "quoted", "linked_levels", "ancestors", "gone"]
+    before = previous_turns(known.select("conv_id", "turn"))
+    linked = known.join(before, ["conv_id", "turn"]).join(by_message, ["conv_id", "turn", "key"], "left").join(threads, F.col("conv_id") == F.col("c"), "left")
+    kinds = dict(linked.dtypes)
+    rest = rows.filter("conv_id is null or turn is null").withColumns({c: F.lit(None).cast(kinds[c]) for c in [*found, "thread_id"]})
+    joined = linked.select(*rows.columns, *found, "thread_id").unionByName(rest)
     return joined.select(
         F.coalesce("thread_id", "conv_id").alias("thread_id"),
         "conv_id",
         "turn",
         "role",
-        "text",
+        _unquoted(F.col("text"), F.col("blocks"), F.col("gone")).alias("text"),
         F.when(F.col("quoted").isNotNull(), F.col("quoted.to_conv")).when(F.col("previous").isNotNull(), F.col("conv_id")).alias("reply_conv"),
         F.coalesce("quoted.to_turn", "previous").alias("reply_turn"),
         F.when(F.col("quoted").isNotNull(), "quote").when(F.col("previous").isNotNull(), "turn").alias("linked_by"),
         F.size(F.filter("lines", lambda x: x["level"] > 0)).alias("quoted_lines"),
         F.coalesce("linked_levels", F.lit(0)).alias("linked_levels"),
-        F.coalesce("ancestors", none).alias("ancestors"),
+        F.coalesce("ancestors", F.array().cast(kinds["ancestors"])).alias("ancestors"),
+        *extra,
     )
 
 

@@ -1,6 +1,9 @@
+import random
 import re
+import textwrap
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorespark.llm import chats, licenses, pii
@@ -110,13 +113,60 @@ def test_quotes_are_linked_and_removed(spark):
         (3, 70, "a", "late"),
         (3, 1, "a", "early"),
         (3, None, "a", "> Something entirely else"),
+        (4, 0, "user", "Yes, do it."),
+        (4, 1, "user", "> Yes, do it.\nDone."),
+        (4, 2, "user", "Try this:\n>>> print(1)\n1"),
+        (5, 0, "user", "Thanks for your help today"),
+        (6, 0, "user", "Thanks for your help today"),
+        (7, 0, "user", "> Thanks for your help today\nYou are welcome"),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["turn"]): r for r in chats.linked_conversations(df).collect()}
-    assert chats.linked_conversations(df).count() == len(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("LINES", F.lit(1)).withColumn("lang", F.lit("en"))
+    found = chats.linked_conversations(df)
+    assert "lang" in found.columns and "LINES" not in found.columns
+    got = {(r["conv_id"], r["turn"]): r for r in found.collect()}
+    assert found.count() == len(rows)
     assert (got[1, 1]["reply_turn"], got[1, 1]["linked_by"], got[1, 1]["text"]) == (0, "quote", "It is sunny and warm here.")
     assert got[1, 2]["linked_by"] == "turn" and got[1, 2]["reply_turn"] == 1
     assert got[1, 3]["reply_turn"] == 1 and got[1, 3]["text"] == "Good to know that." and got[1, 3]["ancestors"][0]["turn"] == 0
     assert (got[2, 0]["reply_conv"], got[2, 0]["reply_turn"], got[2, 0]["thread_id"]) == (1, 3, 1)
     assert got[3, 70]["reply_turn"] == 1 and got[3, 1]["linked_by"] is None
+    assert (got[4, 1]["linked_by"], got[4, 1]["reply_turn"], got[4, 1]["text"]) == ("quote", 0, "Done.")  # short, but whole
+    assert got[4, 2]["text"] == "Try this:\n>>> print(1)\n1"  # what links with nothing stays
+    assert got[7, 0]["linked_by"] is None and got[7, 0]["thread_id"] == 7  # two conversations say it
+    assert got[3, None]["text"] == "> Something entirely else" and got[3, None]["linked_by"] is None
     assert chats.linked_conversations(df.limit(0)).count() == 0
+
+
+def wrapped(text, width):
+    return "\n".join(textwrap.wrap(text, width)) if width else text
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_replies_are_found_however_wrapped(spark, seed):
+    """Each message quotes an earlier one, whole or some sentences, in lines of another width, with what that one quoted a level deeper."""
+    rng, rows, truth = random.Random(seed), [], {}
+    for conv in range(12):
+        own, replies = [], []
+        for turn in range(rng.choice([3, 9, 150 if conv == 0 else 6])):
+            sentences = [f"{' '.join(rng.choice(['alpha', 'beta', 'gamma', 'delta']) for _ in range(rng.randrange(1, 20)))} c{conv}t{turn}s{k}{rng.choice('.?!')}" for k in range(rng.randrange(1, 5))]
+            to = rng.randrange(turn) if turn and rng.random() < 0.8 else None
+            parts = []
+            if to is not None:
+                begin = rng.randrange(len(own[to]))
+                quoted = wrapped(" ".join(own[to][begin:]), rng.choice([0, 20, 33, 60])).split("\n")
+                older = replies[to]
+                if older is not None:
+                    quoted = ["> " + x for x in wrapped(" ".join(own[older]), 25).split("\n")] + quoted
+                parts.append("\n".join("> " + x for x in (["Am Montag schrieb Y:"] if rng.random() < 0.2 else []) + quoted))
+            own.append(sentences)
+            replies.append(to)
+            text = wrapped(" ".join(sentences), rng.choice([0, 40, 72]))
+            truth[conv, turn] = (to if to is not None else turn - 1 if turn else None, "quote" if to is not None else "turn" if turn else None, replies[to] if to is not None else None, text)
+            rows.append((conv, turn, "user", "\n".join([*parts, text])))
+    rng.shuffle(rows)
+    got = chats.linked_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        to, by, older, text = truth[r["conv_id"], r["turn"]]
+        assert (r["reply_turn"], r["linked_by"], r["text"]) == (to, by, text)
+        assert [a["turn"] for a in r["ancestors"]] == ([older] if older is not None else [])
