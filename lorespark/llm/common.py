@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,8 +35,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
 
 
-#: While a table is written: shuffle files go when the job ends, not when the driver collects garbage.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a table is written: shuffle files go when the job ends, not when the driver collects garbage, and the driver
+#: makes no long descriptions of each change that adaptive execution makes to a plan.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.ui.explainMode": "simple", "spark.sql.maxPlanStringLength": "20000"}
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -55,6 +56,14 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_seen(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, tuple]:
+    """written(df), and aggregates of df that the same job takes."""
+    seen = Observation()
+    named = [m.alias(f"m{i}") for i, m in enumerate(measures)]
+    out = written(df.observe(seen, *named), name)
+    return out, tuple(seen.get.get(f"m{i}") for i in range(len(measures)))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables that written() made and that no later job reads."""
     for df in tables:
@@ -106,18 +115,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-#: A map of groups has so many bits, 65,536 rows of 64, whatever the input's size.
-MAP_BITS = 1 << 22
+def map_bits(groups: int) -> int:
+    """The bits of a map of so many groups: 16 for each, at least 65,536 and at most 2 ** 26: a million rows to broadcast.
+
+    Beyond 4 million groups the map lets through more rows that no group has; no result depends on it.
+    """
+    return 1 << min(26, max(16, (16 * groups - 1).bit_length()))
 
 
-def map_place(*keys: Column) -> Column:
+def map_place(bits: int, *keys: Column) -> Column:
     """The bit of a group in a map."""
-    return F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS))
+    return F.pmod(F.xxhash64(*keys), F.lit(bits))
 
 
-def group_map(groups: DataFrame, *keys: str) -> DataFrame:
+def group_map(groups: DataFrame, bits: int, *keys: str) -> DataFrame:
     """A map (cell, bits) of the groups, small enough to broadcast. Groups may share a bit."""
-    places = groups.select(map_place(*map(F.col, keys)).alias("place"))
+    places = groups.select(map_place(bits, *map(F.col, keys)).alias("place"))
     return places.groupBy(F.expr("place div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits"))
 
 

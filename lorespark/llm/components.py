@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, written, written_and_seen
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -22,17 +22,16 @@ def component_roots(links: DataFrame) -> DataFrame:
     logarithm of the longest path. Each round is a table in the shared folder.
     """
     edges = links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-    edges, before = written(edges, "edges"), None
-    while not edges.isEmpty():
+    measures = F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")
+    edges, before = written_and_seen(edges, "edges", *measures)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large, "large")
         small = _least(large)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        after = written(small.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
-        now = after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        dropped(large)
-        dropped(edges)
+        after, now = written_and_seen(small.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges", *measures)
+        dropped(large, edges)
         edges = after
         if before == now:
             break

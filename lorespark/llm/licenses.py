@@ -2,124 +2,60 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, fresh, table
+from .license_rules import DENIED, NAMED, UNNAMED, spdx_rules, written_rules
 
 #: What separates words: ASCII other than digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Label, first word and the rest of a license's name as it stands in a text's lower-case words.
-NAMES = [
-    ("mit", "mit", r""),
-    ("mit", "expat", r""),
-    ("mit-0", "mit", r" no attribution"),
-    ("x11", "x11", r""),
-    ("isc", "isc", r""),
-    ("apache", "apache", r"(?: software)?"),
-    ("apache-1.1", "apache", r"(?: software)? license(?: version)? v?1 1"),
-    ("apache-2.0", "apache", r"(?: software)?(?: license)?(?: version)? v?2(?: 0)?"),
-    ("gpl", "gnu", r" (?:gpl|general public)"),
-    ("gpl-2.0", "gnu", r" (?:gpl|general public license)(?: version)? v?2(?: 0)?"),
-    ("gpl-2.0", "gpl", r"(?: version)? v?2(?: 0)?"),
-    ("gpl-2.0", "gplv2", r""),
-    ("gpl-3.0", "gnu", r" (?:gpl|general public license)(?: version)? v?3(?: 0)?"),
-    ("gpl-3.0", "gpl", r"(?: version)? v?3(?: 0)?"),
-    ("gpl-3.0", "gplv3", r""),
-    ("lgpl", "gnu", r" (?:lgpl|(?:lesser|library) general public)"),
-    ("lgpl-2.1", "gnu", r" (?:lgpl|lesser general public license)(?: version)? v?2 1"),
-    ("lgpl-2.1", "lgpl", r"(?: version)? v?2 1"),
-    ("lgpl-3.0", "gnu", r" (?:lgpl|lesser general public license)(?: version)? v?3(?: 0)?"),
-    ("lgpl-3.0", "lgpl", r"(?: version)? v?3(?: 0)?"),
-    ("agpl", "gnu", r" (?:agpl|affero general public)"),
-    ("agpl-3.0", "gnu", r" (?:agpl|affero general public license)(?: version)? v?3(?: 0)?"),
-    ("agpl-3.0", "agpl", r"(?: version)? v?3(?: 0)?"),
-    ("gfdl", "gnu", r" free documentation"),
-    ("bsd", "bsd", r""),
-    ("bsd-2-clause", "bsd", r" 2 clause"),
-    ("bsd-2-clause", "simplified", r" bsd"),
-    ("bsd-3-clause", "bsd", r" 3 clause"),
-    ("bsd-3-clause", "new", r" bsd"),
-    ("bsd-4-clause", "original", r" bsd"),
-    ("0bsd", "0bsd", r""),
-    ("mpl-1.1", "mozilla", r" public license(?: version)? v?1 1"),
-    ("mpl-2.0", "mozilla", r" public license(?: version)? v?2(?: 0)?"),
-    ("mpl", "mozilla", r" public"),
-    ("epl-1.0", "eclipse", r" public license(?: version)? v?1(?: 0)?"),
-    ("epl-2.0", "eclipse", r" public license(?: version)? v?2(?: 0)?"),
-    ("epl", "eclipse", r" public"),
-    ("cddl-1.0", "common", r" development and distribution"),
-    ("cpl-1.0", "common", r" public"),
-    ("artistic", "artistic", r""),
-    ("artistic-2.0", "artistic", r" license(?: version)? 2(?: 0)?"),
-    ("bsl-1.0", "boost", r" software"),
-    ("zlib", "zlib", r"(?: libpng)?"),
-    ("unlicense", "unlicense", r""),
-    ("wtfpl", "wtfpl", r""),
-    ("ms-pl", "microsoft", r" public"),
-    ("eupl", "european", r" union public"),
-    ("ofl-1.1", "sil", r" open font"),
-    ("python-2.0", "python", r" software foundation"),
-    ("ruby", "ruby", r""),
-    ("php", "php", r""),
-    ("openssl", "openssl", r""),
-    ("postgresql", "postgresql", r""),
-    ("odbl", "open", r" (?:data commons open )?database"),
-    ("osl-3.0", "open", r" software license(?: version)? 3(?: 0)?"),
-    ("cc0-1.0", "cc0", r"(?: 1 0)?"),
-    ("cc-by", "cc", r" by(?: [1-4] [05])?"),
-    ("cc-by-sa", "cc", r" by sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "cc", r" by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "cc", r" by nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "cc", r" by nc sa(?: [1-4] [05])?"),
-    ("cc-by", "creative", r" commons attribution(?: [1-4] [05])?"),
-    ("cc-by-sa", "creative", r" commons attribution share ?alike(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative", r" commons attribution non ?commercial(?: [1-4] [05])?"),
-]
-# Words that end a name, and first word and rest of what precedes it in a grant.
-ENDING = r"(?: (?:international|unported|generic))?(?: (?:public )?licen[sc]e)?"
-GRANTS = [("licensed", r" under"), ("released", r" under"), ("distributed", r" under"), ("available", r" under"), ("covered", r" by")]
-TERMS = r" (?:the )?(?:terms of (?:the )?)?(?:open source )?"
-# The base phrases and statements that name no license.
-BASE = [("mit", "mit", r" license"), ("apache", "apache", r" license"), ("gpl", "general", r" public license")]
-OTHERS = [
-    ("public-domain", "public", r" domain", 2, 0.6),
-    ("public-domain", "dedicated", r" to the public domain", 3, 0.9),
-    ("proprietary", "all", r" rights reserved", 2, 0.5),
-    ("copyright", "copyright", r"(?: c)? (?:19|20)[0-9][0-9]", 1, 0.4),
-    ("mit", "permission", r" is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
-    ("bsd", "redistribution", r" and use in source and binary forms with or without modification", 3, 1.0),
-    ("copyleft", "copyleft", r"", 1, 0.3),
-]
-WINDOW = 20
+# The base phrases.
+BASE = [("mit", 0.5, "mit license"), ("apache", 0.5, "apache license"), ("gpl", 0.5, "general public license")]
+#: Words before a place that a rule may look back at.
+BEHIND = 32
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature that starts at a word equal to keyword; pattern is matched at the words from there on, each with a space after it."""
+    """A signature that starts at a word equal to keyword; pattern is matched at the words from there on, each with a
+    space after it, and before, if there is one, at the end of the words that come before."""
 
     number: int
     keyword: str
     pattern: str
+    before: str
     label: str
     priority: int
     confidence: float
     base: bool
 
+    @property
+    def scope(self) -> str:
+        """What the signature says of other versions: only, or-later, or nothing."""
+        return next((x for x in SCOPES if self.pattern.endswith(SCOPES[x])), "")
+
+
+# How a signature's pattern ends that speaks of other versions.
+SCOPES = {"only": " only ", "or-later": (" or later ", " or (?:any )?(?:later|newer) ", " any later version ")}
+
+
+def words_of(pattern: str) -> int:
+    """So many words a match of the pattern has at most, all its alternatives counted, repeats as often as they may occur."""
+    repeats = sum(int(n) for n in re.findall(r"\{\d+,(\d+)\}", pattern))
+    return pattern.count(" ") + repeats + 1
+
 
 def signature_rules() -> list[Rule]:
-    """Base phrases, then each name as a mention with a license word, in an SPDX tag and in each form of grant."""
-    found = [(k, f"{k}{rest}", label, 1, 0.5, True) for label, k, rest in BASE]
-    found += [(k, f"{k}{rest}", label, p, c, False) for label, k, rest, p, c in OTHERS]
-    for label, word, rest in NAMES:
-        name = f"{word}{rest}"
-        found.append((word, f"{name} (?:public )?licen[sc]e", label, 2, 0.8, False))
-        found.append(("spdx", f"spdx license identifier {name}(?: only| or later)?", label, 3, 1.0, False))
-        found += [(first, f"{first}{between}{TERMS}{name}{ENDING}(?: only| or later)?", label, 3, 0.95, False) for first, between in GRANTS]
-    return [Rule(i, keyword, f"^{pattern} ", label, priority, confidence, base) for i, (keyword, pattern, label, priority, confidence, base) in enumerate(found)]
+    """Base phrases, what names no license, names and grants, denials, and identifiers in tags, in rising priority."""
+    found = [(label, confidence, pattern, "", 1, True) for label, confidence, pattern in BASE]
+    for priority, own in ((1, written_rules(UNNAMED)), (2, written_rules(NAMED)), (3, written_rules(DENIED)), (3, spdx_rules())):
+        found += [(*rule, priority, False) for rule in own]
+    return [Rule(i, re.match("[a-z0-9]+", pattern)[0], f"^{pattern} ", before and f"(?:^| ){before}$", label, priority, confidence, base) for i, (label, confidence, pattern, before, priority, base) in enumerate(found)]
 
 
 RULES = signature_rules()
@@ -132,7 +68,7 @@ def _rule_map(rules: list[Rule]) -> Column:
         by.setdefault(r.keyword, []).append(r)
     entries = []
     for keyword, own in by.items():
-        structs = [F.struct(F.lit(r.number).alias("number"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")) for r in own]
+        structs = [F.struct(F.lit(r.number).alias("number"), F.lit(r.pattern).alias("pattern"), F.lit(r.before).alias("before"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"), F.lit(r.scope).alias("scope")) for r in own]
         entries += [F.lit(keyword), F.array(*structs)]
     return F.create_map(*entries)
 
@@ -144,11 +80,13 @@ def _spaces(text: Column) -> Column:
 def license_detections(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """docs with n_words, detections and licenses.
 
-    detections: all matches as (start, end, priority, number, label, confidence, base) in word positions from 0,
+    detections: all matches as (start, end, priority, number, label, confidence, base, scope) in word positions from 0,
     end exclusive, ordered by start, longer and higher priority first. licenses: what is left of them as
     (labels, score, n_kept) after suppression: a match falls away if an interval that contains its own, of the
-    same or a higher priority, comes before it in that order. Rules run only in texts that have one of their
-    keywords, and there only at the keyword. Null and empty texts have no words and no detections.
+    same or a higher priority, comes before it in that order; a denial ("not under the GPL") suppresses the name in it and
+    shows the label none. Rules run only in texts that have one of their keywords, and there only at the keyword; how
+    many words they see follows from the longest rule. Null and empty texts have no words and no detections; repeated
+    rows get equal results; an empty table gives no rows. Columns of docs that have one of the three names are replaced.
     """
     rules = rules or RULES
     docs = docs.drop("n_words", "detections", "licenses")
@@ -160,13 +98,16 @@ def license_detections(docs: DataFrame, text_col: str = "text", rules: list[Rule
         gate = gate | F.contains(F.col(padded), F.lit(f" {k} "))
     rows = named.withColumn("n_words", F.when(F.length(padded) == 2, F.lit(0)).otherwise(_spaces(F.col(padded)) - 1).cast("long"))
     rows = rows.withColumn(words, F.when(gate, F.split(F.trim(padded), " ")).otherwise(F.array().cast("array<string>")))
-    by_keyword, known = _rule_map(rules), F.array(*map(F.lit, keywords))
+    by_keyword, known, most = _rule_map(rules), F.array(*map(F.lit, keywords)), max((words_of(r.pattern) for r in rules), default=1)
 
     def at(i: Column) -> Column:
-        window = F.concat(F.array_join(F.slice(F.col(words), i + 1, WINDOW), " "), F.lit(" "))
-        tried = F.transform(F.element_at(by_keyword, F.get(F.col(words), i)), lambda r: F.struct(r.alias("rule"), F.regexp_substr(window, r["pattern"]).alias("match")))
+        window = F.concat(F.array_join(F.slice(F.col(words), i + 1, most), " "), F.lit(" "))
+        begin = F.greatest(F.lit(0), i - BEHIND)
+        behind = F.concat(F.array_join(F.slice(F.col(words), begin + 1, i - begin), " "), F.lit(" "))
+        fits = lambda r: (r["before"] == "") | F.regexp_like(behind, r["before"])
+        tried = F.transform(F.element_at(by_keyword, F.get(F.col(words), i)), lambda r: F.struct(r.alias("rule"), F.when(fits(r), F.regexp_substr(window, r["pattern"])).alias("match")))
         hits = F.filter(tried, lambda x: x["match"].isNotNull())
-        return F.transform(hits, lambda x: F.struct(i.alias("start"), (-(i + _spaces(x["match"]))).alias("minus_end"), (-x["rule"]["priority"]).alias("minus_priority"), x["rule"]["number"].alias("number"), x["rule"]["label"].alias("label"), x["rule"]["confidence"].alias("confidence"), x["rule"]["base"].alias("base")))
+        return F.transform(hits, lambda x: F.struct(i.alias("start"), (-(i + _spaces(x["match"]))).alias("minus_end"), (-x["rule"]["priority"]).alias("minus_priority"), x["rule"]["number"].alias("number"), x["rule"]["label"].alias("label"), x["rule"]["confidence"].alias("confidence"), x["rule"]["base"].alias("base"), x["rule"]["scope"].alias("scope")))
 
     anchors = F.filter(F.transform(F.col(words), lambda w, i: F.when(F.array_contains(known, w), i).otherwise(F.lit(-1))), lambda i: i >= 0)
     ordered = F.sort_array(F.flatten(F.transform(anchors, at)))
@@ -184,7 +125,7 @@ def license_detections(docs: DataFrame, text_col: str = "text", rules: list[Rule
 
     final = F.aggregate("detections", start, take)
     rows = rows.withColumn("licenses", F.struct(final["labels"].alias("labels"), final["score"].alias("score"), final["n_kept"].alias("n_kept")))
-    shown = F.transform("detections", lambda x: F.struct(x["start"].alias("start"), (-x["minus_end"]).alias("end"), (-x["minus_priority"]).alias("priority"), x["number"].alias("number"), x["label"].alias("label"), x["confidence"].alias("confidence"), x["base"].alias("base")))
+    shown = F.transform("detections", lambda x: F.struct(x["start"].alias("start"), (-x["minus_end"]).alias("end"), (-x["minus_priority"]).alias("priority"), x["number"].alias("number"), x["label"].alias("label"), x["confidence"].alias("confidence"), x["base"].alias("base"), x["scope"].alias("scope")))
     return rows.withColumn("detections", shown).drop(padded, words)
 
 
@@ -207,15 +148,15 @@ def op2_licenses(spark, sf_dir: str) -> DataFrame:
 
 def op2_sql(rules: list[Rule] | None = None) -> str:
     """The same result by joins and windows in SQL; the rules are the common input."""
-    values = ",\n".join(f"({r.number}, '{r.keyword}', '{r.pattern}', '{r.label}', {r.priority}, {r.confidence}, {r.base})" for r in rules or RULES)
+    values = ",\n".join(f"({r.number}, '{r.keyword}', '{r.pattern}', '{r.before}', '{r.label}', {r.priority}, {r.confidence}, {r.base})" for r in rules or RULES)
     before = ", ".join(f"max(CASE WHEN priority >= {p} THEN ends END) OVER o AS before{p}" for p in (1, 2, 3))
     return f"""
-WITH rules(number, keyword, pattern, label, priority, confidence, base) AS (VALUES {values}),
+WITH rules(number, keyword, pattern, before, label, priority, confidence, base) AS (VALUES {values}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
 w AS (SELECT doc_id, words, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
 m AS (
-  SELECT w.doc_id, w.i AS starts, r.*, regexp_extract(array_to_string(w.words[w.i + 1 : w.i + {WINDOW}], ' ') || ' ', r.pattern) AS found
-  FROM w JOIN rules r ON w.word = r.keyword),
+  SELECT w.doc_id, w.i AS starts, r.*, regexp_extract(array_to_string(w.words[w.i + 1 : w.i + {max(words_of(r.pattern) for r in rules or RULES)}], ' ') || ' ', r.pattern) AS found
+  FROM w JOIN rules r ON w.word = r.keyword AND (r.before = '' OR regexp_matches(array_to_string(w.words[greatest(1, w.i - {BEHIND - 1}) : w.i], ' ') || ' ', r.before))),
 h AS (SELECT *, starts + length(found) - length(replace(found, ' ', '')) AS ends FROM m WHERE found <> ''),
 s AS (
   SELECT *, {before} FROM h

@@ -120,8 +120,8 @@ def _signed(docs: DataFrame, how: Join) -> DataFrame:
     return docs.select("id", "key", "text").mapInArrow(returned(sign), f"id {kind.simpleString()}, key long, n long, node binary, slot int, block int, part int, counts binary")
 
 
-def _summed(blocks: DataFrame, kind: type) -> DataFrame:
-    """One row per block and partition; the sums stream, so that a task holds one sketch at most."""
+def _summed(blocks: DataFrame, kind: type, use: Callable[[np.ndarray], np.ndarray] = np.asarray) -> DataFrame:
+    """One row per block and partition, with use(sums); the sums stream, so that a task holds one sketch at most."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -130,7 +130,7 @@ def _summed(blocks: DataFrame, kind: type) -> DataFrame:
                 new = np.frombuffer(counts.as_buffer(), kind)
                 sums[block] = sums[block] + new if block in sums else new.astype(np.int64)
         for block, counts in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([counts.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([use(counts).tobytes()], pa.binary())})
 
     return blocks.select("block", "counts").mapInArrow(returned(add), "block int, counts binary")
 
@@ -142,8 +142,9 @@ def _sketch(signed: DataFrame) -> np.ndarray:
     """
     first = _summed(signed.filter("block is not null").repartition("block", "part"), np.uint16)
     out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint16)
-    for row in _summed(first.repartition("block"), np.int64).toLocalIterator():
-        out[row["block"]] = np.round(1024 * np.log2(np.frombuffer(row["counts"], np.int64) + 1.0))
+    ranked = _summed(first.repartition("block"), np.int64, lambda sums: np.round(1024 * np.log2(sums + 1.0)).astype(np.uint16))
+    for row in ranked.toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["counts"], np.uint16)
     return out.ravel()
 
 
@@ -222,7 +223,9 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, how: Join, cou
     wanted = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
     for cell, bits in slots.toLocalIterator():
         wanted[cell] = np.uint64(bits & (1 << 64) - 1)
-    sets = written(_sets(docs, how, counts, docs.sparkSession.sparkContext.broadcast(wanted)), "sets")
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted)
+    sets = written(_sets(docs, how, counts, wanted), "sets")
+    wanted.destroy()
     met = _met(pairs, sets, ["second", "third"], lambda a, b: all(_shared(p, q, np.uint32) > 0 for p, q in zip(a, b, strict=True)))
     candidates = written(met.distinct(), "candidates")
 
@@ -290,6 +293,7 @@ def jaccard_components(docs: DataFrame, how: Join | None = None, id_col: str = "
         links = written(links.unionByName(_links(rest, docs, classes, how, counts)), "links")
         roots = component_roots(links)
 
+    counts.destroy()  # nothing that is left to compute needs the order
     named = attach_roots(classes.drop("slot"), roots)
     least = named.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("nodes"))
     final = attach(named.select("node", "class_size", "root"), least, ["root"], "nodes", classes.count()).select("node", "class_size", "first")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, group_map, map_place, table, with_flag, written
+from .common import fresh, group_map, map_bits, map_place, table, with_flag, written
 
 # Patterns in order of precedence. Each starts where nothing that it could begin with stands before,
 # and repeats possessively, so that long runs are read once.
@@ -233,7 +233,8 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
     found = rows.filter(F.size(hits) > 0).select(F.col(row).alias("row"), F.explode(F.flatten(F.transform(hits, lambda x: x["entities"]))).alias("entity")).select("row", "entity.kind", "entity.norm").filter(~F.col("kind").isin("initial", "particle"))
     found = written(found, "found")
     retried = written(found.join(attempts(found, key), ["kind", "norm"]).groupBy("row").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("late")), "retried")
-    flagged = with_flag(rows, map_place(F.col(row)), written(group_map(retried, "row"), "map"), flag)
+    bits = map_bits(retried.count())
+    flagged = with_flag(rows, map_place(bits, F.col(row)), group_map(retried, bits, "row"), flag)
     none = F.array().cast("array<struct<kind:string,norm:string,attempt:int>>")
     some = flagged.filter(flag).join(retried.toDF(own, late), F.col(row) == F.col(own), "left").withColumn(late, F.coalesce(F.col(late), none)).drop(own)
     rest = flagged.filter(~F.col(flag)).withColumn(late, none)

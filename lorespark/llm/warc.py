@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import attach, group_map, map_place, new_path, table, with_flag, written
+from .common import attach, group_map, map_bits, map_place, new_path, table, with_flag, written
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -54,7 +54,8 @@ def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     each = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy(*key, "page_id").agg(F.count("*").alias("n"), F.min("__row").alias("row"))
     groups = each.groupBy(*key).agg(F.max(F.struct(F.col("page_id").isNotNull(), "page_id", "n", "row")).alias("__last"), F.sum("n").alias("__n")).filter("__n > 1")
     groups = written(groups, "payloads")
-    rows = with_flag(rows, map_place(*map(F.col, key)), written(group_map(groups, *key), "map"), "__shared")
+    bits = map_bits(groups.count())
+    rows = with_flag(rows, map_place(bits, *map(F.col, key)), group_map(groups, bits, *key), "__shared")
     columns = ["page_id", "url", "payload", *key]
     shared = attach(rows.filter("__shared"), groups, key, "__n", pages.count())
     stays = F.col("page_id").eqNullSafe(F.col("__last.page_id")) & ((F.col("__last.n") == 1) | (F.col("__row") == F.col("__last.row")))

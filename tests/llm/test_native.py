@@ -30,7 +30,37 @@ def test_longer_and_higher_rules_suppress(spark):
     assert "gpl-3.0" in got[1]
     assert {"mit", "bsd-3-clause"} <= set(got[2])
     assert got[3] == []
-    assert len(licenses.RULES) > 200
+    assert len(licenses.RULES) > 200 and len({r.pattern for r in licenses.RULES if not r.before}) > 180
+
+
+def test_wordings_of_licenses(spark):
+    cases = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": {"mit", "apache-2.0"},
+        "# SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause": {"gpl-2.0", "bsd-3-clause", "gpl-exception"},
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": {"isc"},
+        "GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.": {"gpl-3.0"},
+        "it is not under the GPL license": {"none"},
+        "The launch was covered by MIT students.": set(),
+        "This game is available under PHP and is written in it": set(),
+        "Apache License, Version 2.0": {"apache-2.0"},
+        "Mozilla Public License 2.0": {"mpl-2.0"},
+        "GPLv3": {"gpl-3.0"},
+        "BSD-3-Clause": {"bsd-3-clause"},
+        "under CC BY-SA 4.0 terms": {"cc-by-sa"},
+        "": set(),
+    }
+    rows = [(i, t) for i, t in enumerate(cases)]
+    found = licenses.license_detections(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: set(r["licenses"]["labels"]) for r in found} == dict(enumerate(cases.values()))
+    scopes = {r["doc_id"]: {d["scope"] for d in r["detections"]} - {""} for r in found}
+    assert {i: x for i, x in scopes.items() if x} == {1: {"only"}, 3: {"or-later"}}
+
+
+def test_rules_of_any_length_match(spark):
+    words = [f"w{i}" for i in range(60)]
+    rule = licenses.Rule(0, "w0", "^" + " ".join(words) + " ", "", "long", 1, 1.0, False)
+    df = spark.createDataFrame([(1, "x " + " ".join(words) + " y", 5), (1, "x " + " ".join(words) + " y", 5)], "doc_id long, text string, Detections int")
+    assert [r["licenses"]["labels"] for r in licenses.license_detections(df, rules=[rule]).collect()] == [["long"], ["long"]]
 
 
 PEOPLE = [
