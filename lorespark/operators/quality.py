@@ -41,8 +41,14 @@ def latest_per_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def judged_pairs(records: DataFrame) -> DataFrame:
-    """(item_id, template_id, auto, manual): items that have a record of both sources."""
-    side = lambda source, name: records.filter(F.col("source") == source).groupBy("item_id", "template_id").agg(F.min("score").alias(name))
+    """(item_id, template_id, auto, manual): the scores of the first record of either source, by created_at and record_id,
+    of items that have both and whose tenant both records share."""
+
+    def side(source: str, name: str) -> DataFrame:
+        first = F.min_by(F.struct("score", F.col("tenant_id").eqNullSafe(F.col("item_tenant")).alias("own")), F.struct("created_at", "record_id"))
+        rows = records.filter(F.col("source") == source).groupBy("item_id", "template_id").agg(first.alias("first"))
+        return rows.filter("first.own").select("item_id", "template_id", F.col("first.score").alias(name))
+
     return side("auto", "auto").join(side("manual_review", "manual"), ["item_id", "template_id"])
 
 
@@ -149,11 +155,13 @@ def status_pivot(items: DataFrame) -> DataFrame:
     return items.groupBy("task_id").agg(*[count_where(F.col("status") == s).alias(s) for s in ("awaiting_review", "succeeded", "failed", "cancelled")])
 
 
-def task_rollup(items: DataFrame) -> DataFrame:
-    """(task_id, progress, status) from a task's items: null status while items are unresolved."""
-    n = F.count("*")
+def task_rollup(items: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task_id, progress, status) of each task that has items, or at least one expected: a task has as many items as it
+    expects, or more if there are more; the status is null while some are missing or unresolved."""
     of = lambda *s: count_where(F.col("status").isin(*s))
-    counts = items.groupBy("task_id").agg(n.alias("n"), of("succeeded").alias("good"), of("failed").alias("failed"), of("cancelled").alias("cancelled"), of("awaiting_review").alias("waiting"))
+    counts = items.groupBy("task_id").agg(F.count("*").alias("have"), of("succeeded").alias("good"), of("failed").alias("failed"), of("cancelled").alias("cancelled"), of("awaiting_review").alias("waiting"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("expected", "have", "good", "failed", "cancelled", "waiting")}
+    counts = counts.join(tasks, "task_id", "full_outer").withColumns(zero).withColumn("n", F.greatest("expected", "have")).filter("n > 0")
     ended = F.col("good") + F.col("failed") + F.col("cancelled")
     status = (
         F.when((ended < F.col("n")) & (ended + F.col("waiting") == F.col("n")), "awaiting_review")

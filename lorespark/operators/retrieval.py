@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.common import ratio
 
 
+#: Numbers over which blocks of vectors are spread; each block of queries is sent so many times at most.
+SPREAD = 256
+
+
 def _packed(vectors: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame:
     """(ids, matrix, dims): blocks of at most so many vectors as binary, normal rows only."""
 
@@ -42,7 +46,10 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, pool: int = 30, least:
     pool best of each query only. Vectors that are null, empty, zero or not finite take no part.
     """
     left, right = _packed(queries, id_col, vector_col, block), _packed(vectors, id_col, vector_col, block)
-    pairs = right.select(F.col("ids").alias("r_ids"), F.col("matrix").alias("r"), F.col("dims").alias("r_dims")).join(left, F.col("dims") == F.col("r_dims"))
+    right = right.select(F.col("ids").alias("r_ids"), F.col("matrix").alias("r"), F.col("dims").alias("r_dims"), (F.monotonically_increasing_id() % SPREAD).alias("at"))
+    # Each block of queries goes to every number, a block of vectors to one, so that pairs of blocks are spread over tasks.
+    left = left.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    pairs = right.join(left, (F.col("dims") == F.col("r_dims")) & (F.col("at") == F.col("to")))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,6 +178,9 @@ def hash_embeddings(docs: DataFrame, dims: int = 64) -> DataFrame:
 
 
 def corpus_fingerprint(rows: DataFrame, *keys: str) -> DataFrame:
-    """Per group of keys the number of rows and a digest of them that does not depend on their order."""
-    part = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))), 1, 15), 16, 10).cast("long")
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.bit_xor(part).alias("fingerprint"))
+    """Per group of keys the number of rows and a digest of them that does not depend on their order: the sums of both
+    halves of the rows' hashes, hashed, so that rows that repeat count as often as they stand."""
+    row = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))))
+    part = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)"))
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("rows"), part(1).alias("a"), part(17).alias("b"))
+    return sums.select(*keys, "rows", F.sha2(F.concat_ws("|", F.col("rows").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")), 256).alias("fingerprint"))

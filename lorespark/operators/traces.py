@@ -107,9 +107,12 @@ def structured_stats(traces: DataFrame, *keys: str) -> DataFrame:
 
 
 def latency_percentiles(traces: DataFrame, *keys: str) -> DataFrame:
-    """Nearest-rank percentiles."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ms)")
-    return traces.groupBy(*keys).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("latency_ms").alias("most"))
+    """Nearest-rank percentiles. Ranks come from counts per value, so that no group's values are held in one buffer."""
+    counts = traces.filter("latency_ms is not null").groupBy(*keys, "latency_ms").agg(F.count("*").alias("k"))
+    group = Window.partitionBy(*keys)
+    counts = counts.withColumn("upto", F.sum("k").over(group.orderBy("latency_ms"))).withColumn("n", F.sum("k").over(group))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p), F.col("latency_ms")))
+    return counts.groupBy(*keys).agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("latency_ms").alias("most"))
 
 
 def call_accounting(traces: DataFrame, *keys: str) -> DataFrame:
@@ -134,14 +137,25 @@ def running_cost(traces: DataFrame, quota: float) -> DataFrame:
 
 
 def health_states(traces: DataFrame, failures: int = 3, cooldown: str = "10 minutes") -> DataFrame:
-    """Per model and call, in order: failures in a row so far, and whether that opens a cooldown of the model."""
-    order = Window.partitionBy("model").orderBy("created_at", "id")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = F.sum(F.col("success").cast("int")).over(so_far)
-    marked = traces.select("model", "id", "created_at", "success", run.alias("run"))
-    streak = F.sum((~F.col("success")).cast("int")).over(Window.partitionBy("model", "run").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    opens = (streak > 0) & (streak % failures == 0)
-    return marked.select("model", "id", streak.alias("streak"), opens.alias("opens"), F.when(opens, F.col("created_at") + F.expr(f"interval {cooldown}")).alias("cooldown_until"))
+    """Per model and call, in order: failures in a row so far, and whether they keep the model in a cooldown, which each
+    failure from the given number on renews.
+
+    Days are ordered apart, so that no model's calls are one task's work; a day's first failures go on with those at
+    the end of the days before.
+    """
+    calls = traces.select("model", "id", "created_at", "success", F.to_date("created_at").alias("day"))
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    calls = calls.withColumn("run", F.sum(F.col("success").cast("int")).over(so_far("model", "day")))
+    calls = calls.withColumn("here", F.sum((~F.col("success")).cast("int")).over(so_far("model", "day", "run")))
+    runs = calls.groupBy("model", "day", "run").agg(F.sum((~F.col("success")).cast("int")).alias("failed"))
+    days = runs.groupBy("model", "day").agg(F.max_by("failed", "run").alias("last"), F.max("run").alias("wins"))
+    order = Window.partitionBy("model").orderBy("day")
+    days = days.withColumn("since", F.sum(F.when(F.col("wins") > 0, 1).otherwise(0)).over(order))
+    days = days.withColumn("open", F.sum("last").over(Window.partitionBy("model", "since").orderBy("day")))
+    days = days.select("model", "day", F.coalesce(F.lag("open").over(order), F.lit(0)).alias("carried"))
+    streak = F.col("here") + F.when(F.col("run") == 0, F.col("carried")).otherwise(0)
+    opens = streak >= failures
+    return calls.join(days, ["model", "day"]).select("model", "id", streak.alias("streak"), opens.alias("opens"), F.when(opens, F.col("created_at") + F.expr(f"interval {cooldown}")).alias("cooldown_until"))
 
 
 def priced(traces: DataFrame, prices: DataFrame, flat_rate: float) -> DataFrame:

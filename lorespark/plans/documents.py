@@ -74,10 +74,11 @@ def fewshot_budget(spark, sf_dir):
 
 def example_reasons(spark, sf_dir):
     """Why each labelled document may not serve as an example; the first reason counts."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    firsts = docs.groupBy("text").agg(F.min("doc_id").alias("first_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.coalesce(F.sha2("text", 256), F.lit("")).alias("content"))
+    docs = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    firsts = docs.groupBy("content").agg(F.min("doc_id").alias("first_id"))
     used = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("used_id"))
-    rows = docs.join(firsts, "text").join(F.broadcast(used), F.col("doc_id") == F.col("used_id"), "left")
+    rows = docs.join(firsts, "content").join(used, F.col("doc_id") == F.col("used_id"), "left")
     reasons = [("toxic", F.col("toxic") == 1), ("low_quality", F.col("quality") == 0), ("in_evaluation", F.col("used_id").isNotNull()), ("duplicate", F.col("first_id") < F.col("doc_id")), ("too_long", F.col("n_chars") > 4000)]
     return hygiene.first_reason(rows, reasons).select("doc_id", "reason")
 

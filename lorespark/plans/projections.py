@@ -41,12 +41,19 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,
              COUNT(*) OVER (PARTITION BY o_custkey) AS cnt FROM orders) o
 """
 
+#: Every fourth item was judged twice, every seventh review is of another tenant than its item.
 QUALITY_RECORD = """
-SELECT d.doc_id AS item_id, 'auto' AS source, LEAST(100.0, CAST(d.n_chars % 101 AS DOUBLE)) AS score,
-  CASE d.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END AS template_id FROM documents d
+SELECT d.doc_id * 4 AS record_id, d.doc_id AS item_id, 'auto' AS source, LEAST(100.0, CAST(d.n_chars % 101 AS DOUBLE)) AS score,
+  CASE d.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END AS template_id,
+  d.doc_id % 5 AS tenant_id, d.doc_id % 5 AS item_tenant, CAST(1000 + d.n_chars % 50 AS BIGINT) AS created_at FROM documents d
 UNION ALL
-SELECT l.doc_id, 'manual_review', CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 100.0 ELSE 0.0 END,
-  CASE l.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END FROM labels l
+SELECT d.doc_id * 4 + 1, d.doc_id, 'auto', CAST(d.n_chars * 7 % 101 AS DOUBLE),
+  CASE d.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END,
+  d.doc_id % 5, d.doc_id % 5, CAST(1000 + d.n_chars % 40 AS BIGINT) FROM documents d WHERE d.doc_id % 4 = 0
+UNION ALL
+SELECT l.doc_id * 4 + 2, l.doc_id, 'manual_review', CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 100.0 ELSE 0.0 END,
+  CASE l.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END,
+  CASE WHEN l.doc_id % 7 = 0 THEN NULL ELSE l.doc_id % 5 END, l.doc_id % 5, CAST(2000 AS BIGINT) FROM labels l
 """
 
 TASK_ITEM = """
@@ -55,8 +62,11 @@ SELECT l_orderkey AS task_id, l_linenumber AS item_index,
        WHEN l_quantity < 3 THEN 'awaiting_review' ELSE 'succeeded' END AS status FROM lineitem
 """
 
-ESTIMATE = "SELECT l_orderkey AS trace_id, CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS amount FROM lineitem WHERE l_orderkey % 17 <> 0"
-BILL = "SELECT o_orderkey AS trace_id, CAST(o_totalprice AS DECIMAL(18,4)) AS amount FROM orders WHERE o_orderkey % 19 <> 0"
+TASK = "SELECT o_orderkey AS task_id, CAST(o_orderkey % 8 AS INT) AS expected FROM orders"
+
+#: Returned lines are billed as estimates of a number of their own, so either side lacks some of the other's.
+ESTIMATE = "SELECT CASE WHEN l_returnflag = 'R' THEN -l_orderkey ELSE l_orderkey END AS trace_id, CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS amount FROM lineitem"
+BILL = "SELECT o_orderkey AS trace_id, CAST(o_totalprice AS DECIMAL(18,4)) AS amount FROM orders"
 
 DIMENSION_SCORE = """
 SELECT l_orderkey AS item_id, CASE l_linenumber % 4 WHEN 0 THEN 'accuracy' WHEN 1 THEN 'clarity' WHEN 2 THEN 'format' ELSE 'difficulty' END AS dimension,
@@ -69,6 +79,7 @@ PROJECTIONS = {
     "quality_evaluation": QUALITY_EVALUATION,
     "quality_record": QUALITY_RECORD,
     "task_item": TASK_ITEM,
+    "task": TASK,
     "estimate": ESTIMATE,
     "bill": BILL,
     "dimension_score": DIMENSION_SCORE,

@@ -43,13 +43,15 @@ QUERIES = {
     "round_variance": lambda s, d: op.round_variance(table(s, d, "dimension_score")),
     "status_counts": lambda s, d: op.status_counts(table(s, d, "task_item")),
     "status_pivot": lambda s, d: op.status_pivot(table(s, d, "task_item")),
-    "task_rollup": lambda s, d: op.task_rollup(table(s, d, "task_item")),
+    "task_rollup": lambda s, d: op.task_rollup(table(s, d, "task_item"), table(s, d, "task")),
     "version_contrast": lambda s, d: op.contrast(outcomes(s, d)),
 }
 
 _PAIRS = with_("quality_record") + """, pairs AS (
-  SELECT a.item_id, a.template_id, a.auto, m.manual FROM (SELECT item_id, template_id, min(score) AS auto FROM quality_record WHERE source = 'auto' GROUP BY 1, 2) a
-  JOIN (SELECT item_id, template_id, min(score) AS manual FROM quality_record WHERE source = 'manual_review' GROUP BY 1, 2) m USING (item_id, template_id))
+  SELECT a.item_id, a.template_id, a.score AS auto, m.score AS manual FROM
+    (SELECT * FROM quality_record WHERE source = 'auto' QUALIFY row_number() OVER (PARTITION BY item_id, template_id ORDER BY created_at, record_id) = 1) a JOIN
+    (SELECT * FROM quality_record WHERE source = 'manual_review' QUALIFY row_number() OVER (PARTITION BY item_id, template_id ORDER BY created_at, record_id) = 1) m USING (item_id, template_id)
+  WHERE a.tenant_id IS NOT DISTINCT FROM a.item_tenant AND m.tenant_id IS NOT DISTINCT FROM m.item_tenant)
 """
 _MEANS = with_("dimension_score") + f", {_WEIGHTS}, means AS (SELECT item_id, verdict, dimension, avg(score) AS score FROM dimension_score GROUP BY 1, 2, 3)\n"
 
@@ -103,7 +105,9 @@ SELECT labelled, false_pass, labelled >= 20 AND false_pass >= 5 AS enough, CASE
     "round_variance": _MEANS + "SELECT dimension, round(a.single, 6) AS single, round(b.multi, 6) AS multi FROM (SELECT dimension, var_pop(score) AS single FROM dimension_score GROUP BY 1) a JOIN (SELECT dimension, var_pop(score) AS multi FROM means GROUP BY 1) b USING (dimension)",
     "status_counts": with_("task_item") + ", known(status) AS (VALUES " + ", ".join(f"('{x}')" for x in op.ITEM_STATUSES) + ") SELECT known.status, count(task_item.status) AS n FROM known LEFT JOIN task_item USING (status) GROUP BY 1",
     "status_pivot": with_("task_item") + "SELECT task_id, " + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in ("awaiting_review", "succeeded", "failed", "cancelled")) + " FROM task_item GROUP BY task_id",
-    "task_rollup": with_("task_item") + """, c AS (SELECT task_id, count(*) AS n, count(*) FILTER (WHERE status = 'succeeded') AS good, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'cancelled') AS cancelled, count(*) FILTER (WHERE status = 'awaiting_review') AS waiting FROM task_item GROUP BY task_id)
+    "task_rollup": with_("task_item", "task") + """, i AS (SELECT task_id, count(*) AS have, count(*) FILTER (WHERE status = 'succeeded') AS good, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'cancelled') AS cancelled, count(*) FILTER (WHERE status = 'awaiting_review') AS waiting FROM task_item GROUP BY task_id),
+c AS (SELECT task_id, greatest(coalesce(expected, 0), coalesce(have, 0)) AS n, coalesce(good, 0) AS good, coalesce(failed, 0) AS failed, coalesce(cancelled, 0) AS cancelled, coalesce(waiting, 0) AS waiting
+      FROM i FULL JOIN task USING (task_id) WHERE greatest(coalesce(expected, 0), coalesce(have, 0)) > 0)
 SELECT task_id, round(CAST(good + failed + cancelled AS DOUBLE) / n, 4) AS progress,
   CASE WHEN good + failed + cancelled < n THEN CASE WHEN good + failed + cancelled + waiting = n THEN 'awaiting_review' END
        WHEN good = n THEN 'succeeded' WHEN good > 0 THEN 'partially_succeeded' WHEN cancelled = n THEN 'cancelled' ELSE 'failed' END AS status

@@ -90,5 +90,6 @@ c AS (SELECT doc_id, CAST(CAST('0x' || substr(sha256(w), 1, 8) AS BIGINT) % 63 +
 a AS (SELECT * FROM c UNION ALL SELECT doc_id, 0, 0.01 FROM documents)
 SELECT doc_id, dim, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM a""",
     "leaked_documents": "SELECT DISTINCT doc_id, item_id FROM documents d, benchmark b WHERE contains(" + _PLAIN.format("d.text") + ", " + _PLAIN.format("b.text") + ")",
-    "corpus_fingerprint": "SELECT source, count(*) AS rows, bit_xor(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || coalesce(text, '')), 1, 15) AS BIGINT)) AS fingerprint FROM documents GROUP BY source",
+    "corpus_fingerprint": """WITH h AS (SELECT source, md5(CAST(doc_id AS VARCHAR) || '|' || coalesce(text, '')) AS m FROM documents)
+SELECT source, count(*) AS rows, sha256(count(*) || '|' || sum(CAST('0x' || substr(m, 1, 15) AS BIGINT)) || '|' || sum(CAST('0x' || substr(m, 17, 15) AS BIGINT))) AS fingerprint FROM h GROUP BY source""",
 }

@@ -118,7 +118,7 @@ FROM trace_log GROUP BY template_id, model""",
     "running_cost": _LOG + ", r AS (SELECT task_id, id, round(sum(coalesce(cost, 0)) OVER (PARTITION BY task_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING), 8) AS so_far FROM trace_log WHERE task_id IS NOT NULL) SELECT *, so_far <= 1.0 AS within FROM r",
     "health_states": _LOG + """, m AS (SELECT model, id, created_at, success, sum(CAST(success AS INT)) OVER (PARTITION BY model ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS run FROM trace_log),
 s AS (SELECT model, id, created_at, sum(CAST(NOT success AS INT)) OVER (PARTITION BY model, run ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS streak FROM m)
-SELECT model, id, CAST(streak AS BIGINT) AS streak, streak > 0 AND streak % 3 = 0 AS opens, CASE WHEN streak > 0 AND streak % 3 = 0 THEN created_at + INTERVAL 10 MINUTE END AS cooldown_until FROM s""",
+SELECT model, id, CAST(streak AS BIGINT) AS streak, streak >= 3 AS opens, CASE WHEN streak >= 3 THEN created_at + INTERVAL 10 MINUTE END AS cooldown_until FROM s""",
     "cost_priced": _LOG + """, p(model, prompt_rate, completion_rate) AS (VALUES ('m0', 0.5, 1.5), ('m1', 0.25, NULL), ('m2', NULL, 2.0)),
 c AS (SELECT id, round(coalesce(prompt_tokens, 0) / CAST(1000 AS DOUBLE) * CAST(coalesce(prompt_rate, 0.1) AS DOUBLE), 6) AS prompt_cost, round(coalesce(completion_tokens, 0) / CAST(1000 AS DOUBLE) * CAST(coalesce(completion_rate, 0.1) AS DOUBLE), 6) AS completion_cost FROM trace_log LEFT JOIN p USING (model))
 SELECT *, round(prompt_cost + completion_cost, 6) AS cost FROM c""",

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKIPPED = {"script", "style", "template", "noscript"}
+SKIPPED = {"script", "style"}
 BLOCKS = {"p", "div", "li", "br", "section", "article", "header", "footer", "nav", "main", "aside", "ul", "ol", "tr", "table", "blockquote", "pre", "title", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
