@@ -25,6 +25,7 @@ SELECT 'e' || CAST(event_id AS VARCHAR(20)) AS id,
   CASE WHEN k % 7 = 0 THEN NULL ELSE k % 7 < 5 END AS usage_reported,
   value * 10 AS latency_ms,
   CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'tenant' || CAST(user_id % 5 AS VARCHAR(20)) END AS tenant_id,
+  CASE WHEN event_id % 6 = 0 THEN NULL ELSE user_id END AS item_id,
   ts AS created_at
 FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events) e
 """
@@ -68,6 +69,27 @@ TASK = "SELECT o_orderkey AS task_id, CAST(o_orderkey % 8 AS INT) AS expected FR
 ESTIMATE = "SELECT CASE WHEN l_returnflag = 'R' THEN -l_orderkey ELSE l_orderkey END AS trace_id, CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS amount FROM lineitem"
 BILL = "SELECT o_orderkey AS trace_id, CAST(o_totalprice AS DECIMAL(18,4)) AS amount FROM orders"
 
+CONTENT_ITEM = """
+SELECT d.doc_id AS id, CASE d.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END AS template_id,
+  CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE d.lang END AS tenant_id,
+  CASE d.doc_id % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'awaiting_review' WHEN 2 THEN 'published' ELSE 'rejected' END AS status,
+  d.source AS source, d.n_chars AS n_chars FROM documents d
+"""
+
+#: Eight documents in a row stand for the chunks of one, the first for the parent of the others.
+CHUNK = """
+SELECT d.doc_id AS id, CAST(FLOOR(d.doc_id / 8) AS BIGINT) AS document_id, CAST(d.doc_id % 8 AS INT) AS chunk_index,
+  CASE WHEN d.doc_id % 8 = 0 THEN 'parent' WHEN d.doc_id % 8 = 1 THEN NULL ELSE 'leaf' END AS chunk_type,
+  d.source AS source_name, d.lang AS section, 'KP' || CAST(d.doc_id % 11 AS VARCHAR(20)) AS knowledge_point,
+  CASE WHEN d.doc_id % 3 = 0 THEN 'small' ELSE 'large' END AS embedding_model, CAST(FLOOR(d.doc_id % 8 / 3) AS INT) AS page_no FROM documents d
+"""
+
+PAGE_TASK = """
+SELECT CAST(FLOOR(p.page_id / 6) AS BIGINT) AS job_id, CAST(p.page_id % 6 + 1 + CASE WHEN p.page_id % 6 > 2 AND FLOOR(p.page_id / 6) % 4 = 0 THEN 2 ELSE 0 END AS INT) AS page_no,
+  CASE LENGTH(p.html) % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' WHEN 3 THEN 'blank' ELSE 'succeeded' END AS status,
+  LENGTH(p.html) % 3 = 0 AS cached FROM pages p
+"""
+
 DIMENSION_SCORE = """
 SELECT l_orderkey AS item_id, CASE l_linenumber % 4 WHEN 0 THEN 'accuracy' WHEN 1 THEN 'clarity' WHEN 2 THEN 'format' ELSE 'difficulty' END AS dimension,
   CAST(l_partkey % 101 AS DOUBLE) AS score, CAST(l_suppkey % 3 AS INT) AS round,
@@ -83,6 +105,9 @@ PROJECTIONS = {
     "estimate": ESTIMATE,
     "bill": BILL,
     "dimension_score": DIMENSION_SCORE,
+    "content_item": CONTENT_ITEM,
+    "chunk": CHUNK,
+    "page_task": PAGE_TASK,
 }
 
 
