@@ -37,6 +37,11 @@ def label(value: Column, blank_too: bool = False) -> Column:
     return F.when(value.isNull() | (F.lit(blank_too) & (value == "")), "unknown").otherwise(value)
 
 
+def lower_plain(text: Column) -> Column:
+    """Lower case, white space collapsed; null counts as empty."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+
+
 def token_cost(tokens: Column, rate_per_1k: Column) -> Column:
     return F.round(F.coalesce(tokens, F.lit(0)) / F.lit(1000.0) * rate_per_1k, 6)
 

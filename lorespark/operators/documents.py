@@ -28,6 +28,81 @@ def line_blocks(docs: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block", kind.alias("kind"), "text", start.alias("start")).withColumn("end", F.col("start") + F.length("text"))
 
 
+# What opens each kind of block at a line, in order; a table is a line with a bar above a line of dashes.
+DASHES = r"[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*"
+OPENERS = {
+    "heading": r" {0,3}#{1,6}[ \t]+\S.*",
+    "table": rf".*\|.*\n{DASHES}(?:\n(?=.*\S).*\|.*)*",
+    "code": r"[ \t]*(?P<fence>`{3,}|~{3,}|\$\$)[^\n]*(?:\n(?![ \t]*(?P=fence)).*)*(?:\n.*)?",
+    "list": r"[ \t]*(?:[-*+]|\d+[.)]) \S.*",
+}
+_OPEN = "|".join(rf"(?P<{kind}>{pattern})" for kind, pattern in OPENERS.items())
+_STOP = r"(?! {0,3}#{1,6}[ \t])(?![ \t]*(?:`{3,}|~{3,}|\$\$))"
+TEXT_BLOCK = re.compile(rf"^(?:(?:{_OPEN})|(?P<paragraph>.*\S.*))$", re.M)
+_MORE = re.compile(rf"\n{_STOP}(?=.*\S)(?!.*\|.*\n{DASHES}$).*", re.M)
+_BAR = re.compile(r"(?<!\\)(?:\\\\)*\|")
+
+
+def table_cells(line: str) -> list[str]:
+    """The cells of a table's line: bars part them unless an odd number of backslashes stands before; outer bars are none."""
+    cells, begin, line = [], 0, line.strip()
+    for bar in _BAR.finditer(line):
+        cells.append(line[begin : bar.end() - 1].strip())
+        begin = bar.end()
+    cells.append(line[begin:].strip())
+    return cells[bool(line[:1] == "|") : len(cells) - (len(cells) > 1 and begin == len(line))]
+
+
+def parsed_blocks(text: str) -> list[tuple[str, int, int, str]]:
+    """(kind, first line, last line, text) of a Markdown text: headings, tables whose lines have one width, fenced code and
+    formulas, lists, and paragraphs of all lines up to an empty one or the next block."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    found, at, line, done = [], 0, 1, 0
+    while block := TEXT_BLOCK.search(text, at):
+        kind, begin, end = block.lastgroup if block.lastgroup != "fence" else "code", block.start(), block.end()
+        if kind == "table":
+            lines = block[0].split("\n")
+            widths = [len(table_cells(x)) for x in lines]
+            same = next((i for i, w in enumerate(widths) if w != widths[0]), len(lines))
+            kind, end = ("table", begin + len("\n".join(lines[:same]))) if same > 1 else ("paragraph", begin + len(lines[0]))
+        if kind in ("list", "paragraph"):
+            while more := _MORE.match(text, end):
+                end = more.end()
+        line += text.count("\n", done, begin)
+        last = line + text.count("\n", begin, end)
+        found.append((kind, line, last, text[begin:end]))
+        line, done, at = last, end, end
+    return found
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, block, kind, first_line, last_line, text) of each text by parsed_blocks()."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, *b) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, b in enumerate(parsed_blocks(x or ""))]
+            kinds = (batch.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], ["doc_id", "block", "kind", "first_line", "last_line", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(parse, f"doc_id {kind}, block int, kind string, first_line int, last_line int, text string")
+
+
+def table_chunks(header: list[str], rows: list[list[str]], size: int) -> list[tuple[int, int, str]]:
+    """(first row, past last row, text) of a table cut into pieces of at most size characters, each with the header; a row
+    that is longer alone is a piece of its own."""
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    head = line(header) + "\n" + line(["---"] * len(header))
+    pieces, begin, held = [], 0, len(head)
+    for i, row in enumerate(rows):
+        if i > begin and held + 1 + len(line(row)) > size:
+            pieces.append((begin, i))
+            begin, held = i, len(head)
+        held += 1 + len(line(row))
+    pieces += [(begin, len(rows))] if begin < len(rows) else []
+    return [(a, b, "\n".join([head, *map(line, rows[a:b])])) for a, b in pieces]
+
+
 def section_paths(blocks: DataFrame) -> DataFrame:
     """blocks with section, the headings above each: a heading closes all open ones of its level or deeper."""
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", r"^#+", 0)))

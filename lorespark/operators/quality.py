@@ -155,13 +155,14 @@ def status_pivot(items: DataFrame) -> DataFrame:
     return items.groupBy("task_id").agg(*[count_where(F.col("status") == s).alias(s) for s in ("awaiting_review", "succeeded", "failed", "cancelled")])
 
 
-def task_rollup(items: DataFrame, tasks: DataFrame) -> DataFrame:
+def task_rollup(items: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """(task_id, progress, status) of each task that has items, or at least one expected: a task has as many items as it
     expects, or more if there are more; the status is null while some are missing or unresolved."""
     of = lambda *s: count_where(F.col("status").isin(*s))
     counts = items.groupBy("task_id").agg(F.count("*").alias("have"), of("succeeded").alias("good"), of("failed").alias("failed"), of("cancelled").alias("cancelled"), of("awaiting_review").alias("waiting"))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("expected", "have", "good", "failed", "cancelled", "waiting")}
-    counts = counts.join(tasks, "task_id", "full_outer").withColumns(zero).withColumn("n", F.greatest("expected", "have")).filter("n > 0")
+    counts = counts.join(tasks, "task_id", "full_outer") if tasks is not None else counts.withColumn("expected", F.lit(0))
+    counts = counts.withColumns(zero).withColumn("n", F.greatest("expected", "have")).filter("n > 0")
     ended = F.col("good") + F.col("failed") + F.col("cancelled")
     status = (
         F.when((ended < F.col("n")) & (ended + F.col("waiting") == F.col("n")), "awaiting_review")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import ratio
+from ..functions.common import lower_plain, ratio
+from .planning import with_terms
 
 
 #: Numbers over which blocks of vectors are spread; each block of queries is sent so many times at most.
@@ -72,50 +71,30 @@ def ranked(candidates: DataFrame, score: str, pool: int) -> DataFrame:
     return candidates.withColumn("rank", place).filter(F.col("rank") <= pool)
 
 
-FRAGMENT = re.compile(r"[a-z0-9]+(?:[-'][a-z0-9]+)*|[㐀-鿿]+|[-+][a-z]+")
-RUN = re.compile(r"[㐀-鿿]+")
-
-
-def plain(text: str | None) -> str:
-    """Compatibility form, case folded, white space collapsed."""
-    return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
-
-
-def _spread(values: list[str], n: int) -> list[str]:
-    """n of the values at even distances, both ends included."""
-    return values if len(values) <= n else [values[len(values) // 2]] if n == 1 else [values[i * (len(values) - 1) // (n - 1)] for i in range(n)]
-
-
-def query_terms(text: str | None, most: int = 16) -> list[str]:
-    """The whole query, its words and Chinese runs, then pairs of neighbours within runs, at most so many terms."""
-    whole = plain(text)
-    base = list(dict.fromkeys([whole, *FRAGMENT.findall(whole)])) if whole else []
-    if len(base) >= most:
-        return _spread(base, most)
-    pairs = dict.fromkeys(run[i : i + 2] for run in RUN.findall(whole) for i in range(len(run) - 1))
-    return base + _spread([p for p in pairs if p not in base], most - len(base))
+#: Bytes of terms that go to the tasks at once.
+BLOCK_BYTES = 1 << 23
 
 
 def terms_of(queries: DataFrame, most: int = 16, whole: bool = False) -> DataFrame:
-    """(query_id, term) for queries of (query_id, text); the whole text as its only term if whole."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(q, t) for q, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in ([plain(x)] if whole else query_terms(x, most))]
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["query_id", "term"])
-
-    return queries.select(F.col("query_id").cast("long"), "text").mapInArrow(split, "query_id long, term string")
+    """(query_id, term) for queries of (query_id, text), in lower case with single spaces; the whole text as its only term if whole."""
+    rows = queries.select(F.col("query_id").cast("long"), lower_plain(F.col("text")).alias("plain"))
+    terms = F.array("plain") if whole else F.col("terms")
+    rows = rows if whole else with_terms(rows, "plain", most)
+    return rows.select("query_id", F.explode(terms).alias("term")).filter("term <> ''")
 
 
-def term_hits(docs: DataFrame, terms: DataFrame, most_terms: int = 200_000) -> DataFrame:
-    """(doc_id, term): which of the terms each text contains, from one pass over the text for each block of terms.
+def term_hits(docs: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
+    """(doc_id, term): which of the terms a form of each text contains.
 
-    terms has a column term; its distinct values go to the tasks in blocks of most_terms, which bounds what is broadcast.
+    terms has a column term; its distinct values are parted by hash into blocks of about BLOCK_BYTES, as many as their
+    measured size asks for, and each block is searched in one pass. No block of more than that comes to the driver.
     """
-    found = sorted(r[0] for r in terms.select("term").distinct().filter("term <> ''").toLocalIterator())
-    out = None
-    for at in range(0, max(1, len(found)), most_terms):
-        block = docs.sparkSession.sparkContext.broadcast(found[at : at + most_terms])
+    distinct = terms.select("term").filter("term <> ''").distinct()
+    size = distinct.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    blocks, out = max(1, -(-size // BLOCK_BYTES)), None
+    for number in range(blocks):
+        part = distinct.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == number) if blocks > 1 else distinct
+        block = docs.sparkSession.sparkContext.broadcast([r[0] for r in part.toLocalIterator()])
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             automaton = ahocorasick.Automaton()
@@ -123,19 +102,19 @@ def term_hits(docs: DataFrame, terms: DataFrame, most_terms: int = 200_000) -> D
                 automaton.add_word(term, term)
             automaton.make_automaton()
             for batch in batches:
-                rows = [(i, t) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in ({t for _, t in automaton.iter(plain(x))} if block.value else ())]
+                rows = [(i, t) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in ({t for _, t in automaton.iter(x)} if block.value else ())]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "term"])
 
-        hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, "doc_id long, term string")
+        hits = docs.select(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")).alias("form")).mapInArrow(search, "doc_id long, term string")
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
 def keyword_recall(queries: DataFrame, docs: DataFrame, pool: int = 30) -> DataFrame:
-    """(query_id, candidate_id, matched, rank, score): documents by the number of a query's terms that they contain; score is 1 / rank."""
+    """(query_id, candidate_id, matched, rank, score): documents by the number of a query's terms that their text in lower case contains; score is 1 / rank."""
     terms = terms_of(queries)
-    hits = term_hits(docs, terms).join(terms, "term")
-    counted = hits.groupBy("query_id", F.col("doc_id").alias("candidate_id")).agg(F.countDistinct("term").alias("matched"))
+    hits = term_hits(docs, terms, F.lower("text")).join(terms, "term")
+    counted = hits.groupBy("query_id", F.col("doc_id").alias("candidate_id")).agg(F.count("*").alias("matched"))
     return ranked(counted, "matched", pool).withColumn("score", 1.0 / F.col("rank"))
 
 

@@ -92,12 +92,13 @@ QUERIES = {
     "chunk_parents": chunk_parents,
     "block_windows": block_windows,
     "page_block_counts": page_block_counts,
+    "text_blocks": lambda s, d: op.text_blocks(_docs(s, d)).select("doc_id", "block", "kind", "first_line", "last_line"),
     "request_dedup": request_dedup,
     "taxonomy_closure": taxonomy_closure,
     "pool_candidates": pool_candidates,
     "review_sample": review_sample,
     "fewshot_budget": fewshot_budget,
-    "exported_samples": lambda s, d: hygiene.exported(table(s, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn"),
+    "exported_samples": lambda s, d: hygiene.exported(table(s, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn").select(F.md5("line").alias("line")),
 }
 
 _BLOCKS = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
@@ -127,5 +128,5 @@ SELECT ancestor, node, hops FROM up""",
     "pool_candidates": "SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id NOT IN (SELECT item_id FROM benchmark)",
     "review_sample": """WITH r AS (SELECT doc_id, 'sample' AS reason FROM (SELECT doc_id FROM labels ORDER BY sha256('review|' || doc_id) LIMIT 6) UNION SELECT doc_id, 'disagreement' FROM labels WHERE quality = 1 AND toxic = 1)
 SELECT doc_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY doc_id""",
-    "exported_samples": "SELECT '{\"conv_id\":' || conv_id || ',\"turn\":' || turn || ',\"role\":\"' || role || '\"}' AS line FROM conversations",
+    "exported_samples": "SELECT md5(CAST(to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text}) AS VARCHAR)) AS line FROM conversations",
 }

@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import lower_plain
 from ..operators import ledgers
 from ..operators import planning as op
 from . import retrieval
 from .projections import table
 
 
-def _plain(text):
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
-
-
 def query_terms(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), _plain(F.col("text")).alias("plain"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), lower_plain(F.col("text")).alias("plain"))
     return op.with_terms(items, "plain").select("query_id", F.array_join("terms", "|").alias("terms"))
 
 
@@ -99,15 +96,9 @@ QUERIES = {
 }
 
 _P = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
-_EVEN = lambda v, n: f"CASE WHEN len({v}) <= {n} THEN {v} WHEN {n} <= 0 THEN [] WHEN {n} = 1 THEN [{v}[len({v}) // 2 + 1]] ELSE list_transform(range({n}), lambda k: {v}[k * (len({v}) - 1) // ({n} - 1) + 1]) END"
-_HAN = "[\\x{3400}-\\x{9fff}]"
 _LINES = "SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT) AS candidate_id, min(l_quantity) AS l_quantity, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2"
 SQL = {
-    "query_terms": f"""WITH q AS (SELECT item_id AS query_id, {_P.format("coalesce(text, '')")} AS p FROM benchmark),
-b AS (SELECT query_id, p, list_concat([p], regexp_extract_all(p, '[a-z0-9]+(?:[-''][a-z0-9]+)*|{_HAN}+|[-+][a-z]+')) AS x, regexp_extract_all(p, '{_HAN}+') AS runs FROM q),
-u AS (SELECT query_id, p, list_filter(x, lambda v, i: list_position(x, v) = i) AS base, flatten(list_transform(runs, lambda r: list_transform(range(1, len(r)), lambda i: substr(r, i, 2)))) AS y FROM b),
-r AS (SELECT *, list_filter(y, lambda v, i: list_position(y, v) = i AND NOT list_contains(base, v)) AS pairs, 16 - len(base) AS room FROM u)
-SELECT query_id, CASE WHEN p = '' THEN '' WHEN room <= 0 THEN array_to_string({_EVEN('base', '16')}, '|') ELSE array_to_string(list_concat(base, {_EVEN('pairs', 'room')}), '|') END AS terms FROM r""",
+    "query_terms": retrieval.QUERY_TERMS,
     "question_parts": f"""WITH q AS (SELECT conv_id * 100 + turn AS query_id, replace(text, '.', ';') AS text FROM conversations WHERE role = 'user'),
 s AS (SELECT query_id, {_P.format('text')} AS whole, list_filter(list_transform(regexp_split_to_array(text, '(?:以及|同时(?:还)?|另外|此外|[；;]|\\band also\\b)'), lambda x: regexp_replace(x, '^[ ,，。；;？?]+|[ ,，。；;？?]+$', '', 'g')), lambda x: x <> '') AS raw FROM q),
 f AS (SELECT query_id, list_filter(raw, lambda x: length(x) BETWEEN 2 AND 256 AND {_P.format('x')} <> whole) AS fits FROM s WHERE len(raw) > 1),

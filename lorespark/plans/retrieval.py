@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import lower_plain
 from ..operators import retrieval as op
 from .projections import table
 
@@ -49,7 +50,7 @@ def leaked_documents(spark, sf_dir):
     """Documents that contain the text of a benchmark item."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     whole = op.terms_of(items, whole=True).withColumnRenamed("query_id", "item_id")
-    return op.term_hits(table(spark, sf_dir, "documents"), whole).join(whole, "term").select("doc_id", "item_id").distinct()
+    return op.term_hits(table(spark, sf_dir, "documents"), whole, lower_plain(F.col("text"))).join(whole, "term").select("doc_id", "item_id").distinct()
 
 
 QUERIES = {
@@ -72,6 +73,14 @@ near AS (SELECT * FROM n WHERE {least})
 """
 
 
+_P = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+_EVEN = lambda v, n: f"CASE WHEN len({v}) <= {n} THEN {v} WHEN {n} <= 0 THEN [] WHEN {n} = 1 THEN [{v}[len({v}) // 2 + 1]] ELSE list_transform(range({n}), lambda k: {v}[k * (len({v}) - 1) // ({n} - 1) + 1]) END"
+_HAN = "[\\x{3400}-\\x{9fff}]"
+QUERY_TERMS = f"""WITH q AS (SELECT item_id AS query_id, {_P.format("coalesce(text, '')")} AS p FROM benchmark),
+b AS (SELECT query_id, p, list_concat([p], regexp_extract_all(p, '[a-z0-9]+(?:[-\'\'][a-z0-9]+)*|{_HAN}+|[-+][a-z]+')) AS x, regexp_extract_all(p, '{_HAN}+') AS runs FROM q),
+u AS (SELECT query_id, p, list_filter(x, lambda v, i: list_position(x, v) = i) AS base, flatten(list_transform(runs, lambda r: list_transform(range(1, len(r)), lambda i: substr(r, i, 2)))) AS y FROM b),
+r AS (SELECT *, list_filter(y, lambda v, i: list_position(y, v) = i AND NOT list_contains(base, v)) AS pairs, 16 - len(base) AS room FROM u)
+SELECT query_id, CASE WHEN p = '' THEN '' WHEN room <= 0 THEN array_to_string({_EVEN('base', '16')}, '|') ELSE array_to_string(list_concat(base, {_EVEN('pairs', 'room')}), '|') END AS terms FROM r"""
 _PLAIN = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 SQL = {
     "vector_recall": _near(30, "similarity >= 0.3") + "SELECT query_id, candidate_id, round(similarity, 6) AS similarity, rank FROM near",
@@ -89,6 +98,9 @@ FROM i LEFT JOIN g USING (query_id)""",
 c AS (SELECT doc_id, CAST(CAST('0x' || substr(sha256(w), 1, 8) AS BIGINT) % 63 + 1 AS INTEGER) AS dim, CAST(count(*) AS DOUBLE) AS value FROM w GROUP BY 1, 2),
 a AS (SELECT * FROM c UNION ALL SELECT doc_id, 0, 0.01 FROM documents)
 SELECT doc_id, dim, round(value / sqrt(sum(value * value) OVER (PARTITION BY doc_id)), 6) AS value FROM a""",
+    "keyword_recall": """WITH t AS (SELECT query_id, unnest(string_split(terms, '|')) AS term FROM (TERMS)),
+m AS (SELECT query_id, doc_id AS candidate_id, count(*) AS matched FROM documents JOIN t ON contains(lower(text), term) WHERE term <> '' GROUP BY 1, 2)
+SELECT query_id, candidate_id, matched, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, candidate_id) AS rank, 1.0::DOUBLE / row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, candidate_id) AS score FROM m QUALIFY rank <= 10""".replace("TERMS", QUERY_TERMS),
     "leaked_documents": "SELECT DISTINCT doc_id, item_id FROM documents d, benchmark b WHERE contains(" + _PLAIN.format("d.text") + ", " + _PLAIN.format("b.text") + ")",
     "corpus_fingerprint": """WITH h AS (SELECT source, md5(CAST(doc_id AS VARCHAR) || '|' || coalesce(text, '')) AS m FROM documents)
 SELECT source, count(*) AS rows, sha256(count(*) || '|' || sum(CAST('0x' || substr(m, 1, 15) AS BIGINT)) || '|' || sum(CAST('0x' || substr(m, 17, 15) AS BIGINT))) AS fingerprint FROM h GROUP BY source""",

@@ -1,12 +1,13 @@
 """Small cases with known results."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions.common import cosine, in_scope, redacted
-from lorespark.operators import documents, hygiene, quality, retrieval, traces
+from lorespark.operators import documents, hygiene, planning, quality, retrieval, traces
 from lorespark.sources.html import html_blocks
 from lorespark.streaming import operators as streams
 from lorespark.streaming.runs import finished
@@ -41,10 +42,71 @@ def test_pipeline_stats(spark):
     assert (got["first_n"], got["first_pass_rate"], got["final_n"], got["final_pass_rate"]) == (1, 0.0, 1, 1.0)
 
 
+RECORDS = "item_id long, source string, score double, template_id string, record_id long, created_at long, tenant_id long, item_tenant long"
+
+
+def test_first_records_of_one_tenant_are_paired(spark):
+    rows = [(1, "auto", 50.0, "t", 2, 10, 1, 1), (1, "auto", 90.0, "t", 1, 10, 1, 1), (1, "auto", 10.0, "t", 0, 11, 1, 1), (1, "manual_review", 1.0, "t", 3, 20, 1, 1), (2, "auto", 1.0, "t", 4, 1, 1, 1), (2, "manual_review", 1.0, "t", 5, 1, None, 1)]
+    assert [tuple(r) for r in quality.judged_pairs(spark.createDataFrame(rows, RECORDS)).collect()] == [(1, "t", 90.0, 1.0)]
+
+
+def test_tasks_wait_for_expected_items(spark):
+    items = spark.createDataFrame([(1, "succeeded"), (2, "succeeded"), (2, "failed"), (3, "awaiting_review")], "task_id long, status string")
+    tasks = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 3), (5, 0)], "task_id long, expected int")
+    got = {r["task_id"]: (r["progress"], r["status"]) for r in quality.task_rollup(items, tasks).collect()}
+    assert got == {1: (0.5, None), 2: (1.0, "partially_succeeded"), 3: (0.0, "awaiting_review"), 4: (0.0, None)}
+
+
+def test_every_failure_from_the_third_on_renews_the_cooldown(spark):
+    day = lambda d, h: datetime.datetime(2024, 1, d, h)
+    rows = [("m", str(i), day(d, i), ok) for i, (d, ok) in enumerate([(1, True), (1, False), (1, False), (2, False), (3, False), (3, True), (3, False)])]
+    got = traces.health_states(spark.createDataFrame(rows, "model string, id string, created_at timestamp_ntz, success boolean")).orderBy("id").collect()
+    assert [(r["streak"], r["opens"]) for r in got] == [(0, False), (1, False), (2, False), (3, True), (4, True), (0, False), (1, False)]
+
+
+def test_text_blocks():
+    text = "# T\npara one\ngoes on\n\n- a\n- b\n| x | y |\n|---|:---:|\n| 1 | 2 |\n| 3 |\ntail\n```py\ncode | x\n# no\n```\n$$\na=b\n$$\nafter\r\n## H2 #\nx|y\n\n~~~\nopen"
+    kinds = [(k, a, b) for k, a, b, _ in documents.parsed_blocks(text)]
+    assert kinds == [("heading", 1, 1), ("paragraph", 2, 3), ("list", 5, 6), ("table", 7, 9), ("paragraph", 10, 11), ("code", 12, 15), ("code", 16, 18), ("paragraph", 19, 19), ("heading", 20, 20), ("paragraph", 21, 21), ("code", 23, 24)]
+    assert documents.parsed_blocks("") == [] and documents.parsed_blocks(" \n\n") == []
+    assert documents.table_cells(r"| a \| b | c | ") == [r"a \| b", "c"] and documents.table_cells("a|b") == ["a", "b"]
+    pieces = documents.table_chunks(["h", "i"], [["1", "2"], ["3", "4"], ["5", "6" * 30]], 43)
+    assert [(a, b) for a, b, _ in pieces] == [(0, 2), (2, 3)] and all(x.startswith("| h | i |\n| --- | --- |\n") for *_, x in pieces)
+
+
+def test_cuts_end_at_the_best_boundary():
+    """Against a search of each window from its end for the best boundary."""
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", "a", " ", ". ", ", ", "\n", "\n\n", "漢。", "x" * 30]) for _ in range(rng.randrange(1, 80)))
+        size, overlap = rng.choice([(20, 5), (50, 0), (40, 20)])
+        spans = documents.cut_points(text, size, overlap)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text)
+        for (a, b), (c, _) in zip(spans, spans[1:], strict=False):
+            assert 0 < b - a <= size and a < c <= b
+            half = a + size // 2
+            ends = [[half + m.end() for m in boundary.finditer(text[half : a + size])] for boundary in documents.BOUNDARIES]
+            want = next((found[-1] for found in ends if found), min(len(text), a + size))
+            assert b == want
+
+
+def test_terms_of_long_and_chinese_queries(spark):
+    rows = [(1, ""), (2, "a 漢字漢 b-c"), (3, " ".join(f"w{i}" for i in range(40)))]
+    got = {r["query_id"]: r["terms"] for r in planning.with_terms(spark.createDataFrame(rows, "query_id long, plain string"), "plain").collect()}
+    assert got[1] == [] and got[2] == ["a 漢字漢 b-c", "a", "漢字漢", "b-c", "漢字", "字漢"]
+    assert len(got[3]) == 16 and got[3][0] == rows[2][1] and got[3][-1] == "w39"
+
+
+def test_spans_lose_what_was_delivered(spark):
+    rows = [(1, 1, 1, 0, 10), (1, 1, 2, 5, 30), (1, 1, 3, 2, 9), (1, 1, 4, 8, 50), (1, 2, 5, 8, 50)]
+    got = planning.undelivered(spark.createDataFrame(rows, "query_id long, document_id long, place long, start long, end long")).orderBy("place").collect()
+    assert [(r["place"], r["start"], r["end"]) for r in got] == [(1, 0, 10), (2, 10, 30), (4, 30, 50), (5, 8, 50)]
+
+
 def test_agreement(spark):
     def of(*pairs):
-        rows = [(i, s, v, "t") for i, (a, m) in enumerate(pairs) for s, v in (("auto", float(a)), ("manual_review", float(m)))]
-        return quality.agreement(spark.createDataFrame(rows, "item_id long, source string, score double, template_id string")).first()
+        rows = [(i, s, v, "t", k, 1, 1, 1) for i, (a, m) in enumerate(pairs) for k, (s, v) in enumerate((("auto", float(a)), ("manual_review", float(m))))]
+        return quality.agreement(spark.createDataFrame(rows, RECORDS)).first()
 
     got = of((80, 1), (60, 0), (80, 0), (60, 1))
     assert [got[c] for c in ("tp", "tn", "fp", "fn")] == [1, 1, 1, 1]
@@ -70,10 +132,13 @@ def test_vectors_without_a_direction_take_no_part(spark):
     assert [x and round(x, 4) for (x,) in pairs.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.7071, None, None, None]
 
 
-def test_query_terms():
-    assert retrieval.query_terms("Past  Simple") == ["past simple", "past", "simple"]
-    assert retrieval.query_terms("一般现在时") == ["一般现在时", "一般", "般现", "现在", "在时"]
-    assert retrieval.query_terms("") == [] and len(retrieval.query_terms("x " * 3 + " ".join(map(str, range(99))))) == 16
+def test_query_terms(spark):
+    texts = ["Past  Simple", "一般现在时", "", "x " * 3 + " ".join(map(str, range(99)))]
+    found = retrieval.terms_of(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")).collect()
+    of = lambda i: [r["term"] for r in found if r["query_id"] == i]
+    assert of(0) == ["past simple", "past", "simple"]
+    assert of(1) == ["一般现在时", "一般", "般现", "现在", "在时"]
+    assert of(2) == [] and len(of(3)) == 16
 
 
 @pytest.mark.parametrize(("statuses", "want"), [(["succeeded", "failed"], (1.0, "partially_succeeded")), (["succeeded", "awaiting_review"], (0.5, "awaiting_review")), (["running", "failed"], (0.5, None)), (["failed", "cancelled"], (1.0, "failed")), (["cancelled"], (1.0, "cancelled"))])
