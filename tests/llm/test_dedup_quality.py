@@ -71,3 +71,20 @@ def test_cascade_leaves_clean_prose():
     clean = "The committee met on Monday to discuss plans for a new library. Several members asked how the building would be paid for, and whether the old hall could be kept open meanwhile."
     assert quality._first_failure(quality.Text(clean), list(quality.RULES), quality.RULES) is None
     assert quality._first_failure(quality.Text("a | " * 40), list(quality.RULES), quality.RULES)
+
+
+def test_the_sample_comes_from_all_over(spark):
+    df = spark.range(0, 1000, 1, 100).selectExpr("cast(id as string) as text")
+    found = quality.sampled_texts(df, "text", 64)
+    assert 32 <= len(found) <= 64 and len({int(x) // 100 for x in found}) == 10
+    assert quality.sampled_texts(df.limit(0), "text") == []
+    assert len(quality.sampled_texts(spark.range(0, 10, 1, 2).selectExpr("cast(null as string) as text"), "text")) == 10
+
+
+def test_lists_numbers_and_broken_off_lines_go():
+    first = lambda text: quality._first_failure(quality.Text(text), list(quality.RULES), quality.RULES)
+    words = [f"word{'abcdefghijklmnopqrst'[i]} other{'tsrqponmlkjihgfedcba'[i]}" for i in range(20)]
+    assert first("\n".join(f"- {w}" for w in words)) == "bullets"
+    assert first("\n".join(f"{w}..." for w in words)) == "ellipses"
+    assert first(" ".join(str(10_000_019 * i) for i in range(1, 40))) == "digits"
+    assert first("\n".join(words)) is None
