@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import attach, group_map, map_bits, map_place, new_path, table, with_flag, written
+from .common import attach, group_map, map_bits, map_place, new_path, returned, table, with_flag, written
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -38,8 +42,15 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(rest.startswith("/") | rest.startswith(":"), rest).otherwise(F.concat(F.lit("/"), rest)))
 
 
+def _record_id(page: Column, row: Column) -> Column:
+    """A record's id: a UUID by hash of the page and of its row, so that rows that repeat a page differ."""
+    h = F.md5(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("none")), row.cast("string")))
+    parts = [F.substring(h, begin, n) for begin, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
+
+
 def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of each page.
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_record) of each page.
 
     Of records with equal payloads of at least least_bytes bytes the one with the largest page_id is response and
     the others revisit it, rows that repeat that page_id included, but for one of them (pages is read more than once
@@ -57,11 +68,12 @@ def with_record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     bits = map_bits(groups.count())
     rows = with_flag(rows, map_place(bits, *map(F.col, key)), group_map(groups, bits, *key), "__shared")
     columns = ["page_id", "url", "payload", *key]
+    record, target = _record_id(F.col("page_id"), F.col("__row")), _record_id(F.col("__last.page_id"), F.col("__last.row"))
     shared = attach(rows.filter("__shared"), groups, key, "__n", pages.count())
     stays = F.col("page_id").eqNullSafe(F.col("__last.page_id")) & ((F.col("__last.n") == 1) | (F.col("__row") == F.col("__last.row")))
     is_revisit = F.col("__last").isNotNull() & ~stays
-    shared = shared.select(*columns, F.when(is_revisit, "revisit").otherwise("response").alias("record_type"), F.when(is_revisit, F.col("__last.page_id")).alias("refers_to"))
-    alone = rows.filter("not __shared").select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
+    shared = shared.select(*columns, F.when(is_revisit, "revisit").otherwise("response").alias("record_type"), F.when(is_revisit, F.col("__last.page_id")).alias("refers_to"), record.alias("record_id"), F.when(is_revisit, target).alias("refers_record"))
+    alone = rows.filter("not __shared").select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"), record.alias("record_id"), F.lit(None).cast("string").alias("refers_record"))
     return shared.unionByName(alone)
 
 
@@ -97,16 +109,16 @@ def warc_records(typed: DataFrame) -> DataFrame:
     message = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), encoding, F.lit("\r\n"))
     body = F.when(is_revisit, F.lit("")).when(parted, F.concat(F.array_join(chunks, ""), F.lit("0\r\n\r\n"))).otherwise(F.col("payload"))
     block = F.concat(message, body)
-    urn = lambda name: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(name).cast("string"), F.lit("none")), F.lit(">"))
     date = F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     record = F.concat(
         F.lit(VERSION),
         _header("WARC-Type", F.col("record_type")),
-        _header("WARC-Record-ID", urn("page_id")),
+        _header("WARC-Record-ID", F.col("record_id")),
+        F.coalesce(_header("Page-ID", F.col("page_id").cast("string")), F.lit("")),
         _header("WARC-Date", date),
-        _header("WARC-Target-URI", _uri_sent(F.coalesce("url", F.lit("")))),
+        F.coalesce(_header("WARC-Target-URI", _uri_sent(F.col("url"))), F.lit("")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(is_revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), _header("WARC-Refers-To", urn("refers_to")))).otherwise(F.lit("")),
+        F.when(is_revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\n"), _header("WARC-Refers-To", F.col("refers_record")), F.coalesce(_header("Refers-To-Page-ID", F.col("refers_to").cast("string")), F.lit("")))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _header("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
@@ -135,8 +147,9 @@ def _unchunked(sent: Column, chunks: Column) -> Column:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, url, timestamp, record_type, refers_to, payload, payload_bytes, payload_digest, archive) of each record.
 
-    Archives are split at version lines, so large ones are read by many tasks. The size and digest of a response
-    are those of the payload read; those of a revisit are what its headers say.
+    For archives that write_archives() wrote: they are split at version lines, so large ones are read by many tasks. The size and digest of a response
+    are those of the payload read; those of a revisit are what its headers say. A page without id or URL has null
+    there; records that repeat stay; no archives give no rows.
     """
     rows = spark.read.option("lineSep", VERSION).text(path).filter("value <> ''").select("value", F.col("_metadata.file_name").alias("archive"))
 
@@ -151,9 +164,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select(
         "archive", "sent",
         said("head", "WARC-Type", line).alias("record_type"),
-        said("head", "WARC-Record-ID", r"<urn:page:(-?\d+)>").alias("page"),
-        said("head", "WARC-Refers-To", r"<urn:page:(-?\d+)>").alias("target"),
-        _uri_read(said("head", "WARC-Target-URI", line)).alias("url"),
+        said("head", "Page-ID", r"(-?\d+)").alias("page"),
+        said("head", "Refers-To-Page-ID", r"(-?\d+)").alias("target"),
+        F.when(F.contains("head", F.lit("\r\nWARC-Target-URI: ")), _uri_read(said("head", "WARC-Target-URI", line))).alias("url"),
         F.unix_timestamp(said("head", "WARC-Date", line), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         said("head", "WARC-Payload-Digest", r"sha1:([A-Z2-7]*)").alias("stated"),
         said("message", "Content-Length", r"(\d+)").alias("length"),
@@ -168,6 +181,71 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(number("page").alias("page_id"), "url", "timestamp", "record_type", number("target").alias("refers_to"), "payload", size.alias("payload_bytes"), digest.alias("payload_digest"), "archive")
 
 
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record of an archive's bytes, of any version; gzip members are unpacked one
+    after another. Blocks are taken by their length, whatever they hold; a record that is cut off ends the archive."""
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        yield from records_of(member.decompress(data) + member.flush())
+        data = member.unused_data
+    at = 0
+    while (begin := data.find(b"WARC/", at)) >= 0:
+        end = data.find(b"\r\n\r\n", begin)
+        if end < 0:
+            return
+        lines = re.sub(rb"\r\n[ \t]+", b" ", data[begin:end]).decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = headers.get("content-length", "")
+        if not size.isdigit() or end + 4 + int(size) > len(data):
+            return
+        at = end + 4 + int(size)
+        yield headers, data[end + 4 : at]
+
+
+def _payload(block: bytes) -> bytes:
+    """The body of an HTTP message, unchunked; a block that is none is a payload itself."""
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not block.startswith(b"HTTP/") or not found:
+        return block
+    if not re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", head):
+        return body
+    out, at = [], 0
+    while size := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n").match(body, at):
+        n = int(size[1], 16)
+        out.append(body[size.end() : size.end() + n])
+        at = size.end() + n + 2
+        if n == 0:
+            break
+    return b"".join(out)
+
+
+def read_foreign_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, url, date, record_type, refers_to, payload binary, payload_bytes, payload_digest, archive) of each
+    response, resource and revisit record of archives of any origin: WARC/1.0 and 1.1, plain or of gzip members, binary payloads.
+
+    A task reads one archive after another, each whole, as gzip allows no other way: archives of the usual gigabyte need
+    executors that hold one. What was written here is read by read_archives() in parts. Headers that are missing are null.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["record_id", "url", "date", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest", "archive"]
+        kinds = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string(), pa.string()]
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for headers, block in records_of(content):
+                    kind = headers.get("warc-type")
+                    if kind not in ("response", "resource", "revisit"):
+                        continue
+                    body = None if kind == "revisit" else _payload(block)
+                    said = headers.get("warc-payload-digest", "").partition("sha1:")[2] or None
+                    digest = said if body is None else base64.b32encode(hashlib.sha1(body).digest()).decode()
+                    row = (headers.get("warc-record-id"), headers.get("warc-target-uri", "").strip("<>") or None, headers.get("warc-date"), kind, headers.get("warc-refers-to"), body, None if body is None else len(body), digest, path)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(parse, "record_id string, url string, date string, record_type string, refers_to string, payload binary, payload_bytes long, payload_digest string, archive string")
+
+
 class LoserTree:
     """Merges sorted runs: each inner node keeps the loser of its match, so a step replays one path only."""
 
@@ -204,6 +282,8 @@ class LoserTree:
 
 
 KEYS = ["url_key", "timestamp", "__id"]
+#: Rows that a merge reads from a run, and returns, at once.
+STEP = 8192
 
 
 def index_runs(captures: DataFrame) -> DataFrame:
@@ -215,34 +295,57 @@ def index_runs(captures: DataFrame) -> DataFrame:
 def merged_histories(runs: DataFrame, ways: int = 256) -> DataFrame:
     """The entries of all runs in one order, with capture: the number of the capture in its URL's history, from 1.
 
-    Ranges of keys cut all runs alike. A task gets its range's slice of each run, one after another, and merges
-    them by a loser tree, in groups of at most `ways` first if there are more. A URL with a large part of all
-    captures is parted by time; numbers are first given within a range, and what the URL has in earlier ranges,
-    known from the first and last key of each range, is added.
+    Ranges of keys cut all runs alike. A task gets its range's slices of the runs as they are, one after another and
+    each in order, and merges them by a loser tree, in groups of at most `ways` first if there are more; nothing is
+    sorted anew. It holds its range as Arrow columns and reads and returns some thousand rows at a time. A URL with a
+    large part of all captures is parted by time; numbers are first given within a range, and what the URL has in
+    earlier ranges, known from the first and last key of each range, is added. Within a range rows keep that order, and
+    ranges are numbered in it.
+
+    Captures without URL have the empty key, those without page_id come first of their second; equal entries keep
+    the order of their runs; no runs give no rows.
     """
-    ranged = runs.repartitionByRange(*KEYS).sortWithinPartitions("run", *KEYS)
+    ranged = runs.repartitionByRange(*KEYS)
     names = [*runs.columns, "number", "range"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(batches, batch_schema)
-        run = held.column("run").to_pylist()
-        columns = [held.column(k).to_pylist() for k in KEYS]
-        cuts = [i for i in range(len(run)) if i == 0 or run[i] != run[i - 1]] + [len(run)]
-        slices = [zip(*[c[a:b] for c in columns], range(a, b), strict=True) for a, b in zip(cuts, cuts[1:], strict=False)]
+        columns = [held.column(k) for k in KEYS]
+
+        def rows(begin: int, end: int) -> Iterator[tuple]:
+            for at in range(begin, end, STEP):
+                n = min(STEP, end - at)
+                yield from zip(*[c.slice(at, n).to_pylist() for c in columns], range(at, at + n), strict=True)
+
+        cuts, last = [0], None
+        for *key, at in rows(0, held.num_rows):
+            if last is not None and key < last:
+                cuts.append(at)
+            last = key
+        cuts.append(held.num_rows)
+        slices: list[Iterator] = [rows(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
         while len(slices) > ways:
             slices = [iter(LoserTree(slices[i : i + ways])) for i in range(0, len(slices), ways)]
-        order, numbers, last = [], [], None
+
+        def batch(order: list[int], numbers: list[int]) -> Iterator[pa.RecordBatch]:
+            merged, at = held.take(pa.array(order, pa.int64())), TaskContext.get().partitionId()
+            yield from merged.append_column("number", pa.array(numbers, pa.int64())).append_column("range", pa.array([at] * len(order), pa.int64())).to_batches()
+
+        order, numbers, last, n = [], [], None, 0
         for key, _, _, at in LoserTree(slices):
-            numbers.append(numbers[-1] + 1 if key == last else 1)
-            order.append(at)
+            n = n + 1 if key == last else 1
             last = key
-        merged = held.take(pa.array(order, pa.int64()))
-        at = pa.array([TaskContext.get().partitionId()] * len(order), pa.int64())
-        yield from merged.append_column("number", pa.array(numbers, pa.int64())).append_column("range", at).to_batches(max_chunksize=10_000)
+            order.append(at)
+            numbers.append(n)
+            if len(order) == STEP:
+                yield from batch(order, numbers)
+                order, numbers = [], []
+        if order:
+            yield from batch(order, numbers)
 
     batch_schema = to_arrow_schema(runs.schema)
     schema = StructType([*runs.schema.fields, *StructType.fromDDL("number long, range long").fields])
-    merged = written(ranged.mapInArrow(merge, schema).select(names), "merged")
+    merged = written(ranged.mapInArrow(returned(merge), schema).select(names), "merged")
     ends = merged.groupBy("range").agg(F.min("url_key").alias("head"), F.max(F.struct("url_key", "number")).alias("tail"))
     known = ends.select("range", F.col("tail.url_key").alias("key"), F.col("tail.number").alias("n"))
     known = known.unionByName(ends.filter("head <> tail.url_key").select("range", F.col("head").alias("key"), F.lit(0).cast("long").alias("n")))

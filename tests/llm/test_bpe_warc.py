@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 
@@ -96,3 +97,58 @@ def test_loser_tree(k):
     rng = random.Random(k)
     runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(20))) for _ in range(k)]
     assert list(warc.LoserTree(map(iter, runs))) == sorted(x for r in runs for x in r)
+
+
+def test_record_ids_are_unique_and_urls_may_be_missing(spark, tmp_path):
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages")
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(warc.with_record_types(spark.read.parquet(f"{tmp_path}/pages")), path)
+    records = warc.read_foreign_archives(spark, path).collect()
+    ids = [r["record_id"] for r in records]
+    assert len(set(ids)) == len(ids) == len(PAGES)
+    assert {r["refers_to"] for r in records if r["record_type"] == "revisit"} <= {r["record_id"] for r in records if r["record_type"] == "response"}
+    assert {r["url"] for r in warc.read_archives(spark, path).filter("page_id = 4").collect()} == {None}
+    own = {(r["payload_digest"], r["record_type"]) for r in warc.read_archives(spark, path).collect()}
+    assert {(r["payload_digest"], r["record_type"]) for r in records} == own
+
+
+def foreign(version, kind, uri, block, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uri}>", "WARC-Date": "2020-01-01T00:00:00Z", "WARC-Target-URI": uri, "Content-Length": str(len(block)), **more}
+    return f"{version}\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others_are_read_by_length(spark, tmp_path):
+    binary = bytes(range(256)) + b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc"
+    records = [
+        foreign("WARC/1.0", "warcinfo", "info", b"software: other\r\n"),
+        foreign("WARC/1.0", "response", "http://a/1", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + binary),
+        foreign("WARC/1.0", "response", "http://a/2", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n"),
+        foreign("WARC/1.1", "resource", "http://a/3", binary),
+        foreign("WARC/1.1", "revisit", "http://a/4", b"HTTP/1.1 200 OK\r\n\r\n", **{"WARC-Payload-Digest": "sha1:ABC", "WARC-Refers-To": "<urn:uuid:http://a/1>"}),
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(map(gzip.compress, records)) + gzip.compress(records[3])[:-9])
+    found = warc.read_foreign_archives(spark, f"file://{tmp_path}").collect()
+    want = {"http://a/1": binary, "http://a/2": b"abcde", "http://a/3": binary, "http://a/4": None}
+    for archive in ("plain.warc", "packed.warc.gz"):
+        own = [r for r in found if r["archive"].endswith(archive)]
+        assert {r["url"]: None if r["payload"] is None else bytes(r["payload"]) for r in own} == want and len(own) <= 5
+        assert [r["payload_digest"] for r in own if r["record_type"] == "revisit"] == ["ABC"]
+
+
+def test_histories_are_in_one_order(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, f"http://{rng.choice('abc')}.example.com/{rng.randrange(5)}", f"p{i}") for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(f"{tmp_path}/pages")
+    warc.write_archives(warc.with_record_types(spark.read.parquet(f"{tmp_path}/pages")), f"file://{tmp_path}/warc")
+    merged = warc.merged_histories(warc.index_runs(warc.read_archives(spark, f"file://{tmp_path}/warc")), ways=2).collect()
+    by_range = sorted({r["range"] for r in merged})
+    for n in by_range:
+        own = [(r["url_key"], r["timestamp"]) for r in merged if r["range"] == n]
+        assert own == sorted(own)
+    ends = [(min(k), max(k)) for k in ([(r["url_key"], r["timestamp"]) for r in merged if r["range"] == n] for n in by_range)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+    counts = {}
+    for r in sorted(merged, key=lambda r: (r["url_key"], r["timestamp"])):
+        counts[r["url_key"]] = counts.get(r["url_key"], 0) + 1
+        assert r["capture"] == counts[r["url_key"]]
