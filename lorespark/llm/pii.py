@@ -13,7 +13,10 @@ from .common import fresh, group_map, map_bits, map_place, table, with_flag, wri
 # and repeats possessively, so that long runs are read once.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
 NAMING = r"""(?i:token|secret|password|passwd|api[_-]?key)["']?\s{0,2}[=:]\s{0,2}["']?"""
-SECRET = NAMING + r"[A-Za-z0-9_+/=.-]{12,}+"
+SECRET = NAMING + r"(?:[A-Za-z0-9_+/=.-]{12,}+|(?=[A-Za-z_+/=.!@#$%^&*-]*+[0-9])[A-Za-z0-9_+/=.!@#$%^&*-]{5,}+)"
+#: Access keys that are known by how they begin, which stays.
+KEY_PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|rk_live_)"
+ACCESS_KEY = rf"(?<![A-Za-z0-9_]){KEY_PREFIX}[A-Za-z0-9-]{{12,}}+(?![A-Za-z0-9_])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = "|".join(
     (
@@ -21,6 +24,7 @@ PHONE = "|".join(
         r"(?<![\w+])\+(?=(?:[ .-]?\d){7})\d{1,3}(?:[ .-]?\d{1,4}){2,7}+(?!\d)",
         r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}+(?!\d)",
         r"(?<![\w.-])(?:\(\d{3}\)[ .-]?|\(?\d{3}\)?[ .-])\d{3}[ .-]\d{4}(?!\d)",
+        r"(?<![\w.-])0\d{2,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d-])",
     )
 )
 CARD = r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)"
@@ -38,9 +42,9 @@ INITIAL = r"(?:\p{Lu}\.-?){1,4}+"
 PARTICLE = r"(?:van|von|vom|zu|zur|der|den|ter|ten|de|del|della|di|da|do|dos|das|du|la|le|bin|ibn|al|el)"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}(?:(?:{INITIAL}|{WORD}|{PARTICLE}) ){{0,9}}{WORD}"
 #: What a text has at least if one of the patterns matches: it keeps the search away from most texts.
-SIGNS = r"[@0-9]|(?i:token|secret|password|passwd|api.?key)"
+SIGNS = r"[@0-9]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|(?i:token|secret|password|passwd|api.?key)"
 TITLES = [x.strip("()?:") for x in f"{FEMALE}|{MALE}|{NEUTRAL}".replace("(?:", "").replace(")", "").split("|")]
-ANY = "|".join(f"(?:{x})" for x in (EMAIL, SECRET, IBAN, PHONE, CARD, SSN, IP, IPV6, NAME))
+ANY = "|".join(f"(?:{x})" for x in (EMAIL, SECRET, ACCESS_KEY, IBAN, PHONE, CARD, SSN, IP, IPV6, NAME))
 # Syllables of names by script, and endings of given names for women and men.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga ha jo ka ke ki la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi wa we yo za zo".split(),
@@ -59,6 +63,7 @@ def _kind(match: Column) -> Column:
         F.when(F.contains(match, F.lit("@")), "email")
         .when(match.rlike(rf"^{TITLE}"), "name")
         .when(match.rlike(rf"^{NAMING}"), "secret")
+        .when(match.rlike(rf"^{ACCESS_KEY}$"), "key")
         .when(match.rlike(rf"^(?:{SSN})$"), "ssn")
         .when(match.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(match.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ipv6")
@@ -147,6 +152,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
             .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (number(stream, i) % 254 + 1).cast("string")), "."))
             .when(kind == "ipv6", F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(pick("0123456789abcdef", number(stream, i)))), ""))
             .when(kind == "card", F.concat(F.substring(shape, 1, 15), _luhn(F.substring(shape, 1, 15))))
+            .when(kind == "key", _let(F.length(F.regexp_extract(norm, rf"^{KEY_PREFIX}", 0)), lambda n: F.concat(F.substring(norm, F.lit(1), n), F.substring(shape, n + 1, F.length(norm)))))
             .when(kind == "phone", F.concat(F.substring(norm, 1, 1), F.substring(shape, F.lit(2), F.length(norm))))
             .when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(shape, F.lit(3), F.length(norm))))
             .otherwise(shape)
@@ -216,7 +222,7 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with surrogates in the text, and with n_entities and entity_kinds (sorted, comma-joined).
 
-    Entities: email addresses, secrets after a naming word, IBANs, phone, card and social security numbers, IPv4 and
+    Entities: email addresses, secrets after a naming word, access keys of known forms, IBANs, phone, card and social security numbers, IPv4 and
     IPv6 addresses, and names of up to ten parts after a title, of which the last is the family name; each word of such
     a name is replaced wherever it stands as a word in the same text, with a title or without. Initials become others,
     particles stay.
@@ -247,7 +253,7 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", text_col: str = "t
     def replacement(m: Column) -> Column:
         def put(parts: Column) -> Column:
             first = F.get(parts, F.lit(0))
-            return F.when(m["kind"] == "name", F.array_join(parts, " ")).when(m["kind"].isin("email", "ip", "ipv6"), first).when(m["kind"] == "secret", first).otherwise(_filled(m["raw"], first))
+            return F.when(m["kind"] == "name", F.array_join(parts, " ")).when(m["kind"].isin("email", "ip", "ipv6"), first).when(m["kind"].isin("secret", "key"), first).otherwise(_filled(m["raw"], first))
 
         before = rf"^(?:{TITLE}|{NAMING})"
         parts = lambda made_: F.struct(put(made_).alias("new"), F.zip_with(m["entities"], made_, lambda e, n: F.struct(e["kind"].alias("kind"), e["norm"].alias("old"), n.alias("new"))).alias("parts"))
