@@ -22,7 +22,14 @@ def delivery_states(spark, sf_dir):
     return op.latest(finished(op.deliveries(attempts), "deliveries", "update"), "key")
 
 
-QUERIES = {"stream_daily_values": daily_values, "stream_notified_once": notified_once, "stream_delivery_states": delivery_states}
+def lease_states(spark, sf_dir):
+    """Events as claims of users' work by five workers, and purchases as reports that it is done."""
+    events = file_stream(spark, sf_dir, "events")
+    requests = events.select((F.col("user_id") % 200).cast("long").alias("key"), F.col("event_id").alias("number"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 5).alias("owner"), (F.col("event_type") == "purchase").alias("done"))
+    return op.latest(finished(op.leases(requests), "leases", "update"), "key")
+
+
+QUERIES = {"stream_lease_states": lease_states, "stream_daily_values": daily_values, "stream_notified_once": notified_once, "stream_delivery_states": delivery_states}
 
 SQL = {
     "stream_daily_values": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",

@@ -17,9 +17,10 @@ def windowed_costs(events: DataFrame, width: str = "1 day", late: str = "2 days"
     return sums.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "events", "value")
 
 
-def once(events: DataFrame, *keys: str) -> DataFrame:
-    """The keys of events, each once however often it comes."""
-    return events.select(*keys).dropDuplicates(list(keys))
+def once(events: DataFrame, *keys: str, late: str = "30 days") -> DataFrame:
+    """The keys of events, each once however often it comes within the time that the watermark waits; state older than that goes."""
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    return timed.dropDuplicatesWithinWatermark(list(keys)).select(*keys)
 
 
 def deliveries(attempts: DataFrame, most: int = 3) -> DataFrame:
@@ -41,6 +42,31 @@ def deliveries(attempts: DataFrame, most: int = 3) -> DataFrame:
     return attempts.groupBy("key").applyInPandasWithState(step, "key long, status string, sent long, failures long", "status string, sent long, failures long", "update", GroupStateTimeout.NoTimeout)
 
 
+def leases(requests: DataFrame, seconds: int = 3600, most: int = 3) -> DataFrame:
+    """(key, status, token, owner) after each batch, from requests of (key, number, at, owner, done) in order of number.
+
+    A claim gets the lease of its key, with the next token, if nobody has it or it has run out; most claims make
+    the key dead. A report that the work is done counts only with the token of the current owner, before the lease
+    runs out: owners that were overtaken change nothing.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, token, owner, until = state.get if state.exists else ("pending", 0, -1, -1)
+        for row in pd.concat(list(batches)).sort_values("number").itertuples():
+            if status in ("done", "dead"):
+                break
+            if status == "leased" and row.at >= until:
+                status, owner = ("dead" if token >= most else "pending"), -1
+            if row.done and status == "leased" and row.owner == owner:
+                status = "done"
+            elif not row.done and status == "pending":
+                status, token, owner, until = "leased", token + 1, row.owner, row.at + seconds
+        state.update((status, int(token), int(owner), int(until)))
+        yield pd.DataFrame({"key": [key[0]], "status": [status], "token": [token], "owner": [owner]})
+
+    return requests.groupBy("key").applyInPandasWithState(step, "key long, status string, token long, owner long", "status string, token long, owner long, until long", "update", GroupStateTimeout.NoTimeout)
+
+
 def latest(states: DataFrame, *keys: str) -> DataFrame:
     """The last state of each key."""
     others = [c for c in states.columns if c not in (*keys, "batch")]

@@ -202,3 +202,16 @@ def test_reconciliation(spark):
 def test_windows_by_day(spark):
     events = spark.createDataFrame([(datetime.datetime(2024, 1, 1, 5), "x", 1.0), (datetime.datetime(2024, 1, 1, 23), "x", 2.0)], "ts timestamp, event_type string, value double")
     assert [(r["events"], r["value"]) for r in streams.windowed_costs(events).collect()] == [(2, 3.0)]
+
+
+def test_leases_run_out_and_overtaken_owners_change_nothing(spark, tmp_path):
+    rows = [
+        (1, 1, 0, 7, False), (1, 2, 10, 8, False), (1, 3, 50, 8, True), (1, 4, 60, 7, True),  # 7 has the lease and reports
+        (2, 1, 0, 7, False), (2, 2, 150, 8, False), (2, 3, 160, 7, True),  # 8 overtakes 7, whose report is void
+        (3, 1, 0, 1, False), (3, 2, 100, 1, False), (3, 3, 200, 1, False), (3, 4, 300, 1, False),  # three claims ran out
+        (4, 1, 0, 1, True),
+    ]
+    spark.createDataFrame(rows, "key long, number long, at long, owner long, done boolean").write.parquet(f"{tmp_path}/requests.parquet")
+    stream = spark.readStream.schema("key long, number long, at long, owner long, done boolean").parquet(f"{tmp_path}/requests.parquet")
+    got = {r["key"]: (r["status"], r["token"], r["owner"]) for r in streams.latest(finished(streams.leases(stream, 100, 3), "leases", "update"), "key").collect()}
+    assert got == {1: ("done", 1, 7), 2: ("leased", 2, 8), 3: ("dead", 3, -1), 4: ("pending", 0, -1)}
