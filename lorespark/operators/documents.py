@@ -103,6 +103,56 @@ def table_chunks(header: list[str], rows: list[list[str]], size: int) -> list[tu
     return [(a, b, "\n".join([head, *map(line, rows[a:b])])) for a, b in pieces]
 
 
+def tiered_chunks(text: str, size: int) -> list[tuple[str, int, int, str]]:
+    """(tier, first line, last line, content) of a Markdown text in chunks of at most size characters, tables aside whose
+    header and one line take more.
+
+    A section, from a heading to the next, that fits is a chunk. Of others blocks are taken together as long as they
+    fit; tables and code are not cut in the middle of a line, tables keep their header in each piece, and what is
+    still too long is cut at the best boundary. If the chunks miss anything of the text but white space, all of it is cut so.
+    """
+    sections: list[list[tuple[str, int, int, str]]] = []
+    for block in parsed_blocks(text):
+        if block[0] == "heading" or not sections:
+            sections.append([])
+        sections[-1].append(block)
+    out = []
+    for blocks in sections:
+        if sum(len(b[3]) + SEPARATOR for b in blocks) - SEPARATOR <= size:
+            out.append(("heading", blocks[0][1], blocks[-1][2], "\n\n".join(b[3] for b in blocks)))
+            continue
+        held: list[tuple[str, int, int, str]] = []
+        for block in [*blocks, None]:
+            if held and (block is None or sum(len(b[3]) + SEPARATOR for b in held) + len(block[3]) > size):
+                out.append(("blocks", held[0][1], held[-1][2], "\n\n".join(b[3] for b in held)))
+                held = []
+            if block is None or len(block[3]) <= size:
+                held += [block] if block else []
+            elif block[0] == "table":
+                rows = [table_cells(x) for x in block[3].split("\n")]
+                out += [("table", block[1] + 2 + a, block[1] + 1 + b, content) for a, b, content in table_chunks(rows[0], rows[2:], size)]
+            else:
+                out += [("cut", block[1] + block[3].count("\n", 0, a), block[1] + block[3].count("\n", 0, b - 1), block[3][a:b]) for a, b in cut_points(block[3], size, 0)]
+    said = lambda parts: "".join("".join(parts).split())
+    plain = [c for tier, _, _, c in out if tier != "table"]
+    if len(plain) == len(out) and said(plain) != said([text]):
+        return [("fallback", 1 + text.count("\n", 0, a), 1 + text.count("\n", 0, b - 1), text[a:b]) for a, b in cut_points(text, size, 0)]
+    return out
+
+
+def tier_chunks(docs: DataFrame, size: int = 800) -> DataFrame:
+    """(doc_id, chunk, tier, first_line, last_line, content) of each text by tiered_chunks()."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, *c) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, c in enumerate(tiered_chunks(x or "", size))]
+            kinds = (batch.column(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], ["doc_id", "chunk", "tier", "first_line", "last_line", "content"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, chunk int, tier string, first_line int, last_line int, content string")
+
+
 def section_paths(blocks: DataFrame) -> DataFrame:
     """blocks with section, the headings above each: a heading closes all open ones of its level or deeper."""
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", r"^#+", 0)))

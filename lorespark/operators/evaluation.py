@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import count_where, ratio, zero_ratio
+from ..functions.common import count_where, is_not_true, ratio, zero_ratio
 
 
 def dashboard(traces: DataFrame, events: DataFrame, items: DataFrame) -> DataFrame:
@@ -39,14 +39,17 @@ def worker_summary(samples: DataFrame, *keys: str) -> DataFrame:
 
 
 def stage_states(calls: DataFrame, stages: str = "stage") -> DataFrame:
-    """Per stage: calls, successful, failed, priced, with usage, retried."""
+    """Per stage: calls, successful, failed, priced, unpriced though used, with usage, without, retried, and those of unknown attempt."""
     return calls.groupBy(stages).agg(
         F.count("*").alias("planned"),
         count_where(F.col("success")).alias("completed"),
         count_where(~F.col("success")).alias("failed"),
         F.count("cost").alias("priced"),
         count_where(F.col("usage_reported")).alias("with_usage"),
+        count_where(F.col("usage_reported") & F.col("cost").isNull()).alias("unpriced"),
+        count_where(is_not_true(F.col("usage_reported"))).alias("without_usage"),
         count_where(F.col("attempt") > 1).alias("retried"),
+        count_where(F.col("attempt").isNull()).alias("unknown_attempt"),
     )
 
 

@@ -15,6 +15,22 @@ def page_of(rows: DataFrame, equal: dict[str, object], order: list[Column], size
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def by_id(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of some ids, and whether each id is known: (id, found, then the row's other columns)."""
+    return ids.select(key).distinct().join(rows.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """(facet, name, n): the number of rows in all, and for each value of each key by itself, from one scan."""
+    sums = rows.groupingSets([[], *[[k] for k in keys]], *keys).agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    facet, name = F.lit("total"), F.lit(None).cast("string")
+    every = (1 << len(keys)) - 1
+    for i, k in enumerate(keys):
+        of = F.col("g") == every - (1 << (len(keys) - 1 - i))
+        facet, name = F.when(of, k).otherwise(facet), F.when(of, F.col(k).cast("string")).otherwise(name)
+    return sums.select(facet.alias("facet"), name.alias("name"), "n")
+
+
 def foreign_rows(rows: DataFrame, own: str | None, *keys: str) -> DataFrame:
     """Per group how many rows are of another tenant than one's own, and whether a caller of that tenant may read the group."""
     foreign = count_where(~in_scope(F.col("tenant_id"), own))

@@ -34,6 +34,27 @@ def quality_buckets(records: DataFrame, threshold: float = 70.0) -> DataFrame:
     return records.groupBy("template_id", "source").agg(F.count("*").alias("total"), good.alias("passed"), (F.count("*") - good).alias("rejected"), F.round(F.avg("score"), 4).alias("avg_score"))
 
 
+def buckets_by_config(records: DataFrame, threshold: float = 70.0) -> DataFrame:
+    """Per template, version, tenant, source, reviewer and hash of the configuration that was in force: records, passed,
+    rejected, mean score. The threshold is the configuration's own if it states one; null keys form groups."""
+    stated = F.regexp_extract("config", r'"threshold":\s*([0-9.]+)', 1)
+    own = F.coalesce(F.expr("try_cast(stated as double)"), F.lit(threshold))
+    rows = records.withColumn("stated", stated).withColumn("passed", F.col("score") >= own).withColumn("config_hash", F.sha2("config", 256))
+    keys = ["template_id", "version", "tenant_id", "source", "reviewer", "config_hash"]
+    good = count_where(F.col("passed"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("total"), good.alias("passed"), (F.count("*") - good).alias("rejected"), F.round(F.avg("score"), 4).alias("avg_score"))
+
+
+def merged_weights(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(template_id, dimension, weight, sound): the default weights with a template's own in their place; sound tells
+    whether all of a template's are positive and at least one default dimension has one."""
+    own = overrides.select("template_id", "dimension", F.col("weight").alias("own"))
+    rows = own.select("template_id").distinct().join(F.broadcast(defaults)).join(own, ["template_id", "dimension"], "full_outer")
+    rows = rows.withColumn("weight", F.coalesce("own", "weight"))
+    sound = F.bool_and(F.col("weight") > 0).over(Window.partitionBy("template_id"))
+    return rows.select("template_id", "dimension", "weight", sound.alias("sound"))
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key in the given order, whose columns must settle ties."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))

@@ -90,6 +90,11 @@ def latest_calls(traces: DataFrame, n: int = 20, page: int = 1) -> DataFrame:
     return traces.orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * n).limit(n)
 
 
+def drilldown(traces: DataFrame, n: int = 50) -> DataFrame:
+    """The newest calls with both parts of their cost; the part of the completion is what the prompt's leaves, null if one is unknown."""
+    return latest_calls(traces, n).select("id", "trace_id", "template_id", "stage", "model", "cost", "prompt_cost", F.round(F.col("cost") - F.col("prompt_cost"), 6).alias("completion_cost"))
+
+
 def trace_list(traces: DataFrame) -> DataFrame:
     """A row per trace."""
     return traces.groupBy("trace_id").agg(F.max("task_id").alias("task_id"), F.max("template_id").alias("template_id"), F.count("*").alias("calls"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 8).alias("cost"), F.round(F.coalesce(F.sum("latency_ms"), F.lit(0.0)), 2).alias("latency_ms"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))

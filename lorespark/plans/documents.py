@@ -21,6 +21,14 @@ def chunk_audit(spark, sf_dir):
     return op.chunk_audit(docs, op.chunks(docs, SIZE, OVERLAP), SIZE)
 
 
+def tier_audit(spark, sf_dir):
+    """Per document whether its tiered chunks fit and hold all of the text but white space."""
+    docs = _docs(spark, sf_dir).filter(r"text rlike '\\S'")
+    parts = op.tier_chunks(docs, SIZE).groupBy("doc_id").agg(F.max(F.length("content")).alias("most"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "content"))), lambda x: x["content"]), "").alias("all"))
+    squeezed = lambda c: F.md5(F.regexp_replace(c, r"\s+", ""))
+    return parts.select("doc_id", (F.col("most") <= SIZE).alias("fits"), squeezed(F.col("all")).alias("digest"))
+
+
 def chunk_lineage(spark, sf_dir):
     return op.lineage(op.chunks(_docs(spark, sf_dir), SIZE, OVERLAP)).select("doc_id", "chunk", "start", "end", "prev_chunk", "next_chunk", "overlap")
 
@@ -92,6 +100,7 @@ QUERIES = {
     "chunk_parents": chunk_parents,
     "block_windows": block_windows,
     "page_block_counts": page_block_counts,
+    "tier_audit": tier_audit,
     "text_blocks": lambda s, d: op.text_blocks(_docs(s, d)).select("doc_id", "block", "kind", "first_line", "last_line"),
     "request_dedup": request_dedup,
     "taxonomy_closure": taxonomy_closure,
@@ -116,6 +125,7 @@ i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS rows, min(ts) AS first, max(ts) AS last FROM i GROUP BY user_id, island""",
     "line_blocks": _BLOCKS + 'SELECT doc_id, block, kind, start, start + n AS "end" FROM b',
     "chunk_audit": "SELECT doc_id, TRUE AS exact, TRUE AS within, TRUE AS gapless, TRUE AS complete FROM documents WHERE regexp_matches(text, '\\S')",
+    "tier_audit": r"SELECT doc_id, TRUE AS fits, md5(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents WHERE regexp_matches(text, '\S')",
     "block_windows": _BLOCKS + """, x AS (SELECT doc_id, max(start + n) AS n FROM b GROUP BY doc_id),
 w AS (SELECT doc_id, unnest(range(0, (n - 1) // 500 + 1)) AS id FROM x)
 SELECT b.doc_id, b.block AS l_id, w.id AS r_id, greatest(b.start, w.id * 500) AS lo, least(b.start + b.n, w.id * 500 + 500) AS hi

@@ -59,7 +59,7 @@ SELECT c.*, h.*, i.*, round(cost / threads, 6) AS cost_per_thread FROM c, h, i""
 SELECT model, count(*) AS total, count(*) FILTER (WHERE status <> 'running') AS ended, round(CAST(count(*) FILTER (WHERE status = 'failed') AS DOUBLE) / count(*) FILTER (WHERE status <> 'running'), 6) AS failure_rate,
   round(CAST(count(*) FILTER (WHERE status = 'running') AS DOUBLE) / count(*), 6) AS unresolved_rate, round(CAST(count(*) FILTER (WHERE status <> 'running') AS DOUBLE) / ((max(sec) - min(sec)) / 3600.0), 4) AS per_hour, quantile_disc(latency_ms, 0.95) AS latency_p95
 FROM s GROUP BY model""",
-    "stage_states": _LOG + "SELECT stage, count(*) AS planned, count(*) FILTER (WHERE success) AS completed, count(*) FILTER (WHERE NOT success) AS failed, count(cost) AS priced, count(*) FILTER (WHERE usage_reported) AS with_usage, count(*) FILTER (WHERE attempt > 1) AS retried FROM trace_log GROUP BY stage",
+    "stage_states": _LOG + "SELECT stage, count(*) AS planned, count(*) FILTER (WHERE success) AS completed, count(*) FILTER (WHERE NOT success) AS failed, count(cost) AS priced, count(*) FILTER (WHERE usage_reported) AS with_usage, count(*) FILTER (WHERE usage_reported AND cost IS NULL) AS unpriced, count(*) FILTER (WHERE usage_reported IS NOT TRUE) AS without_usage, count(*) FILTER (WHERE attempt > 1) AS retried, count(*) FILTER (WHERE attempt IS NULL) AS unknown_attempt FROM trace_log GROUP BY stage",
     "logical_cost": _LOG + "SELECT trace_id, CASE WHEN count(*) = count(cost) THEN round(sum(cost), 6) END AS cost, count(*) AS calls FROM trace_log GROUP BY trace_id",
     "recovery": _LOG + """, p AS (SELECT model, trace_id, arg_min(success, struct_pack(a := coalesce(attempt, 1), i := id)) AS first, bool_or(success) AS ever, count(*) AS n FROM trace_log GROUP BY 1, 2)
 SELECT model, count(*) AS paths, count(*) FILTER (WHERE NOT first) AS first_failed, count(*) FILTER (WHERE NOT first AND ever) AS recovered,

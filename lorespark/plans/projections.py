@@ -46,15 +46,17 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate,
 QUALITY_RECORD = """
 SELECT d.doc_id * 4 AS record_id, d.doc_id AS item_id, 'auto' AS source, LEAST(100.0, CAST(d.n_chars % 101 AS DOUBLE)) AS score,
   CASE d.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END AS template_id,
-  d.doc_id % 5 AS tenant_id, d.doc_id % 5 AS item_tenant, CAST(1000 + d.n_chars % 50 AS BIGINT) AS created_at FROM documents d
+  d.doc_id % 5 AS tenant_id, d.doc_id % 5 AS item_tenant, CAST(1000 + d.n_chars % 50 AS BIGINT) AS created_at,
+  CASE WHEN d.doc_id % 6 = 0 THEN NULL ELSE 'v' || CAST(d.doc_id % 2 AS VARCHAR(20)) END AS version, CAST(NULL AS VARCHAR(20)) AS reviewer,
+  CASE WHEN d.doc_id % 4 = 1 THEN NULL ELSE '{"threshold": ' || CAST(50 + d.doc_id % 4 * 10 AS VARCHAR(20)) || '}' END AS config FROM documents d
 UNION ALL
 SELECT d.doc_id * 4 + 1, d.doc_id, 'auto', CAST(d.n_chars * 7 % 101 AS DOUBLE),
   CASE d.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END,
-  d.doc_id % 5, d.doc_id % 5, CAST(1000 + d.n_chars % 40 AS BIGINT) FROM documents d WHERE d.doc_id % 4 = 0
+  d.doc_id % 5, d.doc_id % 5, CAST(1000 + d.n_chars % 40 AS BIGINT), 'v0', NULL, NULL FROM documents d WHERE d.doc_id % 4 = 0
 UNION ALL
 SELECT l.doc_id * 4 + 2, l.doc_id, 'manual_review', CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 100.0 ELSE 0.0 END,
   CASE l.doc_id % 3 WHEN 0 THEN 'single_choice' WHEN 1 THEN 'cloze' ELSE 'reading' END,
-  CASE WHEN l.doc_id % 7 = 0 THEN NULL ELSE l.doc_id % 5 END, l.doc_id % 5, CAST(2000 AS BIGINT) FROM labels l
+  CASE WHEN l.doc_id % 7 = 0 THEN NULL ELSE l.doc_id % 5 END, l.doc_id % 5, CAST(2000 AS BIGINT), 'v1', 'r' || CAST(l.doc_id % 3 AS VARCHAR(20)), NULL FROM labels l
 """
 
 TASK_ITEM = """
@@ -116,7 +118,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in PROJECTIONS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", PROJECTIONS[name])]
-    sql = PROJECTIONS[name]
+    sql = PROJECTIONS[name].replace("{", "{{").replace("}", "}}")
     for t in used:
         sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)
     return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})

@@ -27,10 +27,18 @@ def outcomes(spark, sf_dir):
     )
 
 
+def overrides(spark, sf_dir):
+    """Parts as weights of templates' own, some of dimensions that have no default."""
+    dimension = F.element_at(F.array(*map(F.lit, ("accuracy", "clarity", "style", "format"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 300).alias("template_id"), dimension.alias("dimension")).agg((F.min("p_partkey") % 7 / 10.0).cast("double").alias("weight"))
+
+
 QUERIES = {
     "pipeline_stats": lambda s, d: op.pipeline_stats(table(s, d, "quality_evaluation")),
     "pipeline_stats_by_template": lambda s, d: op.pipeline_stats(table(s, d, "quality_evaluation"), "template_id"),
     "quality_buckets": lambda s, d: op.quality_buckets(table(s, d, "quality_record")),
+    "buckets_by_config": lambda s, d: op.buckets_by_config(table(s, d, "quality_record")),
+    "merged_weights": lambda s, d: op.merged_weights(_weights(s), overrides(s, d)),
     "latest_evaluation": lambda s, d: op.latest_per_key(table(s, d, "quality_evaluation"), ["thread_id"], "created_at", "revise_count").select("thread_id", "revise_count", "status", "score"),
     "judged_pairs": lambda s, d: op.judged_pairs(table(s, d, "quality_record")),
     "labelled_outcomes": lambda s, d: op.labelled_outcomes(table(s, d, "quality_record")),
@@ -83,6 +91,11 @@ FROM r"""
 
 
 SQL = {
+    "buckets_by_config": with_("quality_record") + """, r AS (SELECT *, score >= coalesce(TRY_CAST(nullif(regexp_extract(config, '"threshold":\\s*([0-9.]+)', 1), '') AS DOUBLE), 70) AS good FROM quality_record)
+SELECT template_id, version, tenant_id, source, reviewer, sha256(config) AS config_hash, count(*) AS total, count(*) FILTER (WHERE good) AS passed, count(*) - count(*) FILTER (WHERE good) AS rejected, round(avg(score), 4) AS avg_score FROM r GROUP BY ALL""",
+    "merged_weights": f"""WITH {_WEIGHTS}, o AS (SELECT p_partkey % 300 AS template_id, CASE p_partkey % 4 WHEN 0 THEN 'accuracy' WHEN 1 THEN 'clarity' WHEN 2 THEN 'style' ELSE 'format' END AS dimension, min(p_partkey) % 7 / 10.0::DOUBLE AS own FROM part GROUP BY 1, 2),
+j AS (SELECT template_id, dimension, coalesce(own, weight) AS weight FROM (SELECT DISTINCT template_id FROM o) t CROSS JOIN weights FULL JOIN o USING (template_id, dimension))
+SELECT *, bool_and(weight > 0) OVER (PARTITION BY template_id) AS sound FROM j""",
     "pipeline_stats": _stats(""),
     "pipeline_stats_by_template": _stats("template_id"),
     "quality_buckets": with_("quality_record") + "SELECT template_id, source, count(*) AS total, count(*) FILTER (WHERE score >= 70) AS passed, count(*) - count(*) FILTER (WHERE score >= 70) AS rejected, round(avg(score), 4) AS avg_score FROM quality_record GROUP BY 1, 2",

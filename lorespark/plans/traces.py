@@ -58,6 +58,7 @@ QUERIES = {
     "generation_stats": lambda s, d: op.generation_stats(_log(s, d)),
     "deep_cost_report": lambda s, d: op.deep_cost_report(_log(s, d)),
     "latest_calls": lambda s, d: op.latest_calls(_log(s, d), 20, 2).select("id", "trace_id", "model", "created_at"),
+    "cost_drilldown": lambda s, d: op.drilldown(_log(s, d)),
     "trace_list": lambda s, d: op.trace_list(_log(s, d)),
     "structured_stats": lambda s, d: op.structured_stats(_log(s, d), "template_id"),
     "latency_percentiles": lambda s, d: op.latency_percentiles(_log(s, d), "model"),
@@ -104,6 +105,7 @@ SELECT count(*) AS calls, coalesce(CAST(count(*) FILTER (WHERE success) AS DOUBL
 FROM g""",
     "deep_cost_report": _LOG + "\nUNION ALL ".join([_facet("total", None), _facet("stage", "stage"), _facet("template", "template_id"), _facet("model", "model"), _facet("task", "task_id")]),
     "latest_calls": _LOG + "SELECT id, trace_id, model, created_at FROM trace_log ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20",
+    "cost_drilldown": _LOG + "SELECT id, trace_id, template_id, stage, model, cost, prompt_cost, round(cost - prompt_cost, 6) AS completion_cost FROM trace_log ORDER BY created_at DESC, id DESC LIMIT 50",
     "trace_list": _LOG + "SELECT trace_id, max(task_id) AS task_id, max(template_id) AS template_id, count(*) AS calls, round(coalesce(sum(cost), 0), 8) AS cost, round(coalesce(sum(latency_ms), 0), 2) AS latency_ms, min(created_at) AS first_at, max(created_at) AS last_at FROM trace_log GROUP BY trace_id",
     "structured_stats": _LOG + """, t AS (SELECT template_id, trace_id, min(CASE WHEN success THEN CASE WHEN coalesce(attempt, 0) = 0 THEN 1 ELSE attempt END END) AS won FROM trace_log GROUP BY template_id, trace_id)
 SELECT template_id, count(*) AS total, count(won) AS succeeded, round(CAST(count(*) FILTER (WHERE won = 1) AS DOUBLE) / nullif(count(won), 0), 4) AS first_pass_rate,
