@@ -41,7 +41,7 @@ def leaf_removal(spark, sf_dir):
 
 
 QUERIES = {
-    "content_page": lambda s, d: op.page_of(table(s, d, "content_item"), {"status": "published", "tenant_id": None}, [F.desc("id")], 20, 2).select("id", "template_id", "source"),
+    "content_page": lambda s, d: op.page_of(table(s, d, "content_item"), {"status": "published"}, [F.desc("id")], 20, 2).select("id", "template_id", "source"),
     "content_counts": lambda s, d: op.counts_by(table(s, d, "content_item"), "status", "template_id", "tenant_id"),
     "content_by_id": lambda s, d: op.by_id(table(s, d, "content_item"), table(s, d, "orders").select(F.col("o_custkey").alias("id"))).select("id", "found", "status", "template_id"),
     "foreign_rows": lambda s, d: op.foreign_rows(table(s, d, "trace_log"), "tenant2", "template_id"),
@@ -58,7 +58,7 @@ QUERIES = {
 }
 
 SQL = {
-    "content_page": with_("content_item") + "SELECT id, template_id, source FROM content_item WHERE status = 'published' AND tenant_id IS NULL ORDER BY id DESC LIMIT 20 OFFSET 20",
+    "content_page": with_("content_item") + "SELECT id, template_id, source FROM content_item WHERE status = 'published' ORDER BY id DESC LIMIT 20 OFFSET 20",
     "content_counts": with_("content_item") + "SELECT 'total' AS facet, NULL AS name, count(*) AS n FROM content_item" + "".join(f" UNION ALL SELECT '{k}', {k}, count(*) FROM content_item GROUP BY {k}" for k in ("status", "template_id", "tenant_id")),
     "content_by_id": with_("content_item") + "SELECT o.id, c.id IS NOT NULL AS found, status, template_id FROM (SELECT DISTINCT o_custkey AS id FROM orders) o LEFT JOIN content_item c USING (id)",
     "foreign_rows": with_("trace_log") + "SELECT template_id, count(*) AS rows, count(*) FILTER (WHERE tenant_id IS DISTINCT FROM 'tenant2') AS \"foreign\", count(*) FILTER (WHERE tenant_id IS DISTINCT FROM 'tenant2') = 0 AS readable FROM trace_log GROUP BY template_id",
