@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,18 +43,25 @@ def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def budgeted(candidates: DataFrame, group: str, order: list[str], cost: str, budget: int, most: int) -> DataFrame:
-    """The candidates of each group that fit: in order, one whose cost no longer fits is skipped and later ones may follow."""
-    schema = candidates.schema
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        left, kept = budget, []
-        for i, c in enumerate(rows.sort_values(order)[cost]):
-            if len(kept) < most and c <= left:
-                kept.append(i)
-                left -= c
-        return rows.sort_values(order).iloc[kept]
-
-    return candidates.groupBy(group).applyInPandas(take, schema)
+    """The candidates of each group that fit: in order, one whose cost no longer fits is skipped and later ones may follow.
+
+    Groups come sorted and are folded as they stream by, so that no group is held whole.
+    """
+    at, price = candidates.columns.index(group), candidates.columns.index(cost)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, left, kept = None, budget, 0
+        for batch in batches:
+            chosen = []
+            for i, (key, c) in enumerate(zip(batch.column(at).to_pylist(), batch.column(price).to_pylist(), strict=True)):
+                if i == 0 and current is None or key != current[0]:
+                    current, left, kept = (key,), budget, 0
+                if kept < most and c is not None and c <= left:
+                    chosen.append(i)
+                    left, kept = left - c, kept + 1
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    return candidates.repartition(group).sortWithinPartitions(group, *order).mapInArrow(take, candidates.schema)
 
 
 def exported(rows: DataFrame, *order: str) -> DataFrame:

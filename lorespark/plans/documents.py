@@ -138,5 +138,9 @@ SELECT ancestor, node, hops FROM up""",
     "pool_candidates": "SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id NOT IN (SELECT item_id FROM benchmark)",
     "review_sample": """WITH r AS (SELECT doc_id, 'sample' AS reason FROM (SELECT doc_id FROM labels ORDER BY sha256('review|' || doc_id) LIMIT 6) UNION SELECT doc_id, 'disagreement' FROM labels WHERE quality = 1 AND toxic = 1)
 SELECT doc_id, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY doc_id""",
+    "fewshot_budget": """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, CAST(600 AS BIGINT) AS room, 0 AS k, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS chars, FALSE AS kept FROM t
+  UNION ALL SELECT t.conv_id, t.n, CASE WHEN k < 3 AND t.chars <= room THEN room - t.chars ELSE room END, CASE WHEN k < 3 AND t.chars <= room THEN k + 1 ELSE k END, t.turn, t.chars, coalesce(k < 3 AND t.chars <= room, FALSE) FROM f JOIN t ON t.conv_id = f.conv_id AND t.n = f.n + 1)
+SELECT conv_id, turn, chars FROM f WHERE kept""",
     "exported_samples": "SELECT md5(CAST(to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text}) AS VARCHAR)) AS line FROM conversations",
 }

@@ -215,3 +215,18 @@ def test_leases_run_out_and_overtaken_owners_change_nothing(spark, tmp_path):
     stream = spark.readStream.schema("key long, number long, at long, owner long, done boolean").parquet(f"{tmp_path}/requests.parquet")
     got = {r["key"]: (r["status"], r["token"], r["owner"]) for r in streams.latest(finished(streams.leases(stream, 100, 3), "leases", "update"), "key").collect()}
     assert got == {1: ("done", 1, 7), 2: ("leased", 2, 8), 3: ("dead", 3, -1), 4: ("pending", 0, -1)}
+
+
+def test_tiered_chunks_fit_and_keep_all():
+    rng = random.Random(7)
+    lines = ["# Head", "## Sub part", "", "a word or two here.", "more of the same, and then some", "- item one", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "```\ncode line\n```", "x" * 90, "漢字。" * 20]
+    squeezed = lambda x: "".join(x.split())
+    for _ in range(300):
+        text = "\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 30)))
+        found = documents.tiered_chunks(text, 60)
+        assert all(len(c) <= 60 for _, _, _, c in found)
+        last = text.count("\n") + 1
+        assert all(1 <= a <= b <= last for _, a, b, _ in found)
+        if all(tier != "table" for tier, *_ in found):
+            assert squeezed("".join(c for *_, c in found)) == squeezed(text)
+    assert [t for t, *_ in documents.tiered_chunks("# A\nshort\n# B\nshort too", 60)] == ["heading", "heading"]
