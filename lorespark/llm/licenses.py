@@ -40,6 +40,15 @@ class Rule:
         return next((x for x in SCOPES if self.pattern.endswith(SCOPES[x])), "")
 
 
+def cue_of(before: str) -> str:
+    """A word that must be among those before, if there is a pattern for them: the longest one outside of all groups."""
+    plain, depth = "", 0
+    for c in before:
+        depth += (c == "(") - (c == ")")
+        plain += c if depth == 0 and c.isalnum() else " "
+    return max(plain.split(), key=len, default="")
+
+
 # How a signature's pattern ends that speaks of other versions.
 SCOPES = {"only": " only ", "or-later": (" or later ", " or (?:any )?(?:later|newer) ", " any later version ")}
 
@@ -55,7 +64,7 @@ def signature_rules() -> list[Rule]:
     found = [(label, confidence, pattern, "", 1, True) for label, confidence, pattern in BASE]
     for priority, own in ((1, written_rules(UNNAMED)), (2, written_rules(NAMED)), (3, written_rules(DENIED)), (3, spdx_rules())):
         found += [(*rule, priority, False) for rule in own]
-    return [Rule(i, re.match("[a-z0-9]+", pattern)[0], f"^{pattern} ", before and f"(?:^| ){before}$", label, priority, confidence, base) for i, (label, confidence, pattern, before, priority, base) in enumerate(found)]
+    return [Rule(i, re.match("[a-z0-9]+", pattern)[0], f"^{pattern} ", before and f" {before}$", label, priority, confidence, base) for i, (label, confidence, pattern, before, priority, base) in enumerate(found)]
 
 
 RULES = signature_rules()
@@ -68,7 +77,7 @@ def _rule_map(rules: list[Rule]) -> Column:
         by.setdefault(r.keyword, []).append(r)
     entries = []
     for keyword, own in by.items():
-        structs = [F.struct(F.lit(r.number).alias("number"), F.lit(r.pattern).alias("pattern"), F.lit(r.before).alias("before"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"), F.lit(r.scope).alias("scope")) for r in own]
+        structs = [F.struct(F.lit(r.number).alias("number"), F.lit(r.pattern).alias("pattern"), F.lit(r.before).alias("before"), F.lit(f" {cue_of(r.before)} ").alias("cue"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base"), F.lit(r.scope).alias("scope")) for r in own]
         entries += [F.lit(keyword), F.array(*structs)]
     return F.create_map(*entries)
 
@@ -103,8 +112,9 @@ def license_detections(docs: DataFrame, text_col: str = "text", rules: list[Rule
     def at(i: Column) -> Column:
         window = F.concat(F.array_join(F.slice(F.col(words), i + 1, most), " "), F.lit(" "))
         begin = F.greatest(F.lit(0), i - BEHIND)
-        behind = F.concat(F.array_join(F.slice(F.col(words), begin + 1, i - begin), " "), F.lit(" "))
-        fits = lambda r: (r["before"] == "") | F.regexp_like(behind, r["before"])
+        behind = F.concat(F.lit(" "), F.array_join(F.slice(F.col(words), begin + 1, i - begin), " "), F.lit(" "))
+        # A pattern is compiled for each try, a cue is not.
+        fits = lambda r: (r["before"] == "") | (F.contains(behind, r["cue"]) & F.regexp_like(behind, r["before"]))
         tried = F.transform(F.element_at(by_keyword, F.get(F.col(words), i)), lambda r: F.struct(r.alias("rule"), F.when(fits(r), F.regexp_substr(window, r["pattern"])).alias("match")))
         hits = F.filter(tried, lambda x: x["match"].isNotNull())
         return F.transform(hits, lambda x: F.struct(i.alias("start"), (-(i + _spaces(x["match"]))).alias("minus_end"), (-x["rule"]["priority"]).alias("minus_priority"), x["rule"]["number"].alias("number"), x["rule"]["label"].alias("label"), x["rule"]["confidence"].alias("confidence"), x["rule"]["base"].alias("base"), x["rule"]["scope"].alias("scope")))
@@ -156,7 +166,7 @@ d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}',
 w AS (SELECT doc_id, words, unnest(words) AS word, unnest(range(len(words))) AS i FROM d),
 m AS (
   SELECT w.doc_id, w.i AS starts, r.*, regexp_extract(array_to_string(w.words[w.i + 1 : w.i + {max(words_of(r.pattern) for r in rules or RULES)}], ' ') || ' ', r.pattern) AS found
-  FROM w JOIN rules r ON w.word = r.keyword AND (r.before = '' OR regexp_matches(array_to_string(w.words[greatest(1, w.i - {BEHIND - 1}) : w.i], ' ') || ' ', r.before))),
+  FROM w JOIN rules r ON w.word = r.keyword AND (r.before = '' OR regexp_matches(' ' || array_to_string(w.words[greatest(1, w.i - {BEHIND - 1}) : w.i], ' ') || ' ', r.before))),
 h AS (SELECT *, starts + length(found) - length(replace(found, ' ', '')) AS ends FROM m WHERE found <> ''),
 s AS (
   SELECT *, {before} FROM h
