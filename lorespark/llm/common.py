@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -118,6 +118,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def placed(df: DataFrame, keys: list[Column], name: str, rows: int) -> DataFrame:
+    """df with name, the place of each row from 0 in the order of keys: rows go to ranges of keys, each range is sorted by
+    itself, and sums of the ranges' sizes tell where each begins. rows: about how many df has; a range gets about a
+    million. keys should tell rows apart, or the places of equal ones are any. The starts, one row a range, are broadcast.
+    """
+    (at,) = fresh(df, "__at")
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (rows >> 20) + 1)
+    ranged = written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "ranged")
+    sizes = ranged.groupBy(F.shiftright(at, 33).alias("__range")).agg(F.count("*").alias("__size"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    joined = ranged.join(F.broadcast(starts), F.shiftright(at, 33) == F.col("__range"))
+    return joined.select(*df.columns, (F.col("__start") + F.col(at).bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def map_bits(groups: int) -> int:
     """The bits of a map of so many groups: 16 for each, at least 65,536 and at most 2 ** 26: a million rows to broadcast.
 

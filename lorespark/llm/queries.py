@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chats, exact_dedup, licenses, lm_scores, mixing, ngram_join, pii, quality, warc
+from . import bpe, chats, divergence, exact_dedup, licenses, lm_scores, mixing, ngram_join, pii, quality, resampling, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_pii": pii.op9_pii,
     "op10_mixing": mixing.op10_mixing,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 SQL = {
@@ -24,4 +27,6 @@ SQL = {
     "op5_lm_scores": lm_scores.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
+    "op13_resampling": resampling.OP13_SQL,
 }

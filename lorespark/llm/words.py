@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +25,24 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWERED)
 
 
+def pieces(data: bytes, edge: re.Pattern) -> Iterator[bytes]:
+    """data in parts of about STEP bytes that end where edge, a pattern of one byte between words, matches: no word is cut."""
+    begin = 0
+    while begin < len(data):
+        found = edge.search(data, begin + STEP) if len(data) > begin + STEP else None
+        end = found.start() if found else len(data)
+        yield data[begin:end]
+        begin = end
+
+
+def runs_of(words: list[bytes], width: int) -> Iterator[bytes]:
+    """Each run of width consecutive words, joined by one space."""
+    line, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: max(0, len(words) - width + 1)].tolist()
+    return (line[a:b] for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True))
+
+
 def mixed(x: np.ndarray, by: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
     return x ^ (x >> np.uint64(29))
