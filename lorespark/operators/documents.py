@@ -237,6 +237,37 @@ def parents(cut: DataFrame, size: int = 2400) -> DataFrame:
     return folded.select("doc_id", F.explode(F.arrays_zip("spans", "parents")).alias("x")).select("doc_id", "x.spans.chunk", F.col("x.parents").alias("parent"))
 
 
+def chunk_rows(docs: DataFrame, size: int = 800, overlap: int = 80, parent_size: int = 2400, parent_from: int = 1024) -> DataFrame:
+    """(document_id, chunk_id, kind, parent_id, prev_id, next_id, start, end, content) of each text of (doc_id, text): its
+    overlapping chunks as leaves and, in texts of at least parent_from characters, parents of consecutive leaves as long as
+    they span at most parent_size. Null texts and those without content have none."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                spans = cut_points(text, size, overlap) if text and text.strip() else []
+                groups: list[list[int]] = []
+                for n, (_, end) in enumerate(spans):
+                    if not groups or end - spans[groups[-1][0]][0] > parent_size:
+                        groups.append([])
+                    groups[-1].append(n)
+                grown = bool(spans) and len(text) >= parent_from
+                parent = {n: f"{ident}:p{g}" for g, held in enumerate(groups) for n in held} if grown else {}
+                name = lambda n: f"{ident}:{n}" if 0 <= n < len(spans) else None  # noqa: B023, E731
+                rows += [(ident, name(n), "leaf", parent.get(n), name(n - 1), name(n + 1), a, b, text[a:b]) for n, (a, b) in enumerate(spans)]
+                if grown:
+                    bounds = [(spans[held[0]][0], spans[held[-1]][1]) for held in groups]
+                    rows += [(ident, f"{ident}:p{g}", "parent", None, None, None, a, b, text[a:b]) for g, (a, b) in enumerate(bounds)]
+            kinds = (batch.column(0).type, *[pa.string()] * 5, pa.int64(), pa.int64(), pa.string())
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    names = ["document_id", "chunk_id", "kind", "parent_id", "prev_id", "next_id", "start", "end", "content"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(cut, f"document_id {kind}, chunk_id string, kind string, parent_id string, prev_id string, next_id string, start long, end long, content string")
+
+
 def overlapping(left: DataFrame, right: DataFrame, step: int = 2048) -> DataFrame:
     """Pairs of spans of one document that overlap, with the common part.
 

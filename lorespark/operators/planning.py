@@ -59,12 +59,18 @@ def expanded_queries(queries: DataFrame, aliases: DataFrame, most: int = 4) -> D
     return firsts.withColumn("variant", variant).filter(F.col("variant") <= most).select("query_id", "variant", "text")
 
 
-def reranked(candidates: DataFrame, scores: DataFrame, least: float, top: int) -> DataFrame:
-    """The candidates of at least a score by a reranker, best first, equal ones by id. A candidate without a score fails its query."""
+def reranked(candidates: DataFrame, scores: DataFrame, least: float, top: int, required: bool = False) -> DataFrame:
+    """(query_id, candidate_id, score, place): the candidates of (query_id, candidate_id, rank) of at least a score by a
+    reranker, best first, equal ones by id.
+
+    A query that lacks a finite score of any candidate failed: it keeps its candidates in the order of their
+    ranks, scores null, or nothing if reranking is required.
+    """
     joined = candidates.join(scores, ["query_id", "candidate_id"], "left")
-    whole = F.bool_and(F.col("score").isNotNull()).over(Window.partitionBy("query_id"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id"))
-    good = joined.withColumn("whole", whole).filter(F.col("whole") & (F.col("score") >= least))
+    sound = F.coalesce(F.abs("score") < float("inf"), F.lit(False)) & ~F.isnan("score")
+    rows = joined.withColumn("whole", F.bool_and(sound).over(Window.partitionBy("query_id"))).withColumn("score", F.when(F.col("whole"), F.col("score")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.when(~F.col("whole"), F.col("rank")), "candidate_id"))
+    good = rows.filter(F.when(F.col("whole"), F.col("score") >= least).otherwise(F.lit(not required)))
     return good.withColumn("place", place).filter(F.col("place") <= top).select("query_id", "candidate_id", "score", "place")
 
 
@@ -84,43 +90,6 @@ def coverage_order(candidates: DataFrame, parts: list[int]) -> DataFrame:
     return rows.select("query_id", "candidate_id", F.row_number().over(order).alias("place"))
 
 
-def undelivered(spans: DataFrame) -> DataFrame:
-    """(query_id, document_id, place, start, end): of each span, in order of place, what no earlier one of its document has
-    delivered; of several pieces the largest, the first of equals. Spans without anything new fall away.
-
-    Earlier spans that touch a span are cut out of it as points: each piece starts where a cut ends.
-    """
-    earlier = spans.select("query_id", "document_id", F.col("place").alias("p"), F.col("start").alias("s"), F.col("end").alias("e"))
-    near = spans.join(earlier, ["query_id", "document_id"], "left").filter("p is null or p < place and s < end and e > start or p = place")
-    cuts = near.groupBy("query_id", "document_id", "place", "start", "end").agg(F.sort_array(F.collect_list(F.when(F.col("p") < F.col("place"), F.struct("s", "e")))).alias("cuts"))
-
-    def pieces(row_start: Column, row_end: Column) -> Column:
-        begin = F.struct(row_start.cast("long").alias("at"), F.array().cast("array<struct<n:long,a:long,b:long>>").alias("out"))
-        piece = lambda a, b: F.struct((b - a).cast("long").alias("n"), (-a).cast("long").alias("a"), b.cast("long").alias("b"))
-
-        def step(acc: Column, c: Column) -> Column:
-            new = F.when(c["s"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], c["s"])))).otherwise(acc["out"])
-            return F.struct(F.greatest(acc["at"], c["e"].cast("long")).alias("at"), new.alias("out"))
-
-        done = F.aggregate("cuts", begin, step)
-        return F.when(done["at"] < row_end, F.concat(done["out"], F.array(piece(done["at"], row_end)))).otherwise(done["out"])
-
-    best = cuts.withColumn("best", F.array_max(pieces(F.col("start"), F.col("end")))).filter("best is not null")
-    return best.select("query_id", "document_id", "place", (-F.col("best.a")).alias("start"), F.col("best.b").alias("end"))
-
-
-def assembled(queries: DataFrame, passages: DataFrame, budget: int, least: int = 1) -> DataFrame:
-    """(query_id, status, passages, chars, context): passages in order of place as long as they fit the budget, an empty
-    line between. Without any the status is no_match; it is degraded if a lane of the query failed, else hit."""
-    order = Window.partitionBy("query_id").orderBy("place")
-    size = F.sum(F.length("text") + 2).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 2
-    kept = passages.withColumn("upto", size).filter(F.col("upto") <= budget)
-    joined = kept.groupBy("query_id").agg(F.count("*").alias("passages"), F.max("upto").alias("chars"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n").alias("context"))
-    rows = queries.select("query_id", "failed_lanes").join(joined, "query_id", "left")
-    status = F.when(F.coalesce("passages", F.lit(0)) < least, "no_match").when(F.col("failed_lanes") > 0, "degraded").otherwise("hit")
-    return rows.select("query_id", status.alias("status"), F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("context", F.lit("")).alias("context"))
-
-
 def citations(passages: DataFrame) -> DataFrame:
     """(query_id, number, document_id, start, end, label): a row for each segment of the passages, numbered in order."""
     rows = passages.select("query_id", "place", F.posexplode("segments").alias("i", "x"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,11 +112,52 @@ def term_hits(docs: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
 
 
 def keyword_recall(queries: DataFrame, docs: DataFrame, pool: int = 30) -> DataFrame:
-    """(query_id, candidate_id, matched, rank, score): documents by the number of a query's terms that their text in lower case contains; score is 1 / rank."""
-    terms = terms_of(queries)
-    hits = term_hits(docs, terms, F.lower("text")).join(terms, "term")
-    counted = hits.groupBy("query_id", F.col("doc_id").alias("candidate_id")).agg(F.count("*").alias("matched"))
-    return ranked(counted, "matched", pool).withColumn("score", 1.0 / F.col("rank"))
+    """(query_id, candidate_id, matched, rank, score): documents of (doc_id, text) by the number of a query's terms that their text
+    in lower case contains; score is 1 / rank.
+
+    Queries are parted by hash into blocks of about BLOCK_BYTES of terms, each searched in one pass. A text's matches are
+    counted where it is searched, and of each batch of texts only the pool best of a query go on.
+    """
+    lists = terms_of(queries).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    size = lists.agg(F.sum(F.aggregate("terms", F.lit(64).cast("long"), lambda n, t: n + F.octet_length(t) + 64))).first()[0] or 0
+    blocks, out, ids = max(1, -(-size // BLOCK_BYTES)), None, docs.schema["doc_id"].dataType
+    for number in range(blocks):
+        part = lists.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number) if blocks > 1 else lists
+        block = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.toLocalIterator()])
+
+        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            of: dict[str, list[int]] = {}
+            for i, (_, terms) in enumerate(block.value):
+                for term in terms:
+                    of.setdefault(term, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for term, having in of.items():
+                automaton.add_word(term, (term, np.array(having)))
+            automaton.make_automaton()
+            numbers = np.array([q for q, _ in block.value], np.int64)
+            for batch in batches if of else ():
+                places, which, counts = [], [], []
+                for row, text in enumerate(batch.column(1)):
+                    met = dict(found for _, found in automaton.iter(text.as_py()))
+                    if met:
+                        q, n = np.unique(np.concatenate(list(met.values())), return_counts=True)
+                        places.append(np.full(len(q), row))
+                        which.append(q)
+                        counts.append(n)
+                if not places:
+                    continue
+                row, q, n = np.concatenate(places), np.concatenate(which), np.concatenate(counts)
+                by_id = np.empty(batch.num_rows, np.int64)
+                by_id[pa.compute.array_sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+                order = np.lexsort((by_id[row], -n, q))
+                row, q, n = row[order], q[order], n[order]
+                first = np.flatnonzero(np.diff(q, prepend=-1))
+                best = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < pool
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[q[best]]), batch.column(0).take(pa.array(row[best])), pa.array(n[best])], ["query_id", "candidate_id", "matched"])
+
+        found = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("form")).mapInArrow(search, f"query_id long, candidate_id {ids.simpleString()}, matched long")
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, "matched", pool).withColumn("score", 1.0 / F.col("rank"))
 
 
 def fused(lanes: DataFrame, pool: int = 30, k: int = 60) -> DataFrame:

@@ -9,22 +9,33 @@ from ..functions.common import count_where
 
 
 def checked_transitions(moves: DataFrame, allowed: DataFrame) -> DataFrame:
-    """moves of (id, before, after) with whether the rules, a small dimension of (before, after), allow them; staying is allowed."""
-    rules = F.broadcast(allowed.select("before", "after", F.lit(True).alias("known")))
+    """moves of (id, before, after) with whether the rules of (before, after) allow them; to stay is a move like others."""
+    rules = allowed.select("before", "after").distinct().withColumn("known", F.lit(True))
     joined = moves.join(rules, ["before", "after"], "left")
-    return joined.select("id", "before", "after", (F.coalesce("known", F.lit(False)) | F.col("before").eqNullSafe(F.col("after"))).alias("allowed"))
-
-
-def failure_class(kind: Column, code: Column) -> Column:
-    """What follows from a failure: retry what may pass later, give up what will not, and stop what was asked to."""
-    return (
-        F.when(kind == "cancelled", "cancelled")
-        .when(code.isin(408, 409, 425, 429) | (code >= 500), "retry")
-        .when(kind.isin("timeout", "connection"), "retry")
-        .when(code.between(400, 499) | kind.isin("schema", "validation"), "permanent")
-        .when(kind.isNull() & code.isNull(), F.lit(None).cast("string"))
-        .otherwise("unknown")
-    )
+    return joined.select("id", "before", "after", F.coalesce("known", F.lit(False)).alias("allowed"))
+
+
+#: Failures that pass, and codes that may.
+TRANSIENT, RETRIED = ("connection", "timeout", "database", "trace_store"), (408, 429)
+
+
+def failure_class(causes: Column) -> Column:
+    """`retry`, `permanent` or `unknown` for a failure and its causes, an array of (kind, code) from the outermost inwards.
+
+    The first of them that says something decides: a connection or store that failed is tried again; an answer with a
+    code is tried again for 408, 429 and from 500 on and given up otherwise; the platform's own errors are given up.
+    Others say nothing, nor does a routing failure; without any that does, nothing is known.
+    """
+
+    def said(x: Column) -> Column:
+        passes = x["code"].isin(*RETRIED) | (x["code"] >= 500)
+        return (
+            F.when(x["kind"].isin(*TRANSIENT), "retry")
+            .when((x["kind"] == "http") & x["code"].isNotNull(), F.when(passes, "retry").otherwise("permanent"))
+            .when(x["kind"] == "platform", "permanent")
+        )
+
+    return F.coalesce(F.get(F.filter(F.transform(causes, said), lambda x: x.isNotNull()), F.lit(0)), F.lit("unknown"))
 
 
 def routed(events: DataFrame, threshold: float, margin: float, most_revisions: int) -> DataFrame:
@@ -76,11 +87,15 @@ def first_match(rows: DataFrame, text: str, policy: list[tuple[str, str]], other
 
 
 def violations(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per rule of (type, field, least, most) how many rows of its type there are and how many break it: content types are data."""
-    fields = [r[0] for r in rules.select("field").distinct().limit(64).collect()]
-    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("double"))]) if fields else F.create_map()
-    joined = rows.select("type", F.explode(values).alias("field", "value")).join(F.broadcast(rules), ["type", "field"])
-    broken = (F.col("value") < F.col("least")) | (F.col("value") > F.col("most")) | F.col("value").isNull()
+    """Per rule of (type, field, least, most) how many rows of its type there are and how many break it: content types are data.
+
+    A field that is null, no number, or that rows do not have is broken. Any number of fields and rules takes part.
+    """
+    fields = [c for c in rows.columns if c != "type"]
+    values = F.create_map(*[x for c in fields for x in (F.lit(c), F.expr(f"try_cast(`{c}` as double)"))]) if fields else F.expr("cast(map() as map<string,double>)")
+    joined = rows.select("type", values.alias("values")).join(rules, "type")
+    value = F.element_at("values", F.col("field"))
+    broken = (value < F.col("least")) | (value > F.col("most")) | value.isNull()
     return joined.groupBy("type", "field").agg(F.count("*").alias("rows"), count_where(broken).alias("broken"))
 
 

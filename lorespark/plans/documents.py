@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import documents as op
 from ..operators import hygiene
 from ..sources.html import page_blocks
+from .context import CHUNKS, OVERLAP, SIZE
 from .projections import table
 
-SIZE, OVERLAP = 800, 80
-
 
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -125,6 +124,8 @@ i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS
 SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS rows, min(ts) AS first, max(ts) AS last FROM i GROUP BY user_id, island""",
     "line_blocks": _BLOCKS + 'SELECT doc_id, block, kind, start, start + n AS "end" FROM b',
     "chunk_audit": "SELECT doc_id, TRUE AS exact, TRUE AS within, TRUE AS gapless, TRUE AS complete FROM documents WHERE regexp_matches(text, '\\S')",
+    "chunk_lineage": f'WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk, s AS start, e AS "end", lag(chunk) OVER w AS prev_chunk, lead(chunk) OVER w AS next_chunk, greatest(0, coalesce(lag(e) OVER w - s, 0)) AS overlap FROM c WHERE chunk >= 0 WINDOW w AS (PARTITION BY doc_id ORDER BY chunk)',
+    "chunk_parents": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk, parent FROM p",
     "tier_audit": r"SELECT doc_id, TRUE AS fits, md5(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents WHERE regexp_matches(text, '\S')",
     "block_windows": _BLOCKS + """, x AS (SELECT doc_id, max(start + n) AS n FROM b GROUP BY doc_id),
 w AS (SELECT doc_id, unnest(range(0, (n - 1) // 500 + 1)) AS id FROM x)

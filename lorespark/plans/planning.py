@@ -41,9 +41,10 @@ def _candidates(spark, sf_dir):
 
 
 def reranked(spark, sf_dir):
+    """Lines of an order by quantity; the reranker scores none of up to 4, so that their orders fail."""
     rows = _candidates(spark, sf_dir)
-    scores = rows.filter("l_suppkey % 50 <> 0").select("query_id", "candidate_id", (F.col("l_quantity") / 50).cast("double").alias("score"))
-    return op.reranked(rows.select("query_id", "candidate_id"), scores, 0.3, 3)
+    scores = rows.filter("l_quantity > 4").select("query_id", "candidate_id", (F.col("l_quantity") / 50).cast("double").alias("score"))
+    return op.reranked(rows.select("query_id", "candidate_id", F.col("candidate_id").alias("rank")), scores, 0.3, 3)
 
 
 def coverage_order(spark, sf_dir):
@@ -52,19 +53,6 @@ def coverage_order(spark, sf_dir):
     return op.coverage_order(rows.select("query_id", "candidate_id", F.col("candidate_id").alias("rank"), gains.alias("gains")), [1, 2])
 
 
-def undelivered(spark, sf_dir):
-    rows = _candidates(spark, sf_dir)
-    start = F.col("l_partkey") % 200
-    return op.undelivered(rows.select("query_id", (F.col("l_suppkey") % 2).alias("document_id"), F.col("candidate_id").alias("place"), start.alias("start"), (start + F.col("l_suppkey") % 60 + 1).alias("end")))
-
-
-def assembled(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    passages = turns.filter("length(text) > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), "text")
-    queries = turns.groupBy(F.col("conv_id").alias("query_id")).agg((F.max("turn") % 3).alias("failed_lanes"))
-    return op.assembled(queries, passages, 1500).withColumn("context", F.md5("context"))
-
-
 def citations(spark, sf_dir):
     rows = _candidates(spark, sf_dir)
     segment = lambda shift: F.struct(F.col("l_partkey").alias("document_id"), (F.col("l_suppkey") + shift).alias("start"), (F.col("l_suppkey") + shift + 10).alias("end"))
@@ -73,9 +61,10 @@ def citations(spark, sf_dir):
 
 
 def unit_support(spark, sf_dir):
-    rows = _candidates(spark, sf_dir)
-    results = rows.filter("l_suppkey % 4 <> 0").select("query_id", "candidate_id", F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(2).alias("stage"))
-    return ledgers.unit_support(results, rows.select("query_id", (F.col("l_partkey") % 3).alias("unit"), "candidate_id"))
+    """Lines that were not returned are the results; those that are no longer open were delivered."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("long").alias("candidate_id")).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    results = lines.filter("flag <> 'R'").select("query_id", "candidate_id", F.when(F.col("status") == "O", 1).otherwise(2).alias("stage"))
+    return ledgers.unit_support(results, lines.select("query_id", (F.col("l_partkey") % 3).alias("unit"), "candidate_id"))
 
 
 def macro_averages(spark, sf_dir):
@@ -88,8 +77,6 @@ QUERIES = {
     "expanded_queries": expanded_queries,
     "reranked": reranked,
     "coverage_order": coverage_order,
-    "undelivered": undelivered,
-    "assembled": assembled,
     "citations": citations,
     "unit_support": unit_support,
     "macro_averages": macro_averages,
@@ -112,28 +99,20 @@ o AS (SELECT q.*, k.point FROM q LEFT JOIN k ON k.key = {_P.format('text')}),
 r AS (SELECT query_id, -1 AS place, trim(text) AS text FROM o UNION ALL SELECT query_id, place, label FROM o JOIN a USING (point)),
 f AS (SELECT query_id, {_P.format('text')} AS key, min(struct_pack(p := place, t := text)) AS x FROM r WHERE length(text) BETWEEN 1 AND 512 GROUP BY 1, 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY x.p, x.t) AS variant, x.t AS text FROM f QUALIFY variant <= 4""",
-    "reranked": f"""WITH l AS ({_LINES}), j AS (SELECT query_id, candidate_id, CASE WHEN l_suppkey % 50 <> 0 THEN CAST(l_quantity / 50 AS DOUBLE) END AS score FROM l),
-w AS (SELECT *, bool_and(score IS NOT NULL) OVER (PARTITION BY query_id) AS whole FROM j)
-SELECT query_id, candidate_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS place FROM w WHERE whole AND score >= 0.3 QUALIFY place <= 3""",
+    "reranked": f"""WITH l AS ({_LINES}), j AS (SELECT query_id, candidate_id, CASE WHEN l_quantity > 4 THEN CAST(l_quantity / 50 AS DOUBLE) END AS score FROM l),
+w AS (SELECT query_id, candidate_id, bool_and(score IS NOT NULL) OVER (PARTITION BY query_id) AS whole, score FROM j),
+k AS (SELECT query_id, candidate_id, CASE WHEN whole THEN score END AS score FROM w WHERE NOT whole OR score >= 0.3)
+SELECT query_id, candidate_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, candidate_id) AS place FROM k QUALIFY place <= 3""",
     "coverage_order": f"""WITH l AS ({_LINES}), g AS (SELECT query_id, candidate_id, CASE WHEN l_partkey % 3 = 0 THEN 1.0::DOUBLE / (60 + candidate_id) ELSE 0 END AS g1, CASE WHEN l_suppkey % 2 = 0 THEN 1.0::DOUBLE / (60 + candidate_id % 4) ELSE 0 END AS g2 FROM l),
 a AS (SELECT query_id, candidate_id, 0 AS seed FROM g WHERE g1 > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY g1 DESC, candidate_id) = 1),
 b AS (SELECT query_id, candidate_id, 1 AS seed FROM g ANTI JOIN a USING (query_id, candidate_id) WHERE g2 > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY g2 DESC, candidate_id) = 1),
 s AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 SELECT query_id, candidate_id, row_number() OVER (PARTITION BY query_id ORDER BY seed NULLS LAST, candidate_id) AS place FROM g LEFT JOIN s USING (query_id, candidate_id)""",
-    "undelivered": f"""WITH l AS ({_LINES}), s AS (SELECT query_id, l_suppkey % 2 AS document_id, candidate_id AS place, l_partkey % 200 AS start, l_partkey % 200 + l_suppkey % 60 + 1 AS finish FROM l),
-c AS (SELECT s.*, unnest(range(start, finish)) AS x FROM s),
-n AS (SELECT query_id, document_id, place, x FROM c WHERE NOT EXISTS (SELECT 1 FROM s e WHERE e.query_id = c.query_id AND e.document_id = c.document_id AND e.place < c.place AND c.x >= e.start AND c.x < e.finish)),
-i AS (SELECT *, x - row_number() OVER (PARTITION BY query_id, document_id, place ORDER BY x) AS island FROM n),
-p AS (SELECT query_id, document_id, place, min(x) AS start, max(x) + 1 AS finish FROM i GROUP BY query_id, document_id, place, island)
-SELECT query_id, document_id, place, start, finish AS "end" FROM p QUALIFY row_number() OVER (PARTITION BY query_id, document_id, place ORDER BY finish - start DESC, start) = 1""",
-    "assembled": """WITH p AS (SELECT conv_id AS query_id, turn, text, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - 2 AS upto FROM conversations WHERE length(text) > 0),
-k AS (SELECT query_id, count(*) AS passages, CAST(max(upto) AS BIGINT) AS chars, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM p WHERE upto <= 1500 GROUP BY query_id),
-q AS (SELECT conv_id AS query_id, max(turn) % 3 AS failed FROM conversations GROUP BY 1)
-SELECT query_id, CASE WHEN passages IS NULL THEN 'no_match' WHEN failed > 0 THEN 'degraded' ELSE 'hit' END AS status, coalesce(passages, 0) AS passages, coalesce(chars, 0) AS chars, md5(coalesce(context, '')) AS context FROM q LEFT JOIN k USING (query_id)""",
     "citations": f"""WITH l AS ({_LINES}), s AS (SELECT query_id, candidate_id, 0 AS i, l_partkey AS document_id, l_suppkey AS start FROM l UNION ALL SELECT query_id, candidate_id, 1, l_partkey, l_suppkey + 50 FROM l WHERE candidate_id % 2 = 0),
 n AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY candidate_id, i) AS number, document_id, start, start + 10 AS finish FROM s)
 SELECT query_id, number, document_id, start, finish AS "end", '[' || number || '] ' || document_id || ':' || start || '-' || finish AS label FROM n""",
-    "unit_support": f"""WITH l AS ({_LINES}), r AS (SELECT query_id, l_partkey % 3 AS unit, l_suppkey % 4 <> 0 AS rec, l_suppkey % 4 <> 0 AND l_partkey % 3 <> 0 AS del FROM l),
+    "unit_support": """WITH l AS (SELECT l_orderkey AS query_id, l_linenumber AS c, min(l_partkey) AS part, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY 1, 2),
+r AS (SELECT query_id, part % 3 AS unit, flag <> 'R' AS rec, flag <> 'R' AND status <> 'O' AS del FROM l),
 u AS (SELECT query_id, unit, bool_or(rec) AS rec, bool_or(del) AS del FROM r GROUP BY 1, 2)
 SELECT query_id, count(*) AS units, count(*) FILTER (WHERE rec) AS recalled, count(*) FILTER (WHERE del) AS delivered, bool_and(del) AS complete, CASE WHEN NOT bool_and(rec) THEN 'recall' WHEN NOT bool_and(del) THEN 'delivery' ELSE 'none' END AS lost_at FROM u GROUP BY query_id""",
     "macro_averages": "SELECT count(*) AS queries, " + ", ".join(f"round(avg({n}), 6) AS {n}, round(avg({n}) FILTER (WHERE hit), 6) AS hit_{n}" for n in ("reciprocal_rank", "recall", "ndcg")) + f" FROM ({retrieval.SQL['retrieval_metrics']})",

@@ -8,24 +8,36 @@ from ..functions.common import cosine
 from ..operators import rules as op
 from .projections import table, with_
 
-ALLOWED = [("O", "P"), ("P", "F"), ("O", "F")]
+# The states of content and where each may go.
+STATES = {
+    "pending_qc": ["passed", "rejected", "awaiting_review"],
+    "awaiting_review": ["passed", "rejected"],
+    "passed": ["published"],
+    "published": [],
+    "rejected": [],
+}
+ALLOWED = [(before, after) for before, targets in STATES.items() for after in targets]
 # A policy of line roles, first match first.
 POLICY = [("heading", r"^#{1,6}\s"), ("item", r"^(?:[-*+]|[0-9]+[.)])\s"), ("copyright", r"(?i)copyright|license"), ("address", r"[\w.]+@[\w.]+"), ("sentence", r"[.!?]\s*$")]
 TYPE_RULES = [("de", "n_chars", 50.0, 5000.0), ("en", "n_chars", 100.0, 4000.0), ("en", "doc_id", 0.0, 500.0)]
+FAILURES = ["http", "routing", "timeout", "platform", "odd", "http", "database"]
 TIERS = [("easy", "small"), ("hard", "large"), ("default", "medium")]
 _LOG = with_("trace_log")
 
 
 def transitions(spark, sf_dir):
-    moves = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("before"), F.when(F.col("l_returnflag") == "N", "P").otherwise("F").alias("after"))
-    return op.checked_transitions(moves, spark.createDataFrame(ALLOWED, "before string, after string")).groupBy("before", "after").agg(F.count("*").alias("moves"), F.count_if("allowed").alias("allowed"))
+    """Documents as content that moves from one state to another."""
+    state = lambda at: F.get(F.array(*map(F.lit, STATES)), (at % len(STATES)).cast("int"))
+    moves = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), state(F.col("doc_id")).alias("before"), state(F.col("n_chars")).alias("after"))
+    return op.checked_transitions(moves, spark.createDataFrame(ALLOWED, "before string, after string"))
 
 
 def failures(spark, sf_dir):
-    kind = F.when(F.col("user_id") % 7 == 0, "timeout").when(F.col("user_id") % 7 == 1, "schema").when(F.col("user_id") % 7 == 2, "cancelled").when(F.col("user_id") % 7 == 3, "odd")
-    code = F.when(F.col("event_id") % 5 < 3, (F.col("event_id") % 5 + 3) * 100 + F.col("event_id") % 30)
-    rows = table(spark, sf_dir, "events").select(op.failure_class(kind, code).alias("class"))
-    return rows.groupBy("class").agg(F.count("*").alias("failures"))
+    """Events as failures: one kind around another, some with a code."""
+    kinds = F.array(*[F.lit(k) for k in FAILURES])
+    code = F.when(F.col("event_id") % 5 < 3, (F.col("event_id") % 5 + 3) * 100 + F.col("event_id") % 30).cast("int")
+    link = lambda at: F.struct(F.get(kinds, (at % len(FAILURES)).cast("int")).alias("kind"), code.alias("code"))
+    return table(spark, sf_dir, "events").select("event_id", op.failure_class(F.array(link(F.col("user_id")), link(F.floor(F.col("user_id") / 7)))).alias("class"))
 
 
 def routes(spark, sf_dir):
@@ -34,8 +46,8 @@ def routes(spark, sf_dir):
 
 
 def replays(spark, sf_dir):
-    letters = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderkey") % 4).alias("replays"))
-    active = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O' and o_orderkey % 9 = 0").select(F.col("o_custkey").alias("key"))
+    letters = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderkey") % 4).alias("replays"))
+    active = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"))
     return op.replayable(letters, active, 3)
 
 
@@ -74,7 +86,7 @@ def copies(spark, sf_dir):
 def upserts(spark, sf_dir):
     stored = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("type_id"), (F.col("p_partkey") % 3 + 1).alias("version"), F.sha2(F.col("p_name"), 256).alias("content"))
     changed = F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit("+"))).otherwise(F.col("p_name"))
-    incoming = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select((F.col("p_partkey") + F.when(F.col("p_partkey") % 10 == 0, 1_000_000).otherwise(0)).alias("type_id"), F.sha2(changed, 256).alias("content"))
+    incoming = table(spark, sf_dir, "part").select((F.col("p_partkey") + F.when(F.col("p_partkey") % 10 == 0, 1_000_000).otherwise(0)).alias("type_id"), F.sha2(changed, 256).alias("content"))
     return op.upserted(stored, incoming, "type_id")
 
 
@@ -119,13 +131,14 @@ QUERIES = {
 _ROLE = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in POLICY) + " ELSE 'other' END"
 _PAIRS = lambda rows: ", ".join(f"('{a}', '{b}')" for a, b in rows)
 SQL = {
-    "transitions": f"WITH m AS (SELECT l_linestatus AS before, CASE WHEN l_returnflag = 'N' THEN 'P' ELSE 'F' END AS after FROM lineitem) SELECT before, after, count(*) AS moves, count(*) FILTER (WHERE before = after OR (before, after) IN (VALUES {_PAIRS(ALLOWED)})) AS allowed FROM m GROUP BY 1, 2",
-    "failure_classes": """WITH e AS (SELECT CASE user_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'schema' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'odd' END AS kind, CASE WHEN event_id % 5 < 3 THEN (event_id % 5 + 3) * 100 + event_id % 30 END AS code FROM events),
-c AS (SELECT CASE WHEN kind = 'cancelled' THEN 'cancelled' WHEN code IN (408, 409, 425, 429) OR code >= 500 THEN 'retry' WHEN kind IN ('timeout', 'connection') THEN 'retry' WHEN code BETWEEN 400 AND 499 OR kind IN ('schema', 'validation') THEN 'permanent' WHEN kind IS NULL AND code IS NULL THEN NULL ELSE 'unknown' END AS class FROM e)
-SELECT class, count(*) AS failures FROM c GROUP BY class""",
+    "transitions": f"WITH s AS (SELECT {list(STATES)} AS x), m AS (SELECT doc_id AS id, x[doc_id % 5 + 1] AS before, x[n_chars % 5 + 1] AS after FROM documents, s) SELECT *, (before, after) IN (VALUES {_PAIRS(ALLOWED)}) AS allowed FROM m",
+    "failure_classes": f"""WITH e AS (SELECT event_id, {FAILURES}[user_id % 7 + 1] AS outer_kind, {FAILURES}[user_id // 7 % 7 + 1] AS inner_kind, CASE WHEN event_id % 5 < 3 THEN (event_id % 5 + 3) * 100 + event_id % 30 END AS code FROM events),
+l AS (SELECT event_id, 0 AS depth, outer_kind AS kind, code FROM e UNION ALL SELECT event_id, 1, inner_kind, code FROM e),
+s AS (SELECT event_id, depth, CASE WHEN kind IN ('timeout', 'database') THEN 'retry' WHEN kind = 'http' AND (code IN (408, 429) OR code > 499) THEN 'retry' WHEN kind = 'platform' OR kind = 'http' AND code IS NOT NULL THEN 'permanent' END AS class FROM l)
+SELECT event_id, coalesce(arg_min(class, depth) FILTER (WHERE class IS NOT NULL), 'unknown') AS class FROM s GROUP BY event_id""",
     "routes": with_("quality_evaluation") + "SELECT thread_id || '#' || revise_count AS id, CASE WHEN score IS NULL THEN 'review' WHEN score >= 75 THEN 'store' WHEN score >= 65 THEN 'review' WHEN revise_count < 3 THEN 'revise' ELSE 'reject' END AS route FROM quality_evaluation",
-    "replays": """WITH l AS (SELECT o_orderkey AS id, o_custkey AS key, o_orderkey % 4 AS replays, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'F')
-SELECT id, CASE WHEN key IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 9 = 0) THEN 'active' WHEN replays >= 3 THEN 'exhausted' WHEN place > 1 THEN 'later' ELSE 'replay' END AS verdict FROM l""",
+    "replays": """WITH l AS (SELECT o_orderkey AS id, o_custkey AS key, o_orderkey % 4 AS replays, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus <> 'O')
+SELECT id, CASE WHEN key IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') THEN 'active' WHEN replays >= 3 THEN 'exhausted' WHEN place > 1 THEN 'later' ELSE 'replay' END AS verdict FROM l""",
     "expiry_batches": "SELECT event_id AS id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 200 AS batch_no FROM events WHERE ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20'",
     "durability": _LOG + """, k AS (SELECT task_id, count(cost) AS stored, count(*) FILTER (WHERE cost IS NULL AND success) AS spooled, count(*) FILTER (WHERE cost IS NULL AND NOT success) AS lost FROM trace_log GROUP BY task_id)
 SELECT *, CASE WHEN lost > 0 THEN 'failing' WHEN spooled > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM k""",
@@ -139,7 +152,7 @@ SELECT *, CASE WHEN lost > 0 THEN 'failing' WHEN spooled > 0 THEN 'degraded' ELS
     "props_hashes": "SELECT sha256('{\"k\":\"' || regexp_extract(props, '[0-9]+') || '\"}') AS hash, count(*) AS events FROM events GROUP BY 1",
     "copies": "SELECT doc_id, coalesce(md5(text) IN (SELECT md5(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL), FALSE) AS copied FROM documents",
     "upserts": """WITH s AS (SELECT p_partkey AS type_id, p_partkey % 3 + 1 AS version, sha256(p_name) AS content FROM part),
-i AS (SELECT p_partkey + CASE WHEN p_partkey % 10 = 0 THEN 1000000 ELSE 0 END AS type_id, sha256(CASE WHEN p_partkey % 4 = 0 THEN p_name || '+' ELSE p_name END) AS new FROM part WHERE p_partkey % 2 = 0),
+i AS (SELECT p_partkey + CASE WHEN p_partkey % 10 = 0 THEN 1000000 ELSE 0 END AS type_id, sha256(CASE WHEN p_partkey % 4 = 0 THEN p_name || '+' ELSE p_name END) AS new FROM part),
 j AS (SELECT type_id, version, content, new, CASE WHEN version IS NULL THEN 'added' WHEN new IS NULL OR new = content THEN 'kept' ELSE 'changed' END AS change FROM s FULL JOIN i USING (type_id))
 SELECT type_id, CASE change WHEN 'added' THEN 1 WHEN 'changed' THEN version + 1 ELSE version END AS version, coalesce(new, content) AS content, change FROM j""",
     "template_weights": "WITH w AS (SELECT l_orderkey AS type_id, CASE WHEN l_orderkey % 3 = 0 THEN 0.25::DOUBLE ELSE l_linenumber / 10.0::DOUBLE END AS weight FROM lineitem) SELECT type_id, count(*) AS rules, round(sum(weight), 6) AS total, abs(sum(weight) - 1) <= 1e-6 AND bool_and(weight > 0) AS sound FROM w GROUP BY 1",

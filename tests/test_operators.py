@@ -97,12 +97,6 @@ def test_terms_of_long_and_chinese_queries(spark):
     assert len(got[3]) == 16 and got[3][0] == rows[2][1] and got[3][-1] == "w39"
 
 
-def test_spans_lose_what_was_delivered(spark):
-    rows = [(1, 1, 1, 0, 10), (1, 1, 2, 5, 30), (1, 1, 3, 2, 9), (1, 1, 4, 8, 50), (1, 2, 5, 8, 50)]
-    got = planning.undelivered(spark.createDataFrame(rows, "query_id long, document_id long, place long, start long, end long")).orderBy("place").collect()
-    assert [(r["place"], r["start"], r["end"]) for r in got] == [(1, 0, 10), (2, 10, 30), (4, 30, 50), (5, 8, 50)]
-
-
 def test_agreement(spark):
     def of(*pairs):
         rows = [(i, s, v, "t", k, 1, 1, 1) for i, (a, m) in enumerate(pairs) for k, (s, v) in enumerate((("auto", float(a)), ("manual_review", float(m))))]
