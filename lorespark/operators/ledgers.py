@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import count_where, kappa, ratio
+from .likeness import near_texts
 
 
 def coverage_summary(calls: DataFrame, *keys: str) -> DataFrame:
@@ -65,14 +66,22 @@ def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return joined.select("id", F.round(F.when(F.col("verified") & F.col("usage_reported"), cost), 6).alias("cost"))
 
 
-def set_geometry(items: DataFrame) -> DataFrame:
-    """Per set of a data set: its size and balance, and how many of its ids, inputs and families another set has too."""
+def set_geometry(items: DataFrame, near: float | None = None) -> DataFrame:
+    """Per set of a data set: its size and balance, and how many of its ids, inputs and families another set has too.
+
+    near: also how many of its items (id, text) have a text like that of an item before it, in order of place, in another set.
+    """
     sizes = items.groupBy("part").agg(F.count("*").alias("items"), F.round(ratio(count_where(F.col("label") == 1), F.count("*")), 6).alias("positive"))
     for name in ("id", "input", "family"):
         shared = items.groupBy(name).agg(F.countDistinct("part").alias("parts")).filter("parts > 1")
         both = items.join(shared.select(name), name, "left_semi").groupBy("part").agg(F.countDistinct(name).alias(f"shared_{name}"))
         sizes = sizes.join(both, "part", "left").withColumn(f"shared_{name}", F.coalesce(f"shared_{name}", F.lit(0)))
-    return sizes
+    if near is None:
+        return sizes
+    of = items.select("id", "part", "place")
+    pairs = near_texts(items.select("id", "text"), items.select("id", "text"), near).filter("first_id <> second_id")
+    pairs = pairs.join(of.toDF("first_id", "part", "place"), "first_id").join(of.toDF("second_id", "other", "before"), "second_id").filter("part <> other and before < place")
+    return sizes.join(pairs.groupBy("part").agg(F.countDistinct("first_id").alias("near_items")), "part", "left").withColumn("near_items", F.coalesce("near_items", F.lit(0)))
 
 
 def frozen_plan(cases: DataFrame, arms: list[str], seed: str) -> DataFrame:
@@ -115,7 +124,7 @@ def shared_scores(paths: DataFrame, scores: DataFrame) -> DataFrame:
 def gold_integrity(labels: DataFrame) -> DataFrame:
     """Per item: whether two annotators labelled it, whether they agree, and whether a third settled a dispute."""
     first = labels.filter("role = 'annotator'").groupBy("item_id").agg(F.countDistinct("annotator").alias("annotators"), F.countDistinct("label").alias("labels"), F.collect_set("annotator").alias("who"))
-    third = labels.filter("role = 'adjudicator'").groupBy("item_id").agg(F.first("annotator").alias("adjudicator"))
+    third = labels.filter("role = 'adjudicator'").groupBy("item_id").agg(F.min("annotator").alias("adjudicator"))
     rows = first.join(third, "item_id", "left")
     outsider = F.col("adjudicator").isNotNull() & ~F.array_contains("who", F.col("adjudicator"))
     sound = (F.col("annotators") >= 2) & ((F.col("labels") == 1) | F.coalesce(outsider, F.lit(False)))
@@ -152,14 +161,27 @@ def arm_summary(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
     return joined.groupBy("arm").agg(F.count("*").alias("planned"), F.count("good").alias("assessed"), F.round(ratio(F.count("good"), F.count("*")), 6).alias("coverage"), F.round(ratio(count_where(F.col("good")), F.count("good")), 6).alias("pass_rate"), F.md5(bad).alias("bad_cases"))
 
 
-def example_leaks(candidates: DataFrame, cases: DataFrame) -> DataFrame:
+def example_leaks(candidates: DataFrame, cases: DataFrame, near: float | None = None) -> DataFrame:
     """(candidate_id, reason): why a candidate may not serve as an example for any of the cases; the first reason counts.
 
-    Not reviewed, then the same item, then the same family, then the same normal text as a case.
+    Not reviewed, then the same item, then the same family, then the same normal text as a case, or, with near, a text whose
+    matching blocks with a case's make up that share. Candidates and cases then have text; a null item or family is like none.
     """
     side = lambda name: cases.select(name).distinct().withColumn(f"has_{name}", F.lit(True))
     rows = candidates
-    for name in ("item_id", "family", "content"):
+    for name in ("item_id", "family", *(["content"] if near is None else [])):
         rows = rows.join(side(name), name, "left")
-    reason = F.when(~F.col("reviewed"), "not_reviewed").when(F.col("has_item_id"), "same_item").when(F.col("has_family"), "same_family").when(F.col("has_content"), "same_text").otherwise("eligible")
+    if near is not None:
+        pairs = near_texts(candidates.select("candidate_id", "text"), cases.select("case_id", "text"), near, autojunk=True)
+        rows = rows.join(pairs.select(F.col("first_id").alias("candidate_id")).distinct().withColumn("has_content", F.lit(True)), "candidate_id", "left")
+    reason = F.when(~F.coalesce("reviewed", F.lit(False)), "not_reviewed").when(F.col("has_item_id"), "same_item").when(F.col("has_family"), "same_family").when(F.col("has_content"), "same_text" if near is None else "near_duplicate").otherwise("eligible")
     return rows.select("candidate_id", reason.alias("reason"))
+
+
+def paired_effect(outcomes: DataFrame) -> DataFrame:
+    """(cases, paired, without_rate, with_rate, delta) of outcomes (case_id, without_example, with_example): rates over cases that
+    have both, null without any."""
+    both = F.col("without_example").isNotNull() & F.col("with_example").isNotNull()
+    paired = count_where(both)
+    rates = [ratio(count_where(both & F.col(c)), paired) for c in ("without_example", "with_example")]
+    return outcomes.agg(F.count("*").alias("cases"), paired.alias("paired"), F.round(rates[0], 6).alias("without_rate"), F.round(rates[1], 6).alias("with_rate"), F.round(rates[1] - rates[0], 6).alias("delta"))

@@ -70,6 +70,26 @@ def example_leaks(spark, sf_dir):
     return op.example_leaks(rows.filter("doc_id % 50 <> 0").withColumnRenamed("doc_id", "candidate_id"), cases)
 
 
+def near_examples(spark, sf_dir):
+    """Documents against benchmark items as cases, by ratio of matching blocks."""
+    items = table(spark, sf_dir, "benchmark")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    candidates = docs.select(F.col("doc_id").alias("candidate_id"), "text", F.col("doc_id").alias("item_id"), F.col("source").alias("family"), (F.coalesce("quality", F.lit(1)) == 1).alias("reviewed"))
+    cases = items.select(F.col("item_id").alias("case_id"), "text", (-F.col("item_id") - 1).alias("item_id"), F.lit(None).cast("string").alias("family"))
+    return op.example_leaks(candidates, cases, 0.85)
+
+
+def near_sets(spark, sf_dir):
+    """Turns of conversations as the items of three sets, in order of conversations and turns."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), F.md5("text").alias("input"), F.col("conv_id").alias("family"), (F.col("role") == "user").cast("int").alias("label"))
+    return op.set_geometry(turns.withColumn("part", F.when(F.col("family") % 10 < 7, "train").when(F.col("family") % 10 < 8, "tune").otherwise("test")), 0.85)
+
+
+def paired_effect(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return op.paired_effect(labels.select(F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 5 > 0, F.col("quality") == 1).alias("without_example"), F.when(F.col("doc_id") % 7 > 0, F.col("toxic") == 0).alias("with_example")))
+
+
 QUERIES = {
     "coverage_summary": lambda s, d: op.coverage_summary(table(s, d, "trace_log"), "task_id"),
     "accounting_by_currency": lambda s, d: op.accounting_by_currency(_calls(s, d), "template_id"),
@@ -86,6 +106,9 @@ QUERIES = {
     "verdict_rollup": lambda s, d: op.verdict_rollup(table(s, d, "task_item").select("task_id", F.when(F.col("status") == "failed", "fail").when(F.col("status") == "awaiting_review", "unresolved").otherwise("pass").alias("verdict")), "task_id"),
     "arm_summary": arm_summary,
     "example_leaks": example_leaks,
+    "near_examples": near_examples,
+    "near_sets": near_sets,
+    "paired_effect": paired_effect,
 }
 
 _CASES = """WITH c AS (SELECT doc_id AS id, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 8 THEN 'tune' ELSE 'test' END AS part, md5(text) AS input, source AS family, quality AS label FROM documents JOIN labels USING (doc_id))"""
@@ -111,12 +134,14 @@ SELECT first, second, items, round(o, 6) AS agreement, round(CASE WHEN e < 1 THE
 p AS (SELECT doc_id AS path_id, score, CASE WHEN doc_id % 7 = 0 THEN 'cancelled' WHEN score IS NULL THEN 'missing' ELSE 'scored' END AS status FROM documents LEFT JOIN s ON md5(text) = content_id)
 SELECT path_id, CASE WHEN status = 'scored' THEN score END AS score, status FROM p""",
     "gold_integrity": """WITH f AS (SELECT l_orderkey AS item_id, count(DISTINCT l_suppkey % 5) AS annotators, count(DISTINCT l_quantity > 25) AS labels, list(DISTINCT l_suppkey % 5) AS who FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1),
-t AS (SELECT l_orderkey AS item_id, any_value(l_suppkey % 5) AS third FROM lineitem WHERE l_linenumber = 3 GROUP BY 1)
+t AS (SELECT l_orderkey AS item_id, min(l_suppkey % 5) AS third FROM lineitem WHERE l_linenumber = 3 GROUP BY 1)
 SELECT item_id, annotators, labels > 1 AS disputed, third IS NOT NULL AS adjudicated, annotators >= 2 AND (labels = 1 OR coalesce(NOT list_contains(who, third), FALSE)) AS sound FROM f LEFT JOIN t USING (item_id)""",
     "verdict_rollup": with_("task_item") + "SELECT task_id, CASE WHEN bool_or(status = 'failed') THEN 'fail' WHEN bool_or(status = 'awaiting_review') THEN 'unresolved' ELSE 'pass' END AS verdict, count(*) AS votes FROM task_item GROUP BY task_id",
     "arm_summary": _PLAN + """, o AS (SELECT f.*, CASE WHEN turn < 3 THEN quality = 1 END AS good FROM f JOIN labels ON doc_id = case_id)
 SELECT arm, count(*) AS planned, count(good) AS assessed, round(count(good)::DOUBLE / count(*), 6) AS coverage, round(count(*) FILTER (WHERE good)::DOUBLE / nullif(count(good), 0), 6) AS pass_rate,
   md5(coalesce(string_agg(DISTINCT case_id::VARCHAR, ',' ORDER BY case_id::VARCHAR) FILTER (WHERE NOT good), '')) AS bad_cases FROM o GROUP BY arm""",
+    "paired_effect": """WITH o AS (SELECT CASE WHEN doc_id % 5 > 0 THEN (quality = 1)::INT END AS a, CASE WHEN doc_id % 7 > 0 THEN (toxic = 0)::INT END AS b FROM labels), p AS (SELECT * FROM o WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT (SELECT count(*) FROM o) AS cases, count(*) AS paired, round(avg(a), 6) AS without_rate, round(avg(b), 6) AS with_rate, round(avg(b) - avg(a), 6) AS delta FROM p""",
     "example_leaks": r"""WITH r AS (SELECT doc_id, doc_id % 40 AS item_id, concat_ws('-', source, doc_id % 9) AS family, md5(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS content, coalesce(quality = 1, doc_id % 2 = 0) AS reviewed FROM documents LEFT JOIN labels USING (doc_id)),
 c AS (SELECT * FROM r WHERE doc_id % 50 = 0)
 SELECT doc_id AS candidate_id, CASE WHEN NOT reviewed THEN 'not_reviewed' WHEN item_id IN (SELECT item_id FROM c) THEN 'same_item' WHEN family IN (SELECT family FROM c) THEN 'same_family'
