@@ -78,10 +78,13 @@ def set_geometry(items: DataFrame, near: float | None = None) -> DataFrame:
         sizes = sizes.join(both, "part", "left").withColumn(f"shared_{name}", F.coalesce(f"shared_{name}", F.lit(0)))
     if near is None:
         return sizes
-    of = items.select("id", "part", "place")
-    pairs = near_texts(items.select("id", "text"), items.select("id", "text"), near).filter("first_id <> second_id")
-    pairs = pairs.join(of.toDF("first_id", "part", "place"), "first_id").join(of.toDF("second_id", "other", "before"), "second_id").filter("part <> other and before < place")
-    return sizes.join(pairs.groupBy("part").agg(F.countDistinct("first_id").alias("near_items")), "part", "left").withColumn("near_items", F.coalesce("near_items", F.lit(0)))
+    # Texts meet once each; of the items that have one, the first of each set stands for all.
+    firsts = items.groupBy("text", "part").agg(F.min("place").alias("before"))
+    texts = firsts.select(F.md5("text").alias("id"), "text").distinct()
+    pairs = near_texts(texts, texts, near).select("first_id", "second_id").join(firsts.select(F.md5("text").alias("second_id"), F.col("part").alias("other"), "before"), "second_id")
+    earlier = pairs.groupBy("first_id", "other").agg(F.min("before").alias("before"))
+    found = items.select(F.md5("text").alias("first_id"), "id", "part", "place").join(earlier, "first_id").filter("part <> other and before < place")
+    return sizes.join(found.groupBy("part").agg(F.countDistinct("id").alias("near_items")), "part", "left").withColumn("near_items", F.coalesce("near_items", F.lit(0)))
 
 
 def frozen_plan(cases: DataFrame, arms: list[str], seed: str) -> DataFrame:
@@ -172,8 +175,9 @@ def example_leaks(candidates: DataFrame, cases: DataFrame, near: float | None =
     for name in ("item_id", "family", *(["content"] if near is None else [])):
         rows = rows.join(side(name), name, "left")
     if near is not None:
-        pairs = near_texts(candidates.select("candidate_id", "text"), cases.select("case_id", "text"), near, autojunk=True)
-        rows = rows.join(pairs.select(F.col("first_id").alias("candidate_id")).distinct().withColumn("has_content", F.lit(True)), "candidate_id", "left")
+        texts = [df.select(F.md5("text").alias("id"), "text").distinct() for df in (candidates, cases)]
+        known = near_texts(*texts, near, autojunk=True).select("first_id").distinct().withColumn("has_content", F.lit(True))
+        rows = rows.withColumn("first_id", F.md5("text")).join(known, "first_id", "left")
     reason = F.when(~F.coalesce("reviewed", F.lit(False)), "not_reviewed").when(F.col("has_item_id"), "same_item").when(F.col("has_family"), "same_family").when(F.col("has_content"), "same_text" if near is None else "near_duplicate").otherwise("eligible")
     return rows.select("candidate_id", reason.alias("reason"))
 

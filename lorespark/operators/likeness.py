@@ -11,37 +11,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Places that characters and pairs of neighbours are hashed to. Texts of one place count together, which keeps bounds bounds.
-SINGLES, PAIRS = 64, 192
+#: Places that characters are hashed to. Characters of one place count together, which keeps bounds bounds.
+PLACES = 64
 #: Texts of one block, and numbers over which blocks of the first side are spread.
 BLOCK, SPREAD = 512, 64
 
 
 def counts_of(text: str) -> np.ndarray:
-    """How often each place has a character, then how often each has a pair of neighbours."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    pairs = codes[:-1] * 31 + codes[1:] if len(codes) else codes
-    return np.concatenate([np.bincount(codes % SINGLES, minlength=SINGLES), np.bincount(pairs % PAIRS, minlength=PAIRS)]).astype(np.int32)
+    """How many of the text's characters each place has."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount(codes % PLACES, minlength=PLACES).astype(np.int32)
 
 
 def least_matched(total: np.ndarray, least: float) -> np.ndarray:
     """The least number of matched characters of two texts of so many together whose ratio can reach least."""
-    return np.ceil(least * total / 2 - 1e-9)
+    return np.ceil(least * total / 2 - 1e-9).astype(np.int64)
 
 
 def may_match(text: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
-    """Which of some texts may reach the ratio with one, by their sizes and counts.
+    """Which of some texts may reach the ratio with one, by their sizes and counts: both have the characters that match."""
+    need = least_matched(size + sizes, least)
+    return (need <= np.minimum(size, sizes)) & (np.minimum(text, others).sum(axis=1) >= need)
+
+
+def places_of(text: str) -> dict[str, int]:
+    """For each character the bits of its places in the text."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
 
-    Matching blocks are a common part of both in order. So both have its characters; and of the neighbours in one text
-    those stay neighbours in the other that no unmatched character of the first is among and none of the other
-    comes between.
+
+def common_length(places: dict[str, int], size: int, other: str) -> int:
+    """The length of the longest common subsequence of a text and another, all places of the text at once.
+
+    A zero in the row of bits is a place where the length that is common so far grows. Matching blocks are in the same
+    order in both texts, so they have no more characters together.
     """
-    need = least_matched(size + sizes, least)
-    single = np.minimum(text[:SINGLES], others[:, :SINGLES]).sum(axis=1)
-    pair = np.minimum(text[SINGLES:], others[:, SINGLES:]).sum(axis=1)
-    mine, theirs = size - need, sizes - need
-    kept = np.maximum(size - 1 - 2 * mine - theirs, sizes - 1 - 2 * theirs - mine)
-    return (need <= np.minimum(size, sizes)) & (single >= need) & (pair >= kept)
+    whole = row = (1 << size) - 1
+    for c in other:
+        met = row & places.get(c, 0)
+        row = ((row + met) | (row - met)) & whole
+    return size - row.bit_count()
 
 
 def _stratum(size: int, least: float) -> int:
@@ -73,11 +84,12 @@ def near_texts(first: DataFrame, second: DataFrame, least: float = 0.85, autojun
     """(first_id, second_id, ratio): all pairs of a text of first and one of second, both (id, text), whose ratio is at least
     `least`: twice the characters in matching blocks by the characters of both. Which text comes first counts.
 
-    Blocks of texts meet by strata of lengths, those of second at the stratum and its neighbours; each pair of blocks is
-    narrowed by lengths, by counts of characters and by counts of neighbours before blocks are matched. No pair that
-    reaches the ratio is lost, and blocks of second are spread over tasks, so no length decides how long one takes.
-    autojunk: long texts' frequent characters begin no block, as the standard library has it by default.
-    Null and empty texts match nothing; texts that repeat are pairs of their own.
+    Blocks of texts meet by strata of lengths, those of second at the stratum and its neighbours; each pair of texts of
+    two blocks is held against bounds, by lengths, by counts of characters and by the longest common subsequence, before its
+    blocks are matched. No pair that reaches the ratio is lost, and blocks of first are spread over tasks, so no
+    length decides how long one takes. autojunk: long texts' frequent characters begin no block, as the standard
+    library has it by default. Null and empty texts match nothing. Texts that repeat are pairs of their own, so callers
+    with many copies pass distinct ones.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
@@ -92,13 +104,16 @@ def near_texts(first: DataFrame, second: DataFrame, least: float = 0.85, autojun
             out = []
             for row in range(batch.num_rows):
                 a_ids, a_texts, b_ids, b_texts = (batch.column(c)[row].as_py() for c in ("l_ids", "l_texts", "ids", "texts"))
-                a, b = (np.frombuffer(batch.column(c)[row].as_py(), np.int32).reshape(-1, SINGLES + PAIRS) for c in ("l_counts", "counts"))
+                a, b = (np.frombuffer(batch.column(c)[row].as_py(), np.int32).reshape(-1, PLACES) for c in ("l_counts", "counts"))
                 sizes = np.array([len(t) for t in a_texts])
                 for j, text in enumerate(b_texts):
                     found = np.flatnonzero(may_match(b[j], len(text), a, sizes, least))
-                    if len(found):
-                        matcher = difflib.SequenceMatcher(None, "", text, autojunk)
-                        for i in found.tolist():
+                    if not len(found):
+                        continue
+                    places, need, matcher = places_of(text), least_matched(len(text) + sizes[found], least).tolist(), None
+                    for i, most in zip(found.tolist(), need, strict=True):
+                        if common_length(places, len(text), a_texts[i]) >= most:
+                            matcher = matcher or difflib.SequenceMatcher(None, "", text, autojunk)
                             matcher.set_seq1(a_texts[i])
                             ratio = matcher.ratio()
                             if ratio >= least:

@@ -80,9 +80,9 @@ def near_examples(spark, sf_dir):
 
 
 def near_sets(spark, sf_dir):
-    """Turns of conversations as the items of three sets, in order of conversations and turns."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), F.md5("text").alias("input"), F.col("conv_id").alias("family"), (F.col("role") == "user").cast("int").alias("label"))
-    return op.set_geometry(turns.withColumn("part", F.when(F.col("family") % 10 < 7, "train").when(F.col("family") % 10 < 8, "tune").otherwise("test")), 0.85)
+    """Benchmark items as the cases of three sets, in order of their ids."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.col("item_id").alias("place"), F.md5("text").alias("input"), F.floor(F.col("item_id") / 10).alias("family"), (F.col("item_id") % 2).alias("label"))
+    return op.set_geometry(items.withColumn("part", F.when(F.col("id") % 21 < 10, "exploration").when(F.col("id") % 21 < 20, "confirmation").otherwise("smoke")), 0.85)
 
 
 def paired_effect(spark, sf_dir):

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lorespark.operators import ledgers
-from lorespark.operators.likeness import counts_of, may_match, near_texts
+from lorespark.operators.likeness import common_length, counts_of, may_match, near_texts, places_of
 
 SCHEMA = "id long, text string"
 
@@ -56,6 +56,18 @@ def test_order_of_the_two_counts(spark):
 def test_bounds_lose_nothing(a, b, least):
     if a and b and ratio(a, b) >= least:
         assert may_match(counts_of(b), len(b), counts_of(a)[None], np.array([len(a)]), least)[0]
+        assert 2 * common_length(places_of(b), len(b), a) >= least * (len(a) + len(b)) - 1e-9
+
+
+@given(st.text("abc", max_size=14), st.text("abc", max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    assert common_length(places_of(a), len(a), b) == row[-1]
 
 
 def test_leaks_by_likeness(spark):
