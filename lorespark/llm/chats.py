@@ -15,6 +15,8 @@ INTRODUCTION = r"(?:on .{1,200} wrote:|am .{1,200} schrieb.{0,100}:|le .{1,200}
 MARKS = r"^(?:\s{0,3}>)+ ?"
 #: Normalised characters that a passage needs to stand for a message of another conversation; within a conversation any will do.
 LEAST = 12
+#: What ends a sentence, and a mark before each line of a text (a character for private use, which texts lose).
+SENTENCES, MARK = r"(?<=[.!?。！？])\s+|\n\s*\n", "\ue000"
 #: Turns of one conversation are parted into stretches of so many, so that a long one is spread out.
 STRETCH = 64
 
@@ -50,7 +52,7 @@ def _joined(lines: Column, field: str) -> Column:
 
 def _units(rows: DataFrame, body: Column) -> DataFrame:
     """rows with digest, n and whole: a row for the passage, and for each of its sentences and lines, by the hash of its normal form."""
-    sentences, lines = F.split(body, r"(?<=[.!?。！？])\s+|\n\s*\n"), F.split(body, "\n")
+    sentences, lines = F.split(body, SENTENCES), F.split(body, "\n")
     parts = F.transform(F.concat(sentences, lines), lambda x: F.struct(F.lit(False).alias("whole"), normalised(x).alias("norm")))
     units = F.array_distinct(F.concat(F.array(F.struct(F.lit(True).alias("whole"), normalised(body).alias("norm"))), parts))
     units = rows.withColumn("unit", F.explode(F.filter(units, lambda x: x["norm"] != ""))).withColumn("digest", F.md5(F.col("unit.norm")))
@@ -77,12 +79,45 @@ def own_passages(rows: DataFrame) -> DataFrame:
     return _units(alone.unionByName(in_all), F.col("body")).drop("body").distinct()
 
 
-def quoted_passages(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, key, block, level, digest, n, whole): each run of lines of one quote level, whole and in parts."""
+def quoted_runs(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, key, block, place, level, run): the lines of each run of one quote level, in order of place."""
     blocks = rows.select("conv_id", "turn", "key", F.posexplode("blocks").alias("block", "quoted")).filter(F.col("quoted")[0]["level"] > 0)
-    runs = with_runs(blocks, "quoted", "runs", lambda x: x["level"]).select("conv_id", "turn", "key", "block", F.explode("runs").alias("run"))
-    runs = runs.select("conv_id", "turn", "key", "block", F.col("run")[0]["level"].alias("level"), _joined(F.filter("run", _says), "body").alias("body"))
-    return _units(runs, F.col("body")).drop("body").distinct()
+    runs = with_runs(blocks, "quoted", "runs", lambda x: x["level"]).select("conv_id", "turn", "key", "block", F.posexplode("runs").alias("place", "run"))
+    return runs.select("conv_id", "turn", "key", "block", "place", F.col("run")[0]["level"].alias("level"), "run")
+
+
+def quoted_passages(runs: DataFrame) -> DataFrame:
+    """(conv_id, turn, key, block, level, digest, n, whole): each run of lines of one quote level, whole and in parts."""
+    bodies = runs.select("conv_id", "turn", "key", "block", "level", _joined(F.filter("run", _says), "body").alias("body"))
+    return _units(bodies, F.col("body")).drop("body").distinct()
+
+
+def kept_lines(runs: DataFrame, linked: DataFrame) -> DataFrame:
+    """(conv_id, turn, key, parts) for messages with links: parts, an array of (block, place, lost, kept), has of each run the lines that stay.
+
+    linked: (conv_id, turn, key, block, level, digest). A line goes if its whole run links, or the line itself, or all
+    sentences that it holds a part of, however they are wrapped. Lines without words and announcing lines go with
+    any line of their run. Lines are marked in the run's text, linked sentences are taken out, and a line is gone if
+    nothing is left behind its mark.
+    """
+    keys = ["conv_id", "turn", "key"]
+    digests = linked.groupBy(*keys, "block", "level").agg(F.collect_set("digest").alias("digests"))
+    rows = runs.join(linked.select(*keys).distinct(), keys, "left_semi").join(digests, [*keys, "block", "level"], "left").dropDuplicates([*keys, "block", "place"])
+    known = lambda text: F.array_contains("digests", F.md5(normalised(text)))
+    bare = lambda x: F.translate(x["body"], MARK, "")
+    empty = lambda x: normalised(x["body"]) == ""
+    said = F.filter("run", _says)
+    marked = F.array_join(F.transform(said, lambda x: F.when(empty(x), bare(x)).otherwise(F.concat(F.lit(MARK), bare(x)))), "\n")
+    left = F.transform(F.split(marked, SENTENCES), lambda p: F.when(known(p), F.regexp_replace(p, f"[^{MARK}]", "")).otherwise(p))
+    rows = rows.withColumn("left", F.slice(F.split(F.array_join(left, " "), MARK), 2, F.greatest(F.lit(1), F.size("run"))))
+    rows = rows.withColumn("all", known(_joined(said, "body"))).withColumn("full", F.filter(said, lambda x: ~empty(x)))
+    gone = F.transform("full", lambda x, k: F.col("all") | known(x["body"]) | (normalised(F.coalesce(F.get("left", k), F.lit("x"))) == ""))
+    rows = rows.withColumn("gone", F.when(F.col("digests").isNotNull(), gone))
+    rows = rows.withColumn("lost", F.coalesce(F.exists("gone", lambda g: g), F.lit(False)))
+    stays = F.transform(F.filter(F.arrays_zip(F.col("full").alias("line"), F.col("gone").alias("out")), lambda z: ~z["out"]), lambda z: z["line"]["raw"])
+    kept = F.when(F.col("lost"), stays).otherwise(F.transform("run", lambda x: x["raw"]))
+    part = F.struct("block", "place", "lost", F.when(F.size(kept) > 0, F.array_join(kept, "\n")).alias("kept"))
+    return rows.select(*keys, part.alias("part")).groupBy(*keys).agg(F.sort_array(F.collect_list("part")).alias("parts"))
 
 
 def _nearest(own: DataFrame, quoted: DataFrame) -> DataFrame:
@@ -102,7 +137,7 @@ def _nearest(own: DataFrame, quoted: DataFrame) -> DataFrame:
 
 
 def quote_links(own: DataFrame, quoted: DataFrame) -> DataFrame:
-    """(conv_id, turn, key, block, level, to_conv, to_turn, n) for each quoted passage that is known: what it quotes.
+    """(conv_id, turn, key, block, level, digest, to_conv, to_turn, n) for each quoted passage that is known: what it quotes.
 
     A passage, sentence or line stands for the last earlier message of its conversation that says it; if there is
     none, for the first message of an earlier conversation (one of smaller conv_id, which is taken as the order in
@@ -118,7 +153,7 @@ def quote_links(own: DataFrame, quoted: DataFrame) -> DataFrame:
     elsewhere = (F.col("first.conv_id") == F.col("last_conv")) & (F.col("first.conv_id") < F.col("conv_id")) & (F.col("n") >= LEAST)
     to_conv = F.when(F.col("near").isNotNull(), F.col("conv_id")).when(elsewhere, F.col("first.conv_id"))
     to_turn = F.when(F.col("near").isNotNull(), F.col("near")).when(elsewhere, F.col("first.turn"))
-    return found.select("conv_id", "turn", "key", "block", "level", to_conv.alias("to_conv"), to_turn.alias("to_turn"), "n").filter("to_conv is not null")
+    return found.select("conv_id", "turn", "key", "block", "level", "digest", to_conv.alias("to_conv"), to_turn.alias("to_turn"), "n").filter("to_conv is not null")
 
 
 def previous_turns(messages: DataFrame) -> DataFrame:
@@ -130,18 +165,20 @@ def previous_turns(messages: DataFrame) -> DataFrame:
     return turns.join(ends, ["conv_id", "stretch"]).select("conv_id", "turn", F.coalesce(within, "before").alias("previous"))
 
 
-def _unquoted(text: Column, blocks: Column, gone: Column) -> Column:
-    """The text without the blocks whose places are in gone, and without the lines that announce them."""
-    last = lambda i: F.array_contains(gone, i + 1)
-    parts = F.transform(blocks, lambda b, i: F.when(F.array_contains(gone, i), F.lit(None)).when((b[0]["level"] == 0) & last(i), _without_introduction(_joined(b, "raw"))).otherwise(_joined(b, "raw")))
-    bare = F.regexp_replace(F.array_join(parts, "\n"), r"\n{3,}", "\n\n")
-    return F.when(gone.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.regexp_replace(bare, r"^\s+|\s+$", ""))
+def _unquoted(text: Column, blocks: Column, parts: Column) -> Column:
+    """The text with what is kept of quoted blocks, and without the lines that announce blocks which lost something."""
+    of = lambda i: F.filter(parts, lambda p: p["block"] == i)
+    lost = lambda i: F.exists(of(i), lambda p: p["lost"])
+    quoted = lambda i: F.array_join(F.transform(F.filter(of(i), lambda p: p["kept"].isNotNull()), lambda p: p["kept"]), "\n")
+    shown = F.transform(blocks, lambda b, i: F.when(b[0]["level"] > 0, F.nullif(quoted(i), F.lit(""))).when(lost(i + 1), _without_introduction(_joined(b, "raw"))).otherwise(_joined(b, "raw")))
+    bare = F.regexp_replace(F.array_join(shown, "\n"), r"\n{3,}", "\n\n")
+    return F.when(parts.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.regexp_replace(bare, r"^\s+|\s+$", ""))
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
-    """messages without the quotes that are linked, each with what it replies to, in columns whose order is the reply order.
+    """messages without the quoted lines that are linked, each with what it replies to, in columns whose order is the reply order.
 
-    Columns: thread_id, conv_id, turn, role, text (without linked quotes; a quotation of which nothing is known stays),
+    Columns: thread_id, conv_id, turn, role, text (without linked lines; quoted lines of which nothing is known stay),
     reply_conv and reply_turn (the message of which its first quote level has most, the later one of equals, else the
     turn before it), linked_by ('quote', 'turn' or null for a first turn), quoted_lines, linked_levels, ancestors
     (array of (level, conv_id, turn) for deeper levels), then all other columns of messages. Conversations that quote
@@ -156,20 +193,21 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     columns = [*["conv_id", "turn", "role", "text"], *extra]
     rows = message_blocks(messages.select(columns))
     known = rows.filter("conv_id is not null and turn is not null")
-    quoted = written(quoted_passages(known.filter("exists(blocks, b -> b[0].level > 0)")), "quoted")
+    runs = quoted_runs(known.filter("exists(blocks, b -> b[0].level > 0)"))
+    quoted = written(quoted_passages(runs), "quoted")
     links = written(quote_links(own_passages(known), quoted), "links")
     across = links.filter("to_conv <> conv_id").select(F.col("conv_id").alias("x"), F.col("to_conv").alias("y")).distinct()
     threads = component_roots(across).toDF("c", "thread_id")
-    votes = links.groupBy("conv_id", "turn", "key", "level", "to_conv", "to_turn").agg(F.sum("n").alias("n"), F.collect_set("block").alias("at"))
-    best = votes.groupBy("conv_id", "turn", "key", "level").agg(F.max(F.struct("n", "to_conv", "to_turn")).alias("best"), F.flatten(F.collect_list("at")).alias("at"))
+    votes = links.groupBy("conv_id", "turn", "key", "level", "to_conv", "to_turn").agg(F.sum("n").alias("n"))
+    best = votes.groupBy("conv_id", "turn", "key", "level").agg(F.max(F.struct("n", "to_conv", "to_turn")).alias("best"))
     deeper = F.when(F.col("level") > 1, F.struct("level", F.col("best.to_conv").alias("conv_id"), F.col("best.to_turn").alias("turn")))
     by_message = best.groupBy("conv_id", "turn", "key").agg(
         F.max(F.when(F.col("level") == 1, F.col("best"))).alias("quoted"),
         F.count("*").alias("linked_levels"),
         F.sort_array(F.collect_list(deeper)).alias("ancestors"),
-        F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"),
     )
-    found = ["previous", "quoted", "linked_levels", "ancestors", "gone"]
+    by_message = by_message.join(kept_lines(runs, links), ["conv_id", "turn", "key"], "left")
+    found = ["previous", "quoted", "linked_levels", "ancestors", "parts"]
     before = previous_turns(known.select("conv_id", "turn"))
     linked = known.join(before, ["conv_id", "turn"]).join(by_message, ["conv_id", "turn", "key"], "left").join(threads, F.col("conv_id") == F.col("c"), "left")
     kinds = dict(linked.dtypes)
@@ -180,7 +218,7 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
         "conv_id",
         "turn",
         "role",
-        _unquoted(F.col("text"), F.col("blocks"), F.col("gone")).alias("text"),
+        _unquoted(F.col("text"), F.col("blocks"), F.col("parts")).alias("text"),
         F.when(F.col("quoted").isNotNull(), F.col("quoted.to_conv")).when(F.col("previous").isNotNull(), F.col("conv_id")).alias("reply_conv"),
         F.coalesce("quoted.to_turn", "previous").alias("reply_turn"),
         F.when(F.col("quoted").isNotNull(), "quote").when(F.col("previous").isNotNull(), "turn").alias("linked_by"),

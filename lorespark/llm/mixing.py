@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, attach, fresh, table, written
@@ -33,6 +33,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return totals.withColumn("target", F.when(F.col("stops"), F.col("most").cast("double")).otherwise(shared.cast("double"))).select("source", "source_size", "n_docs", "target")
 
 
+def _size() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for documents of (doc_id, source, text).
 
@@ -45,39 +53,49 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     Null text has size 0; a null source is a source, and the last; a null doc_id takes part with its own key;
     repeated rows each count. No documents give no rows.
     """
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    sized = written(sized.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "sized")
+    sized = written(docs.select("doc_id", "source", _size().alias("size"), _key(seed).alias("key")), "sized")
+    return _mixed(sized, ["key", "doc_id", "size"], weights, cap).drop("key")
+
+
+def _mixed(sized: DataFrame, order: list[str], weights: tuple[int, ...], cap: int) -> DataFrame:
+    """sized, a table of (source, size, key) and more, with source_size, target and taken; a source's rows are taken in the given order."""
     rows = attach(sized, source_targets(sized, weights, cap), ["source"], "n_docs", sized.count()).withColumn("range", F.substring("key", 1, 3))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("start"))
     rows = rows.join(starts, rows["source"].eqNullSafe(starts["s"]) & (rows["range"] == starts["r"]))
-    here = Window.partitionBy("s", "r").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = Window.partitionBy("s", "r").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0))
     rows = rows.withColumn("begins", F.col("start") + F.sum("size").over(here) - F.col("size")).withColumn("epochs", epochs)
     last = budget - F.col("epochs") * F.col("source_size") - F.col("begins")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), last))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents as the mix takes them, in docs' columns: once for each whole epoch, and at the cut its first words, single-spaced."""
-    decisions = mix_sources(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("n"))
-    ids = fresh(docs, "__doc", "__source", "__size", "__taken", "__n", "__here", "__words")
-    doc, source, size, taken, n, here, words = ids
-    rows = docs.withColumn(here, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    named = decisions.toDF(doc, source, size, taken, n)
-    joined = rows.join(named, rows["doc_id"].eqNullSafe(named[doc]) & rows["source"].eqNullSafe(named[source]) & (rows[here] == named[size]))
-    # Repeated rows of one document share what the mix takes of them; their sum stays the same up to rounding.
-    joined = joined.withColumn(taken, F.expr(f"`{taken}` div `{n}`")).filter(F.col(taken) > 0)
-    parts = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), F.expr(f"cast(`{taken}` div `{here}` as int)")),
-        F.when(F.col(taken) % F.col(here) > 0, F.array(F.col(taken) % F.col(here))).otherwise(F.array().cast("array<long>")),
-    )
-    joined = joined.withColumn(words, F.explode(parts))
-    cut = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), 1, F.greatest(F.lit(1), F.col(words)).cast("int")), " ")
-    return joined.select(*[F.when(F.col(words) < 0, F.col(c)).otherwise(cut).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    return rows.select(*sized.columns, "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: str = "mix") -> DataFrame:
+    """The documents as the mix takes them, in docs' columns: once for each whole epoch, and at the cut its first words, single-spaced.
+
+    Rows are numbered in a table, so that rows that repeat are told apart and a source's words add up to its target. Per
+    source only the number of epochs and its last row beyond them go back to the rows, which hold their own keys
+    against it; no text moves for a source with more than 1/4096 of the rows. Long texts are cut like others.
+    """
+    key, size, row, cut, epochs, weight, words = fresh(docs, "__key", "__size", "__row", "__cut", "__epochs", "__rows", "__words")
+    tagged = written(docs.withColumn(size, _size()).withColumn(key, _key(seed)).withColumn(row, F.monotonically_increasing_id()), "tagged")
+    order = ["key", "doc_id", "size", "row"]
+    narrow = tagged.select("source", "doc_id", F.col(size).alias("size"), F.col(key).alias("key"), F.col(row).alias("row"))
+    mixed = _mixed(narrow, order, weights, cap)
+    turns = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0))
+    extra = F.col("taken") - turns * F.col("size")
+    cuts = mixed.groupBy("source").agg(F.max(F.when(extra > 0, F.struct(F.struct(*order).alias("at"), extra.alias("words")))).alias(cut), F.max(turns).alias(epochs), F.count("*").alias(weight))
+    rows = attach(tagged, cuts, ["source"], weight, tagged.count())
+    here = F.struct(F.col(key).alias("key"), "doc_id", F.col(size).alias("size"), F.col(row).alias("row"))
+    more = F.when(F.col(cut).isNull() | (here > F.col(f"{cut}.at")), 0).when(here < F.col(f"{cut}.at"), F.col(size)).otherwise(F.col(f"{cut}.words"))
+    whole = F.col(epochs) + (more == F.col(size)).cast("long")
+    parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when((more > 0) & (more < F.col(size)), F.array(more)).otherwise(F.array().cast("array<long>")))
+    rows = rows.filter(F.col(size) > 0).withColumn(words, F.explode(parts))
+    start = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), 1, F.greatest(F.lit(1), F.col(words)).cast("int")), " ")
+    return rows.select(*[F.when(F.col(words) < 0, F.col(c)).otherwise(start).alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

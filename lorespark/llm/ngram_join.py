@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import attach, dropped, returned, table, written
+from .common import attach, dropped, fresh, group_map, map_bits, map_place, returned, table, with_flag, written
 from .components import component_roots
 from .words import ORDERS, STEP, lowered, mixed, word_hashes
 
@@ -368,9 +368,16 @@ def attach_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """docs with the first row of each component alone: rows go by their id and text, so that an unlinked text stays
-    even if its id is also that of a linked one. Texts without words all stay; rows that repeat the first one's id and text stay with it."""
-    gone = jaccard_components(docs).filter("not is_first").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")
+    even if its id is also that of a linked one. Texts without words all stay; rows that repeat the first one's id and text stay with it.
+
+    A map of the rows that go, small enough to broadcast, tells in the scan which rows may be among them; only those move.
+    """
+    doc, key, maybe = fresh(docs, "__doc", "__key", "__maybe")
+    gone = written(jaccard_components(docs).filter("not is_first").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct(), "gone")
+    bits = map_bits(max(1, gone.count()))
+    rows = with_flag(docs, map_place(bits, F.col("doc_id"), F.xxhash64("text")), group_map(gone, bits, doc, key), maybe)
+    held = rows.filter(maybe).join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
+    return rows.filter(~F.col(maybe)).drop(maybe).unionByName(held.drop(maybe))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

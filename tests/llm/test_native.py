@@ -207,3 +207,21 @@ def test_replies_are_found_however_wrapped(spark, seed):
         to, by, older, text = truth[r["conv_id"], r["turn"]]
         assert (r["reply_turn"], r["linked_by"], r["text"]) == (to, by, text)
         assert [a["turn"] for a in r["ancestors"]] == ([older] if older is not None else [])
+
+
+def test_only_linked_lines_go(spark):
+    """Blocks of known and unknown lines: what links goes line by line, sentences wherever they are wrapped, nothing else."""
+    said = "We should ship on Friday.\nThe build is green today. It took the whole night to get there."
+    cases = {
+        1: ("> We should ship on Friday.\n> Nobody ever wrote this line.\n> Nor did anybody write that.\nFine.", "> Nobody ever wrote this line.\n> Nor did anybody write that.\nFine."),
+        2: ("> We should ship on Friday.\n> The build is green today. It took\n> the whole night to get there.\nGood.", "Good."),
+        3: ("> Unknown words stand here alone.\n> It took the whole\n> night to get there.\nSo it did.", "> Unknown words stand here alone.\nSo it did."),
+        4: ("> It took the whole night\n> to get there. And an unknown rest.\nHm.", "> to get there. And an unknown rest.\nHm."),
+        5: ("> > We should ship on Friday.\n> Something that was never said.\nWell.", "> Something that was never said.\nWell."),
+        6: ("> The build is green today. It took the whole night to get there.\n>\n> unknown tail of words\nOk.", "> unknown tail of words\nOk."),
+        7: ("> Not one known word.\nSure.", "> Not one known word.\nSure."),
+        8: ("Ann wrote:\n> We should ship on Friday.\n> > Not one known word at depth.\nYes.", "Ann wrote:\n> > Not one known word at depth.\nYes."),
+    }
+    rows = [(c, 0, "user", said) for c in cases] + [(c, 1, "user", text) for c, (text, _) in cases.items()]
+    got = {r["conv_id"]: r["text"] for r in chats.linked_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect() if r["turn"] == 1}
+    assert got == {c: want for c, (_, want) in cases.items()}
