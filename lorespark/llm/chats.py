@@ -93,11 +93,11 @@ def quoted_passages(runs: DataFrame) -> DataFrame:
 
 
 def kept_lines(runs: DataFrame, linked: DataFrame) -> DataFrame:
-    """(conv_id, turn, key, parts) for messages with links: parts, an array of (block, place, lost, kept), has of each run the lines that stay.
+    """(conv_id, turn, key, parts) for messages with links: parts, an array of (block, place, lost, says, kept), has of each run the lines that stay.
 
     linked: (conv_id, turn, key, block, level, digest). A line goes if its whole run links, or the line itself, or all
     sentences that it holds a part of, however they are wrapped. Lines without words and announcing lines go with
-    any line of their run. Lines are marked in the run's text, linked sentences are taken out, and a line is gone if
+    any line of their run, runs of nothing else with any of their block. Lines are marked in the run's text, linked sentences are taken out, and a line is gone if
     nothing is left behind its mark.
     """
     keys = ["conv_id", "turn", "key"]
@@ -116,7 +116,7 @@ def kept_lines(runs: DataFrame, linked: DataFrame) -> DataFrame:
     rows = rows.withColumn("lost", F.coalesce(F.exists("gone", lambda g: g), F.lit(False)))
     stays = F.transform(F.filter(F.arrays_zip(F.col("full").alias("line"), F.col("gone").alias("out")), lambda z: ~z["out"]), lambda z: z["line"]["raw"])
     kept = F.when(F.col("lost"), stays).otherwise(F.transform("run", lambda x: x["raw"]))
-    part = F.struct("block", "place", "lost", F.when(F.size(kept) > 0, F.array_join(kept, "\n")).alias("kept"))
+    part = F.struct("block", "place", "lost", (F.size("full") > 0).alias("says"), F.when(F.size(kept) > 0, F.array_join(kept, "\n")).alias("kept"))
     return rows.select(*keys, part.alias("part")).groupBy(*keys).agg(F.sort_array(F.collect_list("part")).alias("parts"))
 
 
@@ -169,7 +169,7 @@ def _unquoted(text: Column, blocks: Column, parts: Column) -> Column:
     """The text with what is kept of quoted blocks, and without the lines that announce blocks which lost something."""
     of = lambda i: F.filter(parts, lambda p: p["block"] == i)
     lost = lambda i: F.exists(of(i), lambda p: p["lost"])
-    quoted = lambda i: F.array_join(F.transform(F.filter(of(i), lambda p: p["kept"].isNotNull()), lambda p: p["kept"]), "\n")
+    quoted = lambda i: F.array_join(F.transform(F.filter(of(i), lambda p: p["kept"].isNotNull() & (p["says"] | ~lost(i))), lambda p: p["kept"]), "\n")
     shown = F.transform(blocks, lambda b, i: F.when(b[0]["level"] > 0, F.nullif(quoted(i), F.lit(""))).when(lost(i + 1), _without_introduction(_joined(b, "raw"))).otherwise(_joined(b, "raw")))
     bare = F.regexp_replace(F.array_join(shown, "\n"), r"\n{3,}", "\n\n")
     return F.when(parts.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.regexp_replace(bare, r"^\s+|\s+$", ""))
