@@ -1,11 +1,11 @@
-"""Request deduplication, sample pools, taxonomy closure, seeded samples, export."""
+"""Request deduplication, sample pools, seeded samples, export."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,17 +31,6 @@ def seeded_sample(rows: DataFrame, id_col: str, n: int, seed: str, also: Column)
     return drawn.unionByName(wanted).groupBy(id_col).agg(F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"))
 
 
-def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(ancestor, node, hops) of a tree of (node, parent): each node with itself and all above it."""
-    return spark.sql(
-        """WITH RECURSIVE up(ancestor, node, hops) AS (
-             SELECT node, node, 0 FROM {edges}
-             UNION ALL SELECT e.parent, u.node, u.hops + 1 FROM up u JOIN {edges} e ON e.node = u.ancestor WHERE e.parent IS NOT NULL)
-           SELECT * FROM up""",
-        edges=edges,
-    )
-
-
 def budgeted(candidates: DataFrame, group: str, order: list[str], cost: str, budget: int, most: int) -> DataFrame:
     """The candidates of each group that fit: in order, one whose cost no longer fits is skipped and later ones may follow.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.common import lower_plain
 from ..operators import documents as op
-from ..operators import hygiene
+from ..operators import graphs, hygiene
 from ..sources.html import page_blocks
 from .context import CHUNKS, OVERLAP, SIZE
 from .projections import table
@@ -55,12 +56,32 @@ def request_dedup(spark, sf_dir):
     return hygiene.first_requests(turns, "hash", "conv_id", "turn")
 
 
-def taxonomy_closure(spark, sf_dir):
+def _taxonomy(spark, sf_dir):
     node = lambda name, key, parent: table(spark, sf_dir, name).select(F.concat(F.lit(name[0]), F.col(key).cast("string")).alias("node"), parent.alias("parent"))
     edges = node("region", "r_regionkey", F.lit(None).cast("string"))
     edges = edges.unionByName(node("nation", "n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))))
-    edges = edges.unionByName(node("customer", "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))))
-    return hygiene.closure(spark, edges)
+    return edges.unionByName(node("customer", "c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))))
+
+
+def descendants(spark, sf_dir):
+    """Per node how many are below it, and how deep."""
+    return graphs.closure(_taxonomy(spark, sf_dir)).filter("hops > 0").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("below"), F.max("hops").alias("depth"))
+
+
+def resolved_names(spark, sf_dir):
+    """Names of suppliers' nations in another form, and parts' types, which are no nodes, by the names of regions and nations."""
+    names = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.col("r_name").alias("name"))
+    names = names.union(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "n_name"))
+    labels = table(spark, sf_dir, "nation").select(F.concat(F.lit("  "), F.lower("n_name")).alias("label")).union(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("label")).distinct())
+    return graphs.resolved(labels, names, lower_plain)
+
+
+def bounded_reach(spark, sf_dir):
+    """From each supplier over the parts of its lines to their other suppliers, at most eight nodes and two hops."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"))
+    pairs = pairs.groupBy("s", "p").agg(F.min("place").alias("place"))
+    edges = pairs.select(F.col("s").alias("source"), F.col("p").alias("target"), "place").unionByName(pairs.select("p", "s", "place").toDF("source", "target", "place"))
+    return graphs.bounded_reach(pairs.select(F.col("s").alias("seed"), F.col("s").alias("node"), F.lit(0).alias("place")).distinct(), edges, 8, 2)
 
 
 def pool_candidates(spark, sf_dir):
@@ -102,7 +123,10 @@ QUERIES = {
     "tier_audit": tier_audit,
     "text_blocks": lambda s, d: op.text_blocks(_docs(s, d)).select("doc_id", "block", "kind", "first_line", "last_line"),
     "request_dedup": request_dedup,
-    "taxonomy_closure": taxonomy_closure,
+    "taxonomy_closure": lambda s, d: graphs.closure(_taxonomy(s, d)),
+    "descendants": descendants,
+    "resolved_names": resolved_names,
+    "bounded_reach": bounded_reach,
     "pool_candidates": pool_candidates,
     "review_sample": review_sample,
     "fewshot_budget": fewshot_budget,
@@ -132,6 +156,17 @@ w AS (SELECT doc_id, unnest(range(0, (n - 1) // 500 + 1)) AS id FROM x)
 SELECT b.doc_id, b.block AS l_id, w.id AS r_id, greatest(b.start, w.id * 500) AS lo, least(b.start + b.n, w.id * 500 + 500) AS hi
 FROM b JOIN w ON b.doc_id = w.doc_id AND b.start < w.id * 500 + 500 AND b.start + b.n > w.id * 500""",
     "request_dedup": "SELECT sha256(role || '|' || text) AS hash, min(struct_pack(conv_id := conv_id, turn := turn)).conv_id AS conv_id, min(struct_pack(conv_id := conv_id, turn := turn)).turn AS turn, count(*) AS requests FROM conversations GROUP BY 1",
+    "resolved_names": """WITH n AS (SELECT 'r' || r_regionkey AS node, lower(r_name) AS name FROM region UNION ALL SELECT 'n' || n_nationkey, lower(n_name) FROM nation),
+l AS (SELECT '  ' || lower(n_name) AS label FROM nation UNION ALL SELECT DISTINCT c_mktsegment FROM customer)
+SELECT label, node FROM l LEFT JOIN n ON name = lower(trim(label))""",
+    "bounded_reach": """WITH p AS (SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, min(l_orderkey * 8 + l_linenumber) AS place FROM lineitem GROUP BY 1, 2),
+a AS (SELECT s AS seed, p AS node, row_number() OVER (PARTITION BY s ORDER BY place, p) + 1 AS place FROM p QUALIFY place <= 8),
+m AS (SELECT seed, max(place) AS had FROM a GROUP BY seed),
+t AS (SELECT a.seed, p.s AS node, min(row(a.place, p.place)) AS by FROM a JOIN p ON p.p = a.node WHERE p.s <> a.seed GROUP BY 1, 2),
+b AS (SELECT t.seed, t.node, had + row_number() OVER (PARTITION BY t.seed ORDER BY by, t.node) AS place FROM t JOIN m USING (seed))
+SELECT DISTINCT s AS seed, s AS node, CAST(1 AS BIGINT) AS place, 0 AS hops FROM p UNION ALL SELECT seed, node, place, 1 FROM a UNION ALL SELECT seed, node, place, 2 FROM b WHERE place <= 8""",
+    "descendants": """SELECT 'r' || n_regionkey AS node, count(DISTINCT n_nationkey) + count(c_custkey) AS below, CASE WHEN count(c_custkey) > 0 THEN 2 ELSE 1 END AS depth FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey
+UNION ALL SELECT 'n' || c_nationkey, count(*), 1 FROM customer GROUP BY c_nationkey""",
     "taxonomy_closure": """WITH RECURSIVE edges AS (
   SELECT 'r' || r_regionkey AS node, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
 up(ancestor, node, hops) AS (SELECT node, node, 0 FROM edges UNION ALL SELECT e.parent, u.node, u.hops + 1 FROM up u JOIN edges e ON e.node = u.ancestor WHERE e.parent IS NOT NULL)
