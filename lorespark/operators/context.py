@@ -52,7 +52,7 @@ class Delivered:
         self.starts[i:j], self.ends[i:j] = [start], [end]
 
 
-def _folded(rows: DataFrame, keys: list[str], order: list[str], step, schema: StructType | str) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str], step, schema: StructType | str) -> DataFrame:
     """rows in order of keys and order through step(state, row), which gives output rows; state is new for each value of keys.
 
     Groups are sorted by Spark and stream by, so that a task holds the state of one group and one batch.
@@ -91,7 +91,7 @@ def undelivered(spans: DataFrame) -> DataFrame:
         return [row | {"start": piece[0], "end": piece[1]}]
 
     rows = spans.select("query_id", "document_id", "place", F.col("start").cast("long"), F.col("end").cast("long"))
-    return _folded(rows, ["query_id", "document_id"], ["place", "start", "end"], step, rows.schema)
+    return folded(rows, ["query_id", "document_id"], ["place", "start", "end"], step, rows.schema)
 
 
 def _alike(a: str, b: str, columns: list[str]) -> Column:
@@ -227,7 +227,7 @@ def delivered(passages: DataFrame, limits: Limits | None = None) -> DataFrame:
         state["octets"] = state.get("octets", 0) + len(frame.encode()) + len(body.encode())
         return [row | {"start": start, "end": end, "content": body, "text": head + body, "trimmed": trimmed, "truncated": truncated}]
 
-    return _folded(passages, ["query_id"], ["place"], step, schema)
+    return folded(passages, ["query_id"], ["place"], step, schema)
 
 
 def longest_start(text: str, chars: int | None, octets: int | None) -> int | None:

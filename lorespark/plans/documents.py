@@ -77,11 +77,11 @@ def resolved_names(spark, sf_dir):
 
 
 def bounded_reach(spark, sf_dir):
-    """From each supplier over the parts of its lines to their other suppliers, at most eight nodes and two hops."""
+    """From each supplier over the parts of its lines to their other suppliers, at most 120 nodes and two hops."""
     pairs = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"))
     pairs = pairs.groupBy("s", "p").agg(F.min("place").alias("place"))
     edges = pairs.select(F.col("s").alias("source"), F.col("p").alias("target"), "place").unionByName(pairs.select("p", "s", "place").toDF("source", "target", "place"))
-    return graphs.bounded_reach(pairs.select(F.col("s").alias("seed"), F.col("s").alias("node"), F.lit(0).alias("place")).distinct(), edges, 8, 2)
+    return graphs.bounded_reach(pairs.select(F.col("s").alias("seed"), F.col("s").alias("node"), F.lit(0).alias("place")).distinct(), edges, 120, 2)
 
 
 def pool_candidates(spark, sf_dir):
@@ -133,7 +133,7 @@ QUERIES = {
     "exported_samples": lambda s, d: hygiene.exported(table(s, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn").select(F.md5("line").alias("line")),
 }
 
-_BLOCKS = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+LINE_BLOCKS = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
 t AS (SELECT doc_id, i, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS text FROM l),
 n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block FROM t WHERE text <> ''),
 b AS (SELECT doc_id, block, CASE WHEN regexp_matches(text, '^#{1,6}\\s') THEN 'heading' WHEN regexp_matches(text, '^(?:[-*+]|\\d+[.)])\\s') THEN 'list' WHEN regexp_matches(text, '^\\|.*\\|$') THEN 'table' ELSE 'paragraph' END AS kind,
@@ -146,12 +146,12 @@ SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quali
     "event_islands": """WITH o AS (SELECT user_id, event_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
 i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM o)
 SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS rows, min(ts) AS first, max(ts) AS last FROM i GROUP BY user_id, island""",
-    "line_blocks": _BLOCKS + 'SELECT doc_id, block, kind, start, start + n AS "end" FROM b',
+    "line_blocks": LINE_BLOCKS + 'SELECT doc_id, block, kind, start, start + n AS "end" FROM b',
     "chunk_audit": "SELECT doc_id, TRUE AS exact, TRUE AS within, TRUE AS gapless, TRUE AS complete FROM documents WHERE regexp_matches(text, '\\S')",
     "chunk_lineage": f'WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk, s AS start, e AS "end", lag(chunk) OVER w AS prev_chunk, lead(chunk) OVER w AS next_chunk, greatest(0, coalesce(lag(e) OVER w - s, 0)) AS overlap FROM c WHERE chunk >= 0 WINDOW w AS (PARTITION BY doc_id ORDER BY chunk)',
     "chunk_parents": f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk, parent FROM p",
     "tier_audit": r"SELECT doc_id, TRUE AS fits, md5(regexp_replace(text, '\s+', '', 'g')) AS digest FROM documents WHERE regexp_matches(text, '\S')",
-    "block_windows": _BLOCKS + """, x AS (SELECT doc_id, max(start + n) AS n FROM b GROUP BY doc_id),
+    "block_windows": LINE_BLOCKS + """, x AS (SELECT doc_id, max(start + n) AS n FROM b GROUP BY doc_id),
 w AS (SELECT doc_id, unnest(range(0, (n - 1) // 500 + 1)) AS id FROM x)
 SELECT b.doc_id, b.block AS l_id, w.id AS r_id, greatest(b.start, w.id * 500) AS lo, least(b.start + b.n, w.id * 500 + 500) AS hi
 FROM b JOIN w ON b.doc_id = w.doc_id AND b.start < w.id * 500 + 500 AND b.start + b.n > w.id * 500""",
@@ -160,11 +160,11 @@ FROM b JOIN w ON b.doc_id = w.doc_id AND b.start < w.id * 500 + 500 AND b.start
 l AS (SELECT '  ' || lower(n_name) AS label FROM nation UNION ALL SELECT DISTINCT c_mktsegment FROM customer)
 SELECT label, node FROM l LEFT JOIN n ON name = lower(trim(label))""",
     "bounded_reach": """WITH p AS (SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, min(l_orderkey * 8 + l_linenumber) AS place FROM lineitem GROUP BY 1, 2),
-a AS (SELECT s AS seed, p AS node, row_number() OVER (PARTITION BY s ORDER BY place, p) + 1 AS place FROM p QUALIFY place <= 8),
-m AS (SELECT seed, max(place) AS had FROM a GROUP BY seed),
-t AS (SELECT a.seed, p.s AS node, min(row(a.place, p.place)) AS by FROM a JOIN p ON p.p = a.node WHERE p.s <> a.seed GROUP BY 1, 2),
-b AS (SELECT t.seed, t.node, had + row_number() OVER (PARTITION BY t.seed ORDER BY by, t.node) AS place FROM t JOIN m USING (seed))
-SELECT DISTINCT s AS seed, s AS node, CAST(1 AS BIGINT) AS place, 0 AS hops FROM p UNION ALL SELECT seed, node, place, 1 FROM a UNION ALL SELECT seed, node, place, 2 FROM b WHERE place <= 8""",
+a AS (SELECT s AS seed, p AS node, row_number() OVER (PARTITION BY s ORDER BY place, p) + 1 AS nth FROM p QUALIFY nth <= 120),
+m AS (SELECT seed, max(nth) AS had FROM a GROUP BY seed),
+t AS (SELECT a.seed, p.s AS node, min(row(a.nth, p.place)) AS way FROM a JOIN p ON p.p = a.node WHERE p.s <> a.seed GROUP BY 1, 2),
+b AS (SELECT t.seed, t.node, had + row_number() OVER (PARTITION BY t.seed ORDER BY way, t.node) AS place FROM t JOIN m USING (seed))
+SELECT DISTINCT s AS seed, s AS node, CAST(1 AS BIGINT) AS place, 0 AS hops FROM p UNION ALL SELECT seed, node, nth, 1 FROM a UNION ALL SELECT seed, node, place, 2 FROM b WHERE place <= 120""",
     "descendants": """SELECT 'r' || n_regionkey AS node, count(DISTINCT n_nationkey) + count(c_custkey) AS below, CASE WHEN count(c_custkey) > 0 THEN 2 ELSE 1 END AS depth FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey
 UNION ALL SELECT 'n' || c_nationkey, count(*), 1 FROM customer GROUP BY c_nationkey""",
     "taxonomy_closure": """WITH RECURSIVE edges AS (
