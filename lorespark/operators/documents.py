@@ -38,6 +38,7 @@ OPENERS = {
 }
 _OPEN = "|".join(rf"(?P<{kind}>{pattern})" for kind, pattern in OPENERS.items())
 _STOP = r"(?! {0,3}#{1,6}[ \t])(?![ \t]*(?:`{3,}|~{3,}|\$\$))"
+TABLE_HEAD = re.compile(rf"[^\n]*\|[^\n]*\n{DASHES}(?:\n|$)")
 TEXT_BLOCK = re.compile(rf"^(?:(?:{_OPEN})|(?P<paragraph>.*\S.*))$", re.M)
 _MORE = re.compile(rf"\n{_STOP}(?=.*\S)(?!.*\|.*\n{DASHES}$).*", re.M)
 _BAR = re.compile(r"(?<!\\)(?:\\\\)*\|")

@@ -162,9 +162,12 @@ def structured(blocks: DataFrame) -> DataFrame:
     equal place come one after another with a barrier between.
 
     A unit is a run of blocks of one section; tables belong to what is tied to them by number or by words; exercises,
-    answers, questions and code stand alone. Blocks that meet without a section or a tie are only proposed.
+    answers, questions and code stand alone. Blocks that meet without a section or a tie are only proposed. Other columns
+    of blocks stay, but for those that have a name of what is found.
     """
-    rows = with_defaults(blocks).select("doc_id", F.col("place").cast("long"), "kind", F.col("depth").cast("int"), "text", *[f.name for f in StructType.fromDDL(BLOCKS).fields])
+    known = ["doc_id", "place", "kind", "depth", "text", *StructType.fromDDL(BLOCKS).names]
+    more = [c for c in blocks.columns if c.lower() not in [*known, *StructType.fromDDL(_OUT).names]]
+    rows = with_defaults(blocks).select("doc_id", F.col("place").cast("long"), "kind", F.col("depth").cast("int"), "text", *known[5:], *more)
     schema = StructType([*rows.schema.fields, *StructType.fromDDL(_OUT).fields])
     return folded(rows, ["doc_id"], ["place", "kind", "text"], _step, schema)
 

@@ -68,33 +68,35 @@ QUERIES = {
     "context_passages": context_passages,
 }
 
-#: Leaves c(doc_id, chunk, s, e, back) and their parents' numbers p(doc_id, chunk, begin, parent), one step a chunk.
+#: How cut_points() cuts the texts of src(doc_id, text, n, size, back): c(doc_id, chunk, s, e), one step a chunk, from a chunk -1.
 #: A chunk ends after the last match of the best boundary in its last half.
-_LAST = lambda pattern: f"length(regexp_extract(w, '(?s)^(?:.*)(?:{pattern})'))"
-CHUNKS = f"""t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')),
-c AS (
-  SELECT doc_id, -1 AS chunk, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(0 AS BIGINT) AS next_s FROM t
+_LAST = lambda pattern: f"nullif(length(regexp_extract(w, '(?s)^(?:.*)(?:{pattern})')), 0)"
+CUTS = rf"""c AS (
+  SELECT doc_id, -1 AS chunk, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(0 AS BIGINT) AS next_s FROM src
   UNION ALL
   SELECT doc_id, chunk + 1, s, e, CASE WHEN e >= n THEN n ELSE e - length(tail) + CASE WHEN strpos(tail, ' ') > 0 THEN strpos(tail, ' ') ELSE length(tail) END END
   FROM (
-    SELECT *, substr(text, CAST(greatest(s + 1, e - least({OVERLAP}, (e - s) // 2)) + 1 AS BIGINT), CAST(e - greatest(s + 1, e - least({OVERLAP}, (e - s) // 2)) AS BIGINT)) AS tail
+    SELECT *, substr(text, CAST(greatest(s + 1, e - least(back, (e - s) // 2)) + 1 AS BIGINT), CAST(e - greatest(s + 1, e - least(back, (e - s) // 2)) AS BIGINT)) AS tail
     FROM (
-      SELECT *, CASE WHEN s + {SIZE} >= n THEN n ELSE s + {SIZE} // 2 + coalesce(nullif({_LAST(chr(92) + 'n' + chr(92) + 'n+')}, 0), nullif({_LAST(chr(92) + 'n')}, 0), nullif({_LAST('[.!?。！？]' + chr(92) + 's*')}, 0), nullif({_LAST('[,;，；]' + chr(92) + 's*')}, 0), nullif({_LAST(chr(92) + 's')}, 0), {SIZE} - {SIZE} // 2) END AS e
-      FROM (SELECT c.doc_id, chunk, t.text, t.n, c.next_s AS s, substr(t.text, CAST(c.next_s + {SIZE} // 2 + 1 AS BIGINT), {SIZE} - {SIZE} // 2) AS w FROM c JOIN t USING (doc_id) WHERE c.next_s < t.n)))),
+      SELECT *, CASE WHEN s + size >= n THEN n ELSE s + size // 2 + coalesce({_LAST(r'\n\n+')}, {_LAST(r'\n')}, {_LAST(r'[.!?。！？]\s*')}, {_LAST(r'[,;，；]\s*')}, {_LAST(r'\s')}, size - size // 2) END AS e
+      FROM (SELECT c.doc_id, chunk, src.text, src.n, src.size, src.back, c.next_s AS s, substr(src.text, CAST(c.next_s + src.size // 2 + 1 AS BIGINT), CAST(src.size - src.size // 2 AS BIGINT)) AS w FROM c JOIN src USING (doc_id) WHERE c.next_s < src.n))))"""
+#: Leaves and their parents' numbers p(doc_id, chunk, begin, parent), and both as chunks k.
+CHUNKS = rf"""src AS (SELECT doc_id, text, length(text) AS n, {SIZE} AS size, {OVERLAP} AS back FROM documents WHERE regexp_matches(text, '\S')),
+{CUTS},
 p AS (
   SELECT doc_id, chunk, s, s AS begin, 0 AS parent FROM c WHERE chunk = 0
   UNION ALL
   SELECT c.doc_id, c.chunk, c.s, CASE WHEN c.e - p.begin > {PARENT} THEN c.s ELSE p.begin END, p.parent + CASE WHEN c.e - p.begin > {PARENT} THEN 1 ELSE 0 END
   FROM p JOIN c ON c.doc_id = p.doc_id AND c.chunk = p.chunk + 1),
 l AS (
-  SELECT c.doc_id, c.chunk, c.s, c.e, substr(t.text, CAST(c.s + 1 AS BIGINT), CAST(c.e - c.s AS BIGINT)) AS content, p.parent, t.n >= {PARENT_FROM} AS grown, c.e >= t.n AS last
-  FROM c JOIN t USING (doc_id) JOIN p USING (doc_id, chunk)),
+  SELECT c.doc_id, c.chunk, c.s, c.e, substr(src.text, CAST(c.s + 1 AS BIGINT), CAST(c.e - c.s AS BIGINT)) AS content, p.parent, src.n >= {PARENT_FROM} AS grown, c.e >= src.n AS last
+  FROM c JOIN src USING (doc_id) JOIN p USING (doc_id, chunk)),
 k AS (
   SELECT doc_id || ':' || chunk AS chunk_id, doc_id AS document_id, 'leaf' AS kind, CASE WHEN grown THEN doc_id || ':p' || parent END AS parent_id,
          CASE WHEN chunk > 0 THEN doc_id || ':' || (chunk - 1) END AS prev_id, CASE WHEN NOT last THEN doc_id || ':' || (chunk + 1) END AS next_id, s, e, content FROM l
   UNION ALL
-  SELECT g.doc_id || ':p' || parent, g.doc_id, 'parent', NULL, NULL, NULL, g.s, g.e, substr(t.text, CAST(g.s + 1 AS BIGINT), CAST(g.e - g.s AS BIGINT))
-  FROM (SELECT doc_id, parent, min(s) AS s, max(e) AS e FROM l WHERE grown GROUP BY 1, 2) g JOIN t USING (doc_id))"""
+  SELECT g.doc_id || ':p' || parent, g.doc_id, 'parent', NULL, NULL, NULL, g.s, g.e, substr(src.text, CAST(g.s + 1 AS BIGINT), CAST(g.e - g.s AS BIGINT))
+  FROM (SELECT doc_id, parent, min(s) AS s, max(e) AS e FROM l WHERE grown GROUP BY 1, 2) g JOIN src USING (doc_id))"""
 
 #: The largest piece of a span s to e that a list of stretches (a, b) leaves, the first of equals; null if none.
 _PIECE = """list_max(list_transform(

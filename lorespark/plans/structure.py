@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents
+from ..operators import documents, structural
 from ..operators import structure as op
+from .context import CUTS
 from .documents import LINE_BLOCKS
 from .projections import table
 
@@ -15,14 +16,22 @@ def _built(spark, sf_dir):
     blocks = documents.line_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.length("text")
     kind = F.when(size < 40, "heading").when(size % 7 == 0, "table").when(size % 11 == 0, "code").otherwise(F.col("kind"))
-    return op.structured(blocks.select("doc_id", F.col("block").alias("place"), kind.alias("kind"), (1 + size % 3).alias("depth"), "text"))
+    return op.structured(blocks.select("doc_id", F.col("block").alias("place"), kind.alias("kind"), (1 + size % 3).alias("depth"), "text", "start"))
 
 
 def structure_edges(spark, sf_dir):
     return op.edges(_built(spark, sf_dir)).withColumn("evidence", F.array_join("evidence", ","))
 
 
+def structural_chunks(spark, sf_dir):
+    """The leaves of all documents."""
+    leaves = structural.structural_chunks(_built(spark, sf_dir)).filter("kind = 'leaf'")
+    number = F.element_at(F.split("chunk_id", ":"), -1).cast("int")
+    return leaves.select("doc_id", F.col("segments")[0]["place"].alias("first"), number.alias("number"), "header", "start", "end", F.md5("content").alias("content"))
+
+
 QUERIES = {
+    "structural_chunks": structural_chunks,
     "structure_sections": lambda s, d: op.sections(_built(s, d)).select("doc_id", "place", "section_id", "parent_section", "level", "title"),
     "structure_units": lambda s, d: op.units(_built(s, d)),
     "structure_edges": structure_edges,
@@ -43,6 +52,18 @@ r5 AS (SELECT *, coalesce(meets AND section IS NOT NULL AND (tied OR role <> 'ta
 r AS (SELECT *, max(CASE WHEN NOT joins THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS unit FROM r5)
 """
 SQL = {
+    # Lines of a group lie next to each other in a document's text, so places in it are places in the source.
+    "structural_chunks": _STRUCTURE.replace("WITH ", "WITH RECURSIVE ", 1) + rf""", h AS (SELECT doc_id, place, shown, (SELECT max(p.place) FROM r p WHERE p.doc_id = r.doc_id AND p.head AND p.place < r.place AND p.level < r.level) AS above FROM r WHERE head),
+hp AS (SELECT doc_id, place, shown AS path FROM h WHERE above IS NULL UNION ALL SELECT h.doc_id, h.place, hp.path || ' > ' || h.shown FROM hp JOIN h ON h.doc_id = hp.doc_id AND h.above = hp.place),
+g0 AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY place) AS kind_before FROM r),
+g1 AS (SELECT *, max(CASE WHEN NOT joins OR kind IN ('table', 'code') OR kind_before IN ('table', 'code') THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS first FROM g0),
+g AS (SELECT g1.doc_id, first, string_agg(g1.text, chr(10) || chr(10) ORDER BY g1.place) AS text, coalesce(any_value(hp.path), '') AS header, any_value(g1.kind) FILTER (g1.place = first) AS kind, min(b.start) AS start
+  FROM g1 JOIN b ON b.doc_id = g1.doc_id AND b.block = g1.place LEFT JOIN hp ON hp.doc_id = g1.doc_id AND hp.place = g1.section GROUP BY g1.doc_id, first HAVING NOT bool_and(head)),
+o AS (SELECT *, greatest(1, 800 - CASE WHEN header <> '' THEN length(header) + 2 ELSE 0 END) AS size FROM g),
+src AS (SELECT {{'doc': doc_id, 'first': first}} AS doc_id, text, length(text) AS n, size, CASE WHEN kind IN ('table', 'code') THEN 0 ELSE least(80, size // 2) END AS back, header, start FROM o),
+{CUTS},
+x AS (SELECT c.doc_id.doc AS doc_id, c.doc_id.first AS g, chunk AS number, header, src.start + s AS start, regexp_replace(substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)), '\n+$', '') AS content FROM c JOIN src USING (doc_id) WHERE chunk >= 0)
+SELECT x.doc_id, max(b.block) AS first, number, header, any_value(x.start) AS start, any_value(x.start + length(content)) AS "end", any_value(md5(content)) AS content FROM x JOIN b ON b.doc_id = x.doc_id AND b.start <= x.start GROUP BY x.doc_id, g, number, header""",
     "structure_sections": _STRUCTURE + f"""SELECT doc_id, place, {_ID('section', 'place')} AS section_id, {_ID('section', '(SELECT max(p.place) FROM r p WHERE p.doc_id = r.doc_id AND p.head AND p.place < r.place AND p.level < r.level)')} AS parent_section, level, shown AS title FROM r WHERE head""",
     "structure_units": _STRUCTURE + f"SELECT doc_id, {_ID('unit', 'unit')} AS unit_id, {_ID('section', 'max(section)')} AS section_id, min(place) AS first, max(place) AS last, count(*) AS members FROM r GROUP BY doc_id, unit",
     "structure_edges": _STRUCTURE + """, e AS (SELECT *, CASE WHEN tied THEN 'definition_to_table' WHEN joins THEN 'same_knowledge_unit' ELSE 'adjacent_context' END AS relation FROM r WHERE meets)
