@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,17 +33,20 @@ class Delivered:
     starts: list[int] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
 
-    def largest_left(self, start: int, end: int) -> tuple[int, int] | None:
-        """The largest piece of a span that is not delivered yet, the first of equals; null if nothing is left."""
-        best, at = None, start
-        for i in range(bisect_right(self.ends, start), len(self.starts) + 1):
-            stop = min(end, self.starts[i]) if i < len(self.starts) else end
-            if stop > at and (best is None or stop - at > best[1] - best[0]):
-                best = (at, stop)
-            if i == len(self.starts) or self.starts[i] >= end:
+    def left(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The pieces of a span that are not delivered yet, in order."""
+        out, at = [], start
+        for i in range(bisect_right(self.ends, start), len(self.starts)):
+            if self.starts[i] >= end:
                 break
+            if self.starts[i] > at:
+                out.append((at, self.starts[i]))
             at = self.ends[i]
-        return best
+        return out + ([(at, end)] if at < end else [])
+
+    def largest_left(self, start: int, end: int) -> tuple[int, int] | None:
+        """The largest of these pieces, the first of equals; null if nothing is left."""
+        return max(self.left(start, end), key=lambda piece: piece[1] - piece[0], default=None)
 
     def add(self, start: int, end: int) -> None:
         i, j = bisect_left(self.ends, start), bisect_right(self.starts, end)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, structural
+from ..operators import documents, relations, retrieval, structural
 from ..operators import structure as op
 from .context import CUTS
 from .documents import LINE_BLOCKS
@@ -30,7 +30,20 @@ def structural_chunks(spark, sf_dir):
     return leaves.select("doc_id", F.col("segments")[0]["place"].alias("first"), number.alias("number"), "header", "start", "end", F.md5("content").alias("content"))
 
 
+def relation_context(spark, sf_dir):
+    """Bundles for benchmark items, from the leaves that their terms recall; every third item is a question of three parts."""
+    built = _built(spark, sf_dir)
+    chunks = structural.structural_chunks(built)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    leaves = chunks.filter("kind = 'leaf'").select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))
+    found = retrieval.keyword_recall(items, leaves, 8).select("query_id", "rank", F.col("candidate_id").alias("chunk_id"), F.when(F.col("query_id") % 3 == 0, 3).otherwise(1).alias("question_parts"))
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source_name"))
+    given = relations.relation_context(found, chunks, built, sources, relations.BundleLimits(chars=4000))
+    return given.select("query_id", "bundle", "chunk_id", "doc_id", F.size("segments").alias("segments"), F.md5("text").alias("text"), "complete", F.array_join("reasons", ",").alias("reasons"))
+
+
 QUERIES = {
+    "relation_context": relation_context,
     "structural_chunks": structural_chunks,
     "structure_sections": lambda s, d: op.sections(_built(s, d)).select("doc_id", "place", "section_id", "parent_section", "level", "title"),
     "structure_units": lambda s, d: op.units(_built(s, d)),
