@@ -13,6 +13,7 @@ from .documents import TABLE_HEAD
 from .graphs import bounded_reach
 from .structural import PROTECTED
 from .structure import edges as edges_of
+from .tables import written
 
 #: References come after what lies next to a block.
 LATER = 1 << 40
@@ -54,7 +55,8 @@ def reached_blocks(chunks: DataFrame, built: DataFrame, seeds: DataFrame, limits
     back = found.filter("relation <> 'references_section'").select(node("target").alias("source"), node("source").alias("target"), order.alias("place"))
     held = chunks.filter("kind = 'leaf'").select("doc_id", F.explode("segments.place").alias("place")).select(node("place").alias("node"))
     starts = seeds.select(F.col("chunk_id").alias("seed"), node("place").alias("node"), F.col("at").alias("place"))
-    reach = bounded_reach(starts, there.unionByName(back), limits.members, limits.hops, held)
+    ways = written(there.unionByName(back), "ways")
+    reach = bounded_reach(starts, ways, limits.members, limits.hops, written(held.distinct(), "held"))
     return reach.select(F.col("seed").alias("chunk_id"), "node.doc_id", "node.place")
 
 
@@ -184,11 +186,12 @@ def relation_context(candidates: DataFrame, chunks: DataFrame, built: DataFrame,
     header, is left out. As long as parts of the question are open, a bundle gets no more than an equal share of what is left.
     In the end segments stand in the order of their source.
 
-    Bundles are found once for each distinct candidate by joins; a query's candidates come as an ordered stream, one at a time.
+    Blocks, chunks and candidates are tables first, as rounds of joins read them again and again. Bundles are found once for each distinct candidate by joins; a query's candidates come as an ordered stream, one at a time.
     """
     limits = limits or BundleLimits()
+    built, chunks, candidates = written(built, "built"), written(chunks, "chunks"), written(candidates, "candidates")
     asked = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    seeds = seed_blocks(asked, built)
+    seeds = written(seed_blocks(asked, built), "seeds")
     members = reached_blocks(chunks, built, seeds, limits, decisions)
     first = seeds.groupBy("chunk_id", "doc_id").agg(F.min("place").alias("place"), F.bool_or("mixed").alias("mixed"))
     # The headings above the first stretch of the candidate that is in its bundle.
