@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import context as op
 from ..operators import documents, retrieval
+from ..sources.index import ChunkIndex, index_rows
+from ..streaming.runs import shared_path
 from .projections import table
 from .retrieval import QUERY_TERMS
 
@@ -61,7 +63,21 @@ def context_passages(spark, sf_dir):
     return given.select("query_id", "place", "chunk_id", "match_id", "role", F.concat_ws(",", "matched").alias("matched"), "start", "end", F.md5("text").alias("text"), "trimmed", "truncated")
 
 
+def index_replaced(spark, sf_dir):
+    """An index of all documents, in which those in German are cut anew into smaller chunks and toxic ones are deleted."""
+    index = ChunkIndex(spark, shared_path(spark, "index"))
+    index.replace(index_rows(chunk_table(spark, sf_dir).filter("kind = 'leaf'")))
+    german = table(spark, sf_dir, "documents").filter("lang = 'de'")
+    again = documents.chunk_rows(german.select("doc_id", "text"), SIZE // 2, OVERLAP, PARENT, PARENT_FROM).filter("kind = 'leaf'")
+    again = again.join(german.select(F.col("doc_id").alias("document_id"), F.coalesce("source", F.lit("")).alias("source_name"), F.col("lang").alias("header")), "document_id")
+    index.replace(index_rows(again), german.select(F.col("doc_id").alias("document_id")))
+    index.delete(table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("document_id")))
+    index.vacuum()
+    return index.read().select("document_id", "chunk_id", "prev_id", "next_id", "start", "end", "content_hash", "embedding_hash", F.md5("search_text").alias("search_text"))
+
+
 QUERIES = {
+    "index_replaced": index_replaced,
     "chunk_rows": chunk_rows,
     "undelivered": undelivered,
     "assembled": assembled,
@@ -103,6 +119,11 @@ _PIECE = """list_max(list_transform(
       list_filter(list_prepend(s, list_transform(seen, lambda i: i.b)), lambda q: q >= s AND q < e AND len(list_filter(seen, lambda i: i.a <= q AND q < i.b)) = 0),
       lambda q: {'n': least(e, coalesce(list_min(list_transform(list_filter(seen, lambda i: i.a > q), lambda i: i.a)), e)) - q, 'a': -q}))"""
 SQL = {
+    "index_replaced": rf"""WITH RECURSIVE src AS (SELECT doc_id, text, length(text) AS n, CASE WHEN lang = 'de' THEN {SIZE // 2} ELSE {SIZE} END AS size, {OVERLAP} AS back FROM documents WHERE regexp_matches(text, '\S') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+{CUTS},
+x AS (SELECT c.*, substr(src.text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS content, CASE WHEN d.lang <> '' THEN d.lang || chr(10) || chr(10) ELSE '' END AS head, e >= n AS last FROM c JOIN src USING (doc_id) JOIN documents d USING (doc_id) WHERE chunk >= 0)
+SELECT doc_id AS document_id, doc_id || ':' || chunk AS chunk_id, CASE WHEN chunk > 0 THEN doc_id || ':' || (chunk - 1) END AS prev_id, CASE WHEN NOT last THEN doc_id || ':' || (chunk + 1) END AS next_id, s AS start, e AS "end",
+  sha256(content) AS content_hash, sha256(head || content) AS embedding_hash, md5(lower(trim(regexp_replace(head || content, '\s+', ' ', 'g')))) AS search_text FROM x""",
     "chunk_rows": f'WITH RECURSIVE {CHUNKS} SELECT chunk_id, document_id, kind, parent_id, prev_id, next_id, s AS start, e AS "end", md5(content) AS content FROM k',
     "undelivered": f"""WITH RECURSIVE l AS (SELECT l_orderkey AS query_id, l_linenumber AS place, min(l_partkey) % 200 AS s, min(l_partkey) % 200 + min(l_suppkey) % 60 + 1 AS e, min(l_suppkey) % 2 AS document_id FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY place) AS step FROM l),
