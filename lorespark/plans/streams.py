@@ -29,9 +29,28 @@ def lease_states(spark, sf_dir):
     return op.latest(finished(op.leases(requests), "leases", "update"), "key")
 
 
-QUERIES = {"stream_lease_states": lease_states, "stream_daily_values": daily_values, "stream_notified_once": notified_once, "stream_delivery_states": delivery_states}
+def page_states(spark, sf_dir):
+    """Sign-ups put pages into the queue of their user's job; other events claim a page, report one as done, or as failed."""
+    events = file_stream(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail").otherwise("claim")
+    requests = events.select((F.col("user_id") % 50).cast("long").alias("job"), F.col("event_id").alias("number"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), kind.alias("kind"), (F.col("event_id") % 7).cast("long").alias("page"), (F.col("event_id") % 3).cast("long").alias("owner"))
+    return op.latest(finished(op.page_claims(requests), "pages", "update"), "job", "page")
+
+
+QUERIES = {"stream_page_states": page_states, "stream_lease_states": lease_states, "stream_daily_values": daily_values, "stream_notified_once": notified_once, "stream_delivery_states": delivery_states}
 
 SQL = {
+    "stream_lease_states": """WITH RECURSIVE r AS (SELECT user_id % 200 AS key, CAST(epoch(ts) // 1 AS BIGINT) AS moment, event_id % 5 AS who, event_type = 'purchase' AS done, row_number() OVER (PARTITION BY user_id % 200 ORDER BY event_id) AS step FROM events),
+f AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS step, 'pending' AS status, CAST(0 AS BIGINT) AS token, CAST(-1 AS BIGINT) AS owner, CAST(-1 AS BIGINT) AS until FROM r
+  UNION ALL
+  SELECT key, step, CASE WHEN ends THEN 'done' WHEN takes THEN 'leased' ELSE status END, token + takes::INT, CASE WHEN takes THEN who ELSE owner END, CASE WHEN takes THEN moment + 3600 ELSE until END
+  FROM (SELECT *, done AND status = 'leased' AND who = owner AS ends, NOT done AND status = 'pending' AS takes
+        FROM (SELECT r.key, r.step, r.moment, r.who, r.done, f.token, f.until, f.status = 'leased' AND r.moment >= f.until AS over,
+                     CASE WHEN f.status = 'leased' AND r.moment >= f.until THEN CASE WHEN f.token >= 3 THEN 'dead' ELSE 'pending' END ELSE f.status END AS status, CASE WHEN f.status = 'leased' AND r.moment >= f.until THEN -1 ELSE f.owner END AS owner
+              FROM f JOIN r ON r.key = f.key AND r.step = f.step + 1))),
+l AS (SELECT *, status = 'leased' AND until < (SELECT max(moment) - 86400 FROM r) AS over FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY step DESC) = 1)
+SELECT key, CASE WHEN over THEN CASE WHEN token >= 3 THEN 'dead' ELSE 'pending' END ELSE status END AS status, token, CASE WHEN over THEN -1 ELSE owner END AS owner FROM l""",
     "stream_daily_values": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "stream_notified_once": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_delivery_states": """WITH r AS (SELECT user_id, event_id, event_type <> 'error' AS ok, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),

@@ -205,12 +205,41 @@ def test_leases_run_out_and_overtaken_owners_change_nothing(spark, tmp_path):
         (3, 1, 0, 1, False), (3, 2, 100, 1, False), (3, 3, 200, 1, False), (3, 4, 300, 1, False),  # three claims ran out
         (4, 1, 0, 1, True),
     ]
+    rows = [(key, number, 1 + at, owner, done) for key, number, at, owner, done in rows]  # after the first second of 1970
     spark.createDataFrame(rows, "key long, number long, at long, owner long, done boolean").write.parquet(f"{tmp_path}/requests.parquet")
     stream = spark.readStream.schema("key long, number long, at long, owner long, done boolean").parquet(f"{tmp_path}/requests.parquet")
     got = {r["key"]: (r["status"], r["token"], r["owner"]) for r in streams.latest(finished(streams.leases(stream, 100, 3), "leases", "update"), "key").collect()}
     assert got == {1: ("done", 1, 7), 2: ("leased", 2, 8), 3: ("dead", 3, -1), 4: ("pending", 0, -1)}
 
 
+def _over_files(spark, path, schema, batches):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/in/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+
+
+def test_leases_end_by_a_timer(spark, tmp_path):
+    """Key 1 gets no further request after its claim; requests of key 2 move time on, and key 1's lease ends by itself."""
+    batches = [[(1, 1, 10, 7, False)], [(2, 3, 500, 8, False)], [(2, 4, 1000, 8, True), (3, 5, 950, 4, False)]]
+    stream = _over_files(spark, tmp_path, "key long, number long, at long, owner long, done boolean", batches)
+    states = finished(streams.leases(stream, 100, 3, "0 seconds"), "leases", "update").collect()
+    assert [r["status"] for r in sorted((r for r in states if r["key"] == 1), key=lambda r: r["batch"])] == ["leased", "pending"]
+    last = {r["key"]: (r["status"], r["token"]) for r in sorted(states, key=lambda r: r["batch"])}
+    assert last[3] == ("leased", 1) and last[1] == ("pending", 1)
+
+
+def test_pages_are_claimed_in_order(spark, tmp_path):
+    schema = "job long, number long, at long, kind string, page long, owner long"
+    one = [(1, i, 1, "add", p, 0) for i, p in enumerate([5, 3, 4])]
+    one += [(1, 10, 1, "claim", 0, 7), (1, 11, 2, "claim", 0, 8), (1, 12, 3, "done", 3, 8), (1, 13, 4, "done", 3, 7), (1, 14, 5, "fail", 4, 8), (1, 15, 6, "claim", 0, 9)]
+    two = [(1, 20, 200, "claim", 0, 7), (1, 21, 201, "done", 4, 9), (2, 22, 202, "add", 1, 0), (2, 23, 203, "claim", 0, 5)]
+    three = [(3, 30, 900, "add", 1, 0)]
+    stream = _over_files(spark, tmp_path, schema, [one, two, three])
+    got = {(r["job"], r["page"]): (r["status"], r["token"], r["owner"]) for r in streams.latest(finished(streams.page_claims(stream, 100, 3, "0 seconds"), "pages", "update"), "job", "page").collect()}
+    # Page 3: done by 7. Page 4: 8 failed, 9's lease ran out, 7 took it last; nobody asked again, so its third token was its last.
+    assert got == {(1, 3): ("done", 1, 7), (1, 4): ("dead", 3, -1), (1, 5): ("waiting", 0, -1), (2, 1): ("waiting", 1, -1), (3, 1): ("waiting", 0, -1)}
+
+
 def test_tiered_chunks_fit_and_keep_all():
     rng = random.Random(7)
     lines = ["# Head", "## Sub part", "", "a word or two here.", "more of the same, and then some", "- item one", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |", "```\ncode line\n```", "x" * 90, "漢字。" * 20]
