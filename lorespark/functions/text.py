@@ -39,16 +39,40 @@ def canonical_hash(text: str | None) -> str | None:
         return None
 
 
+def substring_distance(expected: str, text: str) -> int:
+    """Least edit distance of expected to any part of text.
+
+    Columns of the table of distances are kept as the bits where it rises and falls by one from row to row, all rows at
+    once; a part may begin anywhere, so the row of nothing stays 0.
+    """
+    if expected in text:
+        return 0
+    places: dict[str, int] = {}
+    for i, c in enumerate(expected):
+        places[c] = places.get(c, 0) | 1 << i
+    whole, last = (1 << len(expected)) - 1, 1 << (len(expected) - 1)
+    rises, falls, distance = whole, 0, len(expected)
+    least = distance
+    for c in text:
+        met = places.get(c, 0)
+        same = (((met & rises) + rises) ^ rises) | met | falls
+        up, down = falls | ~(same | rises) & whole, rises & same
+        distance += bool(up & last) - bool(down & last)
+        least = min(least, distance)
+        up, down = up << 1 & whole, down << 1 & whole
+        met |= falls
+        rises, falls = (down | ~(met | up) & whole) & whole, up & met
+    return least
+
+
 def substring_error(expected: str | None, text: str | None) -> float | None:
-    """Least edit distance of expected to any part of text, per character of expected; null if nothing is expected."""
-    if not expected:
-        return None
-    row = [0] * (len(text or "") + 1)
-    for i, a in enumerate(expected, 1):
-        last, row[0] = row[0], i
-        for j, b in enumerate(text or "", 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
-    return min(row) / len(expected)
+    """substring_distance() per character of expected; null if nothing is expected."""
+    return substring_distance(expected, text or "") / len(expected) if expected else None
+
+
+def unspaced(text: str | None) -> str:
+    """Compatibility form, case folded, without white space, quotes straight."""
+    return "".join(unicodedata.normalize("NFKC", text or "").replace("\u2019", "'").replace("\u2018", "'").split()).casefold()
 
 
 def likeness(a: str | None, b: str | None) -> float:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import lower_plain
 from ..operators import documents as op
-from ..operators import graphs, hygiene
+from ..operators import anchors, graphs, hygiene
 from ..sources.html import page_blocks
 from .context import CHUNKS, OVERLAP, SIZE
 from .projections import table
@@ -111,7 +111,18 @@ def example_reasons(spark, sf_dir):
     return hygiene.first_reason(rows, reasons).select("doc_id", "reason")
 
 
+def anchor_report(spark, sf_dir):
+    """Documents as pages that sources have read; anchors are a stretch of each, and one that lost its letters e."""
+    docs = table(spark, sf_dir, "documents")
+    seconds = (F.col("n_chars") % 1000 / 250).cast("double")
+    outputs = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("engine"), F.col("doc_id").alias("place"), F.when(F.col("doc_id") % 11 == 0, "failed").otherwise("ok").alias("status"), seconds.alias("seconds"), F.col("text").alias("markdown"))
+    stretch = F.substring("text", 20, 60)
+    pair = F.array(F.array(F.col("lang"), F.col("source")))
+    return anchors.anchor_report(outputs, docs.select(F.col("doc_id").alias("page_id"), F.array(stretch, F.translate(stretch, "e", "")).alias("anchors"), pair.alias("pairs")))
+
+
 QUERIES = {
+    "anchor_report": anchor_report,
     "example_reasons": example_reasons,
     "event_islands": lambda s, d: hygiene.islands(table(s, d, "events"), "user_id", "ts", "event_id", "6 hours"),
     "line_blocks": lambda s, d: op.line_blocks(_docs(s, d)).select("doc_id", "block", "kind", "start", "end"),

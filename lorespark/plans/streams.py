@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import operators as op
-from ..streaming.runs import file_stream, finished
+from ..streaming import sinks
+from ..streaming.runs import file_stream, finished, shared_path
 
 
 def daily_values(spark, sf_dir):
@@ -37,9 +38,27 @@ def page_states(spark, sf_dir):
     return op.latest(finished(op.page_claims(requests), "pages", "update"), "job", "page")
 
 
-QUERIES = {"stream_page_states": page_states, "stream_lease_states": lease_states, "stream_daily_values": daily_values, "stream_notified_once": notified_once, "stream_delivery_states": delivery_states}
+def fanned_out(spark, sf_dir):
+    """Events to two tables, of which the durable one fails at first: what the spool kept for it is replayed."""
+    events, at = file_stream(spark, sf_dir, "events"), shared_path(spark, "fan")
+    calls: list[str] = []
+
+    def at_first_down(rows, batch):
+        calls.append(batch)
+        if len(calls) == 1:
+            raise ConnectionError(batch)
+        sinks.table_sink(f"{at}/durable")(rows, batch)
+
+    sinks.run(events, f"{at}/first", sinks.fan_out({"durable": at_first_down, "other": sinks.table_sink(f"{at}/other")}, ["durable"], f"{at}/spool", f"{at}/log"))
+    sinks.replay(spark, f"{at}/spool", events.schema, f"{at}/again", sinks.fan_out({"durable": at_first_down}, ["durable"], None, f"{at}/log", "replay"))
+    tables = [sinks.read_table(spark, f"{at}/{name}", events.schema).withColumn("sink", F.lit(name)) for name in ("durable", "other")]
+    return tables[0].unionByName(tables[1]).groupBy("sink", "event_type").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"))
+
+
+QUERIES = {"stream_fanned_out": fanned_out, "stream_page_states": page_states, "stream_lease_states": lease_states, "stream_daily_values": daily_values, "stream_notified_once": notified_once, "stream_delivery_states": delivery_states}
 
 SQL = {
+    "stream_fanned_out": "SELECT unnest(['durable', 'other']) AS sink, event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type",
     "stream_lease_states": """WITH RECURSIVE r AS (SELECT user_id % 200 AS key, CAST(epoch(ts) // 1 AS BIGINT) AS moment, event_id % 5 AS who, event_type = 'purchase' AS done, row_number() OVER (PARTITION BY user_id % 200 ORDER BY event_id) AS step FROM events),
 f AS (
   SELECT DISTINCT key, CAST(0 AS BIGINT) AS step, 'pending' AS status, CAST(0 AS BIGINT) AS token, CAST(-1 AS BIGINT) AS owner, CAST(-1 AS BIGINT) AS until FROM r
