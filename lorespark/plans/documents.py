@@ -8,6 +8,7 @@ from ..functions.common import lower_plain
 from ..operators import documents as op
 from ..operators import anchors, graphs, hygiene
 from ..sources.html import page_blocks
+from ..sources.tables import page_tables, table_rows
 from .context import CHUNKS, OVERLAP, SIZE
 from .projections import table
 
@@ -121,7 +122,25 @@ def anchor_report(spark, sf_dir):
     return anchors.anchor_report(outputs, docs.select(F.col("doc_id").alias("page_id"), F.array(stretch, F.translate(stretch, "e", "")).alias("anchors"), pair.alias("pairs")))
 
 
+def _order_tables(spark, sf_dir):
+    """Each order as a page with a table of its lines: two rows of headers, and one cell for all lines of a flag."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    rows = lines.groupBy("page_id", "flag").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "part", "supp"))).alias("lines"))
+    cell = lambda x: F.concat(F.lit("<td>"), x["part"].cast("string"), F.lit("</td><td>"), x["supp"].cast("string"), F.lit("</td></tr>"))
+    body = F.transform("lines", lambda x, i: F.concat(F.when(i == 0, F.concat(F.lit("<tr><td rowspan='"), F.size("lines").cast("string"), F.lit("'>"), F.col("flag"), F.lit("</td>"))).otherwise(F.lit("<tr>")), cell(x)))
+    pages = rows.select("page_id", F.struct("flag", F.array_join(body, "").alias("html")).alias("part")).groupBy("page_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    head = "<table><thead><tr><th rowspan=2>flag</th><th colspan=2>of</th></tr><tr><th>part</th><th>supplier</th></tr></thead>"
+    return pages.select("page_id", F.concat(F.lit(head), F.array_join("parts.html", ""), F.lit("</table>")).alias("html"))
+
+
+def grid_rows(spark, sf_dir):
+    rows = table_rows(page_tables(_order_tables(spark, sf_dir)))
+    value = lambda name: F.element_at("values", F.lit(name))
+    return rows.select("page_id", "row", value("flag").alias("flag"), value("of > part").alias("part"), value("of > supplier").alias("supplier"))
+
+
 QUERIES = {
+    "grid_rows": grid_rows,
     "anchor_report": anchor_report,
     "example_reasons": example_reasons,
     "event_islands": lambda s, d: hygiene.islands(table(s, d, "events"), "user_id", "ts", "event_id", "6 hours"),
@@ -151,6 +170,7 @@ b AS (SELECT doc_id, block, CASE WHEN regexp_matches(text, '^#{1,6}\\s') THEN 'h
         length(text) AS n, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n)
 """
 SQL = {
+    "grid_rows": "WITH l AS (SELECT l_orderkey AS page_id, l_linenumber AS n, min(l_returnflag) AS flag, min(l_partkey) AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY 1, 2) SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY flag, n) - 1 AS row, flag, CAST(part AS VARCHAR) AS part, CAST(supp AS VARCHAR) AS supplier FROM l",
     "example_reasons": """WITH d AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents JOIN labels USING (doc_id))
 SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low_quality' WHEN doc_id IN (SELECT item_id FROM benchmark) THEN 'in_evaluation'
   WHEN first_id < doc_id THEN 'duplicate' WHEN n_chars > 4000 THEN 'too_long' ELSE 'eligible' END AS reason FROM d""",
