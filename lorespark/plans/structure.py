@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, relations, retrieval, structural
+from ..operators import documents, relations, retrieval, semantic, structural
 from ..operators import structure as op
 from .context import CUTS
 from .documents import LINE_BLOCKS
@@ -42,7 +42,32 @@ def relation_context(spark, sf_dir):
     return given.select("query_id", "bundle", "chunk_id", "doc_id", F.size("segments").alias("segments"), F.md5("text").alias("text"), "complete", F.array_join("reasons", ",").alias("reasons"))
 
 
+def semantic_groups(spark, sf_dir):
+    """Lines of all documents, cut where neighbouring sentences have few words in common."""
+    blocks = documents.line_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = semantic.sentences(blocks.select(F.concat_ws("-", "doc_id", "block").alias("block_id"), "text"))
+    vectors = retrieval.hash_embeddings(found.select(F.concat_ws("#", "block_id", "no").alias("doc_id"), "text"))
+    parts = F.split("doc_id", "#")
+    vectors = vectors.select(parts[0].alias("block_id"), parts[1].cast("int").alias("no"), "dim", "value")
+    return semantic.semantic_groups(semantic.neighbour_likeness(found, vectors), 0.2, 400)
+
+
+def late_pooling(spark, sf_dir):
+    """Words of conversations' turns as tokens, their hash as vectors, halves of the turn as chunks."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    words = turns.select("doc_id", F.length("text").alias("n"), F.posexplode(F.split("text", " ", -1)).alias("id", "word"), F.split("text", " ", -1).alias("all"))
+    start = F.aggregate(F.slice("all", F.lit(1), F.col("id")), F.lit(0).cast("long"), lambda n, w: n + F.length(w) + 1)
+    tokens = words.select("doc_id", "id", "word", start.alias("start")).withColumn("end", F.col("start") + F.length("word"))
+    at = F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long") % 32
+    states = tokens.select("doc_id", "id", at.cast("int").alias("dim"), F.lit(1.0).alias("value"))
+    half = F.floor(F.length("text") / 2)
+    spans = turns.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("id"), F.lit(0).cast("long").alias("start"), half.alias("end")), F.struct(F.lit(1).alias("id"), half.alias("start"), F.length("text").cast("long").alias("end")))).alias("s")).select("doc_id", "s.*").filter("start < end")
+    return semantic.pooled(tokens.drop("word"), states, spans).withColumn("value", F.round("value", 6))
+
+
 QUERIES = {
+    "semantic_groups": semantic_groups,
+    "late_pooling": late_pooling,
     "relation_context": relation_context,
     "structural_chunks": structural_chunks,
     "structure_sections": lambda s, d: op.sections(_built(s, d)).select("doc_id", "place", "section_id", "parent_section", "level", "title"),
@@ -65,6 +90,26 @@ r5 AS (SELECT *, coalesce(meets AND section IS NOT NULL AND (tied OR role <> 'ta
 r AS (SELECT *, max(CASE WHEN NOT joins THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS unit FROM r5)
 """
 SQL = {
+    "semantic_groups": LINE_BLOCKS.replace("WITH ", "WITH RECURSIVE ", 1) + r""", q AS (SELECT doc_id || '-' || block AS block_id, regexp_extract_all(text, '(?s).+?(?:[。！？]|[.!?](?:\s|$)|$)') AS ps FROM n),
+u AS (SELECT block_id, unnest(ps) AS text, unnest(range(len(ps))) AS i, unnest(list_transform(range(len(ps)), lambda k: coalesce(list_sum(list_transform(ps[1:k], lambda x: length(x))), 0))) AS start FROM q),
+s AS (SELECT block_id, text, start, start + length(text) AS stop, row_number() OVER (PARTITION BY block_id ORDER BY i) AS no FROM u WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
+e AS (SELECT block_id, no, unnest(regexp_extract_all(lower(text), '[a-z0-9]+|[\x{3400}-\x{9fff}]')) AS w FROM s),
+c AS (SELECT block_id, no, CAST('0x' || substr(sha256(w), 1, 8) AS BIGINT) % 63 + 1 AS dim, CAST(count(*) AS DOUBLE) AS value FROM e GROUP BY 1, 2, 3 UNION ALL SELECT block_id, no, 0, 0.01 FROM s),
+v AS (SELECT block_id, no, dim, value / sqrt(sum(value * value) OVER (PARTITION BY block_id, no)) AS value FROM c),
+d AS (SELECT a.block_id, a.no, round(sum(a.value * z.value), 9) AS sim FROM v a JOIN v z ON z.block_id = a.block_id AND z.no = a.no - 1 AND z.dim = a.dim GROUP BY 1, 2),
+g AS (SELECT s.*, sim, count(*) OVER (PARTITION BY block_id) AS k, max(stop - start) OVER (PARTITION BY block_id) AS most FROM s LEFT JOIN d USING (block_id, no)),
+f AS (
+  SELECT block_id, no, start, stop, 0 AS part, start AS begins FROM g WHERE no = 1 AND k > 1 AND most <= 400
+  UNION ALL
+  SELECT g.block_id, g.no, g.start, g.stop, part + (sim < 0.2 OR g.stop - begins > 400)::INT, CASE WHEN sim < 0.2 OR g.stop - begins > 400 THEN g.start ELSE begins END FROM f JOIN g ON g.block_id = f.block_id AND g.no = f.no + 1)
+SELECT block_id, part, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS "end", count(*) AS sentences FROM f GROUP BY 1, 2""",
+    "late_pooling": """WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+w AS (SELECT doc_id, n, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS i FROM t),
+p AS (SELECT doc_id, n, i, word, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w),
+k AS (SELECT doc_id, unnest([0, 1]) AS id, n, n // 2 AS half FROM t),
+m AS (SELECT k.doc_id, k.id, CAST('0x' || substr(md5(word), 1, 6) AS BIGINT) % 32 AS dim FROM k JOIN p ON p.doc_id = k.doc_id AND word <> '' AND start < CASE id WHEN 0 THEN half ELSE k.n END AND start + length(word) > CASE id WHEN 0 THEN 0 ELSE half END),
+s AS (SELECT doc_id, id, dim, count(*)::DOUBLE AS total FROM m GROUP BY 1, 2, 3)
+SELECT doc_id, id, CAST(dim AS INTEGER) AS dim, round(total / sqrt(sum(total * total) OVER (PARTITION BY doc_id, id)), 6) AS value FROM s""",
     # Lines of a group lie next to each other in a document's text, so places in it are places in the source.
     "structural_chunks": _STRUCTURE.replace("WITH ", "WITH RECURSIVE ", 1) + rf""", h AS (SELECT doc_id, place, shown, (SELECT max(p.place) FROM r p WHERE p.doc_id = r.doc_id AND p.head AND p.place < r.place AND p.level < r.level) AS above FROM r WHERE head),
 hp AS (SELECT doc_id, place, shown AS path FROM h WHERE above IS NULL UNION ALL SELECT h.doc_id, h.place, hp.path || ' > ' || h.shown FROM hp JOIN h ON h.doc_id = hp.doc_id AND h.above = hp.place),
