@@ -148,17 +148,18 @@ def health_states(traces: DataFrame, failures: int = 3, cooldown: str = "10 minu
     Days are ordered apart, so that no model's calls are one task's work; a day's first failures go on with those at
     the end of the days before.
     """
+    order = Window.partitionBy("model", "day").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     calls = traces.select("model", "id", "created_at", "success", F.to_date("created_at").alias("day"))
-    so_far = lambda *keys: Window.partitionBy(*keys).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    calls = calls.withColumn("run", F.sum(F.col("success").cast("int")).over(so_far("model", "day")))
-    calls = calls.withColumn("here", F.sum((~F.col("success")).cast("int")).over(so_far("model", "day", "run")))
-    runs = calls.groupBy("model", "day", "run").agg(F.sum((~F.col("success")).cast("int")).alias("failed"))
-    days = runs.groupBy("model", "day").agg(F.max_by("failed", "run").alias("last"), F.max("run").alias("wins"))
-    order = Window.partitionBy("model").orderBy("day")
-    days = days.withColumn("since", F.sum(F.when(F.col("wins") > 0, 1).otherwise(0)).over(order))
+    # Failures so far in the day, and those at its last success: one order of the day's calls gives both.
+    calls = calls.withColumn("failed", F.coalesce(F.sum((~F.col("success")).cast("int")).over(order), F.lit(0)))
+    calls = calls.withColumn("before", F.max(F.when(F.col("success"), F.col("failed"))).over(order)).withColumn("here", F.col("failed") - F.coalesce("before", F.lit(0)))
+    days = calls.groupBy("model", "day").agg(F.max("failed").alias("failed"), F.max("before").alias("before"))
+    days = days.select("model", "day", (F.col("failed") - F.coalesce("before", F.lit(0))).alias("last"), F.col("before").isNotNull().alias("wins"))
+    by_day = Window.partitionBy("model").orderBy("day")
+    days = days.withColumn("since", F.sum(F.col("wins").cast("int")).over(by_day))
     days = days.withColumn("open", F.sum("last").over(Window.partitionBy("model", "since").orderBy("day")))
-    days = days.select("model", "day", F.coalesce(F.lag("open").over(order), F.lit(0)).alias("carried"))
-    streak = F.col("here") + F.when(F.col("run") == 0, F.col("carried")).otherwise(0)
+    days = days.select("model", "day", F.coalesce(F.lag("open").over(by_day), F.lit(0)).alias("carried"))
+    streak = F.col("here") + F.when(F.col("before").isNull(), F.col("carried")).otherwise(0)
     opens = streak >= failures
     return calls.join(days, ["model", "day"]).select("model", "id", streak.alias("streak"), opens.alias("opens"), F.when(opens, F.col("created_at") + F.expr(f"interval {cooldown}")).alias("cooldown_until"))
 
