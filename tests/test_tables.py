@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lorespark.sources.tables import html_tables, page_tables, table_rows
+from lorespark.sources.tables import Tables, html_tables, page_tables, parsed_tables, plain_tables, table_rows
 
 
 def naive(rows):
@@ -65,3 +65,17 @@ def test_headers_labels_and_several_tables(spark):
     assert [(r["page_id"], r["table_no"], r["error"], r["header_rows"], r["marked"], r["header"]) for r in got] == [(1, 0, None, 2, True, ["a", "b & c > b", "b & c > b"]), (1, 1, None, 1, False, ["k", "", "k"]), (4, 0, "open_table", None, None, None)]
     rows = {(r["page_id"], r["table_no"], r["row"]): r["values"] for r in table_rows(page_tables(pages)).collect()}
     assert rows == {(1, 0, 0): {"a": "1", "1": "2 3", "2": "x y"}, (1, 1, 0): {"0": "1", "1": "2", "2": "3"}}
+
+
+def test_plain_pages_are_scanned_as_the_parser_finds_them():
+    """The parser took most of the time of a page of tables; a scan must find the same, or leave the page to it."""
+    row = "<tr><td rowspan='2'>a  b</td><th colspan=\"3\">c</th></tr> <tr>x<td>\n1 > 0</td>y</tr>"
+    plain = ["", "a", "<table></table>", f"<table>{row}</table>", f"a<table> <thead>{row}</thead> <tbody>{row}</tbody>q</table> <table>{row}</table>", "<table><tr></tr></table>", "<table><thead></thead><tr><td rowspan=1 colspan=02 colspan=3></td></tr></table>"]
+    left = ["<table>", "<b>x</b>", "<table><tr><td>&amp;</td></tr></table>", "<table><tr><td rowspan=0>1</td></tr></table>", "<table><tr><td rowspan=999>1</td></tr></table>", "<table><tr><td>1<td>2</td></tr></table>", f"<table>{row}<thead>{row}</thead></table>", "<table><tr><td class=x>1</td></tr></table>", "</table>", f"<table>{row}<tr><td><table></table></td></tr></table>", "<TABLE></TABLE>", "<table><tr><td>1</th></tr></table>"]
+    for html in plain + left:
+        parser = Tables()
+        parser.feed(html)
+        parser.finish()
+        assert plain_tables(html) == (parser.found if html in plain else None), html
+        assert parsed_tables(html) == parser.found
+    assert html_tables(plain[3], with_cells=False) == [t | {"cells": None} for t in html_tables(plain[3])]
