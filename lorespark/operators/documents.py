@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import mapped
+
 #: Between blocks in a document's joined text.
 SEPARATOR = 2
 # Places where a chunk may end, best first.
@@ -86,7 +88,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], ["doc_id", "block", "kind", "first_line", "last_line", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(parse, f"doc_id {kind}, block int, kind string, first_line int, last_line int, text string")
+    return mapped(docs.select("doc_id", "text"), parse, f"doc_id {kind}, block int, kind string, first_line int, last_line int, text string")
 
 
 def table_chunks(header: list[str], rows: list[list[str]], size: int) -> list[tuple[int, int, str]]:
@@ -151,7 +153,7 @@ def tier_chunks(docs: DataFrame, size: int = 800) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], ["doc_id", "chunk", "tier", "first_line", "last_line", "content"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, chunk int, tier string, first_line int, last_line int, content string")
+    return mapped(docs.select("doc_id", "text"), cut, f"doc_id {kind}, chunk int, tier string, first_line int, last_line int, content string")
 
 
 def section_paths(blocks: DataFrame) -> DataFrame:
@@ -202,7 +204,7 @@ def chunks(docs: DataFrame, size: int = 800, overlap: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "chunk", "start", "end", "content"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, chunk int, start int, end int, content string")
+    return mapped(docs.select("doc_id", "text"), cut, f"doc_id {kind}, chunk int, start int, end int, content string")
 
 
 def chunk_audit(docs: DataFrame, cut: DataFrame, size: int) -> DataFrame:
@@ -266,7 +268,7 @@ def chunk_rows(docs: DataFrame, size: int = 800, overlap: int = 80, parent_size:
 
     names = ["document_id", "chunk_id", "kind", "parent_id", "prev_id", "next_id", "start", "end", "content"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"document_id {kind}, chunk_id string, kind string, parent_id string, prev_id string, next_id string, start long, end long, content string")
+    return mapped(docs.select("doc_id", "text"), cut, f"document_id {kind}, chunk_id string, kind string, parent_id string, prev_id string, next_id string, start long, end long, content string")
 
 
 def overlapping(left: DataFrame, right: DataFrame, step: int = 2048) -> DataFrame:
