@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.arrow import mapped
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -55,10 +57,11 @@ class Delivered:
         self.starts[i:j], self.ends[i:j] = [start], [end]
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], step, schema: StructType | str) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str], step, schema: StructType | str, done=None) -> DataFrame:
     """rows in order of keys and order through step(state, row), which gives output rows; state is new for each value of keys.
+    done(state) gives more of them at the end of each.
 
-    Groups are sorted by Spark and stream by, so that a task holds the state of one group and one batch.
+    Groups are sorted by Spark and stream by, so that a task holds the state of one group and a small part of a batch.
     """
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
@@ -69,11 +72,15 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], step, schema: Str
             for row in batch.to_pylist():
                 now = tuple(row[k] for k in keys)
                 if state is None or now != key:
+                    if done and state is not None:
+                        out += done(state)
                     key, state = now, {}
                 out += step(state, row)
             yield pa.RecordBatch.from_pylist(out, into)
+        if done and state is not None:
+            yield pa.RecordBatch.from_pylist(done(state), into)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, kind)
+    return mapped(rows.repartition(*keys).sortWithinPartitions(*keys, *order), fold, kind)
 
 
 def undelivered(spans: DataFrame) -> DataFrame:
@@ -152,7 +159,7 @@ def expanded(candidates: DataFrame, chunks: DataFrame, limits: Limits | None = N
                 out += [{"query_id": row["query_id"], "place": i, **one} for i, one in enumerate(chosen, 1)]
             yield pa.RecordBatch.from_pylist(out, into)
 
-    return lists.mapInArrow(choose, schema)
+    return mapped(lists, choose, schema)
 
 
 def _chosen(found: list[dict], most: int) -> list[dict]:

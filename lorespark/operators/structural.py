@@ -132,8 +132,6 @@ def structural_chunks(built: DataFrame, sizes: Sizes | None = None) -> DataFrame
 
     def step(state: dict, row: dict) -> list[dict]:
         group = state.setdefault("group", [])
-        if row["place"] is None:  # the end of a document
-            return flushed(group)
         if row["role"] == "furniture" or not (row["text"] or "").strip() or row["unit_id"] is None:
             return []
         if group and row["state"] == "accepted" and row["edge_from"] == group[-1]["place"] and not {row["kind"], group[-1]["kind"]} & set(PROTECTED):
@@ -143,9 +141,7 @@ def structural_chunks(built: DataFrame, sizes: Sizes | None = None) -> DataFrame
         return flushed(group)
 
     columns = ["doc_id", "place", "kind", "role", "text", "start", "page", "path", "unit_id", "state", "edge_from"]
-    rows = built.select(*columns).withColumn("last", F.lit(0))
-    ends = built.select("doc_id").distinct().select("doc_id", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns[1:]], F.lit(1).alias("last"))
-    return folded(rows.unionByName(ends), ["doc_id"], ["last", "place"], step, schema)
+    return folded(built.select(*columns), ["doc_id"], ["place"], step, schema, lambda state: flushed(state.get("group", [])))
 
 
 def structural_audit(chunks: DataFrame, built: DataFrame, sizes: Sizes | None = None) -> DataFrame:

@@ -26,6 +26,7 @@ ROLES = [
     ("question", r"^(?:\d+[.、)]\s*\(|Question\s+\d+)"),
     ("example", r"^(?:例句|例如|如[:：]|Examples?[:：]|[•·])"),
 ]
+_ROLES = [(name, re.compile(pattern, re.IGNORECASE)) for name, pattern in ROLES]
 BREAKS = ("exercise", "answer", "question", "code")
 TABLE_REFERENCE = r"(?:如下表|下表|表中|表格|following table|table below)[:：.。\s]*$"
 REFERENCE = r"(?i)(?:参见|参照|见|see)\s*(第[一二三四五六七八九十百千零〇0-9]+[章节]|Chapter\s+\d+|Section\s+\d+)"
@@ -63,7 +64,7 @@ def role_of(row: dict) -> str:
         return "furniture"
     role = NATIVE.get(row["native"]) or ("table" if row["kind"] in ("table", "table_row") else "code" if row["kind"] == "code" else "body")
     text = _title(row) if row["kind"] == "heading" else (row["text"] or "").strip()
-    return next((name for name, pattern in ROLES if re.search(pattern, text, re.IGNORECASE)), role)
+    return next((name for name, pattern in _ROLES if pattern.search(text)), role)
 
 
 def _step(state: dict, row: dict) -> list[dict]:

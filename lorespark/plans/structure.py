@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents, relations, retrieval, semantic, structural
 from ..operators import structure as op
+from ..operators.tables import written
 from .context import CUTS
 from .documents import LINE_BLOCKS
 from .projections import table
@@ -20,7 +21,7 @@ def _built(spark, sf_dir):
 
 
 def structure_edges(spark, sf_dir):
-    return op.edges(_built(spark, sf_dir)).withColumn("evidence", F.array_join("evidence", ","))
+    return op.edges(written(_built(spark, sf_dir), "built")).withColumn("evidence", F.array_join("evidence", ","))
 
 
 def structural_chunks(spark, sf_dir):
@@ -32,8 +33,8 @@ def structural_chunks(spark, sf_dir):
 
 def relation_context(spark, sf_dir):
     """Bundles for benchmark items, from the leaves that their terms recall; every third item is a question of three parts."""
-    built = _built(spark, sf_dir)
-    chunks = structural.structural_chunks(built)
+    built = written(_built(spark, sf_dir), "built")
+    chunks = written(structural.structural_chunks(built), "chunks")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     leaves = chunks.filter("kind = 'leaf'").select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))
     found = retrieval.keyword_recall(items, leaves, 8).select("query_id", "rank", F.col("candidate_id").alias("chunk_id"), F.when(F.col("query_id") % 3 == 0, 3).otherwise(1).alias("question_parts"))

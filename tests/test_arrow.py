@@ -1,7 +1,7 @@
 import pyarrow as pa
 
 from lorespark.functions.arrow import MOST, PART, mapped, parted
-from lorespark.operators import documents
+from lorespark.operators import context, documents, relations, structural, structure, tables
 
 
 def test_parts_are_small_and_whole():
@@ -25,3 +25,39 @@ def test_steps_over_texts_get_batches_of_bounded_size(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= MOST
     for cut in (documents.chunks, documents.chunk_rows, documents.text_blocks, documents.tier_chunks):
         assert cut(rows.limit(2)).count() > 0
+
+
+def _blocks(spark, docs):
+    rows = [(d, n, "heading" if n % 3 == 0 else "paragraph", 1, f"block {n} of {d}", n * 20) for d in range(docs) for n in range(6)]
+    return structure.structured(spark.createDataFrame(rows, "doc_id long, place long, kind string, depth int, text string, start long"))
+
+
+def test_folds_end_each_group_in_the_same_pass(spark):
+    rows = spark.createDataFrame([(k, n) for k in range(5) for n in range(k + 1)], "k long, n long")
+
+    def step(state, row):
+        state["sum"] = state.get("sum", 0) + row["n"]
+        return []
+
+    got = context.folded(rows, ["k"], ["n"], lambda s, r: [] if s.update(k=r["k"]) else step(s, r), "k long, sum long", lambda s: [s])
+    assert {tuple(r) for r in got.collect()} == {(k, k * (k + 1) // 2) for k in range(5)}
+    built = _blocks(spark, 3)
+    plans = [df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for df in (built, structural.structural_chunks(built))]
+    assert plans == [1, 2]  # the structure that the chunks are made of was built twice
+
+
+def test_bundles_search_only_documents_of_candidates(spark, monkeypatch):
+    built, seen = tables.written(_blocks(spark, 20), "built"), []
+    chunks = tables.written(structural.structural_chunks(built), "chunks")
+    first = chunks.filter("kind = 'leaf' and doc_id = 7").orderBy("start").first()["chunk_id"]
+    asked = spark.createDataFrame([(1, 1, first, 1)], "query_id long, rank int, chunk_id string, question_parts int")
+    reach = relations.bounded_reach
+
+    def spied(starts, ways, *more):
+        seen.append(ways.select("source.doc_id").distinct().collect())
+        return reach(starts, ways, *more)
+
+    monkeypatch.setattr(relations, "bounded_reach", spied)
+    got = relations.relation_context(asked, chunks, built, built.select("doc_id").distinct().selectExpr("doc_id", "'s' as source_name"))
+    assert [r["doc_id"] for r in got.collect()] == [7]
+    assert [[r["doc_id"] for r in s] for s in seen] == [[7]]
