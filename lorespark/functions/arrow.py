@@ -26,15 +26,15 @@ def parted(batch: pa.RecordBatch, octets: int = PART) -> Batches:
         yield batch
 
 
-def mapped(rows: DataFrame, work: Callable[[Batches], Batches], schema: StructType | str) -> DataFrame:
-    """rows.mapInArrow(work, schema), where work gets small batches, and the worker gives freed memory back at a task's end, as it
+def mapped(rows: DataFrame, work: Callable[[Batches], Batches], schema: StructType | str, octets: int = PART) -> DataFrame:
+    """rows.mapInArrow(work, schema), where work gets batches of at most octets, and the worker gives freed memory back at a task's end, as it
     lives on into later ones."""
     conf = rows.sparkSession.conf
     if rows.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(BATCH_BYTES)) > MOST:
         conf.set(BATCH_BYTES, str(MOST))
 
     def run(batches: Batches) -> Batches:
-        yield from work(part for batch in batches for part in parted(batch))
+        yield from work(part for batch in batches for part in parted(batch, octets))
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:

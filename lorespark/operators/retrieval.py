@@ -11,12 +11,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import MOST, mapped
 from ..functions.common import lower_plain, ratio
 from .planning import with_terms
 
 
 #: Numbers over which blocks of vectors are spread; each block of queries is sent so many times at most.
 SPREAD = 256
+#: Queries whose products with a block of vectors are held at once.
+ROWS = 128
 
 
 def _packed(vectors: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame:
@@ -36,7 +39,7 @@ def _packed(vectors: DataFrame, id_col: str, vector_col: str, rows: int) -> Data
                     if len(unit):
                         yield pa.RecordBatch.from_pydict({"ids": pa.array([ids[good].tobytes()], pa.binary()), "matrix": pa.array([unit.tobytes()], pa.binary()), "dims": pa.array([dims], pa.int32())})
 
-    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(pack, "ids binary, matrix binary, dims int")
+    return mapped(vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")), pack, "ids binary, matrix binary, dims int", MOST)
 
 
 def vector_recall(queries: DataFrame, vectors: DataFrame, pool: int = 30, least: float | None = 0.3, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
@@ -55,14 +58,15 @@ def vector_recall(queries: DataFrame, vectors: DataFrame, pool: int = 30, least:
         for batch in batches:
             for row in batch.select(["r_ids", "r", "ids", "matrix", "dims"]).to_pylist():
                 r_ids, ids = np.frombuffer(row["r_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                product = np.frombuffer(row["matrix"]).reshape(-1, row["dims"]) @ np.frombuffer(row["r"]).reshape(-1, row["dims"]).T
+                left, right = np.frombuffer(row["matrix"]).reshape(-1, row["dims"]), np.frombuffer(row["r"]).reshape(-1, row["dims"]).T
                 k = min(pool, len(r_ids))
-                # Rounded, so that the order does not depend on the blocks; equal values go by id.
-                near = np.round(product, 9)
-                best = np.lexsort((np.broadcast_to(r_ids, near.shape), -near), axis=1)[:, :k]
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, k), "candidate_id": r_ids[best].ravel(), "similarity": np.take_along_axis(near, best, 1).ravel()})
+                for at in range(0, len(ids), ROWS):
+                    # Rounded, so that the order does not depend on the blocks; equal values go by id.
+                    near = np.round(left[at : at + ROWS] @ right, 9)
+                    best = np.lexsort((np.broadcast_to(r_ids, near.shape), -near), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids[at : at + ROWS], k), "candidate_id": r_ids[best].ravel(), "similarity": np.take_along_axis(near, best, 1).ravel()})
 
-    found = pairs.mapInArrow(multiply, "query_id long, candidate_id long, similarity double")
+    found = mapped(pairs, multiply, "query_id long, candidate_id long, similarity double")
     return ranked(found, "similarity", pool).filter(F.col("similarity") >= least) if least is not None else ranked(found, "similarity", pool)
 
 
@@ -72,8 +76,8 @@ def ranked(candidates: DataFrame, score: str, pool: int) -> DataFrame:
     return candidates.withColumn("rank", place).filter(F.col("rank") <= pool)
 
 
-#: Bytes of terms that go to the tasks at once.
-BLOCK_BYTES = 1 << 23
+#: Bytes of terms that go to the tasks at once, and matches of texts and queries that a task holds.
+BLOCK_BYTES, HELD = 1 << 23, 1 << 18
 
 
 def terms_of(queries: DataFrame, most: int = 16, whole: bool = False) -> DataFrame:
@@ -106,7 +110,7 @@ def term_hits(docs: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
                 rows = [(i, t) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in ({t for _, t in automaton.iter(x)} if block.value else ())]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "term"])
 
-        hits = docs.select(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")).alias("form")).mapInArrow(search, "doc_id long, term string")
+        hits = mapped(docs.select(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")).alias("form")), search, "doc_id long, term string")
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -116,7 +120,7 @@ def keyword_recall(queries: DataFrame, docs: DataFrame, pool: int = 30) -> DataF
     in lower case contains; score is 1 / rank.
 
     Queries are parted by hash into blocks of about BLOCK_BYTES of terms, each searched in one pass. A text's matches are
-    counted where it is searched, and of each batch of texts only the pool best of a query go on.
+    counted where it is searched, and of a task's texts only the pool best of a query go on; it holds those and HELD more matches.
     """
     lists = terms_of(queries).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     size = lists.agg(F.sum(F.aggregate("terms", F.lit(64).cast("long"), lambda n, t: n + F.octet_length(t) + 64))).first()[0] or 0
@@ -135,27 +139,44 @@ def keyword_recall(queries: DataFrame, docs: DataFrame, pool: int = 30) -> DataF
                 automaton.add_word(term, (term, np.array(having)))
             automaton.make_automaton()
             numbers = np.array([q for q, _ in block.value], np.int64)
-            for batch in batches if of else ():
-                places, which, counts = [], [], []
-                for row, text in enumerate(batch.column(1)):
-                    met = dict(found for _, found in automaton.iter(text.as_py()))
-                    if met:
-                        q, n = np.unique(np.concatenate(list(met.values())), return_counts=True)
-                        places.append(np.full(len(q), row))
-                        which.append(q)
-                        counts.append(n)
-                if not places:
-                    continue
-                row, q, n = np.concatenate(places), np.concatenate(which), np.concatenate(counts)
-                by_id = np.empty(batch.num_rows, np.int64)
-                by_id[pa.compute.array_sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+            best, which, counts, met_ids, held = None, [], [], [], 0
+
+            def pruned():
+                """The pool best of each query in what is held and what was best before: ids, places in them, queries, counts."""
+                told = pa.concat_arrays([*([best[0]] if best else []), *met_ids])
+                at = len(best[0]) if best else 0
+                row = np.concatenate([*([best[1]] if best else []), *(np.full(len(q), at + i) for i, q in enumerate(which))])
+                q = np.concatenate([*([best[2]] if best else []), *which])
+                n = np.concatenate([*([best[3]] if best else []), *counts])
+                by_id = np.empty(len(told), np.int64)
+                by_id[pa.compute.array_sort_indices(told).to_numpy()] = np.arange(len(told))
                 order = np.lexsort((by_id[row], -n, q))
                 row, q, n = row[order], q[order], n[order]
                 first = np.flatnonzero(np.diff(q, prepend=-1))
-                best = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < pool
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[q[best]]), batch.column(0).take(pa.array(row[best])), pa.array(n[best])], ["query_id", "candidate_id", "matched"])
+                kept = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < pool
+                used, row = np.unique(row[kept], return_inverse=True)
+                return told.take(pa.array(used)), row, q[kept], n[kept]
 
-        found = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("form")).mapInArrow(search, f"query_id long, candidate_id {ids.simpleString()}, matched long")
+            for batch in batches if of else ():
+                for row, text in enumerate(batch.column(1)):
+                    met = dict(found for _, found in automaton.iter(text.as_py()))
+                    if not met:
+                        continue
+                    q, n = np.unique(np.concatenate(list(met.values())), return_counts=True)
+                    met_ids.append(batch.column(0).take(pa.array([row])))
+                    which.append(q)
+                    counts.append(n)
+                    held += len(q)
+                    if held > HELD:
+                        best, which, counts, met_ids, held = pruned(), [], [], [], 0
+            if which:
+                best = pruned()
+            if best:
+                for at in range(0, len(best[1]), HELD):
+                    row, q, n = (x[at : at + HELD] for x in best[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), best[0].take(pa.array(row)), pa.array(n)], ["query_id", "candidate_id", "matched"])
+
+        found = mapped(docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("form")), search, f"query_id long, candidate_id {ids.simpleString()}, matched long")
         out = found if out is None else out.unionByName(found)
     return ranked(out, "matched", pool).withColumn("score", 1.0 / F.col("rank"))
 

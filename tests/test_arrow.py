@@ -1,7 +1,7 @@
 import pyarrow as pa
 
 from lorespark.functions.arrow import MOST, PART, mapped, parted
-from lorespark.operators import context, documents, relations, structural, structure, tables
+from lorespark.operators import context, documents, relations, retrieval, structural, structure, tables
 
 
 def test_parts_are_small_and_whole():
@@ -61,3 +61,16 @@ def test_bundles_search_only_documents_of_candidates(spark, monkeypatch):
     got = relations.relation_context(asked, chunks, built, built.select("doc_id").distinct().selectExpr("doc_id", "'s' as source_name"))
     assert [r["doc_id"] for r in got.collect()] == [7]
     assert [[r["doc_id"] for r in s] for s in seen] == [[7]]
+
+
+def test_recall_holds_bounded_matches_and_finds_the_same(spark, monkeypatch):
+    """Matches of a whole batch of texts with all queries were held at once."""
+    queries = spark.createDataFrame([(q, f"w{q % 7} v{q % 3}") for q in range(9)], "query_id long, text string").coalesce(1)
+    docs = spark.createDataFrame([(f"d{i:03}", f"w{i % 7} v{i % 5} w{i % 4}") for i in range(200)], "doc_id string, text string").coalesce(1)
+    whole = sorted(map(tuple, retrieval.keyword_recall(queries, docs, 4).collect()))
+    monkeypatch.setattr(retrieval, "HELD", 5)
+    assert sorted(map(tuple, retrieval.keyword_recall(queries, docs, 4).collect())) == whole and len(whole) > 20
+    vectors = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    near = sorted(map(tuple, retrieval.vector_recall(vectors.filter("vec_id % 3 = 0"), vectors, 4).collect()))
+    monkeypatch.setattr(retrieval, "ROWS", 3)
+    assert sorted(map(tuple, retrieval.vector_recall(vectors.filter("vec_id % 3 = 0"), vectors, 4).collect())) == near and len(near) == 80
