@@ -47,10 +47,7 @@ def semantic_groups(spark, sf_dir):
     """Lines of all documents, cut where neighbouring sentences have few words in common."""
     blocks = documents.line_blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = semantic.sentences(blocks.select(F.concat_ws("-", "doc_id", "block").alias("block_id"), "text"))
-    vectors = retrieval.hash_embeddings(found.select(F.concat_ws("#", "block_id", "no").alias("doc_id"), "text"))
-    parts = F.split("doc_id", "#")
-    vectors = vectors.select(parts[0].alias("block_id"), parts[1].cast("int").alias("no"), "dim", "value")
-    return semantic.semantic_groups(semantic.neighbour_likeness(found, vectors), 0.2, 400)
+    return semantic.semantic_groups(semantic.text_likeness(found), 0.2, 400)
 
 
 def late_pooling(spark, sf_dir):
