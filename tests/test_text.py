@@ -1,3 +1,5 @@
+import random
+
 from lorespark.functions import text
 
 
@@ -33,3 +35,23 @@ def test_sql_functions(spark):
     text.register(spark)
     row = spark.sql("SELECT plain(x), letters(x), substring_error('abc', x), chapter_number(y) FROM VALUES ('  aBc d', '十二') AS t(x, y)").first()
     assert tuple(row) == ("abc d", "abcd", 1 / 3, 12)
+
+
+def test_distances_scan_few_places_and_stay_the_same(monkeypatch):
+    """All of each text was scanned, character by character, for every anchor that is not in it."""
+    rng, scanned = random.Random(8), []
+    whole = text.scanned_distance
+    monkeypatch.setattr(text, "scanned_distance", lambda a, b: scanned.append(len(b)) or whole(a, b))
+    for n in range(600):
+        letters = "abcdefghij"[: rng.randrange(2, 11)]
+        page = "".join(rng.choices(letters, k=rng.randrange(0, 300)))
+        at = rng.randrange(len(page) + 1)
+        part = list(page[at : at + rng.randrange(1, 70)]) or ["x"]
+        for _ in range(rng.randrange(0, 20)):
+            part[rng.randrange(len(part)) :][:1] = rng.choices(letters, k=rng.randrange(3))
+            i = rng.randrange(len(part))
+            part[i : i + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(1, 3))
+        expected = "".join(part)
+        assert text.substring_distance(expected, page) == (0 if expected in page else whole(expected, page)), (expected, page)
+    page, scanned[:] = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), []
+    assert 0 < text.substring_distance(page[500:560].replace("e", ""), page) < 16 and sum(scanned) < 2_000
