@@ -80,9 +80,11 @@ def coverage_order(candidates: DataFrame, parts: list[int]) -> DataFrame:
 
     candidates: (query_id, candidate_id, rank, gains), gains a map of part to what its lanes give.
     """
-    rows = candidates.withColumn("seed", F.lit(None).cast("int"))
-    for i, part in enumerate(parts):
-        gain = F.coalesce(F.element_at("gains", F.lit(part)), F.lit(0.0))
+    # Each sort carries a number for a part, not the map.
+    gains = [F.coalesce(F.element_at("gains", F.lit(part)), F.lit(0.0)).alias(f"gain{i}") for i, part in enumerate(parts)]
+    rows = candidates.select("query_id", "candidate_id", "rank", *gains, F.lit(None).cast("int").alias("seed"))
+    for i in range(len(parts)):
+        gain = F.col(f"gain{i}")
         open_ = (gain > 0) & F.col("seed").isNull()
         best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.when(open_, 0).otherwise(1), F.desc(gain), "rank", "candidate_id"))
         rows = rows.withColumn("best", best).withColumn("seed", F.when(open_ & (F.col("best") == 1), F.lit(i)).otherwise(F.col("seed"))).drop("best")

@@ -8,7 +8,7 @@ from ..operators import context as op
 from ..operators import documents, retrieval
 from ..sources.index import ChunkIndex, index_rows
 from ..streaming.runs import shared_path
-from .projections import table
+from .projections import dealt, table
 from .retrieval import QUERY_TERMS
 
 SIZE, OVERLAP, PARENT, PARENT_FROM = 800, 80, 2400, 2000
@@ -30,7 +30,8 @@ def chunk_rows(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """Spans of the lines of an order, on one of two documents each."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("long").alias("place")).agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("long").alias("place"), "l_partkey", "l_suppkey")
+    lines = dealt(lines, "query_id").groupBy("query_id", "place").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
     start = F.col("part") % 200
     return lines.select("query_id", (F.col("supp") % 2).alias("document_id"), "place", start.alias("start"), (start + F.col("supp") % 60 + 1).alias("end"))
 

@@ -8,7 +8,7 @@ from ..functions.common import lower_plain
 from ..operators import ledgers
 from ..operators import planning as op
 from . import retrieval
-from .projections import table
+from .projections import dealt, table
 
 
 def query_terms(spark, sf_dir):
@@ -34,10 +34,15 @@ def expanded_queries(spark, sf_dir):
     return op.expanded_queries(asked.unionByName(other), _aliases(spark, sf_dir))
 
 
+def _lines(spark, sf_dir, *columns):
+    """Lines by order and number with the least of each column, dealt by order."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("long").alias("candidate_id"), *columns)
+    return dealt(lines, "query_id").groupBy("query_id", "candidate_id").agg(*[F.min(c).alias(c) for c in columns])
+
+
 def _candidates(spark, sf_dir):
     """Lines of an order, which may share a number, as the candidates of a query."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("long").alias("candidate_id"))
-    return lines.agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_suppkey", "l_partkey")])
+    return _lines(spark, sf_dir, "l_quantity", "l_suppkey", "l_partkey")
 
 
 def reranked(spark, sf_dir):
@@ -62,7 +67,7 @@ def citations(spark, sf_dir):
 
 def unit_support(spark, sf_dir):
     """Lines that were not returned are the results; those that are no longer open were delivered."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("long").alias("candidate_id")).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("status"))
+    lines = _lines(spark, sf_dir, "l_partkey", "l_returnflag", "l_linestatus").withColumnsRenamed({"l_returnflag": "flag", "l_linestatus": "status"})
     results = lines.filter("flag <> 'R'").select("query_id", "candidate_id", F.when(F.col("status") == "O", 1).otherwise(2).alias("stage"))
     return ledgers.unit_support(results, lines.select("query_id", (F.col("l_partkey") % 3).alias("unit"), "candidate_id"))
 

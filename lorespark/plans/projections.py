@@ -113,6 +113,19 @@ PROJECTIONS = {
 }
 
 
+#: Rows of a part on average; a task that sorts or groups so many takes some hundred MB.
+PART_ROWS = 1 << 18
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows in parts by their keys, as many as their number asks for: what a task sorts or groups does not grow with the table.
+
+    The rows are counted for it, which costs little for columns of a file, much for the result of long work.
+    """
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // PART_ROWS + 1)
+    return rows.repartition(n, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver, or a projection of its tables."""
     if name not in PROJECTIONS:
