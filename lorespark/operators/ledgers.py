@@ -104,7 +104,7 @@ def rescored(scores: DataFrame, weights: DataFrame, threshold: float) -> DataFra
 
 def pairwise_agreement(votes: DataFrame, judges: list[str]) -> DataFrame:
     """For each two of some judges: items that both judged, share on which they agree, and kappa, null if chance agreement is certain."""
-    items = votes.groupBy("item_id").pivot("judge", judges).agg(F.max(F.col("good").cast("int")))
+    items = votes.groupBy("item_id").agg(*[F.max(F.when(F.col("judge") == j, F.col("good").cast("int"))).alias(j) for j in judges])
     out = None
     for i, a in enumerate(judges):
         for b in judges[i + 1 :]:

@@ -198,7 +198,8 @@ def task_rollup(items: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
 
 def contrast(outcomes: DataFrame) -> DataFrame:
     """Mean over inputs of the mean difference new - old of each input, in points, overall and per template."""
-    pairs = outcomes.groupBy("template_id", "input", "round").pivot("version", ["old", "new"]).agg(F.max(F.col("good").cast("double")))
+    of = lambda version: F.max(F.when(F.col("version") == version, F.col("good").cast("double"))).alias(version)
+    pairs = outcomes.groupBy("template_id", "input", "round").agg(of("old"), of("new"))
     inputs = pairs.filter("old is not null and new is not null").groupBy("template_id", "input").agg(F.avg(F.col("new") - F.col("old")).alias("gain"))
     sums = inputs.groupingSets([[], ["template_id"]], "template_id").agg(F.grouping("template_id").alias("g"), F.count("*").alias("inputs"), F.round(F.avg("gain") * 100, 6).alias("points"))
     return sums.select(F.when(F.col("g") == 1, "overall").otherwise(F.col("template_id")).alias("stratum"), "inputs", "points")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledgers as op
 from ..operators import quality
-from .projections import table, with_
+from .projections import dealt, table, with_
 from .quality import WEIGHTS
 
 PRICES = [("m0", 0.5, 1.5, True), ("m1", 0.25, 0.75, False), ("m2", 1.0, 2.0, True)]
@@ -38,9 +38,10 @@ def _cases(spark, sf_dir):
 
 
 def votes(spark, sf_dir):
-    """Lines of orders as votes of three judges."""
+    """Lines of orders as votes of three judges, dealt by order."""
     judge = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), judge.alias("judge"), (F.col("l_quantity") > 25).alias("good"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), judge.alias("judge"), (F.col("l_quantity") > 25).alias("good"))
+    return dealt(rows, "item_id")
 
 
 def shared_scores(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as op
-from .projections import table, with_
+from .projections import dealt, table, with_
 
 WEIGHTS = [("accuracy", 0.4), ("clarity", 0.3), ("format", 0.2), ("difficulty", 0.1)]
 _WEIGHTS = "weights(dimension, weight) AS (VALUES " + ", ".join(f"('{d}', CAST({w} AS DOUBLE))" for d, w in WEIGHTS) + ")"
@@ -16,15 +16,16 @@ def _weights(spark):
 
 
 def outcomes(spark, sf_dir):
-    """Lines of orders as outcomes of an old and a new version on inputs, in rounds."""
+    """Lines of orders as outcomes of an old and a new version on inputs, in rounds, dealt by input."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.select(
+    rows = lines.select(
         F.concat(F.lit("t"), (F.col("l_suppkey") % 4).cast("string")).alias("template_id"),
         F.col("l_orderkey").alias("input"),
         F.floor(F.col("l_linenumber") / 2).alias("round"),
         F.when(F.col("l_linenumber") % 2 == 0, "old").otherwise("new").alias("version"),
         (F.col("l_quantity") > 20).alias("good"),
     )
+    return dealt(rows, "template_id", "input")
 
 
 def overrides(spark, sf_dir):
