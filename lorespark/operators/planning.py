@@ -59,14 +59,15 @@ def expanded_queries(queries: DataFrame, aliases: DataFrame, most: int = 4) -> D
     return firsts.withColumn("variant", variant).filter(F.col("variant") <= most).select("query_id", "variant", "text")
 
 
-def reranked(candidates: DataFrame, scores: DataFrame, least: float, top: int, required: bool = False) -> DataFrame:
+def reranked(candidates: DataFrame, scores: DataFrame, least: float, top: int, required: bool = False, parts: int | None = None) -> DataFrame:
     """(query_id, candidate_id, score, place): the candidates of (query_id, candidate_id, rank) of at least a score by a
     reranker, best first, equal ones by id.
 
     A query that lacks a finite score of any candidate failed: it keeps its candidates in the order of their
-    ranks, scores null, or nothing if reranking is required.
+    ranks, scores null, or nothing if reranking is required. Queries are sorted in so many parts, or as many as the session has.
     """
     joined = candidates.join(scores, ["query_id", "candidate_id"], "left")
+    joined = joined.repartition(parts, "query_id") if parts else joined
     sound = F.coalesce(F.abs("score") < float("inf"), F.lit(False)) & ~F.isnan("score")
     rows = joined.withColumn("whole", F.bool_and(sound).over(Window.partitionBy("query_id"))).withColumn("score", F.when(F.col("whole"), F.col("score")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.when(~F.col("whole"), F.col("rank")), "candidate_id"))

@@ -8,7 +8,7 @@ from ..functions.common import lower_plain
 from ..operators import ledgers
 from ..operators import planning as op
 from . import retrieval
-from .projections import dealt, table
+from .projections import dealt, parts, table
 
 
 def query_terms(spark, sf_dir):
@@ -34,22 +34,22 @@ def expanded_queries(spark, sf_dir):
     return op.expanded_queries(asked.unionByName(other), _aliases(spark, sf_dir))
 
 
-def _lines(spark, sf_dir, *columns):
-    """Lines by order and number with the least of each column, dealt by order."""
+def _lines(spark, sf_dir, *columns, by=("query_id",)):
+    """Lines by order and number with the least of each column, dealt by order or by both."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("long").alias("candidate_id"), *columns)
-    return dealt(lines, "query_id").groupBy("query_id", "candidate_id").agg(*[F.min(c).alias(c) for c in columns])
+    return dealt(lines, *by).groupBy("query_id", "candidate_id").agg(*[F.min(c).alias(c) for c in columns])
 
 
-def _candidates(spark, sf_dir):
+def _candidates(spark, sf_dir, **dealing):
     """Lines of an order, which may share a number, as the candidates of a query."""
-    return _lines(spark, sf_dir, "l_quantity", "l_suppkey", "l_partkey")
+    return _lines(spark, sf_dir, "l_quantity", "l_suppkey", "l_partkey", **dealing)
 
 
 def reranked(spark, sf_dir):
     """Lines of an order by quantity; the reranker scores none of up to 4, so that their orders fail."""
-    rows = _candidates(spark, sf_dir)
+    rows = _candidates(spark, sf_dir, by=("query_id", "candidate_id"))
     scores = rows.filter("l_quantity > 4").select("query_id", "candidate_id", (F.col("l_quantity") / 50).cast("double").alias("score"))
-    return op.reranked(rows.select("query_id", "candidate_id", F.col("candidate_id").alias("rank")), scores, 0.3, 3)
+    return op.reranked(rows.select("query_id", "candidate_id", F.col("candidate_id").alias("rank")), scores, 0.3, 3, parts=parts(table(spark, sf_dir, "lineitem")))
 
 
 def coverage_order(spark, sf_dir):

@@ -117,13 +117,14 @@ PROJECTIONS = {
 PART_ROWS = 1 << 18
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows in parts by their keys, as many as their number asks for: what a task sorts or groups does not grow with the table.
+def parts(rows: DataFrame) -> int:
+    """How many parts the number of rows asks for, which is counted: little work for a file, much for the result of long work."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // PART_ROWS + 1)
+
 
-    The rows are counted for it, which costs little for columns of a file, much for the result of long work.
-    """
-    n = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // PART_ROWS + 1)
-    return rows.repartition(n, *keys)
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows in parts by their keys, so that what a task sorts or groups does not grow with the table."""
+    return rows.repartition(parts(rows), *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
