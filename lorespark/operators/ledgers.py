@@ -140,13 +140,16 @@ def verdict_rollup(verdicts: DataFrame, *keys: str) -> DataFrame:
     return verdicts.groupBy(*keys).agg(F.when(has("fail"), "fail").when(has("unresolved"), "unresolved").otherwise("pass").alias("verdict"), F.count("*").alias("votes"))
 
 
-def unit_support(results: DataFrame, units: DataFrame) -> DataFrame:
+def unit_support(results: DataFrame, units: DataFrame, parts: int | None = None) -> DataFrame:
     """Per query: needed units, those that some result holds, whether all are there, and where the first loss was.
 
     units: (query_id, unit, candidate_id); results: (query_id, candidate_id, stage) with stage 1 for recall and 2 for
-    what was delivered. A query fails at recall if a unit is in no recalled candidate, else at delivery.
+    what was delivered. A query fails at recall if a unit is in no recalled candidate, else at delivery. Queries are
+    grouped in so many parts, or as many as the session has.
     """
-    held = units.join(results, ["query_id", "candidate_id"], "left").groupBy("query_id", "unit").agg(F.bool_or(F.coalesce(F.col("stage") >= 1, F.lit(False))).alias("recalled"), F.bool_or(F.coalesce(F.col("stage") >= 2, F.lit(False))).alias("delivered"))
+    joined = units.join(results, ["query_id", "candidate_id"], "left")
+    joined = joined.repartition(parts, "query_id") if parts else joined
+    held = joined.groupBy("query_id", "unit").agg(F.bool_or(F.coalesce(F.col("stage") >= 1, F.lit(False))).alias("recalled"), F.bool_or(F.coalesce(F.col("stage") >= 2, F.lit(False))).alias("delivered"))
     lost = F.when(~F.bool_and("recalled"), "recall").when(~F.bool_and("delivered"), "delivery").otherwise("none")
     return held.groupBy("query_id").agg(F.count("*").alias("units"), count_where(F.col("recalled")).alias("recalled"), count_where(F.col("delivered")).alias("delivered"), F.bool_and("delivered").alias("complete"), lost.alias("lost_at"))
 

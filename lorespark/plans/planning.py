@@ -67,9 +67,9 @@ def citations(spark, sf_dir):
 
 def unit_support(spark, sf_dir):
     """Lines that were not returned are the results; those that are no longer open were delivered."""
-    lines = _lines(spark, sf_dir, "l_partkey", "l_returnflag", "l_linestatus").withColumnsRenamed({"l_returnflag": "flag", "l_linestatus": "status"})
+    lines = _lines(spark, sf_dir, "l_partkey", "l_returnflag", "l_linestatus", by=("query_id", "candidate_id")).withColumnsRenamed({"l_returnflag": "flag", "l_linestatus": "status"})
     results = lines.filter("flag <> 'R'").select("query_id", "candidate_id", F.when(F.col("status") == "O", 1).otherwise(2).alias("stage"))
-    return ledgers.unit_support(results, lines.select("query_id", (F.col("l_partkey") % 3).alias("unit"), "candidate_id"))
+    return ledgers.unit_support(results, lines.select("query_id", (F.col("l_partkey") % 3).alias("unit"), "candidate_id"), parts=parts(table(spark, sf_dir, "lineitem")))
 
 
 def macro_averages(spark, sf_dir):

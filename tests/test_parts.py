@@ -12,7 +12,7 @@ def most_rows(rows):
     return rows.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count")).first()[0]
 
 
-@pytest.mark.parametrize("name", ["coverage_order", "citations", "reranked"])
+@pytest.mark.parametrize("name", ["coverage_order", "citations", "reranked", "unit_support"])
 def test_orders_come_in_parts_of_bounded_size(spark, sf, monkeypatch, name):
     rows = queries()[name](spark, sf)
     whole = sorted(map(tuple, rows.collect()))
